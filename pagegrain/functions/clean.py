@@ -13,8 +13,8 @@ from pagegrain.functions.text import squeeze, words
 
 # Typographic characters and what replaces them.
 TYPOGRAPHIC = {
-    "“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "--",
-    "…": "...", " ": " ", "­": "", "﻿": "",
+    "\u201c": '"', "\u201d": '"', "\u2018": "'", "\u2019": "'", "\u2013": "-", "\u2014": "--",
+    "\u2026": "...", "\u00a0": " ", "\u00ad": "", "\ufeff": "",
 }
 # Repair rules in the order they apply.
 REPAIRS = [
@@ -71,10 +71,10 @@ def corruption(c: Column, ignore_scripts: bool = False) -> Column:
     ``ignore_scripts`` leaves out runs of three or more non-ASCII characters,
     which text in other scripts has everywhere.
     """
-    marks = F.length(c) - F.length(F.replace(c, F.lit("�"), F.lit("")))
+    marks = F.length(c) - F.length(F.replace(c, F.lit("\ufffd"), F.lit("")))
     runs = F.lit(0) if ignore_scripts else F.size(F.regexp_extract_all(c, F.lit(r"[^\x00-\x7F]{3,}"), 0))
     controls = F.size(F.regexp_extract_all(c, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), 0))
-    mark_runs = F.size(F.regexp_extract_all(c, F.lit("�+"), 0))
+    mark_runs = F.size(F.regexp_extract_all(c, F.lit("\ufffd+"), 0))
     latin = c.rlike(r"[^\x00-\xFF]").cast("int")
     # The characters above U+00FF that code page 1252 can hold, and the C1 codes it can.
     cp = c.rlike("[^\\x00-\\x7F\\xA0-\\xFF€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]").cast("int")

@@ -62,3 +62,33 @@ def with_ll(body: str, recursive: bool = False) -> str:
 def with_lr(body: str, recursive: bool = False) -> str:
     """``body`` starts with SELECT, or with a comma and further named queries."""
     return f"WITH {'RECURSIVE ' if recursive else ''}{_LL}, {_LR} {body}"
+
+
+_GRID = """g AS (SELECT c_custkey // 32 AS table_no, c_custkey % 32 AS r,
+  CASE WHEN (c_custkey // 32) % 2 = 0 AND c_custkey % 32 = 0 THEN ['Key', 'Name', 'Balance', 'Segment']
+   WHEN c_custkey % 13 IN (5, 9) THEN ['', '', '', ''] WHEN c_custkey % 13 = 6 THEN [c_custkey::VARCHAR, '', '', '']
+   ELSE [CASE WHEN c_custkey * 7 % 11 = 0 THEN '' ELSE c_custkey::VARCHAR END,
+         CASE WHEN (c_custkey * 7 + 3) % 11 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN '  ' || c_name || ' │' ELSE c_name END,
+         CASE WHEN (c_custkey * 7 + 6) % 11 = 0 THEN '' ELSE '$' || c_acctbal::VARCHAR END,
+         CASE WHEN (c_custkey * 7 + 9) % 11 = 0 THEN '' ELSE c_mktsegment END][1:CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 4 END] END AS cells
+  FROM customer)"""
+_HTML = """h AS (SELECT table_no, r, '<tr>' || array_to_string(list_transform(cells, lambda c, j: CASE
+   WHEN table_no % 2 = 0 AND r = 0 THEN '<th>' || c || '</th>'
+   WHEN j = 1 THEN '<td' || CASE WHEN r % 4 = 2 AND table_no % 3 = 0 THEN ' colspan="2"' WHEN r % 5 = 3 THEN ' colspan="1"' ELSE '' END || '><b>' || c || '</b></td>'
+   ELSE '<TD> a|' || c || '</TD>' END), '') || '</tr>' AS tr FROM g),
+ht AS (SELECT table_no, '<table>' || string_agg(tr, chr(10) ORDER BY r) || '</table>' AS html FROM h GROUP BY table_no)"""
+_CELLS = """cells AS (SELECT c_nationkey::BIGINT AS table_no, c_custkey AS r, c, CASE WHEN (c_custkey * 7 + c * 3) % 11 = 0 THEN '' ELSE v END AS text
+ FROM (SELECT c_nationkey, c_custkey, unnest([0, 1, 2, 3, 4])::BIGINT AS c, unnest([c_custkey::VARCHAR, c_name, '$' || c_acctbal::VARCHAR, c_mktsegment,
+   CASE WHEN c_custkey % 3 = 0 THEN 'n/a' ELSE '12%' END]) AS v FROM customer))"""
+
+
+def with_grid(body: str) -> str:
+    return f"WITH {_GRID}, {_HTML} {body}"
+
+
+def with_cells(body: str) -> str:
+    return f"WITH {_CELLS} {body}"
+
+
+def s_clean_cell(e: str) -> str:
+    return s_strip(f"translate({s_squeeze(e)}, '|│─┌┐└┘├┤┬┴┼', '')")

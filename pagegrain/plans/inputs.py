@@ -72,3 +72,55 @@ def ll(spark: SparkSession, sf: str) -> DataFrame:
 def lr(spark: SparkSession, sf: str) -> DataFrame:
     """Flat layout regions."""
     return unnest(pages(spark, sf), "regions", "doc_id", guard="ord")
+
+
+_CELLS = r"""
+CASE WHEN (c_custkey div 32) % 2 = 0 AND c_custkey % 32 = 0 THEN array('Key', 'Name', 'Balance', 'Segment')
+     WHEN c_custkey % 13 IN (5, 9) THEN array('', '', '', '')
+     WHEN c_custkey % 13 = 6 THEN array(cast(c_custkey as string), '', '', '')
+     ELSE slice(transform(
+        array(cast(c_custkey as string),
+              if(c_custkey % 4 = 1, concat('  ', c_name, ' │'), c_name),
+              concat('$', cast(c_acctbal as string)),
+              c_mktsegment),
+        (v, i) -> if((c_custkey * 7 + i * 3) % 11 = 0, '', v)), 1, if(c_custkey % 5 = 0, 3, 4)) END
+"""
+
+
+def grid_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """table_no, r, cells: customers laid out as rows of 32-row tables."""
+    c = table(spark, sf, "customer")
+    return c.select(F.expr("c_custkey div 32").alias("table_no"), (F.col("c_custkey") % 32).alias("r"), F.expr(_CELLS).alias("cells"))
+
+
+def grids(spark: SparkSession, sf: str) -> DataFrame:
+    """table_no, cells array<array<string>>: a table has 32 rows at most, by its key."""
+    g = grid_rows(spark, sf).groupBy("table_no").agg(F.array_sort(F.collect_list(F.struct("r", "cells"))).alias("s"))
+    return g.select("table_no", F.transform("s", lambda s: s["cells"]).alias("cells"))
+
+
+def long_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """table_no (the customer's nation), r, c, text: tables that grow with the data."""
+    rows = table(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("bigint").alias("table_no"), F.col("c_custkey").alias("r"),
+        F.posexplode(F.array(F.col("c_custkey").cast("string"), "c_name", F.concat(F.lit("$"), F.col("c_acctbal").cast("string")),
+                             "c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, F.lit("n/a")).otherwise("12%"))).alias("c", "v"))
+    blank = (F.col("r") * 7 + F.col("c") * 3) % 11 == 0
+    return rows.select("table_no", "r", "c", F.when(blank, "").otherwise(F.col("v")).alias("text"))
+
+
+def html_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """table_no, html: the 32-row tables as HTML with header cells, spans, nested tags and pipes."""
+    cell = lambda c, k, tag: F.concat(F.lit(f"<{tag}"), k, F.lit(">"), c, F.lit(f"</{tag}>"))
+    none = F.lit("")
+
+    def row(r, i):
+        head = (F.col("table_no") % 2 == 0) & (i == 0)
+        span = F.when((i % 4 == 2) & (F.col("table_no") % 3 == 0), F.lit(' colspan="2"')).when(
+            i % 5 == 3, F.lit(' colspan="1"')).otherwise(none)
+        body = F.transform(r, lambda c, j: F.when(head, cell(c, none, "th")).when(
+            j == 0, cell(F.concat(F.lit("<b>"), c, F.lit("</b>")), span, "td")).otherwise(cell(F.concat(F.lit(" a|"), c), none, "TD")))
+        return F.concat(F.lit("<tr>"), F.array_join(body, ""), F.lit("</tr>"))
+
+    html = F.concat(F.lit("<table>"), F.array_join(F.transform("cells", row), "\n"), F.lit("</table>"))
+    return grids(spark, sf).select("table_no", html.alias("html"))

@@ -16,7 +16,7 @@ def _docs(spark, sf):
 
 
 # Decomposed accents, typographic marks and control characters, so that every rule has work.
-_ROUGH = [("é", "é"), (" an ", " “an… "), (" the ", " the​ "), (" le ", " —le\x01 "), ("der ", "d­er﻿ ")]
+_ROUGH = [("\u00e9", "e\u0301"), (" an ", " \u201can\u2026\u00a0"), (" the ", " the\u200b "), (" le ", " \u2014le\x01 "), ("der ", "d\u00ader\ufeff ")]
 
 
 def _rough(c):
