@@ -1,0 +1,51 @@
+"""Nested JSON records as flat lists of paths.
+
+A shape states the keys to follow: a dict maps keys to shapes, a one-element
+list is an array of that shape, ``None`` is a leaf. The walk is unrolled from
+the shape, so a record is flattened by one expression inside its own row.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+MAX_DEPTH = 100
+NODE = "array<struct<path:string,depth:int,type:string,value:string,size:int>>"
+
+
+def node_type(v: Column) -> Column:
+    """Name of a value's kind: dict, list, str, int, float, bool or null."""
+    s = F.schema_of_variant(v)
+    return (F.when(F.startswith(s, F.lit("OBJECT")), "dict").when(F.startswith(s, F.lit("ARRAY")), "list").when(s == "STRING", "str")
+            .when(s == "BIGINT", "int").when(s == "BOOLEAN", "bool").when(s == "VOID", "null").otherwise("float"))
+
+
+def _own(v: Column, path: Column, depth: int, keys: Column) -> Column:
+    kind = node_type(v)
+    text = F.try_variant_get(v, "$", "string")
+    items = F.size(F.try_variant_get(v, "$", "array<variant>"))
+    size = F.when(kind == "str", F.length(text)).when(kind == "list", items).when(kind == "dict", keys)
+    value = F.when(kind.isin("dict", "list"), size.cast("string")).otherwise(text)
+    return F.struct(path.alias("path"), F.lit(depth).alias("depth"), kind.alias("type"), value.alias("value"), size.cast("int").alias("size"))
+
+
+def flatten(v: Column, shape, path: Column | str = "root", depth: int = 0) -> Column:
+    """Array of nodes of a variant: path, depth, type, value (size for containers) and size.
+
+    Missing keys give no node. A shape deeper than the depth bound is refused.
+    """
+    if depth > MAX_DEPTH:
+        raise ValueError(f"record shape deeper than {MAX_DEPTH}")
+    p = F.lit(path) if isinstance(path, str) else path
+    keys = F.coalesce(F.size(F.json_object_keys(F.to_json(v))), F.lit(0))
+    own = F.when(v.isNotNull(), F.array(_own(v, p, depth, keys))).otherwise(F.array().cast(NODE))
+    if isinstance(shape, dict):
+        kids = [flatten(F.try_variant_get(v, f"$.{k}", "variant"), s, F.concat(p, F.lit(f".{k}")), depth + 1) for k, s in shape.items()]
+        return F.concat(own, *kids)
+    if isinstance(shape, list):
+        items = F.try_variant_get(v, "$", "array<variant>")
+        kids = F.flatten(F.transform(items, lambda x, i: flatten(
+            x, shape[0], F.concat(p, F.lit("["), i.cast("string"), F.lit("]")), depth + 1)))
+        return F.concat(own, F.coalesce(kids, F.array().cast(NODE)))
+    return own
