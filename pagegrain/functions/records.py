@@ -10,24 +10,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagegrain.functions.clean import let
+
 MAX_DEPTH = 100
+# Variant kinds and the names used in reports; every other kind is a float.
+KINDS = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BIGINT": "int", "BOOLEAN": "bool", "VOID": "null"}
 NODE = "array<struct<path:string,depth:int,type:string,value:string,size:int>>"
 
 
 def node_type(v: Column) -> Column:
     """Name of a value's kind: dict, list, str, int, float, bool or null."""
-    s = F.schema_of_variant(v)
-    return (F.when(F.startswith(s, F.lit("OBJECT")), "dict").when(F.startswith(s, F.lit("ARRAY")), "list").when(s == "STRING", "str")
-            .when(s == "BIGINT", "int").when(s == "BOOLEAN", "bool").when(s == "VOID", "null").otherwise("float"))
+    head = F.element_at(F.split(F.schema_of_variant(v), "[<(]"), 1)
+    names = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, head), F.lit("float"))
+
 
+def _own(v: Column, path: Column, depth: int, container: bool) -> Column:
+    """Node of one value; only containers pay for counting keys."""
+    def node(x: Column, kind: Column) -> Column:
+        text = F.try_variant_get(x, "$", "string")
+        if container:
+            size = F.when(kind == "dict", F.size(F.json_object_keys(F.to_json(x)))).when(
+                kind == "list", F.size(F.try_variant_get(x, "$", "array<variant>"))).when(kind == "str", F.length(text))
+        else:
+            size = F.when(kind == "str", F.length(text))
+        value = F.when(kind.isin("dict", "list"), size.cast("string")).otherwise(text) if container else text
+        return F.struct(path.alias("path"), F.lit(depth).alias("depth"), kind.alias("type"), value.alias("value"), size.cast("int").alias("size"))
 
-def _own(v: Column, path: Column, depth: int, keys: Column) -> Column:
-    kind = node_type(v)
-    text = F.try_variant_get(v, "$", "string")
-    items = F.size(F.try_variant_get(v, "$", "array<variant>"))
-    size = F.when(kind == "str", F.length(text)).when(kind == "list", items).when(kind == "dict", keys)
-    value = F.when(kind.isin("dict", "list"), size.cast("string")).otherwise(text)
-    return F.struct(path.alias("path"), F.lit(depth).alias("depth"), kind.alias("type"), value.alias("value"), size.cast("int").alias("size"))
+    live = F.filter(F.array(v), lambda x: x.isNotNull())
+    return F.transform(live, lambda x: let(node_type(x), lambda k: node(x, k)))
 
 
 def flatten(v: Column, shape, path: Column | str = "root", depth: int = 0) -> Column:
@@ -38,8 +49,7 @@ def flatten(v: Column, shape, path: Column | str = "root", depth: int = 0) -> Co
     if depth > MAX_DEPTH:
         raise ValueError(f"record shape deeper than {MAX_DEPTH}")
     p = F.lit(path) if isinstance(path, str) else path
-    keys = F.coalesce(F.size(F.json_object_keys(F.to_json(v))), F.lit(0))
-    own = F.when(v.isNotNull(), F.array(_own(v, p, depth, keys))).otherwise(F.array().cast(NODE))
+    own = _own(v, p, depth, shape is not None)
     if isinstance(shape, dict):
         kids = [flatten(F.try_variant_get(v, f"$.{k}", "variant"), s, F.concat(p, F.lit(f".{k}")), depth + 1) for k, s in shape.items()]
         return F.concat(own, *kids)

@@ -92,3 +92,21 @@ def with_cells(body: str) -> str:
 
 def s_clean_cell(e: str) -> str:
     return s_strip(f"translate({s_squeeze(e)}, '|│─┌┐└┘├┤┬┴┼', '')")
+
+
+_AS_TABLE = "'<table><tr><td>' || replace(replace(content, chr(10), '</td></tr><tr><td>'), ', ', '</td><td>') || '</td></tr></table>'"
+_BR = f"""br AS (SELECT doc_id, ord, type, x1, y1, x2, y2, confidence,
+  CASE ord % 7 WHEN 0 THEN 'header' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'paragraph' WHEN 3 THEN 'table' WHEN 4 THEN 'image' WHEN 5 THEN 'header' ELSE 'list' END AS region_type,
+  CASE WHEN ord % 7 = 3 THEN {_AS_TABLE} ELSE content END AS content FROM lr)"""
+_IT = f"""it AS (SELECT doc_id, ord, x1, y1, x2, y2, confidence,
+  CASE ord % 11 WHEN 10 THEN 'list' WHEN 9 THEN 'equation' WHEN 8 THEN 'figure_caption' ELSE type END AS type,
+  CASE WHEN ord % 11 < 8 AND ord % 7 = 3 THEN '' ELSE content END AS text,
+  CASE WHEN ord % 11 < 8 AND ord % 7 = 3 THEN CASE WHEN doc_id % 2 = 0 THEN {_AS_TABLE} ELSE '<table><tr><td colspan="2">' || content || '</td></tr></table>' END END AS html FROM lr)"""
+
+
+def with_br(body: str) -> str:
+    return with_lr(f", {_BR} {body}")
+
+
+def with_it(body: str, recursive: bool = False) -> str:
+    return with_lr(f", {_IT} {body}", recursive)

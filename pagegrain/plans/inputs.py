@@ -124,3 +124,36 @@ def html_tables(spark: SparkSession, sf: str) -> DataFrame:
 
     html = F.concat(F.lit("<table>"), F.array_join(F.transform("cells", row), "\n"), F.lit("</table>"))
     return grids(spark, sf).select("table_no", html.alias("html"))
+
+
+_AS_TABLE = r"concat('<table><tr><td>', replace(replace(r.content, '\n', '</td></tr><tr><td>'), ', ', '</td><td>'), '</td></tr></table>')"
+_TYPED = rf"""
+transform(regions, r -> named_struct(
+  'ord', r.ord, 'type', r.type, 'x1', r.x1, 'y1', r.y1, 'x2', r.x2, 'y2', r.y2, 'confidence', r.confidence,
+  'region_type', element_at(array('header', 'paragraph', 'paragraph', 'table', 'image', 'header', 'list'), cast(r.ord % 7 + 1 as int)),
+  'content', if(r.ord % 7 = 3, {_AS_TABLE}, r.content)))
+"""
+
+
+def block_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, regions with a region type; tables hold HTML of their lines, references are lists."""
+    return pages(spark, sf).select("doc_id", F.expr(_TYPED).alias("regions"))
+
+
+def block_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return unnest(block_pages(spark, sf), "regions", "doc_id", guard="ord")
+
+
+_ITEMS = rf"""
+transform(regions, r -> named_struct(
+  'ord', r.ord, 'x1', r.x1, 'y1', r.y1, 'x2', r.x2, 'y2', r.y2, 'confidence', r.confidence,
+  'type', CASE r.ord % 11 WHEN 10 THEN 'list' WHEN 9 THEN 'equation' WHEN 8 THEN 'figure_caption' ELSE r.type END,
+  'text', if(r.ord % 11 < 8 AND r.ord % 7 = 3, '', r.content),
+  'html', if(r.ord % 11 < 8 AND r.ord % 7 = 3,
+             if(doc_id % 2 = 0, {_AS_TABLE}, concat('<table><tr><td colspan="2">', r.content, '</td></tr></table>')), null)))
+"""
+
+
+def item_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, items: layout items with text or table HTML, in y order."""
+    return pages(spark, sf).select("doc_id", F.expr(_ITEMS).alias("items"))
