@@ -19,11 +19,11 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, buc
     rows = df.withColumns({"_b": bucket, "_v": value})
     sums = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    base = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carried"))
     stop = 0 if inclusive else -1
     inside = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, stop)
     return rows.join(base, [*keys, "_b"]).withColumn(
-        name, F.col("_base") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_b", "_v", "_base")
+        name, F.col("_carried") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_b", "_v", "_carried")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: Column, bucket, name: str = "found") -> DataFrame:
