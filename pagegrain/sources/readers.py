@@ -32,10 +32,11 @@ def upload_reason(ext: Column, size: Column, head: Column) -> Column:
 def uploads(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded files with a verdict; only the first 8 bytes of content are kept."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return _judged(f)
+    return judged_uploads(f)
 
 
-def _judged(f: DataFrame) -> DataFrame:
+def judged_uploads(f: DataFrame) -> DataFrame:
+    """Verdict on files given as (path, length, content)."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     out = f.select("path", F.col("length").alias("size"), ext.alias("ext"), F.substring("content", 1, 8).alias("head"))
     out = out.withColumn("reason", upload_reason(F.col("ext"), F.col("size"), F.col("head")))
