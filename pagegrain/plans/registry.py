@@ -22,7 +22,7 @@ class Entry:
 ENTRIES: dict[str, Entry] = {}
 
 MODULES = (
-    "layout", "spatial", "confidence", "text", "integrity", "tables", "blocks", "markdown", "chunks", "retrieval", "jobs", "prompts", "files",
+    "layout", "spatial", "confidence", "text", "integrity", "tables", "blocks", "markdown", "chunks", "retrieval", "jobs", "prompts", "files", "streams",
 
 )
 
