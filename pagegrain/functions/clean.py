@@ -162,10 +162,16 @@ def redacted(c: Column) -> Column:
     """Personal data replaced by tags, and path pairs by a hash of their text."""
     out = c
     for pattern, tag in REDACTIONS:
-        out = F.regexp_replace(out, "(?U)" + pattern, tag.replace("[", r"\[").replace("]", r"\]"))
+        # A cheap look first: most texts have no address and no long number.
+        sign = (lambda t: F.contains(t, F.lit("@"))) if "@" in pattern else (lambda t: t.rlike("[0-9]{3}"))
+        out = _where_needed(out, sign, "(?U)" + pattern, tag.replace("[", r"\[").replace("]", r"\]"))
     return let(out, lambda t: F.when(F.contains(t, F.lit("/")), _hash_paths(t)).otherwise(t))
 
 
+def _where_needed(c: Column, sign, pattern: str, to: str) -> Column:
+    return let(c, lambda t: F.when(sign(t), F.regexp_replace(t, pattern, to)).otherwise(t))
+
+
 def _hash_paths(t: Column) -> Column:
     pattern = "(?U)" + PATH_PAIR
     tags = F.transform(F.regexp_extract_all(t, F.lit(pattern), 0),

@@ -2,7 +2,8 @@
 
 A shape states the keys to follow: a dict maps keys to shapes, a one-element
 list is an array of that shape, ``None`` is a leaf. The walk is unrolled from
-the shape, so a record is flattened by one expression inside its own row.
+the shape into one SQL expression, so a record is flattened inside its own row.
+Building the text first keeps the number of driver calls at one per record.
 """
 
 from __future__ import annotations
@@ -10,52 +11,51 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagegrain.functions.clean import let
-
 MAX_DEPTH = 100
 # Variant kinds and the names used in reports; every other kind is a float.
 KINDS = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BIGINT": "int", "BOOLEAN": "bool", "VOID": "null"}
 NODE = "array<struct<path:string,depth:int,type:string,value:string,size:int>>"
 
 
-def node_type(v: Column) -> Column:
-    """Name of a value's kind: dict, list, str, int, float, bool or null."""
-    head = F.element_at(F.split(F.schema_of_variant(v), "[<(]"), 1)
-    names = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    return F.coalesce(F.try_element_at(names, head), F.lit("float"))
+def _kind(x: str) -> str:
+    names = ", ".join(f"'{k}', '{v}'" for k, v in KINDS.items())
+    return f"coalesce(try_element_at(map({names}), element_at(split(schema_of_variant({x}), '[<(]'), 1)), 'float')"
 
 
-def _own(v: Column, path: Column, depth: int, container: bool) -> Column:
+def _own(v: str, path: str, depth: int, container: bool) -> str:
     """Node of one value; only containers pay for counting keys."""
-    def node(x: Column, kind: Column) -> Column:
-        text = F.try_variant_get(x, "$", "string")
-        if container:
-            size = F.when(kind == "dict", F.size(F.json_object_keys(F.to_json(x)))).when(
-                kind == "list", F.size(F.try_variant_get(x, "$", "array<variant>"))).when(kind == "str", F.length(text))
-        else:
-            size = F.when(kind == "str", F.length(text))
-        value = F.when(kind.isin("dict", "list"), size.cast("string")).otherwise(text) if container else text
-        return F.struct(path.alias("path"), F.lit(depth).alias("depth"), kind.alias("type"), value.alias("value"), size.cast("int").alias("size"))
-
-    live = F.filter(F.array(v), lambda x: x.isNotNull())
-    return F.transform(live, lambda x: let(node_type(x), lambda k: node(x, k)))
-
-
-def flatten(v: Column, shape, path: Column | str = "root", depth: int = 0) -> Column:
-    """Array of nodes of a variant: path, depth, type, value (size for containers) and size.
-
-    Missing keys give no node. A shape deeper than the depth bound is refused.
-    """
+    x, k = f"x{depth}", f"k{depth}"
+    text = f"try_variant_get({x}, '$', 'string')"
+    if container:
+        size = (f"CASE {k} WHEN 'dict' THEN size(json_object_keys(to_json({x}))) "
+                f"WHEN 'list' THEN size(try_variant_get({x}, '$', 'array<variant>')) WHEN 'str' THEN length({text}) END")
+        value = f"CASE WHEN {k} IN ('dict', 'list') THEN cast({size} as string) ELSE {text} END"
+    else:
+        size, value = f"if({k} = 'str', length({text}), null)", text
+    node = f"named_struct('path', {path}, 'depth', {depth}, 'type', {k}, 'value', {value}, 'size', cast({size} as int))"
+    return (f"transform(filter(array({v}), {x} -> {x} IS NOT NULL), {x} -> "
+            f"element_at(transform(array({_kind(x)}), {k} -> {node}), 1))")
+
+
+def _nodes(v: str, shape, path: str, depth: int) -> str:
     if depth > MAX_DEPTH:
         raise ValueError(f"record shape deeper than {MAX_DEPTH}")
-    p = F.lit(path) if isinstance(path, str) else path
-    own = _own(v, p, depth, shape is not None)
+    own = _own(v, path, depth, shape is not None)
     if isinstance(shape, dict):
-        kids = [flatten(F.try_variant_get(v, f"$.{k}", "variant"), s, F.concat(p, F.lit(f".{k}")), depth + 1) for k, s in shape.items()]
-        return F.concat(own, *kids)
+        kids = [_nodes(f"try_variant_get({v}, '$.{k}', 'variant')", s, f"concat({path}, '.{k}')", depth + 1) for k, s in shape.items()]
+        return f"concat({', '.join([own, *kids])})"
     if isinstance(shape, list):
-        items = F.try_variant_get(v, "$", "array<variant>")
-        kids = F.flatten(F.transform(items, lambda x, i: flatten(
-            x, shape[0], F.concat(p, F.lit("["), i.cast("string"), F.lit("]")), depth + 1)))
-        return F.concat(own, F.coalesce(kids, F.array().cast(NODE)))
+        e, i = f"e{depth}", f"i{depth}"
+        kid = _nodes(e, shape[0], f"concat({path}, '[', cast({i} as string), ']')", depth + 1)
+        kids = f"flatten(transform(try_variant_get({v}, '$', 'array<variant>'), ({e}, {i}) -> {kid}))"
+        return f"concat({own}, coalesce({kids}, cast(array() as {NODE})))"
     return own
+
+
+def flatten(record: str, shape, path: str = "'root'") -> Column:
+    """Array of nodes of a variant column: path, depth, type, value (size for containers) and size.
+
+    ``record`` and ``path`` are SQL expressions. Missing keys give no node. A
+    shape deeper than the depth bound is refused.
+    """
+    return F.expr(_nodes(record, shape, path, 0))

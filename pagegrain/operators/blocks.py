@@ -24,9 +24,8 @@ RECOMMENDED = ["confidence", "originalCoordinates", "processingNotes"]
 NODE_NAMES = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BIGINT": "int", "BOOLEAN": "bool", "VOID": "NoneType"}
 
 
-def block_data(region: Column, content: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """JSON data of a block from its region; a blank region gives null."""
-    text = strip(content)
+def block_data(region: Column, content: Column, text: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """JSON data of a block from its region; ``text`` is the trimmed content."""
     off = F.lit(False)
     header = F.to_json(F.struct(text.alias("text"), classify.header_level(text, y1).alias("level")))
     paragraph = F.to_json(F.struct(F.replace(text, F.lit("\n"), F.lit("<br>")).alias("text")))
@@ -34,20 +33,23 @@ def block_data(region: Column, content: Column, x1: Column, y1: Column, x2: Colu
     file = F.struct(F.lit("").alias("url"), (x2 - x1).cast("int").alias("width"), (y2 - y1).cast("int").alias("height"))
     image = F.to_json(F.struct(file.alias("file"), content.alias("caption"), off.alias("withBorder"), off.alias("withBackground"), off.alias("stretched")))
     table = F.to_json(F.struct(grids.any_header_cell(content).alias("withHeadings"), grids.from_html(content).alias("content"), off.alias("stretched"), content.alias("tableHtml")))
-    data = (F.when(region == "header", header).when(region == "list", items).when(region == "image", image).when(region == "table", table).otherwise(paragraph))
-    return F.when(text != "", data)
+    return F.when(region == "header", header).when(region == "list", items).when(region == "image", image).when(region == "table", table).otherwise(paragraph)
 
 
 def region_blocks(regions: DataFrame) -> DataFrame:
-    """Typed blocks with metadata; ids are a hash of document and position, so reruns agree."""
+    """Typed blocks with metadata; ids are a hash of document and position, so reruns agree.
+
+    Blank regions are dropped by a test on their text, not on the built JSON: a
+    filter on the JSON would build it twice.
+    """
     rt, c = F.col("region_type"), F.col("content")
     box = [F.col(n) for n in ("x1", "y1", "x2", "y2")]
-    out = regions.withColumns({
+    full = regions.where(c.rlike(r"(?U)[^\s\x1c-\x1f]")).withColumn("_text", strip(c))
+    return full.withColumns({
         "block_id": F.substring(F.sha2(F.concat_ws(":", DOC, "ord"), 256), 1, 16),
         "block_type": F.when(rt.isin("header", "paragraph", "table", "list", "image"), rt).otherwise("paragraph"),
-        "data": block_data(rt, c, *box), "font_size": classify.font_size(c, F.col("y2") - F.col("y1")),
-        "edit_type": F.when(rt == "table", "table").otherwise("text")})
-    return out.where(F.col("data").isNotNull())
+        "data": block_data(rt, c, F.col("_text"), *box), "font_size": classify.font_size(c, F.col("y2") - F.col("y1")),
+        "edit_type": F.when(rt == "table", "table").otherwise("text")}).drop("_text")
 
 
 def display_blocks(items: DataFrame) -> DataFrame:

@@ -40,10 +40,11 @@ def line_diff(before: DataFrame, after: DataFrame, key: str = DOC, text: str = "
         F.when(F.col("n") > 0, F.col("at_before")).otherwise(F.col("at_after")).alias("first_at"))
 
 
-def record_changes(pairs: DataFrame, original: Column, processed: Column, shape, root: Column | str = "root", *keep: str) -> DataFrame:
+def record_changes(pairs: DataFrame, original: str, processed: str, shape, root: str = "'root'", *keep: str) -> DataFrame:
     """Differences of two nested records on the same row, one row per change.
 
-    Kinds: missing_key, added_key, type_change, length_change, value_change.
+    ``original``, ``processed`` (variants) and ``root`` (path) are SQL
+    expressions. Kinds: missing_key, added_key, type_change, length_change, value_change.
     Nothing below a missing, added or retyped path is reported, nor list items
     past the shorter list. Texts count as changed under 0.95 similarity; equal
     texts and texts whose lengths already decide never reach Python. Rows with

@@ -19,11 +19,12 @@ def typed_documents(documents: DataFrame, types: DataFrame, type_col: str = "doc
     """Documents with the fields and hint of their type.
 
     A document's own field list wins over its type's; none at all is an error
-    row. ``types`` is a configuration list of a few entries.
+    row. Whether the types are broadcast is left to the optimizer, which checks
+    their size.
     """
     dim = types.select(F.col("id").alias(type_col), F.col("fields").alias("_fields"), F.col("name").alias("type_name"), F.col("hint").alias("_hint"))
     own = F.when(F.size("fields") > 0, F.col("fields"))
-    out = documents.join(F.broadcast(dim), type_col, "left")
+    out = documents.join(dim, type_col, "left")
     out = out.withColumns({"fields": F.coalesce(own, "_fields", F.array().cast("array<string>")), "hint": F.coalesce("_hint", F.lit("请仔细分析文档内容"))})
     return out.withColumn("error", F.when(F.size("fields") == 0, "未指定提取字段")).drop("_fields", "_hint")
 
@@ -32,7 +33,7 @@ def checkpoint_questions(documents: DataFrame, types: DataFrame, type_col: str =
     """One row per document and non-blank checkpoint question of its type."""
     lines = F.filter(F.transform(F.split("checkpoints", "\n"), strip), lambda q: q != "")
     dim = types.select(F.col("id").alias(type_col), F.posexplode_outer(lines).alias("question_no", "question")).where(F.col("question_no").isNotNull())
-    return documents.join(F.broadcast(dim), type_col)
+    return documents.join(dim, type_col)
 
 
 def field_list(template: Column, temporary: Column, custom: Column) -> Column:

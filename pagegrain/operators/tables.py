@@ -134,8 +134,8 @@ def table_result(res: Column) -> Column:
 
 def table_blocks(tables: DataFrame, grid: str = "cells", header: str = "has_headers") -> DataFrame:
     """Cleaned and normalised grid, its HTML, metadata and confidence; empty tables give no block."""
-    some = tables.withColumn("_g", F.when(F.size(F.try_element_at(F.col(grid), F.lit(1))) > 0, grids.normalised(grids.cleaned(F.col(grid)))))
-    live = some.where(F.col("_g").isNotNull())
+    some = tables.where(F.size(F.try_element_at(F.col(grid), F.lit(1))) > 0)
+    live = some.withColumn("_g", grids.normalised(grids.cleaned(F.col(grid))))
     return live.withColumns({
         "content": F.col("_g"), "html": grids.to_html(F.col("_g"), F.col(header)), "stats": grids.statistics(F.col("_g")),
         "confidence": grids.table_confidence(F.col("_g"))}).drop("_g")

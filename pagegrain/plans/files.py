@@ -75,7 +75,7 @@ def config_types(spark, sf):
     spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
     dim = readers.config_table(spark, path, "id string, name string, fields array<string>, checkpoints string")
     d = _documents(spark, sf).select("doc_id", F.col("doc_type").alias("id"))
-    return d.join(F.broadcast(dim), "id").select("doc_id", F.col("id").alias("doc_type"), "name", F.size("fields").alias("n_fields"))
+    return d.join(dim, "id").select("doc_id", F.col("id").alias("doc_type"), "name", F.size("fields").alias("n_fields"))
 
 
 @query("src6_first_found", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'temp' ELSE 'kept' END AS place, (o_orderkey % 3 <> 0)::BIGINT AS root FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")

@@ -16,7 +16,15 @@ from pagegrain.functions.arrays import unnest
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A supplied table.
+
+    Large tables come in many row groups and are read in parallel as they are.
+    Where one file holds a whole text table, ``pagegrain.input.partitions``
+    spreads its rows over that many tasks; unset, nothing is shuffled.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    n = spark.conf.get("pagegrain.input.partitions", None)
+    return df.repartition(int(n)) if n and name in ("documents", "pages", "conversations") else df
 
 
 _LINES = r"""

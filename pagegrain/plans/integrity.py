@@ -72,7 +72,7 @@ def _changes_sql(root: str) -> str:
 
 
 def _changes(spark, sf):
-    return integrity.record_changes(_records(spark, sf), F.col("a"), F.col("b"), _SHAPE)
+    return integrity.record_changes(_records(spark, sf), "a", "b", _SHAPE)
 
 
 @query("jn12_structural_diff", f"SELECT * FROM ({_changes_sql('root')})")
@@ -96,7 +96,7 @@ def _stages(spark, sf):
     r = _records(spark, sf)
     st = lambda n, c: F.struct(F.lit(n).alias("name"), F.col(c).alias("record"))
     pairs = integrity.stage_pairs(r.select("doc_id", F.array(st("input", "a"), st("processed", "a"), st("output", "b")).alias("stages")))
-    return integrity.record_changes(pairs, F.col("a"), F.col("b"), _SHAPE, F.col("pair"), "doc_id", "pair", "to_stage")
+    return integrity.record_changes(pairs, "a", "b", _SHAPE, "pair", "doc_id", "pair", "to_stage")
 
 
 @query("jn13_stage_changes", f"SELECT *, 'processed->output' AS pair FROM ({_changes_sql('processed->output')})")
@@ -183,6 +183,6 @@ def json_repair(spark, sf):
 SELECT doc_id, 2::BIGINT AS depth, length(text) + length(lang) + length(source) + list_sum(list_transform(string_split(text, ' ')[1:3], lambda t: length(t)))::BIGINT AS string_length,
  least(3, len(string_split(text, ' ')))::BIGINT AS array_length, 6::BIGINT AS object_keys FROM documents""")
 def json_profile(spark, sf):
-    r = _records(spark, sf).select("doc_id", let(records.flatten(F.col("a"), _SHAPE), integrity.json_profile).alias("p"))
+    r = _records(spark, sf).select("doc_id", let(records.flatten("a", _SHAPE), integrity.json_profile).alias("p"))
     return r.select("doc_id", "p.depth", "p.string_length", "p.array_length", "p.object_keys")
 
