@@ -145,17 +145,23 @@ def fixed(text: Column, size: int = SIZE, minimum: int = MINIMUM, overlap: int =
             start, aim = s["at"], s["at"] + size
             low = F.greatest(start + minimum, aim - 100)
             window = F.substring(t, low + 1, aim - low)
-            cut = F.length(F.regexp_extract(window, f"(?s)^.*[{ends}]", 0))
-            end = F.when(aim >= n, n).when(cut > 0, low + cut).otherwise(aim)
-            body = strip(F.substring(t, start + 1, end - start))
-            good = F.length(body) >= minimum
-            back = end - overlap
-            # The previous start guards against standing still, as does reaching the end of the text.
-            last = F.when(good, start).otherwise(s["last"])
-            nxt = F.when(end >= n, n).when(F.coalesce(back <= last, F.lit(False)), end).otherwise(F.greatest(back, F.lit(0)))
-            grown = F.struct(nxt.alias("at"), last.alias("last"), F.when(good, F.array_append(s["out"], F.struct(
-                body.alias("content"), start.alias("start_char"), end.alias("end_char")))).otherwise(s["out"]).alias("out"))
-            return F.when(start >= n, s).otherwise(grown)
+            cut = F.when(aim < n, F.length(F.regexp_extract(window, f"(?s)^.*[{ends}]", 0)))
+
+            # Each part is bound once: written out in full they would be evaluated many times per step.
+            def at_end(end: Column) -> Column:
+                return let(strip(F.substring(t, start + 1, end - start)), lambda body: grown(end, body))
+
+            def grown(end: Column, body: Column) -> Column:
+                good = F.length(body) >= minimum
+                back = end - overlap
+                # The previous start guards against standing still, as does reaching the end of the text.
+                last = F.when(good, start).otherwise(s["last"])
+                nxt = F.when(end >= n, n).when(F.coalesce(back <= last, F.lit(False)), end).otherwise(F.greatest(back, F.lit(0)))
+                return F.struct(nxt.alias("at"), last.alias("last"), F.when(good, F.array_append(s["out"], F.struct(
+                    body.alias("content"), start.alias("start_char"), end.alias("end_char")))).otherwise(s["out"]).alias("out"))
+
+            moved = let(cut, lambda c: let(F.when(aim >= n, n).when(c > 0, low + c).otherwise(aim), at_end))
+            return F.when(start >= n, s).otherwise(moved)
 
         return go
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagegrain.functions import clean
 from pagegrain.functions.records import flatten
 from pagegrain.functions.text import squeeze, words
+from pagegrain.operators.skew import last_n
 
 DOC = "doc_id"
 # Score of each loss severity, and of an unknown one.
@@ -149,6 +150,17 @@ def text_issue(c: Column) -> Column:
     return F.when(c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control_characters").when(F.length(c) > 1000000, "very_long")
 
 
+def bad_characters(c: Column, n: int = 5) -> Column:
+    """The first ``n`` control characters of a text as escapes, for a warning line."""
+    found = F.slice(F.regexp_extract_all(c, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), 0), 1, n)
+    return F.transform(found, lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(x))), 4, "0")))
+
+
+def first_differences(diff: DataFrame, key: str = DOC, n: int = 10) -> DataFrame:
+    """The first ``n`` changed lines of every document, for a report."""
+    return last_n(diff, [key], [F.col("first_at"), F.col("change"), F.col("line")], n).drop("_rn")
+
+
 def depth_issue(nodes: Column, limit: int = 100) -> Column:
     deepest = F.array_max(F.transform(nodes, lambda n: n["depth"]))
     return F.when(deepest > limit, "too_deep")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagegrain.functions.text import squeeze, strip
 from pagegrain.operators import chunking, retrieval
 from pagegrain.plans import inputs
 from pagegrain.plans.ansi import s_squeeze, s_strip, with_it, with_ll
 from pagegrain.plans.registry import query
+from pagegrain.plans.stages import run_stages, tracked
 from pagegrain.session import shared_dir
 from pagegrain.sources import readers, writers
 
@@ -140,11 +142,23 @@ def run_logs(spark, sf):
 
 @query("udf1_user_stages", f"""SELECT doc_id, length({s_squeeze('text')}) AS n FROM documents WHERE length({s_strip('text')}) >= 50""")
 def user_stages(spark, sf):
-    from pagegrain.functions.text import squeeze
-    from pagegrain.plans.stages import run_stages
     gate = lambda d: d.where(F.length("text") >= 50)
     tidy = lambda d: d.select("doc_id", squeeze("text").alias("text"))
     measure = lambda d: d.select("doc_id", F.length("text").alias("n"))
     out, _ = run_stages(inputs.table(spark, sf, "documents").select("doc_id", "text"), {"validate": gate, "normalise": tidy, "measure": measure})
     return out
 
+
+@query("udf3_tracked_stages", f"""
+SELECT 'normalise' AS stage, count(*) AS "rows", true AS success FROM documents WHERE length({s_strip('text')}) >= 50
+UNION ALL SELECT 'validate', count(*), true FROM documents WHERE length({s_strip('text')}) >= 50 UNION ALL SELECT 'write', count(*), true FROM documents WHERE length({s_strip('text')}) >= 50""")
+def tracked_stages(spark, sf):
+    """Run stages to a sink as one tracked operation; row counts come from observations of the same run."""
+    path = shared_dir(spark, "tracked")
+    gate = lambda d: d.where(F.length(strip("text")) >= 50)
+    tidy = lambda d: d.select("doc_id", squeeze("text").alias("text"))
+    out, seen = run_stages(inputs.table(spark, sf, "documents").select("doc_id", "text"), {"validate": gate, "normalise": tidy})
+    op = tracked("write", lambda: out.write.mode("overwrite").parquet(path))
+    counts = [(name, o.get["rows"], op["success"]) for name, o in seen.items()]
+    done = spark.read.parquet(path).agg(F.lit("write").alias("stage"), F.count(F.lit(1)).alias("rows"), F.lit(bool(op["success"])).alias("success"))
+    return spark.createDataFrame(counts, "stage string, rows bigint, success boolean").unionByName(done)

@@ -24,13 +24,16 @@ def content_statistics(spark, sf):
     return d.select("doc_id", *integrity.content_statistics(F.col("a"), F.col("b")))
 
 
-@query("txt10_line_diff", with_ll("""
+_DIFF = """
 , b AS (SELECT doc_id, line_no, CASE WHEN line_no % 10 = 3 THEN text || ' x' ELSE text END AS text FROM ll WHERE line_no % 10 <> 7
   UNION ALL SELECT doc_id, line_no, text FROM ll WHERE line_no % 10 = 5),
 u AS (SELECT doc_id, text, 1 AS n, line_no FROM ll UNION ALL SELECT doc_id, text, -1, line_no FROM b)
-SELECT doc_id, text AS line, CASE WHEN sum(n) > 0 THEN 'deletion' ELSE 'addition' END AS change, abs(sum(n))::BIGINT AS times,
+, d AS (SELECT doc_id, text AS line, CASE WHEN sum(n) > 0 THEN 'deletion' ELSE 'addition' END AS change, abs(sum(n))::BIGINT AS times,
  CASE WHEN sum(n) > 0 THEN min(line_no) FILTER (WHERE n > 0) ELSE min(line_no) FILTER (WHERE n < 0) END AS first_at
-FROM u GROUP BY doc_id, text HAVING sum(n) <> 0"""))
+FROM u GROUP BY doc_id, text HAVING sum(n) <> 0)"""
+
+
+@query("txt10_line_diff", with_ll(_DIFF + " SELECT * FROM d"))
 def line_diff(spark, sf):
     a = inputs.ll(spark, sf).select("doc_id", "line_no", "text")
     m = F.col("line_no") % 10
@@ -40,6 +43,21 @@ def line_diff(spark, sf):
     return integrity.line_diff(a, b)
 
 
+@query("top3_first_differences", with_ll(_DIFF + " SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first_at, change, line) <= 10"))
+def first_differences(spark, sf):
+    return integrity.first_differences(line_diff(spark, sf))
+
+
+@query("top3_bad_characters", r"""
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]')[1:5], lambda c: '\u' || lpad(lower(to_hex(ascii(c))), 4, '0')), ',') AS shown
+FROM (SELECT doc_id, replace(replace(replace(text, ' le', chr(1) || 'le'), ' th', chr(31) || 'th'), 'ie', chr(11)) AS t FROM documents)""")
+def bad_characters(spark, sf):
+    t = F.col("text")
+    for a, b in ((" le", "\x01le"), (" th", "\x1fth"), ("ie", "\x0b")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return inputs.table(spark, sf, "documents").select("doc_id", F.array_join(integrity.bad_characters(t), ",").alias("shown"))
+
+
 # A record per document, and a damaged copy chosen by document number.
 _SHAPE = {"meta": {"lang": None, "source": None}, "n_chars": None, "text": None, "tags": [None], "extra": None}
 

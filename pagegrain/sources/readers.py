@@ -30,7 +30,10 @@ def upload_reason(ext: Column, size: Column, head: Column) -> Column:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files with a verdict; only the first 8 bytes of content are kept."""
+    """Uploaded files with a verdict; only the first 8 bytes of content are kept.
+
+    Files without bytes are not listed by the file source and so give no row.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return judged_uploads(f)
 
