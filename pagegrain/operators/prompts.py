@@ -13,6 +13,10 @@ from pagegrain.functions.text import strip
 CONTEXT_LIMIT, PROMPT_LIMIT = 32000, 8000
 # Markers that mean a field was not found.
 MISSING = ["未找到", "null"]
+# The wording of the prompts.
+EXTRACT_HEAD = "你是一个专业的文档信息提取助手。请从以下文档内容中提取指定的字段信息。\n\n"
+ANSWER_HEAD = "你是一个专业的文档问答助手。请基于以下文档内容回答用户的问题。\n\n文档内容：\n"
+JSON_HEAD = "\n\n请按照以下 JSON 格式返回结果，不要添加任何其他说明文字：\n{\n"
 
 
 def typed_documents(documents: DataFrame, types: DataFrame, type_col: str = "doc_type") -> DataFrame:
@@ -51,12 +55,12 @@ def truncated(text: Column, limit: int = CONTEXT_LIMIT) -> Column:
 def extraction_prompt(hint: Column, content: Column, fields: Column, limit: int = CONTEXT_LIMIT) -> Column:
     """Prompt of one document: hint, content, field list and the JSON to fill in."""
     skeleton = F.array_join(F.transform(fields, lambda f: F.concat(F.lit('    "'), f, F.lit('": "提取的值或null"'))), ",\n")
-    return F.concat(F.lit("你是一个专业的文档信息提取助手。请从以下文档内容中提取指定的字段信息。\n\n"), hint, F.lit("\n\n文档内容：\n"), truncated(content, limit),
-                    F.lit("\n\n需要提取的字段：\n"), F.array_join(fields, ", "), F.lit("\n\n请按照以下 JSON 格式返回结果，不要添加任何其他说明文字：\n{\n"), skeleton, F.lit("\n}"))
+    return F.concat(F.lit(EXTRACT_HEAD), hint, F.lit("\n\n文档内容：\n"), truncated(content, limit),
+                    F.lit("\n\n需要提取的字段：\n"), F.array_join(fields, ", "), F.lit(JSON_HEAD), skeleton, F.lit("\n}"))
 
 
 def question_prompt(content: Column, question: Column, limit: int = CONTEXT_LIMIT) -> Column:
-    return F.concat(F.lit("你是一个专业的文档问答助手。请基于以下文档内容回答用户的问题。\n\n文档内容：\n"), truncated(content, limit), F.lit("\n\n用户问题："), question)
+    return F.concat(F.lit(ANSWER_HEAD), truncated(content, limit), F.lit("\n\n用户问题："), question)
 
 
 def recovered_json(response: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -29,7 +30,6 @@ def run_stages(df: DataFrame, stages: dict[str, Stage]) -> tuple[DataFrame, dict
 
 def tracked(name: str, step: Callable[[], None]) -> dict[str, object]:
     """Run a step and describe it as an operation row: outcome, duration and error."""
-    import time
     start = time.time()
     try:
         step()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagegrain.operators import jobs
+from pagegrain.operators.skew import latest_by
 from pagegrain.plans.chunks import _PARA, _chunks_sql, _fold
-from pagegrain.plans.jobs import _END, _J, STATE_SQL, shown_states, updates
+from pagegrain.plans.jobs import STATE_SQL, _END, _J, shown_states, updates
 from pagegrain.plans.registry import query
 from pagegrain.session import shared_dir
 from pagegrain.streaming import live
@@ -68,7 +69,6 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, ev
 def live_metrics(spark, sf):
     ops = _events(spark, sf).select("ts", F.col("event_type").alias("name"), (F.col("value") / 10).alias("duration"), (F.col("event_type") != "error").alias("success"))
     out = _run(spark, live.windowed_metrics(ops), live.batch_folder, "update")
-    from pagegrain.operators.skew import latest_by
     m = latest_by(spark.read.parquet(out), ["window_start", "name"], ["batch"])
     return m.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "name", "n", "failed", F.round("total_duration", 6).alias("total_duration"),
                     F.round("max_duration", 6).alias("max_duration"), "critical", "warning")

@@ -46,13 +46,13 @@ def judged_uploads(f: DataFrame) -> DataFrame:
     return out.withColumn("is_valid", F.col("reason").isNull()).drop("head")
 
 
-def layout_items(spark: SparkSession, path: str) -> DataFrame:
+def layout_items(spark: SparkSession, path: str, suffix: str = "(?:_layout)?") -> DataFrame:
     """Layout result files, one per job, to item rows with a variant ``res``.
 
-    A file holds an object with ``items`` or ``res``, or a bare list.
+    ``suffix`` is what follows the job id in a file name. A file holds an object with ``items`` or ``res``, or a bare list.
     """
     raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias("p"))
-    return items_of(raw.select(job_of(F.col("p"), "(?:_ppstructure)?").alias("job_id"), "v"))
+    return items_of(raw.select(job_of(F.col("p"), suffix).alias("job_id"), "v"))
 
 
 def items_of(results: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def test_uploads(spark, tmp_path):
 
 def test_layout_items_of_three_shapes(spark, tmp_path):
     item = {"type": "title", "bbox": [100, 50, 500, 80], "score": 0.95, "res": [{"text": "T"}]}
-    (tmp_path / "j1_ppstructure.json").write_text(json.dumps({"items": [item]}))
+    (tmp_path / "j1_layout.json").write_text(json.dumps({"items": [item]}))
     (tmp_path / "j2.json").write_text(json.dumps({"res": [item, item]}))
     (tmp_path / "j3.json").write_text(json.dumps([item]))
     rows = readers.layout_items(spark, str(tmp_path)).collect()
