@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,10 +31,14 @@ def build_session(name: str = "pagegrain", master: str | None = None, **extra: s
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared checkpoint folder of the cluster.
 
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset, as in
-    local tests, a temporary folder stands in for it.
+    ``spark.checkpoint.dir`` names that folder. Where it is unset, a local session
+    uses a temporary folder; on a cluster, whose executors do not share one, that
+    is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return tempfile.mkdtemp(prefix=f"spark-{label}-", dir="/tmp")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset; with master {master} it must name a folder that driver and executors share")
+        return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), label)
     return os.path.join(root, f"{label}-{os.urandom(6).hex()}")
