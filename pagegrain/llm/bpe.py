@@ -17,7 +17,6 @@ import base64
 import heapq
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +29,12 @@ from pagegrain.llm.blocks import token_blocks
 from pagegrain.llm.common import column, packed, packed_words, unpacked, unpacked_words
 
 #: Unicode white space, written out: ``re`` counts four control characters too many.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 #: White space always begins a token, so a text may be cut before it and the pieces tokenized apart.
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-@lru_cache(8)
-def compiled(pattern: str) -> regex.Pattern:
-    return regex.compile(pattern)
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     """token bytes -> id of a rank file: lines of base64 bytes and a number."""
     with open(path, "rb") as f:
@@ -90,13 +84,13 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids array<int>: the tokens of every text in order. ``pattern`` cuts pre-tokens and starts them at white space as ``PIECES`` does."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
+    shared, finer = spark.sparkContext.broadcast(ranks), regex.compile(pattern)
 
     def pieces(t: bytes | None) -> list[str]:
         return PIECES.findall(t.decode("utf-8", "replace")) if t else []
 
     def refine(piece: str) -> list[bytes]:
-        return [w.encode() for w in compiled(pattern).findall(piece)]
+        return [w.encode() for w in finer.findall(piece)]
 
     blocks = token_blocks(docs, key, text, pieces, refine=refine)
     buckets = max(8, 2 * blocks.count())
