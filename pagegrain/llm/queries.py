@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, contamination
+from pagegrain.llm import bpe, contamination, language
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,12 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS B
        sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(p.n, 0) > 0 AND 20 * coalesce(p.n, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every whole text, learned from two thirds of the documents."""
+    docs, held_out = table(spark, sf, "documents"), language.remainder("doc_id", 3) == 1
+    model = language.fit(docs, ~held_out)
+    found = language.predict(docs, model, "found")
+    return found.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score")
