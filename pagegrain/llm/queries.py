@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, contamination, language
+from pagegrain.llm import bpe, contamination, language, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,27 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     model = language.fit(docs, ~held_out)
     found = language.predict(docs, model, "found")
     return found.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score")
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines that resemble an earlier line."""
+    out = lines.dedup(table(spark, sf, "documents"), lost="n_removed")
+    return out.select("doc_id", "text", "n_removed")
+
+
+SQL["op5_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, i, list_distinct(list_filter(regexp_split_to_array(lower(x[i]), '[ \t\x0B\f\r]+'), lambda w: w <> '')) AS w, x[i] AS line
+           FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+e AS (SELECT doc_id, i, unnest(w) AS t FROM l),
+c AS (SELECT t, count(*) AS c FROM e GROUP BY t),
+o AS (SELECT e.doc_id, e.i, e.t, count(*) OVER (PARTITION BY e.doc_id, e.i) AS n, row_number() OVER (PARTITION BY e.doc_id, e.i ORDER BY c.c, e.t) AS j FROM e JOIN c USING (t)),
+p AS (SELECT * FROM o WHERE j <= n - CAST(ceil(80 * n / 100.0) AS BIGINT) + 1),
+m AS (SELECT DISTINCT a.doc_id AS da, a.i AS ia, b.doc_id AS db, b.i AS ib FROM p a JOIN p b
+      ON a.t = b.t AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.i < b.i) AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+g AS (SELECT DISTINCT m.db AS doc_id, m.ib AS i FROM m JOIN l x ON x.doc_id = m.da AND x.i = m.ia JOIN l y ON y.doc_id = m.db AND y.i = m.ib
+      WHERE 100 * len(list_intersect(x.w, y.w)) >= 80 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))))
+SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text, count(g.i) AS n_removed
+FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id
+UNION ALL SELECT doc_id, text, 0 FROM documents WHERE text IS NULL
+"""
