@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, contamination, language, lines
+from pagegrain.llm import bpe, contamination, jaccard, language, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,25 @@ SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE
 FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id
 UNION ALL SELECT doc_id, text, 0 FROM documents WHERE text IS NULL
 """
+
+
+@query
+def op7_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents that share four fifths of their five-word shingles."""
+    return jaccard.join(table(spark, sf, "documents"))
+
+
+SQL["op7_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS fp FROM s GROUP BY doc_id),
+c AS (SELECT fp, min(doc_id) AS rep, any_value(n) AS n, count(*) AS n_copies FROM n GROUP BY fp),
+t AS (SELECT s.doc_id, s.g, c.n FROM s JOIN c ON s.doc_id = c.rep),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id, coalesce(c.n_copies, 1) AS n_copies
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (fp) LEFT JOIN m ON m.node = c.rep
+"""
