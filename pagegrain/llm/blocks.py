@@ -8,6 +8,8 @@ answers return to the block, where the texts are put together again.
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagegrain.llm.common import cut, packed, packed_words
+from pagegrain.llm.common import column, in_slices, packed, packed_words, trim, unpacked, unpacked_words
+from pagegrain.session import shared_dir
 
 #: Tokens after which a block ends; a longer text is a block of its own.
 BLOCK_TOKENS = 1 << 20
@@ -31,19 +34,25 @@ class Numbers(dict):
         return n
 
 
+def buckets_for(docs: DataFrame, a_partition: int = 8) -> int:
+    """Buckets in proportion to the input's partitions, so that a bucket stays as large as it is when the input grows."""
+    return max(8, a_partition * docs.rdd.getNumPartitions())
+
+
 def token_blocks(docs: DataFrame, key: str, text: str, cutter: Callable, flag: Column | None = None,
-                 refine: Callable | None = None, tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """block, keys, flags, ends, seq, words: every row of ``docs`` once, in blocks, written to the shared folder.
+                 refine: Callable | None = None, buckets: int = 8, tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """block, keys, flags, ends, seq, cuts, words: every row of ``docs`` once, in blocks, in a table bucketed by block.
 
     ``cutter(bytes | None)`` gives the pieces of a text; ``refine(piece)`` cuts each
-    distinct piece of a block further. ``seq`` holds word numbers, ``ends`` where each
-    row ends in it, ``words`` the distinct words as bytes. Equal keys, null keys and
-    null or empty texts each stay a row.
+    distinct piece of a block into words. ``words`` holds the distinct words as bytes,
+    ordered by bucket (crc32 modulo ``buckets``) and then by bytes; ``cuts`` holds where
+    each bucket ends. ``seq`` holds word numbers, ``ends`` where each row ends in it. Equal keys, null keys and null or empty texts
+    each stay a row. The table lies in the shared folder; grouping it by block needs
+    no shuffle.
     """
-    key_type = to_arrow_type(docs.schema[key].dataType)
-    schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(key_type)), ("flags", pa.list_(pa.bool_())),
-                        ("ends", pa.binary()), ("seq", pa.binary()), ("words", pa.binary())])
-    spark_key = docs.schema[key].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[key].dataType
+    schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(to_arrow_type(kind))), ("flags", pa.list_(pa.bool_())),
+                        ("ends", pa.binary()), ("seq", pa.binary()), ("cuts", pa.binary()), ("words", pa.binary())])
 
     def build(batches):
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -56,27 +65,58 @@ def token_blocks(docs: DataFrame, key: str, text: str, cutter: Callable, flag: C
                 fine, parts = Numbers(), [refine(w) for w in ws]
                 lengths = np.array([len(p) for p in parts], np.int64)
                 flat = np.fromiter((fine[w] for p in parts for w in p), np.int32)
-                starts = np.cumsum(lengths) - lengths
-                long = lengths[seq]
-                to = np.cumsum(long)
+                seq, to = spans(flat, np.cumsum(lengths) - lengths, lengths, seq)
                 ends = np.concatenate(([0], to))[ends]
-                seq = flat[np.arange(to[-1] if to.size else 0) - np.repeat(to - long, long) + np.repeat(starts[seq], long)]
                 ws = list(fine)
-            return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([keys], schema.field("keys").type), pa.array([flags], schema.field("flags").type),
-                                               pa.array([packed(ends.astype(np.int64))]), pa.array([packed(seq.astype(np.int32))]), pa.array([packed_words(ws)])], schema=schema)
-
-        for b in batches:
-            for k, f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            to = [zlib.crc32(w) % buckets for w in ws]
+            order = sorted(range(len(ws)), key=lambda i: (to[i], ws[i]))
+            place = np.zeros(len(ws), np.int32)
+            place[order] = np.arange(len(ws), dtype=np.int32)
+            cuts = np.cumsum(np.bincount(np.array(to, np.int64), minlength=buckets))
+            row = (base + n, keys, flags, packed(ends.astype(np.int64)), packed(place[seq].astype(np.int32)), packed(cuts.astype(np.int64)), packed_words([ws[i] for i in order]))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+
+        for columns in in_slices(batches):
+            for k, f, t in zip(*columns):
                 pieces = cutter(t)
                 keys.append(k)
                 flags.append(f)
-                seqs.append(np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces)))
+                seqs.append(np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces)))
                 size += len(pieces)
                 if size >= tokens:
                     yield block()
                     n, size, numbers, keys, flags, seqs = n + 1, 0, Numbers(), [], [], []
         if keys:
             yield block()
+        trim()
 
     rows = docs.select(F.col(key), (flag if flag is not None else F.lit(True)).alias("__flag"), F.col(text).cast("binary").alias("__text"))
-    return cut(rows.mapInArrow(build, f"block long, keys array<{spark_key}>, flags array<boolean>, ends binary, seq binary, words binary"), "blocks")
+    made = rows.mapInArrow(build, f"block long, keys array<{kind.simpleString()}>, flags array<boolean>, ends binary, seq binary, cuts binary, words binary")
+    name = f"blocks_{os.urandom(8).hex()}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(docs.rdd.getNumPartitions(), 50_000))
+    made.write.option("compression", "zstd").option("path", shared_dir(spark, name)).bucketBy(n, "block").saveAsTable(name)
+    return spark.table(name)
+
+
+def spans(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat[starts[i]:starts[i] + lengths[i]]`` of every i in ``at``, side by side, and where each of them ends."""
+    take = lengths[at]
+    to = np.cumsum(take)
+    index = np.arange(to[-1] if to.size else 0)
+    index += np.repeat(starts[at] - to + take, take)
+    return flat[index], to
+
+
+def dealt(blocks: DataFrame) -> DataFrame:
+    """bucket, block, words: the distinct words of a block that fall into a bucket, packed, in the order of the block."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
+
+    def deal(batches):
+        for b in batches:
+            for block, cuts, payload in zip(column(b, "block"), column(b, "cuts"), column(b, "words")):
+                ws, ends = unpacked_words(payload), unpacked(cuts, np.int64).tolist()
+                rows = [(k, block, packed_words(ws[i:j])) for k, (i, j) in enumerate(zip([0, *ends], ends)) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+        trim()
+
+    return blocks.select("block", "cuts", "words").mapInArrow(deal, "bucket int, block long, words binary")

@@ -16,22 +16,25 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagegrain.llm.blocks import token_blocks
-from pagegrain.llm.common import column, packed, packed_words, unpacked, unpacked_words
+from pagegrain.llm.blocks import buckets_for, dealt, spans, token_blocks
+from pagegrain.llm.common import packed, trim, unpacked, unpacked_words
 
 #: Unicode white space, written out: ``re`` counts four control characters too many.
 WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 #: White space always begins a token, so a text may be cut before it and the pieces tokenized apart.
+ASCII_WHITE = b" \t\n\x0b\x0c\r"
+UNSURE = (b"  ", *(x for w in b"\t\n\x0b\x0c\r" for x in (bytes((32, w)), bytes((w, 32)))), *(c.encode()[:2] for c in map(chr, (0x85, 0xA0, 0x1680, 0x2000, 0x205F, 0x3000))))
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
@@ -86,26 +89,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     spark = docs.sparkSession
     shared, finer = spark.sparkContext.broadcast(ranks), regex.compile(pattern)
 
-    def pieces(t: bytes | None) -> list[str]:
-        return PIECES.findall(t.decode("utf-8", "replace")) if t else []
+    def pieces(t: bytes | None) -> list:
+        """Cut at spaces alone where no other white space touches one; the first piece, which has no space before it, is a tuple."""
+        if not t:
+            return []
+        if t[0] in ASCII_WHITE or t[-1] in ASCII_WHITE or any(x in t for x in UNSURE):
+            return PIECES.findall(t.decode("utf-8", "replace"))
+        ws = t.split(b" ")
+        ws[0] = (ws[0],)
+        return ws
 
-    def refine(piece: str) -> list[bytes]:
-        return [w.encode() for w in finer.findall(piece)]
+    def refine(piece) -> list[bytes]:
+        whole = piece if isinstance(piece, str) else piece[0].decode("utf-8", "replace") if isinstance(piece, tuple) else f" {piece.decode('utf-8', 'replace')}"
+        return [w.encode() for w in finer.findall(whole)]
 
-    blocks = token_blocks(docs, key, text, pieces, refine=refine)
-    buckets = max(8, 2 * blocks.count())
-    dealt = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("words", pa.binary())])
-
-    def deal(batches):
-        for b in batches:
-            for block, payload in zip(column(b, "block"), column(b, "words")):
-                ws = unpacked_words(payload)
-                to = np.fromiter((zlib.crc32(w) % buckets for w in ws), np.int32, len(ws))
-                order = np.argsort(to, kind="stable")
-                cuts = np.flatnonzero(np.diff(to[order], prepend=-1)) if len(ws) else np.zeros(0, int)
-                rows = [(int(to[order[i]]), order[i:j]) for i, j in zip(cuts, [*cuts[1:], len(ws)])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([packed(r[1].astype(np.uint32)) for r in rows], pa.binary()),
-                                                  pa.array([packed_words([ws[i] for i in r[1].tolist()]) for r in rows], pa.binary())], schema=dealt)
+    buckets = buckets_for(docs)
+    blocks = token_blocks(docs, key, text, pieces, refine=refine, buckets=buckets)
 
     def encode_bucket(table: pa.Table) -> pa.Table:
         known: dict[bytes, list[int]] = {}
@@ -119,39 +118,44 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
                 found.append(got)
             lengths.append(packed(np.fromiter(map(len, found), np.uint32, len(found))))
             ids.append(packed(np.fromiter((i for f in found for i in f), np.uint32)))
-        return pa.table({"block": table.column("block"), "at": table.column("at"), "lengths": pa.array(lengths, pa.binary()), "ids": pa.array(ids, pa.binary())})
+        trim()
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lengths": pa.array(lengths, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    coded = (blocks.select("block", "words").mapInArrow(deal, "bucket int, block long, at binary, words binary")
-             .groupBy("bucket").applyInArrow(encode_bucket, "block long, at binary, lengths binary, ids binary"))
-    key_type = to_arrow_type(docs.schema[key].dataType)
+    coded = dealt(blocks).groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, lengths binary, ids binary")
+    kind = docs.schema[key].dataType
 
     def reassemble(block: pa.Table, answers: pa.Table) -> pa.Table:
-        at = [unpacked(x, np.uint32) for x in answers.column("at").to_pylist()]
-        lengths, ids = [unpacked(x, np.uint32) for x in answers.column("lengths").to_pylist()], [unpacked(x, np.uint32) for x in answers.column("ids").to_pylist()]
-        where = np.concatenate([*at, np.zeros(0, np.uint32)])
-        long, flat = np.concatenate([*lengths, np.zeros(0, np.uint32)]).astype(np.int64), np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
-        by_word, start_by_word = np.zeros(where.size, np.int64), np.zeros(where.size, np.int64)
-        by_word[where], start_by_word[where] = long, np.cumsum(long) - long
+        rows = sorted(zip(*[answers.column(c).to_pylist() for c in ("bucket", "lengths", "ids")]))
+        none = np.zeros(0, np.uint32)
+        lengths = np.concatenate([*(unpacked(r[1], np.uint32) for r in rows), none]).astype(np.int64)
+        flat = np.concatenate([*(unpacked(r[2], np.uint32) for r in rows), none]).astype(np.int32)
         seq, ends = unpacked(block.column("seq")[0].as_py(), np.int32), unpacked(block.column("ends")[0].as_py(), np.int64)
-        take = by_word[seq]
-        to = np.cumsum(take)
-        out = flat[np.arange(to[-1] if to.size else 0) - np.repeat(to - take, take) + np.repeat(start_by_word[seq], take)]
+        out, to = spans(flat, np.cumsum(lengths) - lengths, lengths, seq)
         offsets = np.concatenate(([0], np.concatenate(([0], to))[ends]))
-        keys = pa.array(block.column("keys")[0].as_py(), key_type)
+        keys = pa.array(block.column("keys")[0].as_py(), to_arrow_type(kind))
+        trim()
         return pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))})
 
     return (blocks.select("block", "keys", "ends", "seq").groupBy("block")
-            .cogroup(coded.groupBy("block")).applyInArrow(reassemble, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>"))
+            .cogroup(coded.groupBy("block")).applyInArrow(reassemble, f"`{key}` {kind.simpleString()}, ids array<int>"))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with ``out``: the bytes of the tokens, side by side. Null ids give null; an id outside the table fails the job."""
-    shared = rows.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()})
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("binary")
-    def joined(a: pa.Array) -> pa.Array:
-        table = shared.value
-        return pa.array([None if x is None else b"".join(map(table.__getitem__, x)) for x in a.to_pylist()], pa.binary())
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        by_id = dict(zip(shared.value.values(), shared.value))
+        table = pa.array([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], pa.binary())
+        for a in batches:
+            tokens = table.take(a.flatten())
+            if tokens.null_count:
+                raise ValueError("an id is not in the token table")
+            offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(a), 0).to_numpy()))).astype(np.int32)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens), pa.scalar(b"", pa.binary()))
+            yield pc.if_else(pc.is_null(a), pa.scalar(None, pa.binary()), text)
+        trim()
 
     return rows.withColumn(out, joined(F.col(ids)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +32,22 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
+def in_slices(batches, rows: int = 256):
+    """The rows of record batches as lists a column, a few rows at a time, so that few texts are Python objects at once. Freed memory returns to the system at the end."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield [c.to_pylist() for c in b.slice(i, rows).columns]
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back: a worker that waits for its next task else keeps what the last one used."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class Hashes(dict):
     """word -> 64-bit hash, remembered for at most ``bound`` words."""
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagegrain.llm.common import trim
+
 UNKNOWN = "und"
 SAMPLE = 8_000
 ENTRIES = 120_000
@@ -161,6 +163,7 @@ def predict(docs: DataFrame, model: Model, out: str, text: str = "text") -> Data
                     langs.append(UNKNOWN)
                     scores.append(0.0)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
+        trim()
 
     return docs.withColumn(out, judge(F.col(text)))
 

@@ -159,3 +159,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lost: str |
     kept = F.when(at.isNull(), docs[text]).otherwise(F.array_join(F.filter(F.split(docs[text], "\n"), lambda line, i: ~F.array_contains(at, i)), "\n"))
     out = [kept.alias(c) if c == text else docs[c] for c in docs.columns]
     return joined.select(*out, *([F.coalesce(F.size(at), F.lit(0)).cast("bigint").alias(lost)] if lost else []))
+
+
+def recounted(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """``docs`` with ``chars`` as the length of the text as it is now."""
+    return docs.select(*(F.length(text).cast(docs.schema[chars].dataType).alias(c) if c == chars else F.col(f"`{c}`") for c in docs.columns))
