@@ -161,6 +161,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lost: str |
     return joined.select(*out, *([F.coalesce(F.size(at), F.lit(0)).cast("bigint").alias(lost)] if lost else []))
 
 
-def recounted(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """``docs`` with ``chars`` as the length of the text as it is now."""
-    return docs.select(*(F.length(text).cast(docs.schema[chars].dataType).alias(c) if c == chars else F.col(f"`{c}`") for c in docs.columns))
+def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """``docs`` without their later similar lines and with ``chars`` as the length of what stays.
+
+    A document that loses lines and has no word left is wholly a repetition of
+    earlier ones and goes; a text that had no words before stays.
+    """
+    lost = "__lost"
+    while lost in docs.columns:
+        lost += "_"
+    rows = dedup(docs, key, text, lost=lost).where((F.col(lost) == 0) | F.col(text).rlike(r"\S"))
+    return rows.select(*(F.length(text).cast(docs.schema[chars].dataType).alias(c) if c == chars else F.col(f"`{c}`") for c in docs.columns))
