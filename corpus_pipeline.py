@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that resemble an earlier line go; every document stays, with the characters it keeps as its n_chars."""
-    return lines.recounted(lines.dedup(docs))
+    """Lines that resemble an earlier line go, and the documents left without a word; n_chars is counted anew."""
+    return lines.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
