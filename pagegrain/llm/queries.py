@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, contamination, jaccard, language, lines
+from pagegrain.llm import bpe, contamination, html, jaccard, language, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,10 @@ m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id, coalesce(c.n_copies, 1) AS n_copies
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (fp) LEFT JOIN m ON m.node = c.rep
 """
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every whole page."""
+    out = html.extract(table(spark, sf, "pages"), "text")
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
