@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import trim
+from pagegrain.llm.common import cut, in_slices, trim
 
 UNKNOWN = "und"
-SAMPLE = 8_000
-ENTRIES = 120_000
+SAMPLE = 2_000
+ENTRIES = 60_000
 LONGEST = 4
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -71,33 +71,38 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     chosen = rows.where(F.abs(F.xxhash64("key", F.lit(1))) <= share[F.col("lang")] * float(2**63 - 1))
 
     def count(batches):
-        """Words and n-grams of a task, summed by language; sent on when many have gathered."""
-        tally: Counter = Counter()
+        """Words of a task summed by language, and the n-grams of the distinct words by how often each occurs."""
+        tally: dict[str, Counter] = {name: Counter() for name in langs}
 
         def out():
-            ks = list(tally)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in ks], pa.string()), pa.array([k[1] for k in ks], pa.int32()), pa.array([k[2] for k in ks], pa.string()),
-                                               pa.array([tally[k] for k in ks], pa.int64())], ["lang", "size", "item", "n"])
-
-        for b in batches:
-            for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w, n in Counter(letters(t)).items():
-                    tally[name, 0, w] += n
+            items: Counter = Counter()
+            for name, ws in tally.items():
+                for w, n in ws.items():
+                    items[name, 0, w] += n
                     for size in range(1, LONGEST + 1):
                         for g in grams(w, size):
-                            tally[name, size, g] += n
-                if len(tally) > 500_000:
-                    yield out()
-                    tally = Counter()
+                            items[name, size, g] += n
+                ws.clear()
+            ks = list(items)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in ks], pa.string()), pa.array([k[1] for k in ks], pa.int32()), pa.array([k[2] for k in ks], pa.string()),
+                                               pa.array([items[k] for k in ks], pa.int64())], ["lang", "size", "item", "n"])
+
+        for names, texts in in_slices(batches):
+            for name, t in zip(names, texts):
+                tally[name].update(letters(t))
+            if sum(map(len, tally.values())) > 100_000:
+                yield out()
         yield out()
+        trim()
 
     counts = chosen.select("lang", "text").mapInArrow(count, "lang string, size int, item string, n long")
-    each = counts.groupBy("size", "item").pivot("lang", langs).agg(F.sum("n")).na.fill(0)
-    total = sum((F.col(f"`{name}`") for name in langs), F.lit(0))
+    columns = [f"n{i}" for i in range(len(langs))]
+    each = cut(counts.groupBy("size", "item").pivot("lang", langs).agg(F.sum("n")).na.fill(0).toDF("size", "item", *columns), "language-counts")
+    total = sum(map(F.col, columns), F.lit(0))
     kept = []
     for here in (F.col("size") == 0, F.col("size") > 0):
         kept += each.where(here & (total >= 2)).orderBy(total.desc(), "size", "item").limit(entries).collect()
-    table = np.array([[r[name] for name in langs] for r in kept], float).reshape(-1, len(langs))
+    table = np.array([[r[c] for c in columns] for r in kept], float).reshape(-1, len(langs))
     size = np.array([r["size"] for r in kept], int)
     logs = np.zeros_like(table)
     for s in set(size.tolist()):

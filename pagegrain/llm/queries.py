@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, contamination, html, jaccard, language, lines
+from pagegrain.llm import bpe, contamination, html, jaccard, language, lines, shards, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,45 @@ def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """The main text of every whole page."""
     out = html.extract(table(spark, sf, "pages"), "text")
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+#: Fixed values of the query: verdict, host, path.
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Fixed values of the query: sites whose pages are on the list.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page judged by the rules, then by the list of the pages of listed sites."""
+    pages = table(spark, sf, "pages")
+    listed = pages.select("url").where(urls.host(F.col("url")).rlike(rf"(?:^|\.)(?:{'|'.join(LISTED_SITES)})\."))
+    return urls.judge(pages.select("page_id", "url"), listed, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_URL_PARTS = r"""
+  SELECT page_id, url, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS q
+  FROM (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
+"""
+SQL["op3_url_filter"] = rf"""
+WITH p AS ({_URL_PARTS}),
+c AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_\w+|ref|fbclid|gclid)(?:=|$)'))) AS k FROM p),
+u AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(?:80|443)$', '') || regexp_replace(path, '(?:\.html?|/+)$', '')
+             || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END END AS can FROM c),
+l AS (SELECT DISTINCT can FROM u WHERE regexp_matches(host, '(?:^|\.)(?:{'|'.join(LISTED_SITES)})\.')),
+r(verdict, h, p) AS (VALUES {', '.join(str(x) for x in RULES)}),
+b AS (SELECT u.page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+      FROM u JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p) GROUP BY u.page_id)
+SELECT u.page_id, u.host, u.path, b.rule, coalesce(b.verdict, CASE WHEN l.can IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN b USING (page_id) LEFT JOIN l ON u.can = l.can
+"""
+
+
+@query
+def op4_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in eight shards along a curve over language, source and size."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
+                                                F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    out = shards.assign(docs, ["lang", "source", "size"], ["text_crc32", "doc_id"], 8, ["doc_id", "size", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
