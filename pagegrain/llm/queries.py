@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, contamination, html, jaccard, language, lines, shards, urls
+from pagegrain.llm import bpe, contamination, html, jaccard, language, lines, nearest, shards, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -162,3 +162,9 @@ def op4_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
                                                 F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     out = shards.assign(docs, ["lang", "source", "size"], ["text_crc32", "doc_id"], 8, ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query
+def op2_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty nearest of every twentieth vector among all others."""
+    return nearest.search(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
