@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, contamination, html, jaccard, language, lines, nearest, shards, urls
+from pagegrain.llm import bpe, contamination, html, jaccard, katz, language, lines, nearest, shards, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -168,3 +168,10 @@ def op4_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
 def op2_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty nearest of every twentieth vector among all others."""
     return nearest.search(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op8_katz_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text under a bigram Katz model of six sevenths of the documents."""
+    scored, _ = katz.score(table(spark, sf, "documents"), language.remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
