@@ -16,7 +16,7 @@ from pagegrain.plans.prompts import TYPES, _documents
 from pagegrain.plans.registry import query
 from pagegrain.plans.stages import run_stages, tracked
 from pagegrain.session import shared_dir
-from pagegrain.sources import readers, writers
+from pagegrain.sources import keyed, readers, writers
 
 
 @query("src1_upload_verdicts", """
@@ -89,37 +89,66 @@ def first_found(spark, sf):
     return readers.first_found("o_orderkey", temp, kept)
 
 
-@query("snk1_results", "SELECT doc_id, md5(text) AS digest, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE 'first' END AS save FROM documents")
+@query("snk1_results", """
+SELECT doc_id, md5(text) AS digest, CASE WHEN doc_id % 10 = 7 THEN 'again' ELSE 'first' END AS save FROM documents WHERE doc_id % 10 <> 3""")
 def results(spark, sf):
-    """Save all documents, then save everything again with half of them changed: same rows, new state."""
+    """Save all documents, then some of them changed, then remove some: what is read back is every other document as it was."""
     path = shared_dir(spark, "results")
     d = inputs.table(spark, sf, "documents").select("doc_id", "text", F.lit("first").alias("save"))
     writers.write_results(d, path, "doc_id")
-    writers.write_results(d.withColumn("save", F.when(F.col("doc_id") % 2 == 0, "again").otherwise("first")), path, "doc_id")
-    back = spark.read.schema("doc_id bigint, text string, save string").json(path)
-    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "save")
+    writers.write_results(d.where("doc_id % 10 = 7").withColumn("save", F.lit("again")), path, "doc_id")
+    keyed.remove(d.where("doc_id % 10 = 3"), path, "doc_id")
+    return keyed.load(spark, path).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "save")
 
 
-@query("snk2_corrected_markdown", f"SELECT doc_id, md5('# ' || text) AS digest FROM documents WHERE doc_id % 5 <> 0 AND {s_strip('text')} <> ''")
+_SPLIT = """SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
+ generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE length(l) >= 20"""
+
+
+@query("snk2_corrected_markdown", f"""
+WITH c AS ({_SPLIT}), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, md5(CASE WHEN d.doc_id % 7 = 2 THEN '## ' ELSE '# ' END || d.text) AS digest, CASE WHEN d.doc_id % 7 = 2 THEN 1 ELSE coalesce(n.n, 0) END AS n_chunks
+FROM documents d LEFT JOIN n USING (doc_id) WHERE d.doc_id % 5 <> 0 AND {s_strip('text')} <> ''""")
 def corrected_markdown(spark, sf):
-    path = shared_dir(spark, "markdown")
-    d = inputs.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "  ").otherwise(F.concat(F.lit("# "), "text")).alias("markdown"))
-    writers.write_markdown(d, path)
-    return spark.read.schema("doc_id bigint, markdown string").json(path).select("doc_id", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+    """Correct every seventh text after indexing all: empty texts are refused, and only the saved ones get a new index."""
+    path, index = shared_dir(spark, "markdown"), shared_dir(spark, "index")
+    d = inputs.table(spark, sf, "documents").select("doc_id", "text")
+    plain = d.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "  ").otherwise(F.concat(F.lit("# "), "text")).alias("markdown"))
+    writers.write_markdown(plain, path)
+    writers.write_index(_line_chunks(d), index)
+    whole = lambda m: m.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_0")).alias("chunk_id"), "doc_id", F.col("markdown").alias("text"))
+    changed = d.where("doc_id % 7 = 2").select("doc_id", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit("## "), "text")).alias("markdown"))
+    writers.write_markdown(changed, path, reindex=whole, index=index)
+    chunks = keyed.load(spark, index).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    back = keyed.load(spark, path).join(chunks, "doc_id", "left")
+    return back.select("doc_id", F.md5(F.col("markdown").cast("binary")).alias("digest"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
+def _line_chunks(documents):
+    chunking.register_strategy("line", _by_line)
+    return retrieval.index_rows(chunking.chunks(documents, "doc_id", strategy="line"), "doc_id")
 
 
-@query("snk3_index_append", """
-SELECT doc_id, count(*) AS n_chunks, sum(length(l))::BIGINT AS n_chars, min(doc_id || '_chunk_' || i) AS first_id FROM (
- SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE length(l) >= 20) GROUP BY doc_id""")
+@query("snk3_index_append", f"SELECT doc_id, count(*) AS n_chunks, sum(length(l))::BIGINT AS n_chars, min(doc_id || '_chunk_' || i) AS first_id FROM ({_SPLIT}) GROUP BY doc_id")
 def index_append(spark, sf):
-    """Index every document twice; the second write replaces the first."""
-    chunking.register_strategy("line", _by_line)
+    """Index every document, then a tenth of them again: nothing is lost or doubled."""
     path = shared_dir(spark, "index")
-    rows = retrieval.index_rows(chunking.chunks(inputs.table(spark, sf, "documents"), "doc_id", strategy="line"), "doc_id")
-    writers.write_index(rows, path)
+    d = inputs.table(spark, sf, "documents")
+    writers.write_index(_line_chunks(d), path)
+    writers.write_index(_line_chunks(d.where("doc_id % 10 = 4")), path)
+    return keyed.load(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.min("chunk_id").alias("first_id"))
+
+
+@query("snk4_index_on_disk", f"""
+SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN 1 ELSE count(*) END AS n_chunks, CASE WHEN doc_id % 10 = 4 THEN 'again' ELSE 'first' END AS save FROM ({_SPLIT}) WHERE doc_id % 10 <> 6 GROUP BY doc_id""")
+def index_on_disk(spark, sf):
+    """Replace the chunks of a tenth of the documents by their first, delete another tenth, read all."""
+    path = shared_dir(spark, "index")
+    rows = _line_chunks(inputs.table(spark, sf, "documents")).withColumn("save", F.lit("first"))
     writers.write_index(rows, path)
-    back = writers.read_parquet(spark, path)
-    return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.min("chunk_id").alias("first_id"))
+    writers.write_index(rows.where("doc_id % 10 = 4 AND chunk_id LIKE '%\\_chunk\\_0'").withColumn("save", F.lit("again")), path)
+    writers.delete_from_index(rows.where("doc_id % 10 = 6"), path)
+    return keyed.load(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("save").alias("save"))
 
 
 @query("snk3_checked_vectors", """

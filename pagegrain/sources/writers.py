@@ -1,34 +1,31 @@
 """Writing results, texts, indexes and logs.
 
-Files are partitioned by a bucket of the key, not by the key itself: a
-directory per document would mean as many tiny files as documents. Overwriting
-is dynamic, so writing the same documents again replaces their buckets and a
-rerun changes nothing.
+Results, texts and indexes are keyed tables (``keyed``): saving some documents
+leaves all others as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 16
-
+from pagegrain.sources import keyed
 
-def bucket_of(key: Column | str, n: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+_KEEP = {"ignoreNullFields": "false"}
 
 
 def layout_results(pages: DataFrame, key: str = "doc_id", items: str = "items") -> DataFrame:
-    """One JSON text per document: item number, type, box and reduced content."""
+    """One JSON text per document: item number, type, box and reduced content; null items give nothing, a null type stays null."""
     def one(i: Column, n: Column) -> Column:
-        table = F.to_json(F.struct(F.struct(F.coalesce(i["html"], F.lit("")).alias("html"), F.array().cast("array<double>").alias("cell_bbox"), i["confidence"].alias("confidence")).alias("res")))
-        text = F.to_json(F.struct(F.array(F.struct(i["text"].alias("text"), i["confidence"].alias("confidence"))).alias("res")))
-        # The two shapes share no type, so each is written as JSON and spliced in.
-        return F.concat(F.lit('{"index":'), n.cast("string"), F.lit(',"type":"'), i["type"], F.lit('","bbox":'),
-                        F.to_json(F.array(i["x1"], i["y1"], i["x2"], i["y2"])), F.lit(","), F.substring(F.when(i["html"].isNotNull(), table).otherwise(text), 2, 1 << 30))
+        cell = F.struct(F.coalesce(i["html"], F.lit("")).alias("html"), F.array().cast("array<double>").alias("cell_bbox"), i["confidence"].alias("confidence"))
+        line = F.array(F.struct(i["text"].alias("text"), i["confidence"].alias("confidence")))
+        res = F.when(i["html"].isNotNull(), F.parse_json(F.to_json(F.struct(cell.alias("r")), _KEEP))).otherwise(F.parse_json(F.to_json(F.struct(line.alias("r")), _KEEP)))
+        return F.struct(n.alias("index"), i["type"].alias("type"), F.array(i["x1"], i["y1"], i["x2"], i["y2"]).alias("bbox"), F.variant_get(res, "$.r", "variant").alias("res"))
 
-    body = F.array_join(F.transform(items, one), ",")
-    return pages.select(key, F.concat(F.lit('{"job_id":"'), F.col(key).cast("string"), F.lit('","total_items":'), F.size(items).cast("string"), F.lit(',"items":['), body, F.lit("]}")).alias("value"))
+    record = F.struct(F.col(key).cast("string").alias("job_id"), F.size(items).alias("total_items"), F.transform(items, one).alias("items"))
+    return pages.select(key, F.to_json(record, _KEEP).alias("value"))
 
 
 def write_json_lines(results: DataFrame, path: str) -> None:
@@ -37,15 +34,21 @@ def write_json_lines(results: DataFrame, path: str) -> None:
 
 
 def write_results(df: DataFrame, path: str, key: str) -> None:
-    """Final results as JSON, bucketed by key, replacing only the buckets written."""
-    keyed = df.withColumn("bucket", bucket_of(key))
-    keyed.repartition("bucket", bucket_of(F.concat(F.col(key).cast("string"), F.lit("s")), 8)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+    """Final results as JSON in place of the earlier results of the same documents."""
+    keyed.save(df, path, key, fmt="json")
+
 
+def write_markdown(df: DataFrame, path: str, key: str = "doc_id", text: str = "markdown",
+                   reindex: Callable[[DataFrame], DataFrame] | None = None, index: str | None = None) -> None:
+    """Corrected Markdown; empty texts are refused, one JSON row per document keeps line breaks.
 
-def write_markdown(df: DataFrame, path: str, key: str = "doc_id", text: str = "markdown") -> None:
-    """Corrected Markdown; empty texts are refused, one JSON row per document keeps line breaks."""
-    good = df.where(F.trim(text) != "")
-    write_results(good.select(key, F.col(text).alias("markdown")), path, key)
+    ``reindex``, a function from the saved rows to index rows, and ``index`` name
+    the index to refresh for the documents saved.
+    """
+    good = df.where(F.trim(text) != "").select(key, F.col(text).alias("markdown"))
+    write_results(good, path, key)
+    if reindex is not None:
+        write_index(reindex(good), index, key)
 
 
 def checked_vectors(df: DataFrame, texts: str, vectors: str, metadata: str | None = None) -> DataFrame:
@@ -63,13 +66,13 @@ def checked_vectors(df: DataFrame, texts: str, vectors: str, metadata: str | Non
 
 
 def write_index(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Chunk rows as Parquet, replacing the buckets written.
+    """Chunk rows as Parquet in place of the earlier chunks of the same documents."""
+    keyed.save(rows, path, key)
 
-    The bucket is extended by a hash of the chunk, so one document with very
-    many chunks is written by several tasks.
-    """
-    keyed = rows.withColumn("bucket", bucket_of(key))
-    keyed.repartition("bucket", bucket_of("chunk_id", 8)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+def delete_from_index(keys: DataFrame, path: str, key: str = "doc_id") -> None:
+    """Remove all chunks of these documents."""
+    keyed.remove(keys, path, key)
 
 
 def append_log(df: DataFrame, path: str) -> None:
