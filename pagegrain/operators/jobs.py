@@ -33,14 +33,16 @@ def overall_progress(stage: Column, progress: Column) -> Column:
     return F.greatest(zero, F.least(F.lit(1.0), total))
 
 
-def job_states(events: DataFrame, job: str = "job_id", ts: str = "ts") -> DataFrame:
+def job_states(events: DataFrame, job: str = "job_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Current state of every created job, folded from its updates.
 
     Needs ``kind`` (create or update), ``stage``, ``progress``, ``message`` and
     ``error``. Updates before the creation of a job, and of jobs never created,
-    are ignored; a failure keeps the last progress. Every part is a min, max or
-    max-by, so tasks combine their events before the shuffle.
+    are ignored; a failure keeps the last progress. Of updates at one time the
+    one with the largest ``tie``, the order of arrival, is the last. Every part is
+    a min, max or max-by, so tasks combine their events before the shuffle.
     """
+    at = lambda cond: F.when(cond, F.struct(ts, tie))
     update = F.col("kind") == "update"
     failed = update & (F.col("error").isNotNull() | (F.col("stage") == "failed"))
     done = update & F.col("error").isNull() & (F.col("stage") == "completed")
@@ -49,9 +51,9 @@ def job_states(events: DataFrame, job: str = "job_id", ts: str = "ts") -> DataFr
     row = F.struct("stage", "message")
     agg = events.groupBy(job).agg(
         F.min(F.when(F.col("kind") == "create", F.col(ts))).alias("created_at"),
-        F.max(F.when(update, F.col(ts))).alias("_up"), F.max_by(F.when(update, row), F.when(update, F.col(ts))).alias("_last"),
-        F.max(F.when(failed, F.col(ts))).alias("_failed"), F.max_by(F.when(failed, F.col("error")), F.when(failed & F.col("error").isNotNull(), F.col(ts))).alias("_error"),
-        F.max(F.when(done, F.col(ts))).alias("_done"), F.max(F.when(moving, F.col(ts))).alias("_mv"), F.max_by(F.when(moving, value), F.when(moving, F.col(ts))).alias("_progress"))
+        F.max(F.when(update, F.col(ts))).alias("_up"), F.max_by(F.when(update, row), at(update)).alias("_last"),
+        F.max(F.when(failed, F.col(ts))).alias("_failed"), F.max_by(F.when(failed, F.col("error")), at(failed & F.col("error").isNotNull())).alias("_error"),
+        F.max(F.when(done, F.col(ts))).alias("_done"), F.max(F.when(moving, F.col(ts))).alias("_mv"), F.max_by(F.when(moving, value), at(moving)).alias("_progress"))
     after = lambda c: F.coalesce(F.col(c) >= F.col("created_at"), F.lit(False))
     live = agg.where(F.col("created_at").isNotNull())
     return live.select(
@@ -86,9 +88,11 @@ def progress_view(states: DataFrame, as_of: Column) -> DataFrame:
     return states.withColumns({"progress_percent": F.format_string("%.1f%%", F.bround(p * 100, 1)), "elapsed": elapsed, "remaining_seconds": left})
 
 
-def history(events: DataFrame, job: str, ts: str, limit: int | None = None, cap: int = HISTORY, tie: str = "event_id") -> DataFrame:
-    """Last ``cap`` updates of every job, then the last ``limit``, in time order from 1."""
-    n = min(cap, limit) if limit else cap
+def history(events: DataFrame, job: str, ts: str, limit: int | None = None, cap: int | None = None, tie: str = "event_id") -> DataFrame:
+    """Last ``cap`` updates of every job, then the last ``limit``, in time order from 1; without either, all of them."""
+    n = min(x for x in (cap, limit, 1 << 62) if x)
+    if n == 1 << 62:
+        return events.withColumn("seq", F.row_number().over(W.partitionBy(job).orderBy(ts, tie)))
     kept = last_n(events, [job], [F.col(ts).desc(), F.col(tie).desc()], n)
     # At most n rows per job remain, so a window over them is bounded.
     size = F.count(F.lit(1)).over(W.partitionBy(job))
@@ -113,14 +117,14 @@ def recent(jobs: DataFrame, created: str, tie: str, n: int = 20) -> DataFrame:
     return jobs.orderBy(F.col(created).desc(), F.col(tie).desc()).limit(n)
 
 
-def valid_jobs(jobs: DataFrame, layouts: DataFrame, images: DataFrame, uploads: DataFrame, key: str) -> DataFrame:
-    """Jobs with a layout file and either a page image or an uploaded one."""
-    pictures = images.select(key).unionByName(uploads.select(key))
-    return jobs.join(layouts.select(key), key, "left_semi").join(pictures, key, "left_semi")
+def judged_jobs(jobs: DataFrame, files: DataFrame, key: str, kind: str = "kind") -> DataFrame:
+    """Every job with ``valid``: a layout file and either a page image or an uploaded one.
 
-
-def purged_jobs(jobs: DataFrame, valid: DataFrame, key: str) -> DataFrame:
-    return jobs.join(valid.select(key), key, "left_anti")
+    ``files`` lists all files with their kind (layout, image, upload); it is read
+    once and shrinks to one row of flags a job before the join.
+    """
+    flags = files.groupBy(key).agg(F.bool_or(F.col(kind) == "layout").alias("_layout"), F.bool_or(F.col(kind).isin("image", "upload")).alias("_picture"))
+    return jobs.join(flags, key, "left").withColumn("valid", F.coalesce(F.col("_layout") & F.col("_picture"), F.lit(False))).drop("_layout", "_picture")
 
 
 def paired_operations(events: DataFrame, op: str = "op_id") -> DataFrame:
@@ -183,20 +187,25 @@ def call_summary(calls: DataFrame, job: str) -> DataFrame:
         F.sum("prompt_length").alias("prompt_length"), F.sum("response_length").alias("response_length"))
 
 
-def metric_summary(metrics: DataFrame, name: str, duration: str, order: list[Column], cap: int = 100) -> DataFrame:
-    """Count, mean, min, max and slow count per name over the last ``cap`` metrics of all.
+def metric_summary(metrics: DataFrame, name: str, duration: str, order: list[Column], cap: int | None = None) -> DataFrame:
+    """Count, mean, min, max and slow count per name, over all metrics or the last ``cap``.
 
-    The cap is a top-k over the whole stream, kept on every task.
+    A cap is a top-k over all metrics, kept on every task.
     """
-    kept = metrics.orderBy(*order).limit(cap)
+    kept = metrics if cap is None else metrics.orderBy(*order).limit(cap)
     return kept.groupBy(name).agg(F.count(F.lit(1)).alias("count"), F.avg(duration).alias("avg"), F.min(duration).alias("min"), F.max(duration).alias("max"),
                                   F.count_if(F.col(duration) > SLOW_MS).alias("slow"))
 
 
 def trimmed_metrics(metrics: DataFrame, order: list[Column], over: int = 1000, keep: int = 500) -> DataFrame:
-    """The last ``keep`` metrics once there are more than ``over``, else all of them."""
-    total = metrics.limit(over + 1).count()
-    return metrics.orderBy(*order).limit(keep) if total > over else metrics
+    """The last ``keep`` metrics once there are more than ``over``, else all of them, as a bounded buffer does.
+
+    A top-k of ``over + 1`` rows, kept on every task, shows which case holds; the
+    plan is the same for both and no count reaches the driver.
+    """
+    last = metrics.orderBy(*order).limit(over + 1)
+    numbered = last.withColumns({"_rank": F.row_number().over(W.orderBy(*order)), "_n": F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))})
+    return numbered.where((F.col("_n") <= over) | (F.col("_rank") <= keep)).drop("_rank", "_n")
 
 
 def step_durations(events: DataFrame, *keys: str) -> DataFrame:

@@ -15,8 +15,6 @@ from pagegrain.functions import vectors
 from pagegrain.functions.text import words
 
 TOP_K, DOCUMENT_K, CONTEXT = 30, 5, 4000
-# Fixed value: most rows of queries that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 10000
 
 
 def hashed_terms(df: DataFrame, text: str = "text", dims: int = 512, out: str = "embedding") -> DataFrame:
@@ -41,18 +39,21 @@ def encode(df: DataFrame, text: str = "text", is_query: bool = False, encoder: E
 
 
 def similar(queries: DataFrame, chunk_vectors: DataFrame, on: list[str], k: int = TOP_K, where: Column | None = None,
-            query_vector: str = "query_vector", vector: str = "embedding", chunk: str = "chunk_id") -> DataFrame:
+            query_vector: str = "query_vector", vector: str = "embedding", chunk: str = "chunk_id", parts: int = 1) -> DataFrame:
     """The ``k`` nearest chunks of every query within its collection.
 
     Queries meet the vectors of their own collection only (``on``), never all of
-    them. The filter is applied before ranking and reaches the scan. Few queries
-    are broadcast, which is checked by counting at most the bound; otherwise
-    both sides shuffle on the collection. Ranking keeps ``k`` rows per query on
-    every task before the final shuffle. Ties go by chunk id.
+    them. The filter is applied before ranking and reaches the scan. The optimizer
+    broadcasts the queries where they are small; otherwise a hot collection is
+    dealt over ``parts`` of its vectors, which the queries of the collection visit
+    in turn. Only keys and distances are ranked: ``k`` rows per query on every
+    task before the final shuffle. Ties go by chunk id.
     """
     pool = chunk_vectors if where is None else chunk_vectors.where(where)
-    few = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    near = pool.join(F.broadcast(queries) if few else queries, on)
+    if parts > 1:
+        pool = pool.withColumn("_part", F.pmod(F.xxhash64(chunk), F.lit(parts)).cast("int"))
+        queries, on = queries.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*on, "_part"]
+    near = pool.join(queries, on).drop("_part")
     d = near.withColumn("distance", vectors.squared_l2(F.col(query_vector), F.col(vector))).drop(query_vector, vector)
     w = W.partitionBy("query_id").orderBy("distance", chunk)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", vectors.score(F.col("distance")))
@@ -76,10 +77,14 @@ def packed_context(hits: DataFrame, limit: int = CONTEXT, text: str = "text") ->
 
 
 def build_context(queries: DataFrame, chunk_vectors: DataFrame, indexed: DataFrame, on: list[str], k: int = TOP_K, limit: int = CONTEXT,
-                  where: Column | None = None) -> DataFrame:
-    """Index gate, filter, ranking and packing; a query over an unindexed collection gets an empty context."""
+                  where: Column | None = None, texts: DataFrame | None = None, chunk: str = "chunk_id") -> DataFrame:
+    """Index gate, filter, ranking and packing; a query over an unindexed collection gets an empty context.
+
+    ``texts`` (chunk, text) is joined to the hits alone, ``k`` a query at most.
+    """
     open_q = queries.join(indexed.where(F.col("indexed")).select(*on), on, "left_semi")
-    packed = packed_context(similar(open_q, chunk_vectors, on, k, where), limit)
+    hits = similar(open_q, chunk_vectors, on, k, where, chunk=chunk)
+    packed = packed_context(hits if texts is None else hits.join(texts, chunk), limit)
     return queries.select("query_id").join(packed, "query_id", "left").select(
         "query_id", F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("context", F.lit("")).alias("context"))
 

@@ -41,10 +41,10 @@ _J = f"""j AS (SELECT event_id, user_id AS job_id, ts, value, CASE WHEN event_ty
   'm' || event_id AS message, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'e' || event_id END AS error FROM events),
 c AS (SELECT job_id, min(ts) AS created_at FROM j WHERE kind = 'create' GROUP BY job_id),
 u AS (SELECT j.*, created_at FROM j JOIN c USING (job_id) WHERE kind = 'update' AND ts >= created_at),
-s AS (SELECT c.job_id, any_value(c.created_at) AS created_at, coalesce(max(ts), any_value(c.created_at)) AS updated_at, coalesce(arg_max(stage, ts), 'uploading') AS stage, coalesce(arg_max(message, ts), 'Job created') AS message,
-  coalesce(arg_max(CASE WHEN stage = 'completed' THEN 1.0 ELSE {_progress('stage', 'progress')} END, ts) FILTER (WHERE error IS NULL AND stage <> 'failed'), 0)::DOUBLE AS progress,
-  arg_max(error, ts) FILTER (WHERE error IS NOT NULL) AS error, coalesce(bool_or(stage = 'completed'), false) AS completed, coalesce(bool_or(stage = 'failed'), false) AS failed
-  FROM c LEFT JOIN (SELECT job_id, ts, stage, message, progress, error FROM u) u ON u.job_id = c.job_id GROUP BY c.job_id)"""
+s AS (SELECT c.job_id, any_value(c.created_at) AS created_at, coalesce(max(ts), any_value(c.created_at)) AS updated_at, coalesce(arg_max(stage, (ts, event_id)), 'uploading') AS stage, coalesce(arg_max(message, (ts, event_id)), 'Job created') AS message,
+  coalesce(arg_max(CASE WHEN stage = 'completed' THEN 1.0 ELSE {_progress('stage', 'progress')} END, (ts, event_id)) FILTER (WHERE error IS NULL AND stage <> 'failed'), 0)::DOUBLE AS progress,
+  arg_max(error, (ts, event_id)) FILTER (WHERE error IS NOT NULL) AS error, coalesce(bool_or(stage = 'completed'), false) AS completed, coalesce(bool_or(stage = 'failed'), false) AS failed
+  FROM c LEFT JOIN (SELECT job_id, ts, event_id, stage, message, progress, error FROM u) u ON u.job_id = c.job_id GROUP BY c.job_id)"""
 _END = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
@@ -107,14 +107,14 @@ def history(spark, sf):
 
 @query("str3_bounded_history", """SELECT user_id AS job_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 100""")
 def bounded_history(spark, sf):
-    return jobs.history(job_events(spark, sf), "job_id", "ts").select("job_id", "event_id")
+    return jobs.history(job_events(spark, sf), "job_id", "ts", cap=jobs.HISTORY).select("job_id", "event_id")
 
 
 @query("win6_upsert", """
-SELECT user_id AS doc_id, event_id % 7 AS block_index, arg_max(event_type, ts) AS corrected, min(event_id) AS position FROM events GROUP BY user_id, event_id % 7""")
+SELECT user_id AS doc_id, event_id % 7 AS block_index, arg_max(event_type, (ts, event_id)) AS corrected, min(event_id) AS position FROM events GROUP BY user_id, event_id % 7""")
 def upsert(spark, sf):
-    e = inputs.table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).alias("block_index"), F.col("event_type").alias("corrected"), "ts", F.col("event_id").alias("position"))
-    return jobs.upserted(e, ["doc_id", "block_index"], ["ts"], "position").select("doc_id", "block_index", "corrected", "position")
+    e = inputs.table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).alias("block_index"), F.col("event_type").alias("corrected"), "ts", "event_id", F.col("event_id").alias("position"))
+    return jobs.upserted(e, ["doc_id", "block_index"], ["ts", "event_id"], "position").select("doc_id", "block_index", "corrected", "position")
 
 
 @query("snk7_job_registry", """
@@ -138,9 +138,9 @@ _VALID = """v AS (SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_or
 @query("jn9_valid_jobs", f"WITH {_VALID} SELECT o_orderkey AS job_id, o_orderkey IN (SELECT o_orderkey FROM v) AS valid FROM orders")
 def valid_jobs(spark, sf):
     o = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"))
-    l = inputs.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "job_id")
-    ok = jobs.valid_jobs(o, l.where("l_returnflag = 'R'"), l.where("l_linenumber = 1"), l.where("l_tax > 0.06"), "job_id")
-    return ok.withColumn("valid", F.lit(True)).unionByName(jobs.purged_jobs(o, ok, "job_id").withColumn("valid", F.lit(False)))
+    kinds = F.filter(F.array(F.when(F.col("l_returnflag") == "R", "layout"), F.when(F.col("l_linenumber") == 1, "image"), F.when(F.col("l_tax") > 0.06, "upload")), lambda k: k.isNotNull())
+    files = inputs.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.explode(kinds).alias("kind"))
+    return jobs.judged_jobs(o, files, "job_id")
 
 
 # Views start and purchases end an operation named by user and a number of the day.
@@ -197,26 +197,33 @@ def retry_statistics(spark, sf):
 
 
 def _calls(spark, sf):
-    c = inputs.table(spark, sf, "conversations").where("role = 'assistant'")
+    c = inputs.table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.length("text").alias("response_length"), (F.length("text") * 2).alias("prompt_length"), (F.length("text") % 7 != 0).alias("success"), (F.length("text") / 1000).alias("processing_time"))
 
 
 @query("agg16_call_summary", """
 SELECT conv_id, count(*) AS total_calls, count(*) FILTER (WHERE length(text) % 7 <> 0) AS successful_calls, count(*) FILTER (WHERE length(text) % 7 = 0) AS failed_calls, round(sum(round(length(text) / 1000, 3)), 3) AS total_processing_time,
- sum(length(text) * 2)::BIGINT AS prompt_length, sum(length(text))::BIGINT AS response_length FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
+ sum(length(text) * 2)::BIGINT AS prompt_length, sum(length(text))::BIGINT AS response_length FROM conversations GROUP BY conv_id""")
 def call_summary(spark, sf):
     return jobs.call_summary(_calls(spark, sf), "conv_id")
 
 
-@query("snk6_call_numbers", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS call_id, length(text) AS response_length FROM conversations WHERE role = 'assistant'")
+@query("snk6_call_numbers", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS call_id, length(text) AS response_length FROM conversations")
 def call_numbers(spark, sf):
     return jobs.numbered_calls(_calls(spark, sf), "conv_id", "turn", width=3).select("conv_id", "turn", "call_id", "response_length")
 
 
+@query("agg27_all_metrics", """
+SELECT event_type AS name, count(*) AS count, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, count(*) FILTER (WHERE value > 100) AS slow FROM events GROUP BY event_type""")
+def all_metrics(spark, sf):
+    m = jobs.metric_summary(inputs.table(spark, sf, "events"), "event_type", "value", [])
+    return m.select(F.col("event_type").alias("name"), "count", F.round("avg", 6).alias("avg"), "min", "max", "slow")
+
+
 @query("agg27_metric_summary", """
 SELECT event_type AS name, count(*) AS count, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, count(*) FILTER (WHERE value > 100) AS slow FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) GROUP BY event_type""")
 def metric_summary(spark, sf):
-    m = jobs.metric_summary(inputs.table(spark, sf, "events"), "event_type", "value", [F.col("ts").desc(), F.col("event_id").desc()])
+    m = jobs.metric_summary(inputs.table(spark, sf, "events"), "event_type", "value", [F.col("ts").desc(), F.col("event_id").desc()], cap=100)
     return m.select(F.col("event_type").alias("name"), "count", F.round("avg", 6).alias("avg"), "min", "max", "slow")
 
 

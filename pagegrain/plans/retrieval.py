@@ -65,15 +65,20 @@ c AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS
 k AS (SELECT *, max(CASE WHEN run > 4000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS stop FROM c)"""
 
 
+def _texts(spark, sf):
+    return inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
 def _with_text(spark, sf):
-    t = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return _vectors(spark, sf).join(t, "chunk_id")
+    """Vectors of the chunks that have a text; the text itself is not carried."""
+    return _vectors(spark, sf).join(_texts(spark, sf).select("chunk_id"), "chunk_id", "left_semi")
 
 
 @query("win4_packed_context", _PACK.replace("GATE", "") + """
 SELECT query_id, count(*) FILTER (WHERE stop = 0) AS n_used, md5(coalesce(string_agg(CASE WHEN stop = 0 THEN text END, chr(10) || chr(10) ORDER BY rank), '')) AS digest FROM k GROUP BY query_id""")
 def packed_context(spark, sf):
-    p = retrieval.packed_context(retrieval.similar(_queries(spark, sf), _with_text(spark, sf), ["label"]))
+    hits = retrieval.similar(_queries(spark, sf), _with_text(spark, sf), ["label"], parts=4)
+    p = retrieval.packed_context(hits.join(_texts(spark, sf), "chunk_id"))
     return p.select("query_id", "n_used", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
@@ -83,7 +88,7 @@ SELECT q.query_id, coalesce(n_used, 0) AS n_used, md5(coalesce(context, '')) AS
 def built_context(spark, sf):
     """Only collections with an even label are indexed; the others answer with nothing."""
     indexed = _vectors(spark, sf).select("label").distinct().withColumn("indexed", F.col("label") % 2 == 0)
-    c = retrieval.build_context(_queries(spark, sf), _with_text(spark, sf), indexed, ["label"])
+    c = retrieval.build_context(_queries(spark, sf), _with_text(spark, sf), indexed, ["label"], texts=_texts(spark, sf))
     return c.select("query_id", "n_used", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 

@@ -55,12 +55,12 @@ def live_ingest(spark, sf):
     return good.unionByName(bad)
 
 
-@query("str5_live_corrections", "SELECT user_id AS doc_id, event_id % 7 AS block_index, arg_max(event_type, ts) AS corrected, min(event_id) AS position FROM events GROUP BY user_id, event_id % 7")
+@query("str5_live_corrections", "SELECT user_id AS doc_id, event_id % 7 AS block_index, arg_max(event_type, (ts, event_id)) AS corrected, min(event_id) AS position FROM events GROUP BY user_id, event_id % 7")
 def live_corrections(spark, sf):
     keys = ["doc_id", "block_index"]
-    c = _events(spark, sf).select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).alias("block_index"), F.col("event_type").alias("corrected"), "ts", F.col("event_id").alias("position"))
-    out = _run(spark, c, lambda p: live.corrections_sink(p, keys, "ts", "position"))
-    return live.current_corrections(spark.read.parquet(out), keys, "ts", "position").select(*keys, "corrected", "position")
+    c = _events(spark, sf).select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).alias("block_index"), F.col("event_type").alias("corrected"), "ts", "event_id", F.col("event_id").alias("position"))
+    out = _run(spark, c, lambda p: live.corrections_sink(p, keys, ["ts", "event_id"], "position"))
+    return live.current_corrections(spark.read.parquet(out), keys, ["ts", "event_id"], "position").select(*keys, "corrected", "position")
 
 
 @query("str6_live_metrics", """

@@ -80,18 +80,18 @@ def ingest_sink(path: str, strategy: str = "paragraph", minimum: int = 50) -> Si
     return sink
 
 
-def corrections_sink(path: str, keys: list[str], order: str, position: str) -> Sink:
+def corrections_sink(path: str, keys: list[str], order: list[str], position: str) -> Sink:
     """Append each batch's latest correction per key with its first position."""
     write = batch_folder(path)
 
     def sink(df: DataFrame, batch: int) -> None:
-        write(jobs.upserted(df, keys, [order], position), batch)
+        write(jobs.upserted(df, keys, order, position), batch)
     return sink
 
 
-def current_corrections(path_rows: DataFrame, keys: list[str], order: str, position: str) -> DataFrame:
+def current_corrections(path_rows: DataFrame, keys: list[str], order: list[str], position: str) -> DataFrame:
     """Corrections over all batches: latest text, earliest position."""
-    return jobs.upserted(path_rows.drop("batch", "part"), keys, [order], position)
+    return jobs.upserted(path_rows.drop("batch", "part"), keys, order, position)
 
 
 def windowed_metrics(ops: DataFrame, width: str = "1 hour", late: str = "10 minutes", name: str = "name", duration: str = "duration") -> DataFrame:
