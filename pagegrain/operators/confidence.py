@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions.labels import confidence_band
 from pagegrain.functions.text import strip
+from pagegrain.operators.spatial import exact_mean
 
 DOC = "doc_id"
 
@@ -41,23 +42,39 @@ ASSESSMENTS = [
 ]
 
 
+FLAGS = ["region_type", "has_text", "fair_size"]
+
+
+def flagged(regions: DataFrame) -> DataFrame:
+    """Adds what a document's confidence needs to know of a region's text and box: two flags instead of the text."""
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return regions.withColumns({"has_text": F.coalesce(F.length(strip("content")) > 3, F.lit(False)), "fair_size": (area > 50) & (area < 10000000)})
+
+
 def document_confidence(regions: DataFrame) -> DataFrame:
     """Text, layout and overall confidence per document.
 
-    Needs ``region_type``, ``content``, ``confidence`` and the box. The number
-    of distinct types comes from a set of type names, which the type list bounds.
+    Needs ``region_type``, ``content``, ``confidence`` and the box.
+    """
+    return confidence_of_flags(flagged(regions))
+
+
+def confidence_of_flags(regions: DataFrame) -> DataFrame:
+    """As ``document_confidence``, from ``flagged`` regions and their ``confidence``.
+
+    The number of distinct types comes from a set of type names, which the type
+    list bounds. Scores are summed exactly, so that no order of rows shows.
     """
     conf = F.col("confidence")
     scored = conf.isNotNull() & (conf > 0)
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
     agg = regions.groupBy(DOC).agg(
         F.count(F.lit(1)).alias("region_count"),
         F.count_if(scored).alias("with_confidence"),
-        F.coalesce(F.avg(F.when(scored, conf)), F.lit(0.0)).alias("text_confidence"),
+        F.coalesce(exact_mean(F.when(scored, conf)), F.lit(0.0)).alias("text_confidence"),
         F.size(F.collect_set("region_type")).alias("n_types"),
-        share(F.coalesce(F.length(strip("content")) > 3, F.lit(False))).alias("content_factor"),
-        share((area > 50) & (area < 10000000)).alias("size_factor"))
+        share(F.col("has_text")).alias("content_factor"),
+        share(F.col("fair_size")).alias("size_factor"))
     diversity = F.when(F.col("n_types") >= 3, 1.0).when(F.col("n_types") == 2, 0.9).otherwise(0.7)
     out = agg.withColumns({
         "without_confidence": F.col("region_count") - F.col("with_confidence"),
@@ -137,6 +154,6 @@ def table_scores(pages: DataFrame, regions: str = "regions", results: str = "tab
 
 
 def block_counts(blocks: DataFrame, kind: str = "type") -> DataFrame:
-    """Blocks per type and the total of the document, in one pass."""
-    counted = blocks.groupBy(DOC, kind).count()
-    return counted.withColumnRenamed("count", "n")
+    """Blocks per type, and the total of the document as the type ``total``, in one pass."""
+    counted = blocks.rollup(DOC, kind).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g")).where(F.col("_g") < 3)
+    return counted.select(DOC, F.when(F.col("_g") == 1, "total").otherwise(F.col(kind)).alias(kind), "n")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DOC = "doc_id"
 TILE = (1024.0, 256.0)
@@ -53,14 +54,21 @@ def covers_line(a: str, b: str, limit: float = 0.5) -> Column:
     return (ox2 > ox1) & (oy2 > oy1) & ((ox2 - ox1) * (oy2 - oy1) > F.greatest(_area(b), F.lit(1.0)) * limit)
 
 
+def exact_mean(c: Column | str) -> Column:
+    """Mean by way of an exact decimal sum, the same for every order of rows; null where there is none."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.cast("decimal(20,9)")).cast("double") / F.nullif(F.count(c), F.lit(0))
+
+
 def region_confidence(regions: DataFrame, lines: DataFrame, rule: str = "iou_or_centre",
-                      tile: tuple[float, float] = TILE) -> DataFrame:
+                      tile: tuple[float, float] = TILE, carry: list[str] | None = None) -> DataFrame:
     """Mean confidence of the lines matching each region, null when none does.
 
     Both sides are cut to keys, box and score before they move. The join is
     inner, so a skewed tile can be split on either side; regions come back
     through a union into the same aggregate, which needs no second join and
-    combines before its shuffle.
+    combines before its shuffle. ``carry`` names small columns of a region that
+    its row keeps, so that none has to be joined again.
     """
     box = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")]
     r = tiled(regions.select(DOC, "ord", *box("r_")), ("r_x1", "r_y1", "r_x2", "r_y2"), tile)
@@ -70,9 +78,9 @@ def region_confidence(regions: DataFrame, lines: DataFrame, rule: str = "iou_or_
     ox1, oy1, _, _ = _overlap("r_", "l_")
     owner = (F.floor(ox1 / tile[0]) == F.col("tx")) & (F.floor(oy1 / tile[1]) == F.col("ty"))
     pairs = r.join(l, [DOC, "tx", "ty"]).where(owner & match).select(DOC, "ord", "score")
-    every = regions.select(DOC, "ord", F.lit(None).cast("double").alias("score"))
-    return pairs.unionByName(every).groupBy(DOC, "ord").agg(
-        F.avg("score").alias("confidence"), F.count("score").alias("n_matched"))
+    every = regions.select(DOC, "ord", F.lit(None).cast("double").alias("score"), *(carry or []))
+    return pairs.unionByName(every, allowMissingColumns=True).groupBy(DOC, "ord").agg(
+        exact_mean("score").alias("confidence"), F.count("score").alias("n_matched"), *(F.max(c).alias(c) for c in carry or []))
 
 
 def outside_regions(lines: DataFrame, regions: DataFrame, tile: tuple[float, float] = TILE) -> DataFrame:
@@ -85,6 +93,16 @@ def outside_regions(lines: DataFrame, regions: DataFrame, tile: tuple[float, flo
     return pts.join(r, on, "left_anti").drop("cx", "cy", "tx", "ty")
 
 
+def merged_by_y(regions: DataFrame, lines: DataFrame) -> DataFrame:
+    """Regions and standalone lines as one list: ``at`` counts by y from 0; at one height regions come first, then the earlier position.
+
+    Both sides give DOC, pos, y and any further columns of equal names.
+    """
+    both = regions.withColumn("kind", F.lit("region")).unionByName(lines.withColumn("kind", F.lit("line")))
+    order = Window.partitionBy(DOC).orderBy(F.coalesce("y", F.lit(0.0)), F.desc("kind"), "pos")
+    return both.withColumn("at", F.row_number().over(order) - 1)
+
+
 def kept_regions(pages: DataFrame, limit: float = 0.7, array: str = "regions") -> DataFrame:
     """Greedy removal of overlapping repeats, in the given array order.
 

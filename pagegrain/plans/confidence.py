@@ -27,7 +27,7 @@ def _band(e: str, scale: str) -> str:
 
 _CONF = f""", t AS (SELECT *, {_RTYPE} AS region_type, (x2 - x1) * (y2 - y1) AS area FROM src),
 a AS (SELECT doc_id, count(*) AS region_count, count(*) FILTER (WHERE confidence > 0) AS with_confidence,
-   coalesce(avg(confidence) FILTER (WHERE confidence > 0), 0) AS text_confidence, count(DISTINCT region_type) AS n_types,
+   coalesce(sum(CAST(confidence AS DECIMAL(20, 9))) FILTER (WHERE confidence > 0)::DOUBLE / nullif(count(*) FILTER (WHERE confidence > 0), 0), 0) AS text_confidence, count(DISTINCT region_type) AS n_types,
    avg(CASE WHEN length({s_strip('content')}) > 3 THEN 1.0 ELSE 0.0 END) AS cf, avg(CASE WHEN area > 50 AND area < 10000000 THEN 1.0 ELSE 0.0 END) AS sf
   FROM t GROUP BY doc_id),
 b AS (SELECT *, with_confidence / region_count AS coverage,
@@ -52,18 +52,15 @@ def document_confidence(spark, sf):
 
 
 def badly_read(spark, sf):
-    """Flagship: score every region from its matching lines, then every document."""
-    regions = _typed(inputs.lr(spark, sf))
-    scores = spatial.region_confidence(regions, inputs.ll(spark, sf))
-    rescored = regions.drop("confidence").join(scores, ["doc_id", "ord"])
-    d = confidence.document_confidence(rescored)
-    return d.select("doc_id", "region_count", "with_confidence",
-                    *_rounded(d, "text_confidence", "layout_confidence", "coverage", "overall"))
+    """Flagship: score every region from its matching lines, then every document. Flags stand for the text, which never moves."""
+    regions = confidence.flagged(_typed(inputs.lr(spark, sf)))
+    d = confidence.confidence_of_flags(spatial.region_confidence(regions, inputs.ll(spark, sf), carry=confidence.FLAGS))
+    return d.select("doc_id", "region_count", "with_confidence", *[F.round(c, 9).alias(c) for c in ("text_confidence", "layout_confidence", "coverage", "overall")])
 
 
-query("document_readability", with_lr(f""", m AS ({JN1_SQL.replace('round(avg(l.confidence), 6)', 'avg(l.confidence)')}),
+query("document_readability", with_lr(f""", m AS ({JN1_SQL.replace('round(avg(l.confidence), 6)', 'sum(CAST(l.confidence AS DECIMAL(20, 9)))::DOUBLE / nullif(count(l.confidence), 0)')}),
 src AS (SELECT lr.doc_id, lr.ord, type, content, m.confidence, x1, y1, x2, y2 FROM lr JOIN m ON lr.doc_id = m.doc_id AND lr.ord = m.ord)
-{_CONF} SELECT doc_id, region_count, with_confidence, {_SCORES} FROM c"""))(badly_read)
+{_CONF} SELECT doc_id, region_count, with_confidence, {_SCORES.replace(', 6)', ', 9)')} FROM c"""))(badly_read)
 
 
 _METRICS = _FROM_LR + """, m AS (SELECT c.doc_id, round(c.overall, 9) AS overall, round(c.overall, 9) AS layout, round(coalesce(x.text, 0.5), 9) AS text, round(coalesce(x.tab, 0.6), 9) AS tab
@@ -155,7 +152,7 @@ def table_scores(spark, sf):
     return scored.groupBy("doc_id", "table_no").agg(F.count("c").alias("n_scores"), F.round(F.avg("c"), 6).alias("score"))
 
 
-@query("agg12_block_counts", with_lr("SELECT doc_id, type, count(*) AS n FROM lr GROUP BY doc_id, type"))
+@query("agg12_block_counts", with_lr("SELECT doc_id, type, count(*) AS n FROM lr GROUP BY doc_id, type UNION ALL SELECT doc_id, 'total', count(*) FROM lr GROUP BY doc_id"))
 def block_counts(spark, sf):
     return confidence.block_counts(inputs.lr(spark, sf))
 

@@ -45,28 +45,44 @@ def layout_round_trip(spark, sf):
     return items.select(F.col("job_id").cast("bigint").alias("doc_id"), F.col("ord"), "type", F.element_at("bbox", 1).alias("x1"), F.element_at("bbox", 4).alias("y2"), F.md5(body.cast("binary")).alias("digest"))
 
 
+@query("src2_layout_files", with_it("""
+SELECT doc_id, ord, CASE WHEN doc_id % 7 = 3 AND ord = 0 THEN 'a "b" \\c' ELSE type END AS type, x1, y2, CASE WHEN html IS NOT NULL THEN md5(html) ELSE md5(text) END AS digest FROM it"""))
+def layout_files(spark, sf):
+    """A layout file per document, some with quotes and backslashes in a type, written and read as files."""
+    path = shared_dir(spark, "layout-files")
+    odd = F.transform("items", lambda i, n: i.withField("type", F.when((F.col("doc_id") % 7 == 3) & (n == 0), 'a "b" \\c').otherwise(i["type"])))
+    made = writers.layout_results(inputs.item_pages(spark, sf).withColumn("items", odd)).withColumnRenamed("doc_id", "job")
+    writers.write_files(made, path, "job", "value")
+    items = readers.layout_items(spark, path, folder="job")
+    body = F.coalesce(F.try_variant_get("res", "$.html", "string"), F.try_variant_get("res", "$[0].text", "string"))
+    return items.select(F.col("job_id").cast("bigint").alias("doc_id"), "ord", "type", F.element_at("bbox", 1).alias("x1"), F.element_at("bbox", 4).alias("y2"), F.md5(body.cast("binary")).alias("digest"))
+
+
 @query("src3_raw_lines", with_ll("SELECT doc_id, line_no, text, round(confidence, 6) AS confidence, x1, y2 FROM ll"))
 def raw_lines(spark, sf):
+    """A recognition file per document, written and read as files."""
     path = shared_dir(spark, "lines")
     rows = F.transform("lines", lambda l: F.struct(l["text"].alias("text"), l["confidence"].alias("confidence"), F.struct(
         l["x1"].alias("x"), l["y1"].alias("y"), (l["x2"] - l["x1"]).alias("width"), (l["y2"] - l["y1"]).alias("height")).alias("bbox")))
-    inputs.line_pages(spark, sf).select(F.col("doc_id").cast("string").alias("job_id"), rows.alias("ocr_result")).write.json(path)
-    back = spark.read.schema(readers.LINE_SCHEMA).json(path)
-    flat = back.select("job_id", F.posexplode_outer("ocr_result").alias("line_no", "l")).where(F.col("line_no").isNotNull())
-    x, y = F.col("l.bbox.x"), F.col("l.bbox.y")
-    return flat.select(F.col("job_id").cast("bigint").alias("doc_id"), "line_no", "l.text", F.round("l.confidence", 6).alias("confidence"), x.alias("x1"), (y + F.col("l.bbox.height")).alias("y2"))
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("job_id"), rows.alias("ocr_result")))
+    writers.write_files(inputs.line_pages(spark, sf).select(F.col("doc_id").alias("job"), record.alias("value")), path, "job", "value")
+    back = readers.text_lines(spark, path)
+    return back.select(F.col("job_id").cast("bigint").alias("doc_id"), "line_no", "text", F.round("confidence", 6).alias("confidence"), "x1", "y2")
 
 
 @query("src4_text_preference", """
 SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'layout' WHEN page_id % 3 = 1 THEN 'markdown' ELSE 'html' END AS source,
  md5(CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN '# ' || url ELSE html END) AS digest FROM pages""")
 def text_preference(spark, sf):
-    """Layout before Markdown before HTML, each source present for some pages only."""
-    p, k = inputs.table(spark, sf, "pages"), F.col("page_id")
-    out = readers.first_content(
-        p.select("page_id"), "page_id", layout=p.where(k % 3 == 0).select("page_id", F.col("url").alias("layout")),
-        markdown=p.where(k % 3 != 2).select("page_id", F.concat(F.lit("# "), "url").alias("markdown")), html=p.select("page_id", "html"))
-    return out.select("page_id", "source", F.md5(F.col("content").cast("binary")).alias("digest"))
+    """Layout before Markdown before HTML: whole files, each source for some pages only; the writer ends a file with a line break."""
+    p, k = inputs.table(spark, sf, "pages").withColumnRenamed("page_id", "job"), F.col("job")
+    roots = {n: shared_dir(spark, n) for n in ("layout", "markdown", "html")}
+    writers.write_files(p.where(k % 3 == 0), roots["layout"], "job", "url")
+    writers.write_files(p.where(k % 3 != 2).withColumn("md", F.concat(F.lit("# "), "url")), roots["markdown"], "job", "md")
+    writers.write_files(p, roots["html"], "job", "html")
+    sources = {n: readers.whole_texts(spark, root, n, folder="job") for n, root in roots.items()}
+    out = readers.first_content(p.select(k.cast("string").alias("job_id")), "job_id", **sources)
+    return out.select(F.col("job_id").cast("bigint").alias("page_id"), "source", F.md5(F.regexp_replace("content", r"\n$", "").cast("binary")).alias("digest"))
 
 
 @query("src5_config_types", """

@@ -52,16 +52,15 @@ def lines_outside_regions(spark, sf):
     return spatial.outside_regions(inputs.ll(spark, sf), thinned).select("doc_id", "line_no")
 
 
-@query("set1_regions_and_lines", with_lr(f""", o AS ({_STANDALONE})
-SELECT doc_id, 'region' AS kind, ord AS pos, y1 AS y, length(content) AS n_chars FROM lr WHERE ord % 3 <> 1
-UNION ALL SELECT doc_id, 'line', line_no, y1, length(text) FROM o"""))
+@query("set1_regions_and_lines", with_lr(f""", o AS ({_STANDALONE}),
+u AS (SELECT doc_id, 'region' AS kind, ord AS pos, y1 AS y, length(content) AS n_chars FROM lr WHERE ord % 3 <> 1
+UNION ALL SELECT doc_id, 'line', line_no, y1, length(text) FROM o)
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, kind DESC, pos) - 1 AS at FROM u"""))
 def regions_and_lines(spark, sf):
     thinned = inputs.lr(spark, sf).where(F.col("ord") % 3 != 1)
     lone = spatial.outside_regions(inputs.ll(spark, sf), thinned)
-    return thinned.select("doc_id", F.lit("region").alias("kind"), F.col("ord").alias("pos"), F.col("y1").alias("y"),
-                          F.length("content").alias("n_chars")).unionByName(
-        lone.select("doc_id", F.lit("line").alias("kind"), F.col("line_no").alias("pos"), F.col("y1").alias("y"),
-                    F.length("text").alias("n_chars")))
+    shown = lambda df, pos, text: df.select("doc_id", F.col(pos).alias("pos"), F.col("y1").alias("y"), F.length(text).alias("n_chars"))
+    return spatial.merged_by_y(shown(thinned, "ord", "content"), shown(lone, "line_no", "text"))
 
 
 # Copies shifted a little, some with other or no text, so that removal depends on what was kept.

@@ -40,9 +40,8 @@ def tracked(name: str, step: Callable[[], None]) -> dict[str, object]:
 
 def scored_documents(regions: DataFrame, lines: DataFrame) -> DataFrame:
     """Layout regions and recognised lines to document confidence."""
-    typed = regions.withColumn("region_type", layout.retyped_region(F.col("type"), F.col("content")))
-    scores = spatial.region_confidence(typed, lines)
-    return confidence.document_confidence(typed.drop("confidence").join(scores, ["doc_id", "ord"]))
+    typed = confidence.flagged(regions.withColumn("region_type", layout.retyped_region(F.col("type"), F.col("content"))))
+    return confidence.confidence_of_flags(spatial.region_confidence(typed, lines, carry=confidence.FLAGS))
 
 
 def typed_blocks(regions: DataFrame) -> DataFrame:

@@ -30,12 +30,14 @@ def upload_reason(ext: Column, size: Column, head: Column) -> Column:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files with a verdict; only the first 8 bytes of content are kept.
+    """Uploaded files with a verdict; content is read only within the size limit, and its first 8 bytes are kept.
 
     Files without bytes are not listed by the file source and so give no row.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return judged_uploads(f)
+    small = f.where(F.col("length") <= MAX_UPLOAD).select("path", "length", F.substring("content", 1, 8).alias("content"))
+    large = f.where(F.col("length") > MAX_UPLOAD).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return judged_uploads(small.unionByName(large))
 
 
 def judged_uploads(f: DataFrame) -> DataFrame:
@@ -46,13 +48,16 @@ def judged_uploads(f: DataFrame) -> DataFrame:
     return out.withColumn("is_valid", F.col("reason").isNull()).drop("head")
 
 
-def layout_items(spark: SparkSession, path: str, suffix: str = "(?:_layout)?") -> DataFrame:
+def layout_items(spark: SparkSession, path: str, suffix: str = "(?:_layout)?", folder: str | None = None) -> DataFrame:
     """Layout result files, one per job, to item rows with a variant ``res``.
 
-    ``suffix`` is what follows the job id in a file name. A file holds an object with ``items`` or ``res``, or a bare list.
+    ``suffix`` is what follows the job id in a file name; ``folder`` names it
+    where it is a folder ``name=id`` instead. A file holds an object with
+    ``items`` or ``res``, or a bare list.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias("p"))
-    return items_of(raw.select(job_of(F.col("p"), suffix).alias("job_id"), "v"))
+    job = F.col(folder).cast("string") if folder else job_of(F.col("_metadata.file_path"), suffix)
+    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), job.alias("job_id"))
+    return items_of(raw)
 
 
 def items_of(results: DataFrame) -> DataFrame:
@@ -74,10 +79,11 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("job_id", "line_no", "l.text", "l.confidence", x.alias("x1"), y.alias("y1"), (x + F.col("l.bbox.width")).alias("x2"), (y + F.col("l.bbox.height")).alias("y2"))
 
 
-def whole_texts(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Text files as one row each, keyed by job."""
+def whole_texts(spark: SparkSession, path: str, name: str, folder: str | None = None) -> DataFrame:
+    """Text files as one row each, keyed by job: the file name, or the folder ``name=id`` that ``folder`` names."""
     t = spark.read.text(path, wholetext=True)
-    return t.select(job_of(F.col("_metadata.file_path")).alias("job_id"), F.col("value").alias(name))
+    job = F.col(folder).cast("string") if folder else job_of(F.col("_metadata.file_path"))
+    return t.select(job.alias("job_id"), F.col("value").alias(name))
 
 
 def first_content(jobs: DataFrame, key: str, **sources: DataFrame) -> DataFrame:

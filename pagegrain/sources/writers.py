@@ -33,6 +33,11 @@ def write_json_lines(results: DataFrame, path: str) -> None:
     results.select("value").write.mode("overwrite").text(path)
 
 
+def write_files(rows: DataFrame, path: str, key: str, text: str) -> None:
+    """One text file a row in a folder ``key=value``, as tools outside Spark leave and expect them."""
+    rows.select(key, F.col(text).alias("value")).write.partitionBy(key).text(path)
+
+
 def write_results(df: DataFrame, path: str, key: str) -> None:
     """Final results as JSON in place of the earlier results of the same documents."""
     keyed.save(df, path, key, fmt="json")
