@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagegrain.llm.blocks import buckets_for, dealt, spans, token_blocks
+from pagegrain.llm.blocks import buckets_for, by_bucket, dealt, spans, token_blocks
 from pagegrain.llm.common import packed, trim, unpacked, unpacked_words
 
 #: Unicode white space, written out: ``re`` counts four control characters too many.
@@ -104,7 +104,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
         return [w.encode() for w in finer.findall(whole)]
 
     buckets = buckets_for(docs)
-    blocks = token_blocks(docs, key, text, pieces, refine=refine, buckets=buckets)
+    blocks = token_blocks(docs, key, text, pieces, refine=refine)
 
     def encode_bucket(table: pa.Table) -> pa.Table:
         known: dict[bytes, list[int]] = {}
@@ -121,7 +121,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
         trim()
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lengths": pa.array(lengths, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    coded = dealt(blocks).groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, lengths binary, ids binary")
+    coded = dealt(blocks, buckets).groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, lengths binary, ids binary")
     kind = docs.schema[key].dataType
 
     def reassemble(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -130,13 +130,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
         lengths = np.concatenate([*(unpacked(r[1], np.uint32) for r in rows), none]).astype(np.int64)
         flat = np.concatenate([*(unpacked(r[2], np.uint32) for r in rows), none]).astype(np.int32)
         seq, ends = unpacked(block.column("seq")[0].as_py(), np.int32), unpacked(block.column("ends")[0].as_py(), np.int64)
-        out, to = spans(flat, np.cumsum(lengths) - lengths, lengths, seq)
+        order, _ = by_bucket(unpacked_words(block.column("words")[0].as_py()), buckets)
+        by_word, start = np.empty_like(lengths), np.empty_like(lengths)
+        by_word[order], start[order] = lengths, np.cumsum(lengths) - lengths
+        out, to = spans(flat, start, by_word, seq)
         offsets = np.concatenate(([0], np.concatenate(([0], to))[ends]))
         keys = pa.array(block.column("keys")[0].as_py(), to_arrow_type(kind))
         trim()
         return pa.table({key: keys, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))})
 
-    return (blocks.select("block", "keys", "ends", "seq").groupBy("block")
+    return (blocks.select("block", "keys", "ends", "seq", "words").groupBy("block")
             .cogroup(coded.groupBy("block")).applyInArrow(reassemble, f"`{key}` {kind.simpleString()}, ids array<int>"))
 
 
@@ -149,8 +152,10 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
         by_id = dict(zip(shared.value.values(), shared.value))
         table = pa.array([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], pa.binary())
         for a in batches:
-            tokens = table.take(a.flatten())
-            if tokens.null_count:
+            ids = a.flatten()
+            known = not len(ids) or not ids.null_count and 0 <= pc.min(ids).as_py() and pc.max(ids).as_py() < len(table)
+            tokens = table.take(ids) if known else None
+            if tokens is None or tokens.null_count:
                 raise ValueError("an id is not in the token table")
             offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(a), 0).to_numpy()))).astype(np.int32)
             text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens), pa.scalar(b"", pa.binary()))

@@ -173,7 +173,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         trim()
 
     index = cut(rows.mapInArrow(file, "leaf long, id long, v array<double>"), "leaves")
-    asked = index.where(is_query)
+    asked = index.where(is_query).dropDuplicates(["id"])
     sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     enough = calibrated(index, asked, nodes, longest, k, recall)
 
