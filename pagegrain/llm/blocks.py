@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagegrain.llm.common import column, in_slices, packed, packed_words, trim, unpacked, unpacked_words
+from pagegrain.llm.common import column, in_slices, packed, packed_words, trim, unpacked_words
 from pagegrain.session import shared_dir
 
 #: Tokens after which a block ends; a longer text is a block of its own.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 
 
 class Numbers(dict):
@@ -40,19 +40,18 @@ def buckets_for(docs: DataFrame, a_partition: int = 8) -> int:
 
 
 def token_blocks(docs: DataFrame, key: str, text: str, cutter: Callable, flag: Column | None = None,
-                 refine: Callable | None = None, buckets: int = 8, tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """block, keys, flags, ends, seq, cuts, words: every row of ``docs`` once, in blocks, in a table bucketed by block.
+                 refine: Callable | None = None, tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """block, keys, flags, ends, seq, words: every row of ``docs`` once, in blocks, in a table bucketed by block.
 
     ``cutter(bytes | None)`` gives the pieces of a text; ``refine(piece)`` cuts each
-    distinct piece of a block into words. ``words`` holds the distinct words as bytes,
-    ordered by bucket (crc32 modulo ``buckets``) and then by bytes; ``cuts`` holds where
-    each bucket ends. ``seq`` holds word numbers, ``ends`` where each row ends in it. Equal keys, null keys and null or empty texts
+    distinct piece of a block into words. ``words`` holds the distinct words as bytes
+    in order of appearance, ``seq`` their numbers, ``ends`` where each row ends in it. Equal keys, null keys and null or empty texts
     each stay a row. The table lies in the shared folder; grouping it by block needs
     no shuffle.
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType
     schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(to_arrow_type(kind))), ("flags", pa.list_(pa.bool_())),
-                        ("ends", pa.binary()), ("seq", pa.binary()), ("cuts", pa.binary()), ("words", pa.binary())])
+                        ("ends", pa.binary()), ("seq", pa.binary()), ("words", pa.binary())])
 
     def build(batches):
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -68,12 +67,7 @@ def token_blocks(docs: DataFrame, key: str, text: str, cutter: Callable, flag: C
                 seq, to = spans(flat, np.cumsum(lengths) - lengths, lengths, seq)
                 ends = np.concatenate(([0], to))[ends]
                 ws = list(fine)
-            to = [zlib.crc32(w) % buckets for w in ws]
-            order = sorted(range(len(ws)), key=lambda i: (to[i], ws[i]))
-            place = np.zeros(len(ws), np.int32)
-            place[order] = np.arange(len(ws), dtype=np.int32)
-            cuts = np.cumsum(np.bincount(np.array(to, np.int64), minlength=buckets))
-            row = (base + n, keys, flags, packed(ends.astype(np.int64)), packed(place[seq].astype(np.int32)), packed(cuts.astype(np.int64)), packed_words([ws[i] for i in order]))
+            row = (base + n, keys, flags, packed(ends.astype(np.int64)), packed(seq.astype(np.int32)), packed_words(ws))
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
         for columns in in_slices(batches):
@@ -91,7 +85,7 @@ def token_blocks(docs: DataFrame, key: str, text: str, cutter: Callable, flag: C
         trim()
 
     rows = docs.select(F.col(key), (flag if flag is not None else F.lit(True)).alias("__flag"), F.col(text).cast("binary").alias("__text"))
-    made = rows.mapInArrow(build, f"block long, keys array<{kind.simpleString()}>, flags array<boolean>, ends binary, seq binary, cuts binary, words binary")
+    made = rows.mapInArrow(build, f"block long, keys array<{kind.simpleString()}>, flags array<boolean>, ends binary, seq binary, words binary")
     name = f"blocks_{os.urandom(8).hex()}"
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(docs.rdd.getNumPartitions(), 50_000))
     made.write.option("compression", "zstd").option("path", shared_dir(spark, name)).bucketBy(n, "block").saveAsTable(name)
@@ -107,16 +101,25 @@ def spans(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndar
     return flat[index], to
 
 
-def dealt(blocks: DataFrame) -> DataFrame:
-    """bucket, block, words: the distinct words of a block that fall into a bucket, packed, in the order of the block."""
+def by_bucket(ws: list[bytes], buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Numbers of the words in order of their bucket, and (bucket, start, end) of each bucket in this order."""
+    to = np.fromiter(map(zlib.crc32, ws), np.int64, len(ws)) % buckets
+    order = np.argsort(to, kind="stable")
+    starts = np.flatnonzero(np.diff(to[order], prepend=-1))
+    return order, [(int(to[order[i]]), int(i), int(j)) for i, j in zip(starts, [*starts[1:], len(ws)])]
+
+
+def dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, words: the distinct words of a block that fall into a bucket, packed, in order of appearance."""
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
 
     def deal(batches):
         for b in batches:
-            for block, cuts, payload in zip(column(b, "block"), column(b, "cuts"), column(b, "words")):
-                ws, ends = unpacked_words(payload), unpacked(cuts, np.int64).tolist()
-                rows = [(k, block, packed_words(ws[i:j])) for k, (i, j) in enumerate(zip([0, *ends], ends)) if j > i]
+            for block, payload in zip(column(b, "block"), column(b, "words")):
+                ws = unpacked_words(payload)
+                order, cuts = by_bucket(ws, buckets)
+                rows = [(k, block, packed_words([ws[i] for i in order[i:j].tolist()])) for k, i, j in cuts]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
         trim()
 
-    return blocks.select("block", "cuts", "words").mapInArrow(deal, "bucket int, block long, words binary")
+    return blocks.select("block", "words").mapInArrow(deal, "bucket int, block long, words binary")

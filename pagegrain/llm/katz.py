@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagegrain.llm.blocks import buckets_for, token_blocks
+from pagegrain.llm.blocks import buckets_for, by_bucket, token_blocks
 from pagegrain.llm.common import cut, mixed, packed, trim, unpacked, unpacked_words, words
 
 MIN_COUNT = 2
@@ -146,16 +146,17 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     def pieces(t: bytes | None) -> list[bytes]:
         return [*words(t), END]
 
-    blocks = token_blocks(docs, key, text, pieces, flag=F.coalesce(train, F.lit(False)), buckets=buckets)
+    blocks = token_blocks(docs, key, text, pieces, flag=F.coalesce(train, F.lit(False)))
     whole = ["block", "flags", "ends", "seq", "words"]
 
     def count_words(batches):
         schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
         for b in batches:
             for row in b.to_pylist():
-                block, ends = Block(row), unpacked(row["cuts"], np.int64).tolist()
+                block = Block(row)
+                order, cuts = by_bucket(block.words, buckets)
                 n = np.bincount(block.seq, block.train, len(block.words)).astype(np.uint32)
-                rows = [(k, row["block"], packed(block.hashes[i:j]), packed(n[i:j])) for k, (i, j) in enumerate(zip([0, *ends], ends)) if j > i]
+                rows = [(k, row["block"], packed(block.hashes[order[i:j]]), packed(n[order[i:j]])) for k, i, j in cuts]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
         trim()
 
@@ -167,7 +168,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         trim()
         return answers([(block, bucket, packed(c.astype(np.uint32))) for block, bucket, c in zip(column_of(t, "block"), column_of(t, "bucket"), back)], count_columns(sums))
 
-    dealt_words = blocks.select(*whole, "cuts").mapInArrow(count_words, "bucket int, block long, hashes binary, counts binary")
+    dealt_words = blocks.select(*whole).mapInArrow(count_words, "bucket int, block long, hashes binary, counts binary")
     word_counts = cut(dealt_words.groupBy("bucket").applyInArrow(total_words, ANSWER), "word-counts")
     total, distinct, *of_counts = summed(word_counts)
     uni = (total, distinct, of_counts)
@@ -208,7 +209,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         """Counts of the words (and the start) and of the bigrams of a block."""
         block = Block(row)
         h, code, _, place = block.bigrams()
-        c = np.append(in_order(answer, "word", np.uint32).astype(np.int64), starts)
+        c = np.full(len(block.words) + 1, starts, np.int64)
+        c[by_bucket(block.words, buckets)[0]] = in_order(answer, "word", np.uint32)
         return block, code, place, c, in_order(answer, "bigram", np.uint32)
 
     def tell(row_: pa.Table, answer: pa.Table) -> pa.Table:
@@ -238,7 +240,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
         trim()
 
-    by_bucket = F.shiftright(F.shiftrightunsigned("history", 40) * buckets, 24).cast("int").alias("bucket")
+    bucket_of_history = F.shiftright(F.shiftrightunsigned("history", 40) * buckets, 24).cast("int").alias("bucket")
 
     def weigh(key_, histories: pa.Table, known: pa.Table) -> pa.Table:
         """at, and weights and then scales of the histories of every block; those without stored bigrams are left out, both are 1 for them."""
@@ -256,7 +258,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "at", "weight"])
 
     histories = blocks.select(*whole).mapInArrow(bucket_words, "bucket int, block long, at binary, hashes binary")
-    weighed = histories.groupBy("bucket").cogroup(weights.select("history", "weight", "scale", by_bucket).groupBy("bucket")).applyInArrow(weigh, "block long, at binary, weight binary")
+    weighed = histories.groupBy("bucket").cogroup(weights.select("history", "weight", "scale", bucket_of_history).groupBy("bucket")).applyInArrow(weigh, "block long, at binary, weight binary")
     everything = told.withColumn("at", F.lit(None).cast("binary")).unionByName(weighed.select("block", F.lit(None).cast("int").alias("bucket"), F.col("weight").alias("payload"), F.lit("weight").alias("kind"), "at"))
     kind = docs.schema[key].dataType
 
