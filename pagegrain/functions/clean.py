@@ -58,12 +58,37 @@ def normalize_unicode(c: Column) -> Column:
 
 
 def decoded(data: Column, encoding: str | None = None) -> Column:
-    """Struct of text, encoding and confidence: valid UTF-8 first, then a single-byte fallback."""
-    ok = F.is_valid_utf8(data)
-    return F.struct(
-        F.when(ok, F.decode(F.when(ok, data), "UTF-8")).otherwise(F.decode(data, encoding or "ISO-8859-1")).alias("text"),
-        F.when(ok, "utf-8").otherwise(encoding or "latin-1").alias("encoding"),
-        F.lit(0.7).alias("confidence"))
+    """Struct of text, encoding and confidence: the given encoding where the bytes can be that, then UTF-8,
+    then UTF-16 by its mark, then Latin-1, which takes any bytes.
+
+    A given encoding counts as certain; the others are guesses of 0.7. Bytes are
+    tested before they are decoded, so none of them fails the job.
+    """
+    head, even = F.hex(F.substring(data, 1, 2)), F.octet_length(data) % 2 == 0
+    latin = F.decode(data, "ISO-8859-1")
+
+    def paired(high: str) -> Column:
+        """Whether units of two bytes are whole, and every half of a pair stands by its other half: seen from the high bytes alone."""
+        rest = F.regexp_replace(F.regexp_replace(latin, high, "$1"), "[\\x{D8}-\\x{DB}][\\x{DC}-\\x{DF}]", "")
+        return even & ~rest.rlike("[\\x{D8}-\\x{DF}]")
+
+    little, big = paired("(?s).(.)"), paired("(?s)(.).")
+    narrow = F.is_valid_utf8(data) & ~latin.rlike("[^\\x00-\\x7F]")
+    tests = {"utf-8": F.is_valid_utf8(data), "us-ascii": narrow, "iso-8859-1": F.lit(True), "utf-16le": little, "utf-16be": big}
+    aliases = {"utf8": "utf-8", "ascii": "us-ascii", "latin-1": "iso-8859-1", "latin1": "iso-8859-1", "utf-16-le": "utf-16le", "utf-16-be": "utf-16be", "utf-16": "utf-16le"}
+
+    def arm(ok: Column, charset: str, name: str, confidence: float) -> Column:
+        return F.when(ok, F.struct(F.decode(F.when(ok, data), charset).alias("text"), F.lit(name).alias("encoding"), F.lit(confidence).alias("confidence")))
+
+    arms = []
+    if encoding:
+        known = aliases.get(encoding.lower(), encoding.lower())
+        if known in tests:
+            if encoding.lower() == "utf-16":
+                arms.append(arm((head == "FFFE") & little | (head == "FEFF") & big, "UTF-16", encoding, 1.0))
+            arms.append(arm(tests[known], known.upper(), encoding, 1.0))
+    arms += [arm(tests["utf-8"], "UTF-8", "utf-8", 0.7), arm((head == "FFFE") & little | (head == "FEFF") & big, "UTF-16", "utf-16", 0.7), arm(F.lit(True), "ISO-8859-1", "latin-1", 0.7)]
+    return F.when(data.isNotNull(), F.coalesce(*arms))
 
 
 def corruption(c: Column, ignore_scripts: bool = False) -> Column:

@@ -19,6 +19,32 @@ ANSWER_HEAD = "你是一个专业的文档问答助手。请基于以下文档
 JSON_HEAD = "\n\n请按照以下 JSON 格式返回结果，不要添加任何其他说明文字：\n{\n"
 
 
+# What follows the JSON of an extraction prompt, and the question of a question prompt.
+EXTRACT_NOTES = """
+
+注意事项：
+1. 如果某个字段在文档中找不到，返回 null
+2. 保持提取值的原始格式（如日期、金额格式）
+3. 只返回 JSON，不要添加 markdown 代码块标记或其他说明
+4. 确保 JSON 格式正确，可以被解析"""
+ANSWER_NOTES = """
+
+请按照以下要求回答：
+1. 只基于文档内容回答，不要编造信息
+2. 如果文档中没有相关信息，请明确告知
+3. 在回答中引用文档原文作为依据
+4. 使用简洁清晰的语言
+
+请按照以下 JSON 格式返回，不要添加任何其他说明文字：
+{
+    "answer": "你的回答",
+    "references": ["引用的原文片段1", "引用的原文片段2"],
+    "found_in_document": true或false
+}
+
+注意：只返回 JSON，不要添加 markdown 代码块标记或其他说明"""
+
+
 def typed_documents(documents: DataFrame, types: DataFrame, type_col: str = "doc_type") -> DataFrame:
     """Documents with the fields and hint of their type.
 
@@ -53,14 +79,15 @@ def truncated(text: Column, limit: int = CONTEXT_LIMIT) -> Column:
 
 
 def extraction_prompt(hint: Column, content: Column, fields: Column, limit: int = CONTEXT_LIMIT) -> Column:
-    """Prompt of one document: hint, content, field list and the JSON to fill in."""
+    """Prompt of one document: hint, content, field list, the JSON to fill in and notes."""
     skeleton = F.array_join(F.transform(fields, lambda f: F.concat(F.lit('    "'), f, F.lit('": "提取的值或null"'))), ",\n")
     return F.concat(F.lit(EXTRACT_HEAD), hint, F.lit("\n\n文档内容：\n"), truncated(content, limit),
-                    F.lit("\n\n需要提取的字段：\n"), F.array_join(fields, ", "), F.lit(JSON_HEAD), skeleton, F.lit("\n}"))
+                    F.lit("\n\n需要提取的字段：\n"), F.array_join(fields, ", "), F.lit(JSON_HEAD), skeleton, F.lit("\n}"), F.lit(EXTRACT_NOTES))
 
 
 def question_prompt(content: Column, question: Column, limit: int = CONTEXT_LIMIT) -> Column:
-    return F.concat(F.lit(ANSWER_HEAD), truncated(content, limit), F.lit("\n\n用户问题："), question)
+    """Prompt of one question: content, question and the form of the answer."""
+    return F.concat(F.lit(ANSWER_HEAD), truncated(content, limit), F.lit("\n\n用户问题："), question, F.lit(ANSWER_NOTES))
 
 
 def recovered_json(response: Column) -> Column:

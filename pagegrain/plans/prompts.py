@@ -65,9 +65,14 @@ def truncated_text(spark, sf):
     return inputs.table(spark, sf, "documents").select("doc_id", F.length(t).alias("n"), F.md5(t.cast("binary")).alias("digest"))
 
 
+def _quoted(text: str) -> str:
+    """A text as SQL."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 @query("txt29_prompts", f"""WITH {_TYPED} SELECT doc_id, md5('你是一个专业的文档信息提取助手。请从以下文档内容中提取指定的字段信息。' || chr(10) || chr(10) || h || chr(10) || chr(10) || '文档内容：' || chr(10) || substr(text, 1, 32000) || chr(10) || chr(10) || '需要提取的字段：' || chr(10) || array_to_string(f, ', ')
- || chr(10) || chr(10) || '请按照以下 JSON 格式返回结果，不要添加任何其他说明文字：' || chr(10) || chr(123) || chr(10) || array_to_string(list_transform(f, lambda x: '    "' || x || '": "提取的值或null"'), ',' || chr(10)) || chr(10) || chr(125)) AS digest,
- md5('你是一个专业的文档问答助手。请基于以下文档内容回答用户的问题。' || chr(10) || chr(10) || '文档内容：' || chr(10) || substr(text, 1, 32000) || chr(10) || chr(10) || '用户问题：' || doc_type) AS question_digest FROM t WHERE len(f) > 0""")
+ || chr(10) || chr(10) || '请按照以下 JSON 格式返回结果，不要添加任何其他说明文字：' || chr(10) || chr(123) || chr(10) || array_to_string(list_transform(f, lambda x: '    "' || x || '": "提取的值或null"'), ',' || chr(10)) || chr(10) || chr(125) || {_quoted(prompts.EXTRACT_NOTES)}) AS digest,
+ md5('你是一个专业的文档问答助手。请基于以下文档内容回答用户的问题。' || chr(10) || chr(10) || '文档内容：' || chr(10) || substr(text, 1, 32000) || chr(10) || chr(10) || '用户问题：' || doc_type || {_quoted(prompts.ANSWER_NOTES)}) AS question_digest FROM t WHERE len(f) > 0""")
 def prompt_texts(spark, sf):
     t = prompts.typed_documents(_documents(spark, sf), types_table(spark)).where(F.col("error").isNull())
     p = prompts.extraction_prompt(F.col("hint"), F.col("text"), F.col("fields"))

@@ -53,6 +53,19 @@ def bytes_to_text(spark, sf):
     return d.select("doc_id", F.md5(F.col("d.text").cast("binary")).alias("digest"), "d.encoding", "d.confidence")
 
 
+@query("txt2_given_encoding", r"""
+SELECT doc_id, md5(text) AS digest, CASE doc_id % 3 WHEN 0 THEN 'utf-16le' WHEN 1 THEN 'utf-16' ELSE CASE WHEN regexp_matches(text, '[^\x00-\x7f]') THEN 'utf-8' ELSE 'ascii' END END AS encoding,
+ CASE WHEN doc_id % 3 = 0 OR doc_id % 3 = 2 AND NOT regexp_matches(text, '[^\x00-\x7f]') THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence FROM documents""")
+def given_encoding(spark, sf):
+    """UTF-16 that is told, UTF-16 that its mark tells, and ASCII that is told but not always true."""
+    k, t = F.col("doc_id") % 3, F.col("text")
+    told = clean.decoded(F.encode(t, "UTF-16LE"), "utf-16le")
+    marked = clean.decoded(F.encode(t, "UTF-16"))
+    plain = clean.decoded(F.encode(t, "UTF-8"), "ascii")
+    d = _docs(spark, sf).select("doc_id", F.when(k == 0, told).when(k == 1, marked).otherwise(plain).alias("d"))
+    return d.select("doc_id", F.md5(F.col("d.text").cast("binary")).alias("digest"), "d.encoding", "d.confidence")
+
+
 _BAD = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || chr(65533) || chr(65533) || 'x' || chr(1) WHEN 2 THEN replace(text, 'the', 'éèê') ELSE text || 'Ω' END"
 
 
