@@ -13,9 +13,11 @@ calibrated: the exact neighbours of ``CALIBRATE`` queries are found by brute
 force, and visits widen until the leaves hold at least ``RECALL`` of them. Visits
 also go on until the leaves hold ``k`` vectors besides the query's own.
 
-Queries meet leaves in a grid: a leaf of many vectors is dealt over parts and one
-of many queries over rows of parts, so no task gets a whole hot leaf. Equal
-vectors are scored once; ranking is by the exact score, ties by the smaller id.
+Leaves are packed into bins of about ``BIN_ROWS`` vectors; a larger leaf is dealt
+over bins of its own. A query comes to a bin once, with the leaves it visits
+there, and leaves with its best of them; the queries of a bin are dealt over
+``BIN_QUERIES`` at a time, so no task gets a whole hot leaf. Equal vectors are
+scored once; ranking is by the exact score, ties by the smaller id.
 
 Vectors that are null, empty, all zero, hold a null or a non-finite component, or
 have another length than most, take no part. Ids are distinct numbers; rows that
@@ -39,9 +41,9 @@ FIT_ROWS = 1 << 16
 LEAF_ROWS = 256
 BRANCHES = 16
 CALIBRATE = 128
-RECALL = 0.97
-PART_ROWS = 2_048
-PART_QUERIES = 1_024
+RECALL = 0.94
+BIN_ROWS = 8_192
+BIN_QUERIES = 4_096
 
 
 def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -131,26 +133,43 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))[:, None]], 1)
 
 
-def best(ids: np.ndarray, x: np.ndarray, queries: list[tuple[int, np.ndarray]], k: int) -> list[tuple[int, int, float]]:
-    """(query, id, score) of the k best rows of every query but its own; equal rows are scored once."""
+def best(ids: np.ndarray, x: np.ndarray, queries: list[tuple[int, np.ndarray]], k: int, of_leaf: np.ndarray | None = None, visited: list | None = None) -> list[tuple[int, int, float]]:
+    """(query, id, score) of the k best rows of every query but its own, in its ``visited`` leaves where given; equal rows are scored once."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], np.ascontiguousarray(x[order])
     _, first, of = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
     distinct = x[first]
     members = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1])
+    leaf = of_leaf[order][first] if of_leaf is not None else None
     out = []
     rough = distinct @ np.array([q for _, q in queries]).T
     for j, (query, q) in enumerate(queries):
         r = rough[:, j]
+        if visited is not None:
+            r = np.where(np.isin(leaf, visited[j]), r, -np.inf)
         n = min(len(r), k + 1)
         least = np.partition(r, len(r) - n)[len(r) - n]
-        near = np.flatnonzero(r >= least - 1e-9 * (1 + abs(least)))
+        near = np.flatnonzero((r >= least - 1e-9 * (1 + abs(least))) & (r > -np.inf)) if np.isfinite(least) else np.flatnonzero(r > -np.inf)
         exact = (distinct[near] * q).sum(1)
         rows = [(-s, int(i)) for s, m in zip(exact.tolist(), near.tolist()) for i in dict.fromkeys(ids[members[m][:2 * k + 2]].tolist()) if i != query]
         out += [(query, i, -s) for s, i in heapq.nsmallest(k, rows)]
     return out
 
 
+def bins(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """leaf -> its first bin and how many it has: small leaves share one."""
+    out, bin_, held = {}, 0, 0
+    for leaf, n in sorted(sizes.items()):
+        parts = -(-n // BIN_ROWS)
+        if held and held + n > BIN_ROWS:
+            bin_, held = bin_ + 1, 0
+        out[leaf] = (bin_, parts)
+        held += n
+        if parts > 1:
+            bin_, held = bin_ + parts, 0
+    return out
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best found for every row of ``vectors`` where ``is_query``, a condition on the column ``id``, holds, among all the other rows."""
     spark = vectors.sparkSession
@@ -187,37 +206,44 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                 held += sizes[leaf]
         return out
 
+    place = bins(sizes)
+
     def ask(batches):
+        """A row for each bin that a query comes to, with the leaves it visits there."""
         t, top = tree.value
         for b in batches:
-            x = matrix(b.column(1))
-            ls = [walk(q, sizes, t, top) for q in x]
-            at = np.repeat(np.arange(len(ls)), [len(w) for w in ls])
-            yield pa.RecordBatch.from_arrays([pa.array([i for w in ls for i in w], pa.int64()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["leaf", "id", "v"])
+            at, to, leaves = [], [], []
+            for i, q in enumerate(matrix(b.column(1))):
+                by: dict[int, list[int]] = {}
+                for leaf in walk(q, sizes, t, top):
+                    first, parts = place[leaf]
+                    for bin_ in range(first, first + parts):
+                        by.setdefault(bin_, []).append(leaf)
+                at += [i] * len(by)
+                to += by
+                leaves += by.values()
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(leaves, pa.list_(pa.int64()))], ["bin", "id", "v", "leaves"])
         trim()
 
-    walks = cut(asked.select("id", "v").mapInArrow(ask, "leaf long, id long, v array<double>"), "walks")
-    many = walks.groupBy("leaf").agg(F.count("*").alias("n"))
-    grid = {r["leaf"]: (max(1, -(-sizes[r["leaf"]] // PART_ROWS)), max(1, -(-r["n"] // PART_QUERIES))) for r in many.collect()}
-    shape = spark.createDataFrame([(leaf, a, b) for leaf, (a, b) in grid.items()], "leaf long, parts int, rows int")
-
-    def dealt(df: DataFrame, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
-        placed = df.join(F.broadcast(shape), "leaf")
-        return placed.select("leaf", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own_name), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_name), "id", "v")
-
-    where = ["leaf", "part", "row"]
-    filed, asking = dealt(index, "parts", "rows", "part", "row"), dealt(walks, "rows", "parts", "row", "part")
+    walks = cut(asked.select("id", "v").mapInArrow(ask, "bin long, id long, v array<double>, leaves array<long>"), "walks")
+    shape = spark.createDataFrame([(r["bin"], -(-r["n"] // BIN_QUERIES)) for r in walks.groupBy("bin").agg(F.count("*").alias("n")).collect()], "bin long, rows int")
+    places = spark.createDataFrame([(leaf, *p) for leaf, p in place.items()], "leaf long, first long, parts int")
+    dealt = F.xxhash64("id")
+    filed = index.join(F.broadcast(places), "leaf").withColumn("bin", F.col("first") + F.pmod(dealt, F.col("parts")))
+    filed = filed.join(F.broadcast(shape), "bin").select("bin", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "leaf", "id", "v")
+    asking = walks.join(F.broadcast(shape), "bin").select("bin", F.pmod(dealt, F.col("rows")).cast("int").alias("row"), "id", "v", "leaves")
 
     def meet(key_, left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
         if left.num_rows and right.num_rows:
-            ids, x = left.column("id").to_numpy(), matrix(left.column("v").combine_chunks())
-            qs = list(zip(right.column("id").to_pylist(), matrix(right.column("v").combine_chunks())))
+            ids, leaf, x = left.column("id").to_numpy(), left.column("leaf").to_numpy(), matrix(left.column("v").combine_chunks())
+            qs, visited = list(zip(right.column("id").to_pylist(), matrix(right.column("v").combine_chunks()))), right.column("leaves").to_pylist()
             for i in range(0, len(qs), 128):
-                found += best(ids, x, qs[i:i + 128], k)
+                found += best(ids, x, qs[i:i + 128], k, leaf, visited[i:i + 128])
         trim()
         return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["query_id", "vec_id", "score"])
 
+    where = ["bin", "row"]
     met = filed.groupBy(*where).cogroup(asking.groupBy(*where)).applyInArrow(meet, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

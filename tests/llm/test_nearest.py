@@ -39,8 +39,8 @@ def test_recall_on_the_table(spark, sf, con):
 
 @pytest.mark.parametrize("part", [2_048, 7])
 def test_hot_group_and_ties(spark, monkeypatch, part):
-    monkeypatch.setattr(nearest, "PART_ROWS", part)
-    monkeypatch.setattr(nearest, "PART_QUERIES", 3)
+    monkeypatch.setattr(nearest, "BIN_ROWS", part)
+    monkeypatch.setattr(nearest, "BIN_QUERIES", 3)
     monkeypatch.setattr(nearest, "LEAF_ROWS", 30)
     rng = np.random.default_rng(1)
     hot = rng.normal(size=8)
