@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, contamination, html, jaccard, katz, language, lines, nearest, shards, urls
+from pagegrain.llm import bpe, contamination, extraction, jaccard, katz, language, lines, nearest, shards, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,7 +118,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (fp) LEFT JOIN m ON m.node =
 @query
 def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """The main text of every whole page."""
-    out = html.extract(table(spark, sf, "pages"), "text")
+    out = extraction.extract(table(spark, sf, "pages"), "text")
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 

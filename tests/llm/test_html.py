@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from pagegrain.llm.html import extract, main_text
+from pagegrain.llm.extraction import extract, main_text
 from pagegrain.llm.queries import QUERIES
 
 LONG = "A sentence that is long enough, with commas, to count as the text of an article."
