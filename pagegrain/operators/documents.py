@@ -43,10 +43,13 @@ def anchored_markdown(parts: DataFrame) -> DataFrame:
     return parts.select(DOC, F.array_join(lines, "\n").alias("markdown"))
 
 
-def plain_markdown(pages: DataFrame, dialect: str = "file", items: str = "items") -> DataFrame:
-    """Document Markdown: the non-empty blocks of a dialect, each followed by a blank line."""
-    blocks = F.filter(F.transform(items, lambda i: markdown.block_markdown(i["type"], i["text"], i["html"], dialect)), lambda b: b != "")
-    return pages.select(DOC, F.array_join(F.flatten(F.transform(blocks, lambda b: F.array(b, F.lit("")))), "\n").alias("markdown"))
+def plain_markdown(pages: DataFrame, items: str = "items", **dialects: str) -> DataFrame:
+    """Document Markdown, a column a dialect: the non-empty blocks, each followed by a blank line."""
+    def text(dialect: str) -> Column:
+        blocks = F.filter(F.transform(items, lambda i: markdown.block_markdown(i["type"], i["text"], i["html"], dialect)), lambda b: b != "")
+        return F.array_join(F.flatten(F.transform(blocks, lambda b: F.array(b, F.lit("")))), "\n")
+
+    return pages.select(DOC, *(text(d).alias(name) for name, d in (dialects or {"markdown": "file"}).items()))
 
 
 def raw_markdown(pages: DataFrame, lines: str = "lines") -> DataFrame:

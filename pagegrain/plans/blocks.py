@@ -157,7 +157,7 @@ def block_findings(spark, sf):
     return blocks.validated_blocks(_damaged(spark, sf)).where(F.col("severity").isNotNull())
 
 
-_VERDICT = _FOUND + """, r AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, ord % 5 ORDER BY ord) AS k FROM br WHERE doc_id % 2 = 0) WHERE k > 1 GROUP BY doc_id),
+_VERDICT = _FOUND + """, r AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, ord % 5 ORDER BY ord) AS k FROM br) WHERE k > 1 GROUP BY doc_id),
 v AS (SELECT d.doc_id, d.doc_id % 9 <> 0 AND d.doc_id % 10 <> 0 AS ok, (d.doc_id % 9 = 0)::BIGINT + (d.doc_id % 10 = 0)::BIGINT AS heads,
   coalesce((SELECT count(*) FROM f WHERE f.doc_id = d.doc_id AND severity = 'error'), 0) + coalesce(r.n, 0) AS errs, coalesce((SELECT count(*) FROM f WHERE f.doc_id = d.doc_id AND severity = 'warning'), 0) AS warns,
   coalesce((SELECT count(*) FROM br WHERE br.doc_id = d.doc_id), 0) AS blocks FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id),
@@ -172,7 +172,7 @@ def document_verdicts(spark, sf):
     docs = inputs.table(spark, sf, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 9 == 0, 0).otherwise(1700000000000).alias("time"), F.when(F.col("doc_id") % 10 == 0, " ").otherwise(blocks.VERSION).alias("version"))
     ids = F.transform("regions", lambda r: F.concat(F.lit("b"), (r["ord"] % 5).cast("string")))
-    repeats = blocks.repeated_ids(inputs.pages(spark, sf).where(F.col("doc_id") % 2 == 0).select("doc_id", ids.alias("ids")))
+    repeats = blocks.repeated_ids(inputs.pages(spark, sf).select("doc_id", ids.alias("ids")))
     return blocks.verdict_report(blocks.verdicts(blocks.validated_blocks(_damaged(spark, sf)), docs, repeats))
 
 
