@@ -7,12 +7,17 @@ the first n - ceil(0.8 n) + 1 are its prefix, and linked rows share a column of
 their prefixes. The product runs over blocks of columns (buckets of shingles),
 in three steps:
 
-1. In a column, every row is multiplied with the column's first row alone. What
-   links becomes components. So a group of near copies costs a pair a member.
-2. Columns whose rows lie in more than one component are multiplied in full, but
-   for pairs inside a component. Their counts add up to the overlap within the
-   prefixes, and pairs that cannot reach the overlap their sizes ask for go.
-3. The shingles of the pairs that remain are intersected.
+1. In a column, every row is multiplied with two others alone: the column's first
+   row, and the next in an order that differs between columns. What links becomes
+   components. So a group of near copies costs a few pairs a member.
+2. Columns of three rows or more that lie in more than one component are
+   multiplied in full, but for pairs inside a component.
+3. The rows of the pairs that both steps name are multiplied block by block: the
+   overlap adds up over blocks of columns, and a pair goes as soon as the entries
+   that are left cannot reach the overlap its sizes ask for.
+
+In steps 1 and 2 a pair is named only if its sizes, and the entries that follow
+the shared column, can reach that overlap.
 
 Rarity: 40-bit fingerprints of all shingles are counted, and the ``FREQUENT``
 commonest go to the tasks as sorted arrays; any order gives the same links, so
@@ -32,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagegrain.llm.common import Hashes, cut, in_slices, mixed, packed, sorted_packed, sorted_unpacked, trim, unpacked, words
 from pagegrain.llm.components import components
@@ -41,6 +47,10 @@ PERCENT = 80
 FREQUENT = 1 << 19
 LEAST_FREQUENT = 8
 HOT = 2_000
+#: Blocks of columns, a power of two, over which the overlap of a pair is added up.
+BLOCKS = 8
+#: Earlier columns of a document that are looked at to meet a pair once.
+BACK = 4
 BROADCAST_ROWS = 1 << 20
 _STEP = 1 << 21
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -62,11 +72,6 @@ def prefix_length(n: int) -> int:
     return n + (-PERCENT * n // 100) + 1
 
 
-def needed(a, b):
-    """Least overlap of linked sets of these sizes, as a column."""
-    return F.ceil(PERCENT * (F.col(a) + F.col(b)) / F.lit(100 + PERCENT))
-
-
 def _buckets(docs: DataFrame) -> int:
     return max(8, 4 * docs.rdd.getNumPartitions())
 
@@ -187,37 +192,46 @@ def postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
     return docs.mapInArrow(build, "bucket int, gram binary, real binary, key binary, n binary, pos binary")
 
 
-STAR = "gram long, real long, key long, n long, pos long, pivot long, pivot_n long, pivot_pos long"
+STAR = "gram long, real long, key long, n long, pos long, pivot long, may boolean, next long, may_next boolean"
+
+
+def may_link(n, pos, other_n, other_pos):
+    """Whether documents that meet in a column at these positions can overlap enough, by length and by what follows."""
+    need = -(-PERCENT * (n + other_n) // (100 + PERCENT))
+    return (np.minimum(n - pos, other_n - other_pos) >= need) & (100 * np.minimum(n, other_n) >= PERCENT * np.maximum(n, other_n))
 
 
 def stars(packed_postings: DataFrame) -> DataFrame:
-    """The entries of every column that holds two documents or more, each with the first of its column. Written to the shared folder."""
+    """The entries of the columns with the first of their column. Written to the shared folder.
+
+    Of a column of two documents only the pair is kept, and only where it may
+    link; of a larger one every entry, with the next one in an order that differs
+    from column to column; of a split one also single entries.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         kinds = {"real": np.uint64, "key": np.int64, "n": np.uint32, "pos": np.uint32}
         g = np.concatenate([sorted_unpacked(x) for x in table.column("gram").to_pylist()])
         cols = {c: np.concatenate([unpacked(x, t) for x in table.column(c).to_pylist()]) for c, t in kinds.items()}
-        order = np.argsort(g, kind="stable")
-        g = g[order]
-        first = np.diff(g, prepend=~g[:1]) != 0
-        run = np.cumsum(first) - 1
-        keep = np.bincount(run)[run] > 1
-        g, order = g[keep], order[keep]
-        cols = {c: x[order] for c, x in cols.items()}
         order = np.lexsort((cols["key"], g))
-        g, cols = g[order], {c: x[order] for c, x in cols.items()}
-        again = np.zeros(g.size, bool)
-        again[1:] = (g[1:] == g[:-1]) & (cols["key"][1:] == cols["key"][:-1])
-        g, cols = g[~again], {c: x[~again] for c, x in cols.items()}
-        starts = np.flatnonzero(np.diff(g, prepend=~g[:1]) != 0) if g.size else np.zeros(0, int)
+        g, cols = g[order], {c: x[order].view(np.int64) if x.dtype.itemsize == 8 else x[order].astype(np.int64) for c, x in cols.items()}
+        new = np.ones(g.size, bool)
+        new[1:] = (g[1:] != g[:-1]) | (cols["key"][1:] != cols["key"][:-1])
+        g, cols = g[new], {c: x[new] for c, x in cols.items()}
+        starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         sizes = np.diff(starts, append=g.size)
-        pivot = np.repeat(starts, sizes)
-        alone = np.repeat(sizes, sizes) < 2
-        use = ~alone | (cols["real"] != 0)
-        out = {"gram": g.view(np.int64), "real": cols["real"].view(np.int64), **{c: cols[c].astype(np.int64) for c in ("key", "n", "pos")},
-               **{f"pivot{x}": cols[c][pivot].astype(np.int64) for c, x in (("key", ""), ("n", "_n"), ("pos", "_pos"))}}
+        pivot, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+        other = np.arange(g.size) != pivot
+        may = other & may_link(cols["n"], cols["pos"], cols["n"][pivot], cols["pos"][pivot])
+        use = (size > 2) | may | (cols["real"] != 0)
+        turn = np.lexsort((mixed(cols["key"].view(np.uint64) ^ g), g))
+        here, after = turn[:-1], turn[1:]
+        follows, may_next = np.arange(g.size), np.zeros(g.size, bool)
+        follows[here] = after
+        may_next[here] = (g[here] == g[after]) & (size[here] > 2) & may_link(cols["n"][here], cols["pos"][here], cols["n"][after], cols["pos"][after])
+        out = {"gram": g.view(np.int64), **cols, "pivot": cols["key"][pivot], "may": may, "next": cols["key"][follows], "may_next": may_next}
         trim()
-        return pa.table({c: x[use] for c, x in out.items()})
+        return pa.table({c: out[c][use] for c in ("gram", "real", "key", "n", "pos", "pivot", "may", "next", "may_next")})
 
     return cut(packed_postings.groupBy("bucket").applyInArrow(meet, STAR), "stars")
 
@@ -241,15 +255,22 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = cut(pairs, "pairs")
     sets = set_of(docs, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
 
+    def reach(x: np.ndarray, y: np.ndarray) -> bool:
+        """Adds up the overlap block of columns by block, as long as what is left can still reach the overlap that the sizes ask for."""
+        need, shared = -(-PERCENT * (x.size + y.size) // (100 + PERCENT)), 0
+        edges = np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(64 - BLOCKS.bit_length() + 1)
+        xs, ys = [0, *np.searchsorted(x, edges).tolist(), x.size], [0, *np.searchsorted(y, edges).tolist(), y.size]
+        for i in range(BLOCKS):
+            if shared + min(x.size - xs[i], y.size - ys[i]) < need:
+                return False
+            both = np.concatenate((x[xs[i]:xs[i + 1]], y[ys[i]:ys[i + 1]]))
+            both.sort()
+            shared += int((both[1:] == both[:-1]).sum())
+        return shared >= need
+
     def judge(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= PERCENT * (x.size + y.size - shared))
+            keep = [reach(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         trim()
 
@@ -257,32 +278,39 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "ga", "gb").mapInArrow(judge, "a long, b long"), "links")
 
 
-def _close(na: str, nb: str):
-    return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
-
-
 def first_pairs(columns: DataFrame) -> DataFrame:
-    """a < b: every entry with the first of its column, by length and position; and the first of the parts of a split column."""
-    may = (F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) >= needed("n", "pivot_n")) & _close("n", "pivot_n")
-    direct = columns.where((F.col("key") != F.col("pivot")) & may).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+    """a < b: every entry with the first and the next of its column, where they may link; and the first of the parts of a split column."""
+    chain = columns.where("may_next").select(F.least("key", "next").alias("a"), F.greatest("key", "next").alias("b"))
+    direct = columns.where("may").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
     tops = columns.where((F.col("real") != 0) & (F.col("key") == F.col("pivot"))).select("real", "pivot")
     least = tops.groupBy("real").agg(F.min("pivot").alias("a"))
     across = tops.join(least, "real").where(F.col("a") != F.col("pivot")).select("a", F.col("pivot").alias("b"))
-    return direct.unionByName(across).distinct()
+    return direct.unionByName(chain).unionByName(across).distinct()
 
 
 def rest_pairs(columns: DataFrame, labels: DataFrame) -> DataFrame:
-    """a < b in different components, from columns that hold more than one; counts of shared columns bound the overlap."""
+    """a < b in different components that may link, from the columns of three documents or more that hold more than one component.
+
+    A pair in a column of two has been tested; of linked documents, the first
+    column that they share shows that they may link. So a column is skipped for a
+    pair that also shares one of the last ``BACK`` open columns of either: the
+    pair has been met there, or before.
+    """
     gram = F.when(F.col("real") != 0, F.col("real")).otherwise(F.col("gram"))
-    rows = columns.select(gram.alias("gram"), "key", "n").join(labels, F.col("key") == F.col("node"), "left").select("gram", "key", "n", F.coalesce("label", "key").alias("label"))
-    open_ = rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("gram")
-    rows = cut(rows.join(open_, "gram", "left_semi"), "open-columns")
-    x = rows.select("gram", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = rows.select("gram", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    met = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _close("na", "nb"))
-    beyond = F.greatest(*(F.ceil(PERCENT * F.col(c) / F.lit(100)) - 1 for c in ("na", "nb")))
-    counted = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return counted.where(F.col("shared") + beyond >= needed("na", "nb")).select("a", "b")
+    many = columns.select(gram.alias("gram"), "key", "n", "pos")
+    rows = many.join(labels, F.col("key") == F.col("node"), "left").select("gram", "key", "n", "pos", F.coalesce("label", "key").alias("label"))
+    open_ = rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+    open_ = open_.where((F.col("lo") != F.col("hi")) & (F.col("size") > 2)).select("gram")
+    rows = rows.join(open_, "gram", "left_semi")
+    mine, all_mine = Window.partitionBy("key").orderBy("pos", "gram"), Window.partitionBy("key")
+    last = F.array_compact(F.array(*(F.lag("gram", i).over(mine) for i in range(1, BACK + 1))))
+    one_text = F.min("n").over(all_mine) == F.max("n").over(all_mine)
+    rows = cut(rows.withColumn("last", F.when(one_text, last).otherwise(F.array().cast("array<bigint>"))), "open-columns")
+    x = rows.select("gram", F.col("last").alias("ga"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    y = rows.select("gram", F.col("last").alias("gb"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    need = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / F.lit(100 + PERCENT))
+    may = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    return x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & may & ~F.arrays_overlap("ga", "gb")).select("a", "b").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
