@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.operators import jobs
 from pagegrain.operators.skew import latest_by
+from pagegrain.plans import inputs
 from pagegrain.plans.chunks import _PARA, _chunks_sql, _fold
 from pagegrain.plans.jobs import STATE_SQL, _END, _J, shown_states, updates
 from pagegrain.plans.registry import query
@@ -14,7 +15,8 @@ from pagegrain.streaming import live
 
 
 def _events(spark, sf):
-    return live.table_stream(spark, sf, "events")
+    """All events in three batches by time."""
+    return live.replay(inputs.table(spark, sf, "events"), shared_dir(spark, "events"), "ts")
 
 
 def _run(spark, df, sink_of, mode="append"):
@@ -79,7 +81,8 @@ SELECT a.event_id // 2 AS op_id, 'op' || a.event_type AS name, b.value > 20 AS s
 WHERE b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR""")
 def live_pairs(spark, sf):
     """Even events start an operation and the next odd event ends it."""
-    e = lambda k: _events(spark, sf).where(F.col("event_id") % 2 == k).select(
+    events = _events(spark, sf)
+    e = lambda k: events.where(F.col("event_id") % 2 == k).select(
         F.floor(F.col("event_id") / 2).alias("op_id"), "ts", F.concat(F.lit("op"), "event_type").alias("name"), (F.col("value") > 20).alias("success"))
     out = _run(spark, live.paired_streams(e(0), e(1)), live.batch_folder)
     return spark.read.parquet(out).select("op_id", "name", "success", F.round("duration", 3).alias("duration"))

@@ -28,6 +28,22 @@ def table_stream(spark: SparkSession, folder: str, name: str, per_batch: int = 1
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.names else s
 
 
+def replay(table: DataFrame, path: str, order: str, parts: int = 3) -> DataFrame:
+    """A table as a stream of ``parts`` batches in time order: one append after the other, one file a trigger."""
+    cuts = table.agg(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    edges = [None, *cuts, None]
+    for lo, hi in zip(edges, edges[1:]):
+        part = table
+        if lo is not None:
+            part = part.where(at > lo)
+        if hi is not None:
+            part = part.where(at <= hi)
+        part.coalesce(1).write.mode("append").parquet(path)
+    s = table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return s.withColumn(order, F.col(order).cast("timestamp"))
+
+
 def batch_folder(path: str, *labels: str) -> Sink:
     """Sink that writes every micro-batch to its own folder, replacing it on a retry."""
     def write(df: DataFrame, batch: int) -> None:

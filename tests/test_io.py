@@ -11,7 +11,7 @@ from pagegrain.functions.clean import let
 from pagegrain.operators import skew
 from pagegrain.plans import stages
 from pagegrain.session import shared_dir
-from pagegrain.sources import readers, writers
+from pagegrain.sources import keyed, readers, writers
 
 
 def test_uploads(spark, tmp_path):
@@ -34,12 +34,42 @@ def test_layout_items_of_three_shapes(spark, tmp_path):
     assert rows[0].bbox == [100.0, 50.0, 500.0, 80.0] and rows[0].score == "0.95"
 
 
-def test_rewriting_an_index_changes_nothing(spark, tmp_path):
+def test_saving_some_keeps_the_rest(spark, tmp_path):
     rows = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit("_chunk_0")).alias("chunk_id"), F.lit("t").alias("text"))
     path = str(tmp_path / "index")
     for _ in range(2):
         writers.write_index(rows, path)
-    assert spark.read.parquet(path).count() == 50
+    writers.write_index(rows.where("doc_id = 7").withColumn("text", F.lit("new")), path)
+    writers.delete_from_index(rows.where("doc_id = 8"), path)
+    for vacuumed in (False, True):
+        got = {r.doc_id: r.text for r in keyed.load(spark, path).collect()}
+        assert got == {i: "new" if i == 7 else "t" for i in range(50) if i != 8}
+        if not vacuumed:
+            keyed.vacuum(spark, path)
+    writers.delete_from_index(rows, path)
+    assert keyed.load(spark, path).count() == 0 and keyed.load(spark, path).columns == rows.columns
+    writers.write_results(rows, str(tmp_path / "results"), "doc_id")
+    writers.write_results(rows.where("doc_id = 7").withColumn("text", F.lit("a\n\"b\"")), str(tmp_path / "results"), "doc_id")
+    got = {r.doc_id: r.text for r in keyed.load(spark, str(tmp_path / "results")).collect()}
+    assert len(got) == 50 and got[7] == 'a\n"b"'
+
+
+def test_layout_results_keep_nulls_and_quotes(spark):
+    items = spark.createDataFrame([(1, [("ti\"t\\le", 1.0, 2.0, 3.0, 4.0, "a\nb", None, 0.5), (None, 1.0, 2.0, 3.0, 4.0, None, "<table>", None)])],
+                                  "doc_id long, items array<struct<type:string,x1:double,y1:double,x2:double,y2:double,text:string,html:string,confidence:double>>")
+    record = json.loads(writers.layout_results(items).first()["value"])
+    assert record["total_items"] == 2 and [i["type"] for i in record["items"]] == ['ti"t\\le', None]
+    assert record["items"][0]["res"][0] == {"text": "a\nb", "confidence": 0.5} and record["items"][1]["res"]["html"] == "<table>"
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    from pagegrain.streaming import live
+    sink = live.corrections_sink(str(tmp_path / "c"), ["k"], ["ts"], "position")
+    first, second = (spark.createDataFrame(rows, "k long, v string, ts long, position long") for rows in ([(1, "a", 1, 1), (2, "b", 1, 2)], [(1, "c", 2, 3)]))
+    for df, batch in ((first, 0), (second, 1), (second, 1)):
+        sink(df, batch)
+    got = live.current_corrections(spark.read.parquet(str(tmp_path / "c")), ["k"], ["ts"], "position").collect()
+    assert sorted((r.k, r.v, r.position) for r in got) == [(1, "c", 1), (2, "b", 2)]
 
 
 def test_vector_count_mismatch_is_an_error(spark):
@@ -86,12 +116,26 @@ def test_compositions(spark, sf):
 
 def test_shared_folder_is_used_when_named():
     class Named:
+        sparkContext = None
+
         class conf:
             get = staticmethod(lambda key, default=None: "/shared/cp" if key == "spark.checkpoint.dir" else default)
 
     assert shared_dir(Named, "x").startswith("/shared/cp/x-")
 
 
+def test_an_unset_folder_is_an_error_on_a_cluster():
+    class Unset:
+        class sparkContext:
+            master = "yarn"
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Unset, "x")
+
+
 def test_user_encoder_and_query_instruction(spark):
     from pagegrain.operators import retrieval
     seen = retrieval.encode(spark.createDataFrame([(1, "abc")], "id int, text string"), is_query=True, instruction="find: ",
