@@ -17,13 +17,19 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Only where no master is given: a high number of partitions for the optimizer to start from, and stream state on disk.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 
 def build_session(name: str = "pagegrain", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above; on a cluster leave ``master`` unset."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **({} if master else CLUSTER_SETTINGS), **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
