@@ -116,14 +116,29 @@ def review_summary(found: Column, confidences: Column) -> Column:
     return F.struct(F.size(found).alias("total_fields"), F.size(real).alias("found_fields"), pct.alias("mean_percent"))
 
 
+def transcript_header(turns: DataFrame, key: str, exported_at: str) -> DataFrame:
+    """The head of every conversation's transcript: time of export, key and number of exchanges."""
+    n = turns.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    text = F.concat(F.lit("# 文档问答对话日志\n\n**导出时间**: "), F.lit(exported_at), F.lit("\n**文档 Job ID**: "), F.coalesce(F.col(key).cast("string"), F.lit("未知")),
+                    F.lit("\n**对话轮数**: "), F.col("_n").cast("string"), F.lit("\n\n---\n\n"))
+    return n.select(key, text.alias("section"))
+
+
 def transcript(turns: DataFrame, key: str, order: str) -> DataFrame:
-    """Transcript sections, one row per exchange, ready to be written in order.
+    """Transcript sections, one row per exchange, ready to be written in order after the header.
 
     Sections stay separate rows so that a conversation of any length is never
-    gathered on one task. Needs ``number``, ``question``, ``answer``, ``confidence``.
+    gathered on one task. Needs ``number``, ``question``, ``answer``, ``confidence``,
+    ``references`` (array), ``processing_time`` in seconds, ``found`` and
+    ``answered_at`` (text); the line of a null time is left out.
     """
-    text = F.concat(F.lit("## 对话 "), F.col("number").cast("string"), F.lit("\n\n### 🙋 用户问题\n\n"), "question", F.lit("\n\n### 🤖 AI 回答\n\n"), "answer",
-                    F.lit("\n\n#### 📊 元数据\n\n| 指标 | 值 |\n|------|----|\n| 置信度 | "), F.format_string("%.1f%%", F.col("confidence") * 100), F.lit(" |\n\n---\n\n"))
+    quoted = F.array_join(F.transform("references", lambda r, i: F.concat(F.lit("> "), (i + 1).cast("string"), F.lit('. "'), r, F.lit('"\n\n'))), "")
+    sources = F.when(F.size("references") > 0, F.concat(F.lit("#### 📎 参考原文\n\n"), quoted)).otherwise("")
+    when = F.when(F.col("answered_at").isNotNull(), F.concat(F.lit("| 回答时间 | "), "answered_at", F.lit(" |\n"))).otherwise("")
+    text = F.concat(F.lit("## 对话 "), F.col("number").cast("string"), F.lit("\n\n### 🙋 用户问题\n\n"), "question", F.lit("\n\n### 🤖 AI 回答\n\n"), "answer", F.lit("\n\n"), sources,
+                    F.lit("#### 📊 元数据\n\n| 指标 | 值 |\n|------|----|\n| 置信度 | "), F.format_string("%.1f%%", F.col("confidence") * 100),
+                    F.lit(" |\n| 处理时间 | "), F.format_string("%.2fs", F.col("processing_time")), F.lit(" |\n| 文档中找到 | "), F.when(F.col("found"), "是").otherwise("否"),
+                    F.lit(" |\n"), when, F.lit("\n---\n\n"))
     return turns.select(key, order, text.alias("section"))
 
 

@@ -115,19 +115,35 @@ def review_summary(spark, sf):
     return d.select("doc_id", "r.*")
 
 
-@query("md8_transcript", """
-WITH x AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number FROM x WHERE role = 'user' AND next_role = 'assistant')
-SELECT conv_id, turn, md5('## 对话 ' || number || chr(10) || chr(10) || '### 🙋 用户问题' || chr(10) || chr(10) || text || chr(10) || chr(10) || '### 🤖 AI 回答' || chr(10) || chr(10) || answer || chr(10) || chr(10) || '#### 📊 元数据' || chr(10) || chr(10)
- || '| 指标 | 值 |' || chr(10) || '|------|----|' || chr(10) || '| 置信度 | ' || CASE WHEN length(answer) > 50 THEN '90.0' ELSE '80.0' END || '% |' || chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS digest FROM q""")
-def transcript(spark, sf):
+_EXCHANGES = """x AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number FROM x WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+def _exchanges(spark, sf):
     """Question and answer are neighbouring turns: an equi join on the next turn, numbered per conversation in buckets."""
     c = inputs.table(spark, sf, "conversations")
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    pairs = running_total(q.join(a, ["conv_id", "turn"]), ["conv_id"], "turn", F.lit(1), F.floor(F.col("turn") / 4), "number")
-    t = prompts.transcript(pairs.withColumn("confidence", answer_confidence(F.col("answer"))), "conv_id", "turn")
-    return t.select("conv_id", "turn", F.md5(F.col("section").cast("binary")).alias("digest"))
+    return running_total(q.join(a, ["conv_id", "turn"]), ["conv_id"], "turn", F.lit(1), F.floor(F.col("turn") / 4), "number")
+
+
+@query("md8_transcript", f"""
+WITH {_EXCHANGES}
+SELECT conv_id, turn, md5('## 对话 ' || number || chr(10) || chr(10) || '### 🙋 用户问题' || chr(10) || chr(10) || text || chr(10) || chr(10) || '### 🤖 AI 回答' || chr(10) || chr(10) || answer || chr(10) || chr(10)
+ || CASE WHEN number % 2 = 1 THEN '#### 📎 参考原文' || chr(10) || chr(10) || '> 1. "' || substr(answer, 1, 9) || '"' || chr(10) || chr(10) || '> 2. "' || number || '"' || chr(10) || chr(10) ELSE '' END || '#### 📊 元数据' || chr(10) || chr(10)
+ || '| 指标 | 值 |' || chr(10) || '|------|----|' || chr(10) || '| 置信度 | ' || CASE WHEN length(answer) > 50 THEN '90.0' ELSE '80.0' END || '% |' || chr(10) || '| 处理时间 | ' || printf('%.2f', length(answer) / 100) || 's |' || chr(10)
+ || '| 文档中找到 | ' || CASE WHEN length(answer) > 60 THEN '是' ELSE '否' END || ' |' || chr(10) || CASE WHEN number % 3 = 1 THEN '| 回答时间 | t' || number || ' |' || chr(10) ELSE '' END || chr(10) || '---' || chr(10) || chr(10)) AS digest FROM q""")
+def transcript(spark, sf):
+    n, length = F.col("number"), F.length("answer")
+    t = _exchanges(spark, sf).withColumns({
+        "confidence": answer_confidence(F.col("answer")), "references": F.when(n % 2 == 1, F.array(F.substring("answer", 1, 9), n.cast("string"))), "processing_time": length / 100, "found": length > 60,
+        "answered_at": F.when(n % 3 == 1, F.concat(F.lit("t"), n.cast("string")))})
+    return prompts.transcript(t, "conv_id", "turn").select("conv_id", "turn", F.md5(F.col("section").cast("binary")).alias("digest"))
+
+
+@query("md8_transcript_header", f"""WITH {_EXCHANGES} SELECT conv_id, '# 文档问答对话日志' || chr(10) || chr(10) || '**导出时间**: now' || chr(10) || '**文档 Job ID**: ' || conv_id || chr(10) || '**对话轮数**: ' || count(*) || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS section FROM q GROUP BY conv_id""")
+def transcript_header(spark, sf):
+    return prompts.transcript_header(_exchanges(spark, sf), "conv_id", "now")
 
 
 # Changes: parts by key; keys beyond the base are inserts, some of them faulty.
