@@ -32,24 +32,24 @@ from pyspark.sql.window import Window
 
 from pagegrain.llm.common import cut
 
-RARITY_BUCKETS = 1 << 16
-LIGHT = 32
+RARITY_BUCKETS = 1 << 20
+LIGHT = 640
 #: Rows up to which keys or positions are broadcast, some tens of MB; beyond, the optimizer shuffles.
 BROADCAST_ROWS = 1 << 20
 PERCENT = 80
 
 
-def line_words(line: Column) -> Column:
-    """Distinct lower-cased words; the pattern is needed only where white space other than a space occurs."""
-    low = F.lower(line)
-    return F.array_remove(F.array_distinct(F.when(low.rlike(r"[\t\x0B\f\r]"), F.split(low, r"[ \t\x0B\f\r]+")).otherwise(F.split(low, " "))), "")
+def plain(text: Column) -> Column:
+    """Lower-cased, with a space for each tab, vertical tab, form feed and carriage return."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[\t\x0B\f\r]"), F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low)
 
 
 def rarity(texts: DataFrame, text: str) -> DataFrame:
     """One row, ``levels``: for each bucket of word hashes a number that grows with the occurrences of its words, in the highest bits."""
     space = texts.sparkSession.range(RARITY_BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("n"))
-    words = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[ \n]")).alias("w")).where(F.col("w") != "")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).alias("bucket")).agg(F.count("*").alias("n"))
+    words = texts.select(F.explode(F.split(F.replace(plain(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where(F.col("w") != "")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
     each = counts.unionByName(space).groupBy("bucket").agg(F.sum("n").alias("n"))
     level = F.shiftleft(F.least(F.lit(2047), F.floor(F.log2(F.col("n") + 1) * 48)).cast("bigint"), 52)
     return each.select("bucket", level.alias("level")).agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda x: x["level"]).alias("levels"))
@@ -64,32 +64,47 @@ def prefix_length(n: Column) -> Column:
     return (n - F.ceil(F.lit(PERCENT) * n / 100) + 1).cast("int")
 
 
+def row_hash(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(0x7FFFFFFF)
+
+
 def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, at (hash of the text, then line number), line."""
-    row = docs.select(F.col(key).alias("doc"), F.shiftleft(F.xxhash64(F.col(text)).bitwiseAND(0x7FFFFFFF), 32).alias("row"), F.split(F.col(text), "\n").alias("lines"))
-    return row.select("doc", "row", F.posexplode_outer("lines").alias("pos", "line")).where(F.col("pos").isNotNull()).select("doc", (F.col("row") + F.col("pos")).alias("at"), "line")
+    """doc, at (hash of the text, then line number) and line, made plain, of the lines that have words."""
+    row = docs.select(F.col(key).alias("doc"), F.shiftleft(row_hash(F.col(text)), 32).alias("row"), F.split(plain(F.col(text)), "\n").alias("lines"))
+    each = row.select("doc", "row", F.posexplode_outer("lines").alias("pos", "line"))
+    return each.where(F.trim("line") != "").select("doc", (F.col("row") + F.col("pos")).alias("at"), "line")
 
 
 def prefixes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, at, sig, n, bits, prefix of every line that has words, written to the shared folder."""
-    hashes = F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))
-    codes = F.transform("hashes", lambda h: F.element_at("levels", (F.pmod(h, F.lit(RARITY_BUCKETS)) + 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 12)))
-    rows = numbered_lines(docs, key, text).withColumn("hashes", hashes).withColumn("levels", rarity(docs, text).scalar()).withColumn("codes", F.sort_array(codes)).withColumn("n", F.size("codes")).where(F.col("n") > 0)
-    return cut(rows.select("doc", "at", F.xxhash64("codes").alias("sig"), "n",
-                           F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int")))).alias("bits"),
-                           F.slice("codes", 1, prefix_length(F.col("n"))).alias("prefix")), "lines")
+    """doc, at, sig, n, bits, prefix of every line that has words, written to the shared folder.
+
+    No filter stands on a derived array, since the optimizer would push it down
+    and compute the array twice.
+    """
+    hashed = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    coded = F.transform("hashes", lambda h: F.get("levels", h.bitwiseAND(RARITY_BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 12)))
+    rows = numbered_lines(docs, key, text).withColumn("hashes", hashed).withColumn("levels", rarity(docs, text).scalar())
+    rows = rows.select("doc", "at", F.sort_array(coded).alias("codes"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))
+    return cut(rows.select("doc", "at", F.xxhash64("codes").alias("sig"), F.size("codes").alias("n"),
+                           F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(bit(c))).alias("bits"),
+                           F.slice("codes", 1, prefix_length(F.size("codes"))).alias("prefix")), "lines")
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """kind, code, a, b: filtered pairs of classes that share a light word, or for a heavy word its row b and the earliest row a."""
+    """kind, code, a, b: pairs of classes that share a light word and may match, or for a heavy word its row b and the earliest row a.
+
+    All sides read one shuffle by word; the filters are part of the join, so that
+    only pairs that may match become rows.
+    """
     classes = lines.groupBy("sig", "n").agg(F.min(F.struct("doc", "at", "bits", "prefix")).alias("first"))
-    rows = classes.select("n", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), F.col("first.bits").alias("bits"), F.posexplode("first.prefix").alias("j", "code"))
-    whole = Window.partitionBy("code")
-    me = F.struct("doc", "at", "n", "j", "bits")
-    posted = rows.select("code", me.alias("b")).withColumn("many", F.count("*").over(whole)).where(F.col("many") > 1)
-    light = posted.where(F.col("many") <= LIGHT)
-    pairs = light.select("code", F.col("b").alias("a")).join(light.select("code", "b"), "code").where(before("a", "b") & may_match("a", "b"))
-    heavy = posted.where(F.col("many") > LIGHT).withColumn("a", F.min("b").over(whole))
+    rows = classes.select("n", "first.doc", "first.at", "first.bits", F.posexplode("first.prefix").alias("j", "code"))
+    packed = rows.select("code", "doc", "at", "bits", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("j")).alias("nj")).where(F.col("code").isNotNull())
+    whole, me = Window.partitionBy("code"), F.struct("doc", "at", "nj", "bits")
+    posted = packed.withColumn("many", F.count("*").over(whole)).where(F.col("many") > 1)
+    light = posted.where(F.col("many") <= LIGHT).select("code", me.alias("a"))
+    pairs = light.join(light.select("code", F.col("a").alias("b")), "code").where(before("a", "b") & may_match("a", "b"))
+    heavy = posted.where(F.col("many") > LIGHT).select("code", me.alias("b")).withColumn("a", F.min("b").over(whole))
     return pairs.select(F.lit(0).alias("kind"), "code", "a", "b").unionByName(heavy.select(F.lit(1).alias("kind"), "code", "a", "b"))
 
 
@@ -100,10 +115,11 @@ def before(a: str, b: str) -> Column:
 def may_match(a: str, b: str) -> Column:
     """Length, position and parity filters on rows that share the word at position j."""
     x, y = F.col(a), F.col(b)
-    need = overlap_needed(x["n"], y["n"])
-    most = F.least(x["n"] - x["j"], y["n"] - y["j"])
-    parity = (x["n"] + y["n"] - F.bit_count(x["bits"].bitwiseXOR(y["bits"]))) >= 2 * need
-    return (100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])) & (most >= need) & parity
+    nx, ny = (F.shiftright(c["nj"], 32) for c in (x, y))
+    need = overlap_needed(nx, ny)
+    most = F.least(*(F.shiftright(c["nj"], 32) - c["nj"].bitwiseAND(0xFFFFFFFF) for c in (x, y)))
+    parity = (nx + ny - F.bit_count(x["bits"].bitwiseXOR(y["bits"]))) >= 2 * need
+    return (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & (most >= need) & parity
 
 
 def ids(pairs: DataFrame) -> DataFrame:
@@ -117,10 +133,12 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame) -> DataFram
     by_doc = wanted.groupBy("doc", F.shiftright("at", 32).alias("row")).agg(F.collect_list("at").alias("ats"))
     if wanted.count() <= BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
-    row = F.xxhash64(F.col(text)).bitwiseAND(0x7FFFFFFF)
+    row = row_hash(F.col(text))
     found = docs.select(F.col(key).alias("d"), row.alias("r"), F.col(text).alias("t")).join(by_doc, F.col("d").eqNullSafe(F.col("doc")) & (F.col("r") == F.col("row")))
-    each = found.select("doc", F.explode("ats").alias("at"), F.split("t", "\n").alias("lines"))
-    word_sets = each.select(F.struct("doc", "at").alias("id"), line_words(F.element_at("lines", F.col("at").bitwiseAND(0x7FFFFFFF).cast("int") + 1)).alias("words")).dropDuplicates(["id"])
+    cut_once = found.select("doc", "ats", F.split(plain(F.col("t")), "\n").alias("lines"))
+    each = cut_once.select("doc", F.explode(F.transform("ats", lambda at: F.struct(at.alias("at"), F.get("lines", at.bitwiseAND(0x7FFFFFFF).cast("int")).alias("line")))).alias("l")).select("doc", "l.at", "l.line")
+    line = F.col("line")
+    word_sets = each.select(F.struct("doc", "at").alias("id"), F.array_remove(F.array_distinct(F.split(line, " ")), "").alias("words")).dropDuplicates(["id"])
     both = pairs.join(word_sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(word_sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     return both.where(100 * shared >= PERCENT * (F.size("wa") + F.size("wb") - shared)).select("b.doc", "b.at").distinct()
@@ -153,7 +171,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lost: str |
     size = gone.agg(F.sum(F.size(names["at"]))).first()[0] or 0
     if size <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    row = F.xxhash64(docs[text]).bitwiseAND(0x7FFFFFFF)
+    row = row_hash(docs[text])
     joined = docs.join(gone, docs[key].eqNullSafe(gone[names["d"]]) & (row == gone[names["r"]]), "left")
     at = F.col(names["at"])
     kept = F.when(at.isNull(), docs[text]).otherwise(F.array_join(F.filter(F.split(docs[text], "\n"), lambda line, i: ~F.array_contains(at, i)), "\n"))
