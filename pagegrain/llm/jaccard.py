@@ -8,7 +8,7 @@ their prefixes. The product runs over blocks of columns (buckets of shingles),
 in three steps:
 
 1. In a column, every row is multiplied with two others alone: the column's first
-   row, and the next in an order that differs between columns. What links becomes
+   row and, in a large column, the next in an order of its own. What links becomes
    components. So a group of near copies costs a few pairs a member.
 2. Columns of three rows or more that lie in more than one component are
    multiplied in full, but for pairs inside a component.
@@ -27,7 +27,8 @@ is split over buckets; the first rows of its parts meet in a column of their own
 A text with fewer than five words is one shingle, the whole sequence; without
 words it has none and links with nothing. Rows with equal keys are one document
 for the links; a null key takes no part in them. An empty table gives an empty
-result. Hashes of 64 bits stand for shingles, 128 bits for sets.
+result. Hashes of 64 bits stand for shingles in columns, 48
+bits of them where two documents are compared, and 128 bits for sets.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ PERCENT = 80
 FREQUENT = 1 << 19
 LEAST_FREQUENT = 8
 HOT = 2_000
+#: Documents in a column from which each is also paired with the next.
+CHAINED = 16
 #: Blocks of columns, a power of two, over which the overlap of a pair is added up.
 BLOCKS = 8
 #: Earlier columns of a document that are looked at to meet a pair once.
@@ -228,7 +231,7 @@ def stars(packed_postings: DataFrame) -> DataFrame:
         here, after = turn[:-1], turn[1:]
         follows, may_next = np.arange(g.size), np.zeros(g.size, bool)
         follows[here] = after
-        may_next[here] = (g[here] == g[after]) & (size[here] > 2) & may_link(cols["n"][here], cols["pos"][here], cols["n"][after], cols["pos"][after])
+        may_next[here] = (g[here] == g[after]) & (size[here] > CHAINED) & may_link(cols["n"][here], cols["pos"][here], cols["n"][after], cols["pos"][after])
         out = {"gram": g.view(np.int64), **cols, "pivot": cols["key"][pivot], "may": may, "next": cols["key"][follows], "may_next": may_next}
         trim()
         return pa.table({c: out[c][use] for c in ("gram", "real", "key", "n", "pos", "pivot", "may", "next", "may_next")})
@@ -237,7 +240,7 @@ def stars(packed_postings: DataFrame) -> DataFrame:
 
 
 def set_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, grams: the shingles of these documents, written to the shared folder."""
+    """key, grams: the shingles of these documents, packed, by 48 bits of their hash, written to the shared folder."""
     keys = cut(keys.distinct(), "keys")
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
@@ -245,7 +248,7 @@ def set_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     def build(batches):
         hashes = Hashes(200_000)
         for ks, texts in in_slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([shingles(words(t), hashes).tobytes() for t in texts], pa.binary())], ["key", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([sorted_packed(np.unique(shingles(words(t), hashes) >> np.uint64(16))) for t in texts], pa.binary())], ["key", "grams"])
 
     return cut(docs.join(keys, "key", "left_semi").mapInArrow(build, "key long, grams binary"), "sets")
 
@@ -258,7 +261,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def reach(x: np.ndarray, y: np.ndarray) -> bool:
         """Adds up the overlap block of columns by block, as long as what is left can still reach the overlap that the sizes ask for."""
         need, shared = -(-PERCENT * (x.size + y.size) // (100 + PERCENT)), 0
-        edges = np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(64 - BLOCKS.bit_length() + 1)
+        edges = np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(48 - BLOCKS.bit_length() + 1)
         xs, ys = [0, *np.searchsorted(x, edges).tolist(), x.size], [0, *np.searchsorted(y, edges).tolist(), y.size]
         for i in range(BLOCKS):
             if shared + min(x.size - xs[i], y.size - ys[i]) < need:
@@ -270,7 +273,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def judge(batches):
         for b in batches:
-            keep = [reach(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
+            keep = [reach(sorted_unpacked(x), sorted_unpacked(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         trim()
 

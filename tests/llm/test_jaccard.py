@@ -58,6 +58,7 @@ def test_against_all_pairs(docs_of, seed):
 def test_split_columns(docs_of, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 3)
     monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 2)
+    monkeypatch.setattr(jaccard, "CHAINED", 2)
     rows = corpus(3)
     assert found(docs_of(rows).repartition(4)) == brute(rows)
 
