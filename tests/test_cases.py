@@ -189,11 +189,25 @@ def test_vector_top_k(spark):
     assert one(spark, c=vectors.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).c == 0.0
 
 
-def test_large_query_sets_shuffle_instead(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_hot_collection_may_be_dealt_over_parts(spark, parts):
     chunks = spark.createDataFrame([("a", 1, [0.5]), ("b", 2, [0.1])], "chunk_id string, job int, embedding array<float>")
     q = spark.createDataFrame([(7, 1, [0.4])], "query_id int, job int, query_vector array<float>")
-    assert [h.chunk_id for h in retrieval.similar(q, chunks, ["job"]).collect()] == ["a"]
+    assert [h.chunk_id for h in retrieval.similar(q, chunks, ["job"], parts=parts).collect()] == ["a"]
+
+
+def test_equal_times_go_by_arrival(spark):
+    rows = [(1, "j", 1.0, "create", None, 0.0, "c", None), (3, "j", 2.0, "update", "completed", 1.0, "late", None), (2, "j", 2.0, "update", "ocr_processing", 0.5, "early", None)]
+    for order in (rows, rows[::-1]):
+        assert jobs.job_states(_events(spark, order).repartition(3)).first().message == "late"
+
+
+def test_caps_are_arguments(spark):
+    many = spark.range(1200).select(F.col("id").alias("event_id"), F.lit("j").alias("job"), F.timestamp_seconds("id").alias("ts"), F.col("id").cast("double").alias("v"))
+    assert jobs.history(many, "job", "ts").count() == 1200 and jobs.history(many, "job", "ts", cap=5).count() == 5
+    newest = [F.col("event_id").desc()]
+    assert jobs.metric_summary(many, "job", "v", newest).first()["count"] == 1200 and jobs.metric_summary(many, "job", "v", newest, cap=7).first()["count"] == 7
+    assert jobs.trimmed_metrics(many, newest).count() == 500 and jobs.trimmed_metrics(many.limit(1000), newest).count() == 1000
 
 
 def test_progress_weights(spark):
