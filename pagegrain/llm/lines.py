@@ -11,7 +11,7 @@ Words are ordered by rarity: the occurrences of all words are counted in
 its hash. Any order gives the same result; this one needs no join of every word
 with its count. Of a line of n words the first n - ceil(0.8 n) + 1 are its
 prefix; similar lines share a prefix word. Pairs are also tested by length, by
-position and by a 64-bit parity map of the words, whose differing bits bound the
+position and by a 32-bit parity map of the words, whose differing bits bound the
 overlap from above, before their words are compared.
 
 Equal sets are one class from the start. Where more than ``LIGHT`` classes share
@@ -85,9 +85,9 @@ def prefixes(docs: DataFrame, key: str, text: str) -> DataFrame:
     coded = F.transform("hashes", lambda h: F.get("levels", h.bitwiseAND(RARITY_BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 12)))
     rows = numbered_lines(docs, key, text).withColumn("hashes", hashed).withColumn("levels", rarity(docs, text).scalar())
     rows = rows.select("doc", "at", F.sort_array(coded).alias("codes"))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1), c.bitwiseAND(31).cast("int"))
     return cut(rows.select("doc", "at", F.xxhash64("codes").alias("sig"), F.size("codes").alias("n"),
-                           F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(bit(c))).alias("bits"),
+                           F.aggregate("codes", F.lit(0), lambda a, c: a.bitwiseXOR(bit(c))).alias("bits"),
                            F.slice("codes", 1, prefix_length(F.size("codes"))).alias("prefix")), "lines")
 
 
@@ -118,7 +118,7 @@ def may_match(a: str, b: str) -> Column:
     nx, ny = (F.shiftright(c["nj"], 32) for c in (x, y))
     need = overlap_needed(nx, ny)
     most = F.least(*(F.shiftright(c["nj"], 32) - c["nj"].bitwiseAND(0xFFFFFFFF) for c in (x, y)))
-    parity = (nx + ny - F.bit_count(x["bits"].bitwiseXOR(y["bits"]))) >= 2 * need
+    parity = (nx + ny - F.bit_count(x["bits"].bitwiseXOR(y["bits"]).cast("bigint").bitwiseAND(0xFFFFFFFF))) >= 2 * need
     return (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & (most >= need) & parity
 
 
@@ -151,8 +151,12 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     heavy = found.where("kind = 1")
     first = cut(verified(docs, key, text, ids(found.where((F.col("kind") == 0) | (before("a", "b") & may_match("a", "b"))))), "line-matches")
     gone = first.select(F.col("doc").alias("gd"), F.col("at").alias("ga"))
-    left = heavy.select("code", "b").join(gone, F.col("b.doc").eqNullSafe(F.col("gd")) & (F.col("b.at") == F.col("ga")), "left_anti")
-    rest = left.join(heavy.select("code", F.col("b").alias("a")), "code").where(before("a", "b") & may_match("a", "b"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    flat = heavy.select("code", "b.doc", "b.at", "b.nj", "b.bits")
+    left = flat.join(gone, F.col("doc").eqNullSafe(F.col("gd")) & (F.col("at") == F.col("ga")), "left_anti")
+    row = F.struct("doc", "at", "nj", "bits")
+    rest = left.repartition("code").select("code", row.alias("b")).join(flat.repartition("code").select("code", row.alias("a")), "code").where(before("a", "b") & may_match("a", "b"))
     matched = first.unionByName(verified(docs, key, text, ids(rest))) if heavy.take(1) else first
     classes = lines.groupBy("sig", "n").agg(F.min(F.struct("doc", "at")).alias("first"))
     lost = matched.distinct().select(F.struct("doc", "at").alias("lost"))
