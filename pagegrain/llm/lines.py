@@ -137,9 +137,11 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame) -> DataFram
     found = docs.select(F.col(key).alias("d"), row.alias("r"), F.col(text).alias("t")).join(by_doc, F.col("d").eqNullSafe(F.col("doc")) & (F.col("r") == F.col("row")))
     cut_once = found.select("doc", "ats", F.split(plain(F.col("t")), "\n").alias("lines"))
     each = cut_once.select("doc", F.explode(F.transform("ats", lambda at: F.struct(at.alias("at"), F.get("lines", at.bitwiseAND(0x7FFFFFFF).cast("int")).alias("line")))).alias("l")).select("doc", "l.at", "l.line")
-    line = F.col("line")
-    word_sets = each.select(F.struct("doc", "at").alias("id"), F.array_remove(F.array_distinct(F.split(line, " ")), "").alias("words")).dropDuplicates(["id"])
-    both = pairs.join(word_sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(word_sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    # Lines travel as text, which is half of what their words take as arrays.
+    texts = each.select(F.struct("doc", "at").alias("id"), "line").dropDuplicates(["id"])
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    words = lambda line: F.array_remove(F.array_distinct(F.split(line, " ")), "")
+    both = both.select("a", "b", words("la").alias("wa"), words("lb").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     return both.where(100 * shared >= PERCENT * (F.size("wa") + F.size("wb") - shared)).select("b.doc", "b.at").distinct()
 
