@@ -1,31 +1,38 @@
 """Language-model scores by Katz backoff over words.
 
 Tokens are lower-cased words, then one end. Counts come from the rows where
-``train`` holds. The model is a bigram Katz model: a bigram seen at least
-``MIN_COUNT`` times has d(c) * c / c(history); the mass that is left goes to all
-other words in proportion to their unigram probability, so that every history is
-exactly normalised. A history whose bigrams leave no mass counts as seen once
-more. Unigrams are discounted too, and what the discounts free
-belongs to the unknown word. The discounts are Good-Turing ratios for counts up
-to ``DISCOUNTED``, from the counts of counts of all n-grams; where the data make
-a ratio senseless it is 1. The first word follows a start that is no token.
+``train`` holds. The model is a Katz model of n-grams up to ``order``: an n-gram
+seen c times, at least ``least`` times, has d(c) * c / c(history); the mass that is
+left goes to all other words in proportion to their probability one order lower,
+down to the unigrams, so that every history is exactly normalised. A history whose
+n-grams leave no mass counts as seen once more. Unigrams are discounted too, and
+what the discounts free belongs to the unknown word. The discounts are Good-Turing
+ratios for counts up to ``DISCOUNTED``, from the counts of counts of all n-grams of
+an order; where the data make a ratio senseless it is 1. The first word follows a
+start that is no token, and no history reaches beyond the start.
+
+``ORDER`` and ``least`` = 1, which keeps every n-gram, are the whole model; without
+arguments ``score`` is the bigram model of the n-grams seen ``MIN_COUNT`` times.
 
 The texts are blocks of word numbers (``blocks``). Word counts are summed by
-bucket of the word and return to the blocks; bigrams of a block go by their hash
+bucket of the word and return to the blocks; n-grams of a block go by their hash
 to buckets, and only counts return, in the order that the block knows. Each
-stored bigram is told once, with all its numbers, by one block that holds it;
-these rows are the model's bigram table, the backoff weights are their sums by
-history, combined before the shuffle, and return to the blocks by bucket of the
-word. Nothing is joined word by word, and no history gathers in one task.
+stored n-gram is told once by one block that holds it. For the backoff weights a
+block sends sums by history, by bucket of their hash, and gets back the weights
+that its own tokens need: of histories with an n-gram not stored, or with one that
+lost nothing. Nothing is joined word by word, and no history gathers in one task.
+The table of stored n-grams is worked out only where it is read.
 
 Null and empty texts are the end alone. Equal rows each give a row. A null key
 counts as any other. Without training rows all words are unknown and the base is
-that of an empty vocabulary. Only key and results are returned. Bigrams are told
+that of an empty vocabulary. Only key and results are returned. N-grams are told
 apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +43,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pagegrain.llm.blocks import buckets_for, by_bucket, token_blocks
 from pagegrain.llm.common import cut, mixed, packed, trim, unpacked, unpacked_words, words
 
+ORDER = 3
 MIN_COUNT = 2
 DISCOUNTED = 5
 #: What stands for the end and the start; no word holds white space.
@@ -86,6 +94,21 @@ def count_columns(c: np.ndarray) -> list[int]:
 STATS = ["total", "distinct", *(f"n{r}" for r in range(1, DISCOUNTED + 2))]
 
 
+class Grams(NamedTuple):
+    """Distinct n-grams of a block in the order of their hash, and the place of every token's n-gram among them, -1 without.
+
+    ``history`` counts among the n-grams one shorter (words, for bigrams), and so does
+    ``lower``, the n-gram without its first word; ``n`` is the training count.
+    """
+
+    h: np.ndarray
+    history: np.ndarray
+    word: np.ndarray
+    lower: np.ndarray
+    n: np.ndarray
+    place: np.ndarray
+
+
 class Block:
     """A block's rows unpacked: sequence with histories, hashes and training marks."""
 
@@ -93,20 +116,30 @@ class Block:
         self.seq, self.ends = unpacked(row["seq"], np.int32), unpacked(row["ends"], np.int64)
         self.words = unpacked_words(row["words"])
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [*self.words, START]), np.uint64, len(self.words) + 1)
-        self.train = np.repeat(np.array(row["flags"], bool), np.diff(self.ends, prepend=0))
-        self.history = np.empty_like(self.seq)
-        self.history[1:] = self.seq[:-1]
-        self.history[np.concatenate(([0], self.ends[:-1]))] = len(self.words)
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct bigrams in the order of their hash: hash, code, training count; and the place of every token's bigram among them."""
-        code, of = np.unique(self.history.astype(np.int64) * len(self.words) + self.seq, return_inverse=True)
-        n = np.bincount(of, self.train, len(code)).astype(np.uint32)
-        h = pair_hash(self.hashes[code // len(self.words)], self.hashes[code % len(self.words)])
-        order = np.argsort(h, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return h[order], code[order], n[order], place[of]
+        self.lengths = np.diff(self.ends, prepend=0)
+        self.train = np.repeat(np.array(row["flags"], bool), self.lengths)
+
+    def grams(self, order: int) -> list[Grams]:
+        """N-grams of 2 .. ``order`` words."""
+        at = np.arange(len(self.seq)) - np.repeat(self.ends - self.lengths, self.lengths)
+        place, hashes, out = self.seq.astype(np.int64), self.hashes, []
+        for m in range(2, order + 1):
+            before = np.roll(place, 1)
+            if m == 2:
+                before[at == 0] = len(self.words)
+            whole = np.flatnonzero(at >= m - 2)
+            code, first, of = np.unique(before[whole] * len(self.words) + self.seq[whole], return_index=True, return_inverse=True)
+            n = np.bincount(of, self.train[whole], len(code)).astype(np.uint32)
+            history, word = code // len(self.words), code % len(self.words)
+            h = pair_hash(hashes[history], self.hashes[word])
+            by = np.argsort(h, kind="stable")
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            here = np.full(len(self.seq), -1)
+            here[whole] = rank[of]
+            out.append(Grams(h[by], history[by], word[by], place[whole[first[by]]], n[by], here))
+            place, hashes = here, out[-1].h
+        return out
 
 
 def cuts_of(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -115,23 +148,31 @@ def cuts_of(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(int(to[i]), int(i), int(j)) for i, j in zip(starts, [*starts[1:], len(to)])]
 
 
-ANSWER = "block long, bucket int, payload binary, " + ", ".join(f"{s} long" for s in STATS)
-_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), *((s, pa.int64()) for s in STATS)])
+ANSWER = "block long, bucket int, level int, payload binary, " + ", ".join(f"{s} long" for s in STATS)
+_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("payload", pa.binary()), *((s, pa.int64()) for s in STATS)])
+DEALT = "level int, bucket int, block long, hashes binary, counts binary"
+_DEALT = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+SUMS = "bucket int, block long, hashes binary, sums binary, seen binary, told binary, at binary"
+_SUMS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((s, pa.binary()) for s in ("hashes", "sums", "seen", "told", "at"))])
 
 
-def answers(rows: list[tuple], stats: list[int]) -> pa.Table:
-    rows = [(*r, *[None] * len(STATS)) for r in rows] + [(None, None, None, *stats)]
-    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
+def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def summed(answers_: DataFrame) -> list[int]:
-    r = answers_.where(F.col("block").isNull()).agg(*(F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in STATS)).first()
+def answers(rows: list[tuple], level: int, stats: list[int]) -> pa.Table:
+    rows = [(*r[:2], level, r[2], *[None] * len(STATS)) for r in rows] + [(None, None, level, None, *stats)]
+    return pa.Table.from_batches([rows_of(rows, _ANSWER)])
+
+
+def summed(answers_: DataFrame, level: int) -> list[int]:
+    r = answers_.where(F.col("block").isNull() & (F.col("level") == level)).agg(*(F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in STATS)).first()
     return [int(r[s]) for s in STATS]
 
 
-def in_order(table: pa.Table, kind: str, dtype) -> np.ndarray:
-    """The payloads of a kind side by side, by bucket."""
-    rows = sorted((b, p) for b, p, k in zip(column_of(table, "bucket"), column_of(table, "payload"), column_of(table, "kind")) if k == kind)
+def in_order(table: pa.Table, level: int, dtype) -> np.ndarray:
+    """The counts of a level side by side, by bucket."""
+    rows = sorted((b, p) for b, p, x, k in zip(*(column_of(table, c) for c in ("bucket", "payload", "level", "kind"))) if k == "count" and x == level)
     return np.concatenate([*(unpacked(p, dtype) for _, p in rows), np.zeros(0, dtype)])
 
 
@@ -139,8 +180,8 @@ def column_of(table: pa.Table, name: str) -> list:
     return table.column(name).to_pylist()
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(scores, bigrams): per row key, trained, n_tokens, n_known, train_tokens, base_score and score; and the table of stored bigrams."""
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = 2, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+    """(scores, n-grams): per row key, trained, n_tokens, n_known, train_tokens, base_score and score; and the table of stored n-grams."""
     buckets = buckets_for(docs)
 
     def pieces(t: bytes | None) -> list[bytes]:
@@ -150,14 +191,12 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     whole = ["block", "flags", "ends", "seq", "words"]
 
     def count_words(batches):
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row)
-                order, cuts = by_bucket(block.words, buckets)
+                by, cuts = by_bucket(block.words, buckets)
                 n = np.bincount(block.seq, block.train, len(block.words)).astype(np.uint32)
-                rows = [(k, row["block"], packed(block.hashes[order[i:j]]), packed(n[order[i:j]])) for k, i, j in cuts]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                yield rows_of([(1, k, row["block"], packed(block.hashes[by[i:j]]), packed(n[by[i:j]])) for k, i, j in cuts], _DEALT)
         trim()
 
     def total_words(t: pa.Table) -> pa.Table:
@@ -166,120 +205,144 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         sums = np.bincount(of, np.concatenate(ns)).astype(np.int64)
         back = np.split(sums[of], np.cumsum([len(h) for h in hs])[:-1])
         trim()
-        return answers([(block, bucket, packed(c.astype(np.uint32))) for block, bucket, c in zip(column_of(t, "block"), column_of(t, "bucket"), back)], count_columns(sums))
+        return answers([(block, bucket, packed(c.astype(np.uint32))) for block, bucket, c in zip(column_of(t, "block"), column_of(t, "bucket"), back)], 1, count_columns(sums))
 
-    dealt_words = blocks.select(*whole).mapInArrow(count_words, "bucket int, block long, hashes binary, counts binary")
-    word_counts = cut(dealt_words.groupBy("bucket").applyInArrow(total_words, ANSWER), "word-counts")
-    total, distinct, *of_counts = summed(word_counts)
+    word_counts = cut(blocks.select(*whole).mapInArrow(count_words, DEALT).groupBy("bucket").applyInArrow(total_words, ANSWER), "word-counts")
+    total, distinct, *of_counts = summed(word_counts, 1)
     uni = (total, distinct, of_counts)
 
-    def count_bigrams(batches):
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    def count_grams(batches):
         for b in batches:
             for row in b.to_pylist():
-                h, _, n, _ = Block(row).bigrams()
-                rows = [(k, row["block"], packed(np.diff(h[i:j], prepend=np.uint64(0))), packed(n[i:j])) for k, i, j in cuts_of(h, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                for level, g in enumerate(Block(row).grams(order), 2):
+                    yield rows_of([(level, k, row["block"], packed(np.diff(g.h[i:j], prepend=np.uint64(0))), packed(g.n[i:j])) for k, i, j in cuts_of(g.h, buckets)], _DEALT)
         trim()
 
-    def total_bigrams(t: pa.Table) -> pa.Table:
-        """Counts of the stored bigrams, 0 for others; the highest bit marks the block that tells the bigram."""
+    def total_grams(t: pa.Table) -> pa.Table:
+        """Counts of the stored n-grams, 0 for others; the highest bit marks the block that tells the n-gram."""
         hs, ns = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in column_of(t, "hashes")], [unpacked(x, np.uint32) for x in column_of(t, "counts")]
         values, first, of = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
         sums = np.bincount(of, np.concatenate(ns)).astype(np.int64)
-        c = np.where(sums >= MIN_COUNT, sums, 0)[of].astype(np.uint32)
+        c = np.where(sums >= least, sums, 0)[of].astype(np.uint32)
         tells = np.zeros(len(of), bool)
         tells[first] = True
         c |= np.where(tells & (c > 0), np.uint32(1 << 31), np.uint32(0))
         back = np.split(c, np.cumsum([len(h) for h in hs])[:-1])
         trim()
-        return answers([(block, bucket, packed(x)) for block, bucket, x in zip(column_of(t, "block"), column_of(t, "bucket"), back)], count_columns(sums))
+        return answers([(block, bucket, packed(x)) for block, bucket, x in zip(column_of(t, "block"), column_of(t, "bucket"), back)], column_of(t, "level")[0], count_columns(sums))
 
-    dealt_bigrams = blocks.select(*whole).mapInArrow(count_bigrams, "bucket int, block long, hashes binary, counts binary")
-    bigram_counts = cut(dealt_bigrams.groupBy("bucket").applyInArrow(total_bigrams, ANSWER), "bigram-counts")
-    bigram_d = discounts(summed(bigram_counts)[2:], MIN_COUNT)
+    gram_counts = cut(blocks.select(*whole).mapInArrow(count_grams, DEALT).groupBy("level", "bucket").applyInArrow(total_grams, ANSWER), "gram-counts")
+    d = [discounts(summed(gram_counts, level)[2:], least) for level in range(2, order + 1)]
     starts = docs.where(train).count()
+    counted = word_counts.unionByName(gram_counts).where(F.col("block").isNotNull())
+    told = counted.select("block", "bucket", "level", "payload", F.lit("count").alias("kind"), F.lit(None).cast("binary").alias("at"))
 
-    def of_kind(df: DataFrame, kind: str) -> DataFrame:
-        return df.where(F.col("block").isNotNull()).select("block", "bucket", "payload", F.lit(kind).alias("kind"))
-
-    told = of_kind(word_counts, "word").unionByName(of_kind(bigram_counts, "bigram"))
-
-    def numbers(row: dict, answer: pa.Table):
-        """Counts of the words (and the start) and of the bigrams of a block."""
+    def numbers(row: dict, answer: pa.Table, levels: int):
+        """A block, its n-grams, the counts of words (and the start) and of n-grams, who tells them, and the probabilities of all below the last ``levels``."""
         block = Block(row)
-        h, code, _, place = block.bigrams()
+        grams = block.grams(levels + 1)
         c = np.full(len(block.words) + 1, starts, np.int64)
-        c[by_bucket(block.words, buckets)[0]] = in_order(answer, "word", np.uint32)
-        return block, code, place, c, in_order(answer, "bigram", np.uint32)
-
-    def tell(row_: pa.Table, answer: pa.Table) -> pa.Table:
-        block, code, _, c, b = numbers(row_.to_pylist()[0], answer)
-        mine = np.flatnonzero(b >> 31)
-        hist, word, n = code[mine] // len(block.words), code[mine] % len(block.words), (b[mine] & np.uint32(0x7FFFFFFF)).astype(np.int64)
-        trim()
-        return pa.table({"history": block.hashes[hist].view(np.int64), "word": block.hashes[word].view(np.int64), "n": n, "seen": c[hist],
-                         "p": discounted(n, bigram_d) / c[hist], "lower": Unigrams(*uni).of(c[word])})
-
-    bigrams = blocks.select(*whole).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tell, "history long, word long, n long, seen long, p double, lower double")
-    stored = cut(bigrams, "bigrams")
-    sums = stored.groupBy("history").agg(F.sum("p").alias("p"), F.sum("lower").alias("lower"), F.max("seen").alias("seen"))
-    scaled = sums.withColumn("scale", F.when(F.col("p") > 1 - 1e-9, F.col("seen") / (F.col("seen") + 1)).otherwise(1.0))
-    weights = scaled.select("history", "scale", ((1 - F.col("scale") * F.col("p")) / (1 - F.col("lower"))).alias("weight"))
-
-    def bucket_words(batches):
-        """The words of a block that may be histories, by bucket of their hash, as the weights are dealt."""
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("hashes", pa.binary())])
-        for b in batches:
-            for row in b.to_pylist():
-                block = Block(row)
-                used = np.unique(block.history)
-                h = block.hashes[used]
-                order = np.argsort(h)
-                rows = [(k, row["block"], packed(used[order[i:j]].astype(np.uint32)), packed(h[order[i:j]])) for k, i, j in cuts_of(h[order], buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
-        trim()
-
-    bucket_of_history = F.shiftright(F.shiftrightunsigned("history", 40) * buckets, 24).cast("int").alias("bucket")
-
-    def weigh(key_, histories: pa.Table, known: pa.Table) -> pa.Table:
-        """at, and weights and then scales of the histories of every block; those without stored bigrams are left out, both are 1 for them."""
-        h, w, scale = known.column("history").to_numpy().view(np.uint64), known.column("weight").to_numpy(), known.column("scale").to_numpy()
-        order = np.argsort(h)
-        h, w, scale = h[order], w[order], scale[order]
+        c[by_bucket(block.words, buckets)[0]] = in_order(answer, 1, np.uint32)
+        counts, tells, p = [c], [], [Unigrams(*uni).of(c)]
+        for level in range(2, levels + 2):
+            b = in_order(answer, level, np.uint32)
+            tells.append(b >> 31 > 0)
+            counts.append((b & np.uint32(0x7FFFFFFF)).astype(np.int64))
+        return block, grams, counts, tells, p
+
+    def climb(grams: list[Grams], counts: list, p: list, answer: pa.Table, levels: int) -> None:
+        """Adds the probabilities of the n-grams of the first ``levels`` orders above words, each from the one below."""
+        for m, g in enumerate(grams[:levels]):
+            weight, scale = np.ones(len(counts[m])), np.ones(len(counts[m]))
+            for at, payload, k, level in zip(*(column_of(answer, c) for c in ("at", "payload", "kind", "level"))):
+                if k == "weight" and level == m + 2:
+                    i = unpacked(at, np.uint32)
+                    weight[i], scale[i] = np.split(unpacked(payload, np.float64), 2)
+            n = counts[m + 1]
+            p.append(np.where(n > 0, scale[g.history] * discounted(n, d[m]) / np.maximum(counts[m][g.history], 1), weight[g.history] * p[m][g.lower]))
+
+    def summing(m: int):
+        def sum_up(row_: pa.Table, answer: pa.Table) -> pa.Table:
+            """By bucket: the histories of n-grams told here with their sums, and those whose weight this block needs, with where it needs it."""
+            row = row_.to_pylist()[0]
+            block, grams, counts, tells, p = numbers(row, answer, m + 1)
+            climb(grams, counts, p, answer, m)
+            g, n, size = grams[m], counts[m + 1], len(counts[m])
+            seen, mine = counts[m][g.history], np.flatnonzero(tells[m])
+            taken = np.bincount(g.history[mine], discounted(n[mine], d[m]) / seen[mine], size)
+            lower = np.bincount(g.history[mine], p[m][g.lower[mine]], size)
+            tell = np.bincount(g.history[mine], minlength=size) > 0
+            asks = np.zeros(size, bool)
+            asks[g.history[(seen > 0) & (n - discounted(n, d[m]) <= 2e-9 * seen)]] = True
+            used = np.flatnonzero(tell | asks)
+            h = (grams[m - 1].h if m else block.hashes)[used]
+            by = np.argsort(h, kind="stable")
+            h, used = h[by], used[by]
+            rows = []
+            for k, i, j in cuts_of(h, buckets):
+                u = used[i:j]
+                t = u[tell[u]]
+                marks = tell[u].astype(np.uint8) + 2 * asks[u].astype(np.uint8)
+                rows.append((k, row["block"], packed(np.diff(h[i:j], prepend=np.uint64(0))), packed(np.concatenate((taken[t], lower[t]))), packed(counts[m][t]), packed(marks), packed(u[asks[u]].astype(np.uint32))))
+            trim()
+            return pa.Table.from_batches([rows_of(rows, _SUMS)])
+        return sum_up
+
+    def weigh(t: pa.Table) -> pa.Table:
+        """at, and weights and then scales of the histories a block asked for; those without stored n-grams are left out, both are 1 for them."""
+        hs, marks = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in column_of(t, "hashes")], [unpacked(x, np.uint8) for x in column_of(t, "told")]
+        values, of = np.unique(np.concatenate(hs), return_inverse=True)
+        tell = of[np.concatenate(marks) & 1 > 0]
+        taken, lower = (np.concatenate(x) for x in zip(*(np.split(unpacked(x, np.float64), 2) for x in column_of(t, "sums"))))
+        seen = np.zeros(len(values))
+        seen[tell] = np.concatenate([unpacked(x, np.int64) for x in column_of(t, "seen")])
+        taken, lower = np.bincount(tell, taken, len(values)), np.bincount(tell, lower, len(values))
+        scale = np.where(taken > 1 - 1e-9, seen / (seen + 1), 1.0)
+        weight = (1 - scale * taken) / (1 - lower)
         rows = []
-        for block, at, asked in zip(column_of(histories, "block"), column_of(histories, "at"), column_of(histories, "hashes")):
-            at, asked = unpacked(at, np.uint32), unpacked(asked, np.uint64)
-            i = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
-            found = h[i] == asked if len(h) else np.zeros(len(asked), bool)
+        for block, at, mark, here in zip(column_of(t, "block"), column_of(t, "at"), marks, np.split(of, np.cumsum([len(h) for h in hs])[:-1])):
+            here, at = here[mark & 2 > 0], unpacked(at, np.uint32)
+            found = seen[here] > 0
             if found.any():
-                rows.append((block, packed(at[found]), packed(np.concatenate((w[i[found]], scale[i[found]])))))
+                rows.append((block, packed(at[found]), packed(np.concatenate((weight[here[found]], scale[here[found]])))))
         trim()
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "at", "weight"])
-
-    histories = blocks.select(*whole).mapInArrow(bucket_words, "bucket int, block long, at binary, hashes binary")
-    weighed = histories.groupBy("bucket").cogroup(weights.select("history", "weight", "scale", bucket_of_history).groupBy("bucket")).applyInArrow(weigh, "block long, at binary, weight binary")
-    everything = told.withColumn("at", F.lit(None).cast("binary")).unionByName(weighed.select("block", F.lit(None).cast("int").alias("bucket"), F.col("weight").alias("payload"), F.lit("weight").alias("kind"), "at"))
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "at", "payload"])
+
+    def telling(m: int):
+        def tell(row_: pa.Table, answer: pa.Table) -> pa.Table:
+            block, grams, counts, tells, p = numbers(row_.to_pylist()[0], answer, m + 1)
+            climb(grams, counts, p, answer, m)
+            g, mine = grams[m], np.flatnonzero(tells[m])
+            n, seen = counts[m + 1][mine], counts[m][g.history[mine]]
+            trim()
+            return pa.table({"order": np.full(len(mine), m + 2, np.int32), "history": (grams[m - 1].h if m else block.hashes)[g.history[mine]].view(np.int64), "word": block.hashes[g.word[mine]].view(np.int64),
+                             "n": n, "seen": seen, "p": discounted(n, d[m]) / seen, "lower": p[m][g.lower[mine]]})
+        return tell
+
+    stored = None
+    for m in range(order - 1):
+        met = blocks.select(*whole).groupBy("block").cogroup(told.where(F.col("level") <= m + 2).groupBy("block"))
+        mine = met.applyInArrow(telling(m), "order int, history long, word long, n long, seen long, p double, lower double")
+        stored = mine if stored is None else stored.unionByName(mine)
+        weights = cut(met.applyInArrow(summing(m), SUMS).groupBy("bucket").applyInArrow(weigh, "block long, at binary, payload binary"), "weights")
+        told = told.unionByName(weights.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(m + 2).alias("level"), "payload", F.lit("weight").alias("kind"), "at"))
     kind = docs.schema[key].dataType
 
     def judge(row_: pa.Table, answer: pa.Table) -> pa.Table:
         row = row_.to_pylist()[0]
-        block, code, place, c, b = numbers(row, answer)
-        weight, scale = np.ones(len(block.hashes)), np.ones(len(block.hashes))
-        for at, payload, k in zip(column_of(answer, "at"), column_of(answer, "payload"), column_of(answer, "kind")):
-            if k == "weight":
-                weight[unpacked(at, np.uint32)], scale[unpacked(at, np.uint32)] = np.split(unpacked(payload, np.float64), 2)
-        n = (b & np.uint32(0x7FFFFFFF)).astype(np.int64)
-        hist, word = code // len(block.words), code % len(block.words)
-        p = np.where(n > 0, scale[hist] * discounted(n, bigram_d) / np.maximum(c[hist], 1), weight[hist] * Unigrams(*uni).of(c[word]))
-        logs, c = np.log10(p)[place], c[block.seq]
+        block, grams, counts, _, p = numbers(row, answer, order - 1)
+        climb(grams, counts, p, answer, order - 1)
+        logs = np.log10(p[0])[block.seq]
+        for g, x in zip(grams, p[1:]):
+            logs = np.where(g.place >= 0, np.log10(x)[g.place], logs)
+        c = counts[0][block.seq]
         base = np.log10((c + 1) / (total + distinct + 1))
-        first = np.concatenate(([0], block.ends[:-1]))
+        first = block.ends - block.lengths
         each = lambda x: np.add.reduceat(x, first)
         trim()
-        return pa.table({key: pa.array(row["keys"], to_arrow_type(kind)), "trained": pa.array(row["flags"], pa.bool_()), "n_tokens": block.ends - first, "n_known": each((c > 0).astype(np.int64)),
+        return pa.table({key: pa.array(row["keys"], to_arrow_type(kind)), "trained": pa.array(row["flags"], pa.bool_()), "n_tokens": block.lengths, "n_known": each((c > 0).astype(np.int64)),
                          "train_tokens": np.full(len(first), total, np.int64), "base_score": each(base), "score": each(logs)})
 
-    scored = blocks.select("keys", *whole).groupBy("block").cogroup(everything.groupBy("block")).applyInArrow(
+    scored = blocks.select("keys", *whole).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         judge, f"`{key}` {kind.simpleString()}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored, stored

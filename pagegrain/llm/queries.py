@@ -172,6 +172,6 @@ def op2_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op8_katz_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Every whole text under a bigram Katz model of six sevenths of the documents."""
-    scored, _ = katz.score(table(spark, sf, "documents"), language.remainder("doc_id", 7) != 2)
+    """Every whole text under a trigram Katz model of all n-grams of six sevenths of the documents."""
+    scored, _ = katz.score(table(spark, sf, "documents"), language.remainder("doc_id", 7) != 2, order=katz.ORDER, least=1)
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

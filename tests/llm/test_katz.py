@@ -92,3 +92,61 @@ def test_discounts_fall_back():
     assert katz.discounts([0] * 6).tolist() == [0, 1, 1, 1, 1, 1]
     d = katz.discounts([100, 40, 20, 12, 8, 6])
     assert d[0] == 0 and all(0 < x <= 1 for x in d[1:]) and language.UNKNOWN == "und" and zlib.crc32(b"") == 0
+
+
+def whole_model(train, order):
+    """Plain recursive Katz of all n-grams; no history reaches beyond the start."""
+    at = lambda ts, i, m: tuple([START, *ts][max(0, i + 2 - m):i + 2])  # noqa: E731  the m-gram that ends at token i
+    uni, grams, hist = Counter(w for ts in train for w in ts), {}, {}
+    for m in range(2, order + 1):
+        grams[m] = Counter(at(ts, i, m) for ts in train for i in range(m - 2, len(ts)))
+        hist[m] = Counter()
+        for g, c in grams[m].items():
+            hist[m][g[:-1]] += c
+    of = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
+    u, d = katz.Unigrams(sum(uni.values()), len(uni), of(uni)), {m: katz.discounts(of(c)) for m, c in grams.items()}
+    after = {}
+    for m, c in grams.items():
+        for g in c:
+            after.setdefault(g[:-1], []).append(g[-1])
+
+    def kept(h, w):
+        c = grams[len(h) + 1][*h, w]
+        return (float(d[len(h) + 1][c]) if c <= katz.DISCOUNTED else 1.0) * c / hist[len(h) + 1][h]
+
+    def prob(h, w):
+        if not h:
+            return float(u.of(np.array([uni[w]]))[0])
+        if h not in after:
+            return prob(h[1:], w)
+        mass, n = sum(kept(h, x) for x in after[h]), hist[len(h) + 1][h]
+        scale = n / (n + 1) if mass > 1 - 1e-9 else 1.0
+        if w in after[h]:
+            return scale * kept(h, w)
+        return (1 - scale * mass) / (1 - sum(prob(h[1:], x) for x in after[h])) * prob(h[1:], w)
+
+    return uni, grams, lambda ts, i: prob(at(ts, i, order)[:-1], ts[i]), prob
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_all_ngrams_of_higher_orders(docs_of, monkeypatch, order):
+    monkeypatch.setattr(katz, "token_blocks", lambda *a, f=katz.token_blocks, **b: f(*a, **b, tokens=300))
+    rng = random.Random(5)
+    rows = [(k, " ".join("w%d" % int(rng.paretovariate(0.8) % 40) for _ in range(rng.randrange(40)))) for k in range(60)] + [(k, "ever the same line") for k in range(60, 80)] + ODD
+    scored, stored = katz.score(docs_of(rows).repartition(3), F.coalesce(F.col("doc_id") % 5 != 2, F.lit(False)), order=order, least=1)
+    uni, grams, p, prob = whole_model([tokens(t) for k, t in rows if k is not None and k % 5 != 2], order)
+    want = sorted((str(k), len(ts := tokens(t)), sum(math.log10(p(ts, i)) for i in range(len(ts)))) for k, t in rows)
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in scored.collect())
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+    assert sorted((r.order, r.n) for r in stored.collect()) == sorted((m, c) for m, cs in grams.items() for c in cs.values())
+    for g in [*grams[order]][:50]:
+        assert sum(prob(g[:-1], w) for w in uni) + prob(g[:-1], "never seen") == pytest.approx(1.0)
+
+
+def test_the_query_keeps_single_ngrams_and_trigrams(spark, sf, monkeypatch):
+    from pagegrain.llm.queries import QUERIES
+    kept = []
+    monkeypatch.setattr(katz, "score", lambda *a, f=katz.score, **b: kept.append(f(*a, **b)) or kept[0])
+    QUERIES["op8_katz_scores"](spark, sf)
+    assert {r.order for r in kept[0][1].where("n = 1").select("order").distinct().collect()} == {2, 3}
