@@ -7,7 +7,8 @@ together with the log share of the language in training; the score is its
 posterior, so it lies between 0 and 1.
 
 The classifier is fitted on about ``SAMPLE`` labelled texts a language, chosen by
-a hash of the key, and holds at most ``ENTRIES`` words and as many n-grams; both
+a hash of the key, and holds of each language its ``ENTRIES`` most frequent words
+and as many n-grams, so that a large language takes no place of a small one; both
 bounds are parameters, and bound what is collected and sent to the tasks.
 Prediction reads every whole text.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from pagegrain.llm.common import cut, in_slices, trim
 
 UNKNOWN = "und"
-SAMPLE = 2_000
-ENTRIES = 60_000
+SAMPLE = 8_000
+ENTRIES = 120_000
 LONGEST = 4
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -99,17 +101,23 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     columns = [f"n{i}" for i in range(len(langs))]
     each = cut(counts.groupBy("size", "item").pivot("lang", langs).agg(F.sum("n")).na.fill(0).toDF("size", "item", *columns), "language-counts")
     total = sum(map(F.col, columns), F.lit(0))
-    kept = []
+    parts = []
     for here in (F.col("size") == 0, F.col("size") > 0):
-        kept += each.where(here & (total >= 2)).orderBy(total.desc(), "size", "item").limit(entries).collect()
-    table = np.array([[r[c] for c in columns] for r in kept], float).reshape(-1, len(langs))
-    size = np.array([r["size"] for r in kept], int)
+        known_ = each.where(here & (total >= 2))
+        if known_.count() > entries:
+            top = [known_.where(F.col(c) > 0).orderBy(F.desc(c), total.desc(), "size", "item").limit(entries) for c in columns]
+            known_ = reduce(DataFrame.unionAll, top).distinct()
+        parts.append(known_.orderBy("size", "item").toArrow())
+    kept = pa.concat_tables(parts)
+    table = np.stack([kept.column(c).to_numpy() for c in columns], 1).astype(float)
+    size, items = kept.column("size").to_numpy(), kept.column("item").to_pylist()
     logs = np.zeros_like(table)
     for s in set(size.tolist()):
         of = size == s
         logs[of] = np.log((table[of] + 0.5) / (table[of].sum(0) + 0.5 * of.sum()))
     prior = np.log(np.array([sizes[name] for name in langs]) / sum(sizes.values()))
-    return Model(langs, prior, logs, {r["item"]: i for i, r in enumerate(kept) if r["size"] == 0}, {r["item"]: i for i, r in enumerate(kept) if r["size"]})
+    words = int((size == 0).sum())
+    return Model(langs, prior, logs, dict(zip(items[:words], range(words))), dict(zip(items[words:], range(words, len(items)))))
 
 
 class Rows(dict):

@@ -47,3 +47,17 @@ def test_backoff_and_forgetting():
     assert rows.of(["zzb"]).tolist() == [-5.0, -4.0]
     assert rows.of(["q"] * 2).tolist() == [0.0, 0.0]
     assert rows.of(["known", "abz", "u", "v", "w", "zzb"]).tolist() == [-9.0, -7.0]
+
+
+def test_a_large_language_takes_no_place_of_a_small_one(docs_of):
+    big = ["".join(chr(97 + i // 5 ** j % 5) for j in range(4)) for i in range(300)]
+    rows = [(k, " ".join(big[(k * 30 + j) % 300] for j in range(60))) for k in range(100)] + [(k, "xyz zyx xzy") for k in range(100, 103)]
+    df = docs_of(rows).withColumn("lang", F.when(F.col("doc_id") < 100, "aa").otherwise("bb"))
+    model = language.fit(df, F.lit(True), entries=40)
+    assert {"xyz", "zyx", "xzy"} <= set(model.words) and len(model.words) == 43 and len(model.grams) <= 80
+    got = language.predict(docs_of([(1, "xyz xzy"), (2, " ".join(big[:5]))]), model, "p").orderBy("doc_id").collect()
+    assert [r.p.lang_pred for r in got] == ["bb", "aa"]
+
+
+def test_the_fit_reads_the_whole_sample():
+    assert (language.SAMPLE, language.ENTRIES) == (8_000, 120_000)
