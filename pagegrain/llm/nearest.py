@@ -10,8 +10,10 @@ filed in its leaf.
 A query walks the tree best bin first: a queue holds the branches not taken,
 nearest centre on top, until enough leaves are visited. How many are enough is
 calibrated: the exact neighbours of ``CALIBRATE`` queries are found by brute
-force, and visits widen until the leaves hold at least ``RECALL`` of them. Visits
-also go on until the leaves hold ``k`` vectors besides the query's own.
+force, and visits widen until the leaves hold at least ``RECALL`` of them. Queries
+that have equal vectors find those in their first leaf; they are calibrated apart
+from the others, and the wider of both counts. Visits also go on until the leaves
+hold ``k`` vectors besides the query's own.
 
 Leaves are packed into bins of about ``BIN_ROWS`` vectors; a larger leaf is dealt
 over bins of its own. A query comes to a bin once, with the leaves it visits
@@ -41,7 +43,7 @@ FIT_ROWS = 1 << 16
 LEAF_ROWS = 256
 BRANCHES = 16
 CALIBRATE = 128
-RECALL = 0.94
+RECALL = 0.97
 BIN_ROWS = 8_192
 BIN_QUERIES = 4_096
 
@@ -270,12 +272,22 @@ def exact(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> Dat
 
 
 def calibrated(index: DataFrame, asked: DataFrame, nodes, longest: float, k: int, recall: float) -> int:
-    """Leaves to visit so that the calibration queries find ``recall`` of their exact neighbours."""
+    """Leaves to visit so that the calibration queries find ``recall`` of their exact neighbours, those with equal vectors and those without each for themselves."""
     n = asked.count()
     if not n:
         return 1
-    chosen = asked.where(F.abs(F.xxhash64("id", F.lit(5))) <= min(1.0, CALIBRATE / n) * float(2**63 - 1)).select("id", "v").collect() or asked.select("id", "v").limit(1).collect()
-    queries = [(r["id"], np.array(r["v"])) for r in chosen]
-    order = {i: {leaf: at for at, leaf in enumerate(visits(np.append(q, 0.0), nodes))} for i, q in queries}
-    ranks = sorted(order[r["query_id"]][r["leaf"]] for r in exact(index, queries, k).collect())
-    return ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] + 1 if ranks else 1
+    same = F.xxhash64("v").alias("same")
+    drawn = asked.select("id", "v", same)
+    chosen = drawn.where(F.abs(F.xxhash64("id", F.lit(5))) <= min(1.0, 8 * CALIBRATE / n) * float(2**63 - 1)).orderBy(F.xxhash64("id", F.lit(5))).collect() or drawn.limit(1).collect()
+    sought = index.sparkSession.createDataFrame([(x,) for x in {r["same"] for r in chosen}], "same long")
+    often = {r["same"] for r in index.select("id", same).join(F.broadcast(sought), "same").groupBy("same").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").collect()}
+    enough = 1
+    for copied in (False, True):
+        queries = [(r["id"], np.array(r["v"])) for r in chosen if (r["same"] in often) == copied][:CALIBRATE]
+        if not queries:
+            continue
+        order = {i: {leaf: at for at, leaf in enumerate(visits(np.append(q, 0.0), nodes))} for i, q in queries}
+        ranks = sorted(order[r["query_id"]][r["leaf"]] for r in exact(index, queries, k).collect())
+        if ranks:
+            enough = max(enough, ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] + 1)
+    return enough

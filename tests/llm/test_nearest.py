@@ -57,3 +57,17 @@ def test_vectors_that_take_no_part(spark):
     assert found(df, 20) == {0: [6, 20], 20: [0, 6]}
     assert found(df.where("false"), 20) == {}
     assert found(df.where("vec_id = 0"), 20) == {}
+
+
+def test_copies_do_not_lift_the_others(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 30)
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=12)
+    rows = [(i, (hot if i % 10 < 5 and i % 20 == 0 and i % 60 != 0 or i % 3 == 1 else rng.normal(size=12)).astype(np.float32).tolist()) for i in range(3_000)]
+    copies = {i for i, v in rows if np.allclose(v, hot)}
+    want, got = brute(rows, 10, 20), found(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 10)
+    others = [q for q in want if q not in copies]
+    assert len(others) >= 40 and len(want) - len(others) >= 90
+    score = lambda q, i: float(np.dot(np.float64(rows[q][1]), np.float64(rows[i][1])))
+    assert np.mean([sum(score(q, i) >= score(q, want[q][-1]) - 1e-9 for i in got[q]) / 10 for q in others]) >= 0.95
+    assert nearest.RECALL == 0.97
