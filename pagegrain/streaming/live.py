@@ -29,18 +29,25 @@ def table_stream(spark: SparkSession, folder: str, name: str, per_batch: int = 1
 
 
 def replay(table: DataFrame, path: str, order: str, parts: int = 3) -> DataFrame:
-    """A table as a stream of ``parts`` batches in time order: one append after the other, one file a trigger."""
+    """A table as a stream of ``parts`` batches in time order, rows without a time in the first.
+
+    Parts are written one after the other, each by many tasks into a folder of its
+    own; empty files make up the number of files that a trigger takes.
+    """
     cuts = table.agg(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []
     at = F.unix_micros(F.col(order).cast("timestamp"))
     edges = [None, *cuts, None]
-    for lo, hi in zip(edges, edges[1:]):
-        part = table
+    spark, files = table.sparkSession, max(1, table.rdd.getNumPartitions())
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        part, folder = table, f"{path}/{i}"
         if lo is not None:
             part = part.where(at > lo)
         if hi is not None:
-            part = part.where(at <= hi)
-        part.coalesce(1).write.mode("append").parquet(path)
-    s = table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            part = part.where(at <= hi if lo is not None else (at <= hi) | at.isNull())
+        part.repartition(files).write.parquet(folder)
+        for _ in range(files - len(spark.read.schema(table.schema).parquet(folder).inputFiles())):
+            spark.createDataFrame([], table.schema).coalesce(1).write.mode("append").parquet(folder)
+    s = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
     return s.withColumn(order, F.col(order).cast("timestamp"))
 
 

@@ -145,3 +145,15 @@ def test_user_encoder_and_query_instruction(spark):
 
 def test_let_binds_once(spark):
     assert spark.range(1).select(let(F.rand(1), lambda v: v == v).alias("same")).first().same
+
+
+def test_replay_keeps_rows_without_a_time(spark, tmp_path):
+    from pagegrain.streaming import live
+    rows = [(i, None if i % 10 == 0 else f"2024-01-{1 + i // 4:02d} 00:00:00") for i in range(40)]
+    table = spark.createDataFrame(rows, "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp")).repartition(3)
+    s = live.replay(table, str(tmp_path / "in"), "ts")
+    live.run_available(s, live.batch_folder(str(tmp_path / "out")), str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("event_id", "batch", "ts").collect()
+    assert sorted(r.event_id for r in got) == list(range(40))
+    assert {r.batch for r in got if r.ts is None} == {0} and {r.batch for r in got} == {0, 1, 2}
+    assert all(max(r.ts for r in got if r.ts and r.batch == b) < min(r.ts for r in got if r.ts and r.batch == b + 1) for b in (0, 1))
