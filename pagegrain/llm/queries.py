@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, contamination, extraction, jaccard, katz, language, lines, nearest, shards, urls
+from pagegrain.llm import bpe, contamination, extraction, jaccard, katz, language, lines, nearest, ranked, shards, urls, warc, whitening
+from pagegrain.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +176,52 @@ def op8_katz_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every whole text under a trigram Katz model of all n-grams of six sevenths of the documents."""
     scored, _ = katz.score(table(spark, sf, "documents"), language.remainder("doc_id", 7) != 2, order=katz.ORDER, least=1)
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_warc_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a record of seekable bundles, read back from them."""
+    folder = shared_dir(spark, "warc")
+    warc.write(table(spark, sf, "pages"), folder)
+    rows = warc.read(spark, folder, payloads=False)
+    return rows.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector on the 32 first components of all vectors, one row a component."""
+    rows = whitening.whiten(table(spark, sf, "embeddings"))
+    each = rows.select("vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"), "whitened",
+                       F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op13_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM n),
+q AS (SELECT item_id, t, count(*) AS qtf FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+x AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY t),
+p AS (SELECT q.item_id, f.doc_id, CAST(sum(q.qtf * x.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (25 + (75 * n.n * s.nd) // s.nt)))) AS BIGINT) AS score
+      FROM q JOIN f USING (t) JOIN x USING (t) JOIN n ON n.doc_id = f.doc_id, s GROUP BY q.item_id, f.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+SQL["op11_warc_bundles"] = """
+WITH p AS (SELECT page_id, CAST(encode(coalesce(html, '')) AS BLOB) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS s, max(page_id) OVER (PARTITION BY payload) AS top FROM p),
+b AS (SELECT *, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', s[i + 1]) - 1) AS x FROM h),
+c AS (SELECT *, list_transform(range(0, 160), lambda i: (x[i // 4 + 1] >> (3 - i % 4)) & 1) AS bits FROM b)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * bits[5 * i + 1] + 8 * bits[5 * i + 2] + 4 * bits[5 * i + 3] + 2 * bits[5 * i + 4] + bits[5 * i + 5], 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM c
+"""
