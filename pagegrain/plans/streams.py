@@ -8,10 +8,10 @@ from pagegrain.operators import jobs
 from pagegrain.operators.skew import latest_by
 from pagegrain.plans import inputs
 from pagegrain.plans.chunks import _PARA, _chunks_sql, _fold
-from pagegrain.plans.jobs import STATE_SQL, _END, _J, shown_states, updates
+from pagegrain.plans.jobs import STATE_SQL, _END, _J, _progress, shown_states, updates
 from pagegrain.plans.registry import query
 from pagegrain.session import shared_dir
-from pagegrain.streaming import live
+from pagegrain.streaming import lifecycle, live
 
 
 def _events(spark, sf):
@@ -86,3 +86,53 @@ def live_pairs(spark, sf):
         F.floor(F.col("event_id") / 2).alias("op_id"), "ts", F.concat(F.lit("op"), "event_type").alias("name"), (F.col("value") > 20).alias("success"))
     out = _run(spark, live.paired_streams(e(0), e(1)), live.batch_folder)
     return spark.read.parquet(out).select("op_id", "name", "success", F.round("duration", 3).alias("duration"))
+
+
+#: Seconds a job may take, and how far behind a row may come, in the queries below.
+_LONG, _LATE_MS = 5 * 86_400, 60_000
+
+
+def _lives_sql(limit: int) -> str:
+    """Every life of every job by windows: a creation starts one; its first end, its deadline or the next creation closes it."""
+    return f"""WITH {_J}, w AS (SELECT (epoch_ms(max(ts)) - {_LATE_MS}) * 1000 AS seen FROM events),
+i AS (SELECT j.*, epoch_us(j.ts) AS us, 'k' || event_id % 4 AS mk, sum(CASE WHEN kind = 'create' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY epoch_us(j.ts), event_id) AS life FROM j, w WHERE epoch_us(j.ts) <= seen),
+l AS (SELECT *, created + {limit * 1_000_000} AS deadline, lead(created) OVER (PARTITION BY job_id ORDER BY life) AS next_created FROM (SELECT job_id, life, min(us) FILTER (WHERE kind = 'create') AS created FROM i WHERE life > 0 GROUP BY job_id, life)),
+v AS (SELECT i.*, kind = 'update' AND (i.error IS NOT NULL OR stage = 'failed') AS fails, kind = 'update' AND i.error IS NULL AND stage = 'completed' AS done FROM i JOIN l USING (job_id, life) WHERE us <= deadline),
+e AS (SELECT job_id, life, min((us, event_id)) AS last FROM v WHERE fails OR done GROUP BY job_id, life),
+k AS (SELECT v.* FROM v LEFT JOIN e USING (job_id, life) WHERE last IS NULL OR (us, event_id) <= last),
+m AS (SELECT job_id, life, string_agg(mk || '=' || message, ';' ORDER BY mk) AS metadata FROM (SELECT job_id, life, mk, arg_max(message, (us, event_id)) AS message FROM k GROUP BY job_id, life, mk) GROUP BY job_id, life),
+st AS (SELECT job_id, life, max(us) AS updated, arg_max(CASE WHEN kind = 'create' THEN 'uploading' ELSE stage END, (us, event_id)) AS stage, arg_max(CASE WHEN kind = 'create' THEN 'Job created' ELSE message END, (us, event_id)) AS message,
+        coalesce(arg_max(CASE WHEN done THEN 1.0 ELSE {_progress('stage', 'progress')} END, (us, event_id)) FILTER (WHERE kind = 'update' AND NOT fails), 0)::DOUBLE AS progress,
+        arg_max(error, (us, event_id)) FILTER (WHERE fails) AS error, bool_or(done) AS completed, bool_or(fails) AS failed FROM k GROUP BY job_id, life),
+r AS (SELECT st.*, created, deadline, metadata, NOT completed AND NOT failed AND least(coalesce(next_created, seen), seen) > deadline AS late, next_created FROM st JOIN l USING (job_id, life) JOIN m USING (job_id, life), w)
+"""
+
+
+def _lifecycle_sql(limit: int) -> str:
+    note = f"Processing timeout: Job exceeded {limit // 60} minute time limit"
+    at = lambda c: f"strftime(make_timestamp({c}), '%Y-%m-%d %H:%M:%S.%f')"
+    return _lives_sql(limit) + f"""SELECT job_id, {at('created')} AS created_at, {at('CASE WHEN late THEN deadline ELSE updated END')} AS updated_at, CASE WHEN late THEN 'failed' ELSE stage END AS stage,
+CASE WHEN late THEN 'Processing failed: {note}' ELSE message END AS message, round(progress, 6) AS progress, CASE WHEN late THEN '{note}' ELSE error END AS error, completed, failed OR late AS failed, metadata,
+NOT completed AND NOT failed AND NOT late AS live FROM r WHERE completed OR failed OR late OR next_created IS NULL"""
+
+
+def _lives(spark, sf, limit):
+    """Ended jobs from the stream's sink and live ones from its state."""
+    root = shared_dir(spark, "lifecycle")
+    events = updates(_events(spark, sf)).withColumn("metadata", F.create_map(F.concat(F.lit("k"), F.col("event_id") % 4), F.col("message")))
+    lifecycle.started(lifecycle.ended_jobs(events, limit), f"{root}/checkpoint", path=f"{root}/ended").awaitTermination()
+    ended = spark.read.parquet(f"{root}/ended").withColumn("live", F.lit(False))
+    rows = ended.unionByName(lifecycle.live_jobs(spark, f"{root}/checkpoint").withColumn("live", F.lit(True)))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return rows.select("job_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("created_at", "updated_at")], "stage", "message", F.round("progress", 6).alias("progress"),
+                       "error", "completed", "failed", pairs.alias("metadata"), "live")
+
+
+@query("str1_job_lifecycle", _lifecycle_sql(_LONG))
+def job_lifecycle(spark, sf):
+    return _lives(spark, sf, _LONG)
+
+
+@query("str2_job_expiry", _lifecycle_sql(jobs.TIMEOUT))
+def job_expiry(spark, sf):
+    return _lives(spark, sf, jobs.TIMEOUT)
