@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions import clean
-from pagegrain.functions.records import flatten
 from pagegrain.functions.text import squeeze, words
 from pagegrain.operators.skew import last_n
 
@@ -41,53 +40,6 @@ def line_diff(before: DataFrame, after: DataFrame, key: str = DOC, text: str = "
         F.when(F.col("n") > 0, F.col("at_before")).otherwise(F.col("at_after")).alias("first_at"))
 
 
-def record_changes(pairs: DataFrame, original: str, processed: str, shape, root: str = "'root'", *keep: str) -> DataFrame:
-    """Differences of two nested records on the same row, one row per change.
-
-    ``original``, ``processed`` (variants) and ``root`` (path) are SQL
-    expressions. Kinds: missing_key, added_key, type_change, length_change, value_change.
-    Nothing below a missing, added or retyped path is reported, nor list items
-    past the shorter list. Texts count as changed under 0.95 similarity; equal
-    texts and texts whose lengths already decide never reach Python. Rows with
-    no change keep one row with a null kind, so no document is lost.
-    """
-    entries = lambda a: F.map_from_entries(F.transform(a, lambda n: F.struct(n["path"].alias("key"), F.struct(n["type"], n["value"], n["size"]).alias("value"))))
-    both = F.map_entries(F.map_zip_with(entries(flatten(original, shape, root)), entries(flatten(processed, shape, root)),
-                                        lambda k, a, b: F.struct(a.alias("a"), b.alias("b"))))
-
-    def kinds(e: Column) -> Column:
-        a, b = e["value"]["a"], e["value"]["b"]
-        item = e["key"].rlike(r"\]$")
-        number = a["type"].isin("int", "float", "bool") & b["type"].isin("int", "float", "bool")
-        same = number & (a["value"].try_cast("double") == b["value"].try_cast("double"))
-        retyped = a["type"] != b["type"]
-        text = (a["type"] == "str") & (b["type"] == "str") & (a["value"] != b["value"])
-        plain = ~a["type"].isin("dict", "list", "str") & (a["type"] == b["type"]) & (a["value"] != b["value"])
-        found = F.array(
-            F.when(b.isNull() & ~item, "missing_key"), F.when(a.isNull() & ~item, "added_key"), F.when(retyped, "type_change"),
-            F.when((a["type"] == "list") & (b["type"] == "list") & (a["size"] != b["size"]), "length_change"),
-            F.when((retyped & ~F.coalesce(same, F.lit(False))) | plain, "value_change"), F.when(text, "text"))
-        gone = a.isNull() | b.isNull() | retyped
-        return F.struct(e["key"].alias("path"), F.filter(found, lambda k: k.isNotNull()).alias("kinds"), F.coalesce(gone, F.lit(True)).alias("stops"),
-                        F.when(text, a["value"]).alias("a"), F.when(text, b["value"]).alias("b"))
-
-    def visible(es: Column) -> Column:
-        stops = F.transform(F.filter(es, lambda e: e["stops"]), lambda e: e["path"])
-        below = lambda p, s: F.startswith(p, F.concat(s, F.lit("."))) | F.startswith(p, F.concat(s, F.lit("[")))
-        return F.filter(es, lambda e: (F.size(e["kinds"]) > 0) & ~F.exists(stops, lambda s: below(e["path"], s)))
-
-    changed = clean.let(F.transform(both, kinds), visible)
-    rows = F.flatten(F.transform(changed, lambda e: F.transform(e["kinds"], lambda k: F.struct(
-        e["path"].alias("path"), k.alias("kind"), e["a"].alias("a"), e["b"].alias("b")))))
-    cols = keep or (DOC,)
-    flat = pairs.select(*cols, rows.alias("_c")).select(*cols, F.explode_outer("_c").alias("c"))
-    a, b = squeeze(F.col("c.a")), squeeze(F.col("c.b"))
-    judged = flat.select(*cols, "c.path", "c.kind", F.when(F.col("c.kind") == "text", a).alias("a"), F.when(F.col("c.kind") == "text", b).alias("b"))
-    ratio = clean.similarity_ratio(F.col("a"), F.col("b"), floor=SIMILAR)
-    kind = F.when(F.col("kind") != "text", F.col("kind")).when(ratio < SIMILAR, "value_change")
-    return judged.select(*cols, F.when(kind.isNotNull(), F.col("path")).alias("path"), kind.alias("kind"))
-
-
 def loss_severity(changes: DataFrame, *keep: str) -> DataFrame:
     """Loss flag and severity per document from its change rows."""
     cols = keep or (DOC,)
@@ -161,11 +113,6 @@ def first_differences(diff: DataFrame, key: str = DOC, n: int = 10) -> DataFrame
     return last_n(diff, [key], [F.col("first_at"), F.col("change"), F.col("line")], n).drop("_rn")
 
 
-def depth_issue(nodes: Column, limit: int = 100) -> Column:
-    deepest = F.array_max(F.transform(nodes, lambda n: n["depth"]))
-    return F.when(deepest > limit, "too_deep")
-
-
 def repaired_columns(df: DataFrame) -> DataFrame:
     """Make every column JSON-safe by its type.
 
@@ -188,12 +135,3 @@ def repaired_columns(df: DataFrame) -> DataFrame:
             c = clean.decoded(c)["text"]
         out.append(c.alias(f.name))
     return df.select(*out)
-
-
-def json_profile(nodes: Column) -> Column:
-    """Depth and summed sizes of a flattened record, and the large-structure warning."""
-    total = lambda kind: F.aggregate(F.filter(nodes, lambda n: n["type"] == kind), F.lit(0), lambda s, n: s + F.coalesce(n["size"], F.lit(0)))
-    s, a, o = total("str"), total("list"), total("dict")
-    return F.struct(F.array_max(F.transform(nodes, lambda n: n["depth"])).alias("depth"), s.alias("string_length"), a.alias("array_length"),
-                    o.alias("object_keys"), (s + a + o > 100000).alias("large"))
-

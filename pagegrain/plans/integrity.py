@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagegrain.functions import records
-from pagegrain.functions.clean import let
-from pagegrain.operators import integrity
+from pagegrain.operators import integrity, nested
 from pagegrain.plans import inputs
-from pagegrain.plans.ansi import s_words, with_ll
+from pagegrain.plans.ansi import s_squeeze, s_words, with_ll
 from pagegrain.plans.registry import query
 
 _HALF = "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, length(text) // 2) ELSE text || ' and more' END"
@@ -58,53 +56,79 @@ def bad_characters(spark, sf):
     return inputs.table(spark, sf, "documents").select("doc_id", F.array_join(integrity.bad_characters(t), ",").alias("shown"))
 
 
-# A record per document, and a damaged copy chosen by document number.
-_SHAPE = {"meta": {"lang": None, "source": None}, "n_chars": None, "text": None, "tags": [None], "extra": None}
+# A record per document, and a copy damaged in one of seven ways.
+_WHOLE = {"ignoreNullFields": "false"}
 
 
 def _records(spark, sf):
-    tags = F.slice(F.split("text", " "), 1, 3)
-    whole = F.to_json(F.struct(F.struct("lang", "source").alias("meta"), "n_chars", "text", tags.alias("tags")))
+    tags, n, lang, source = F.slice(F.split("text", " "), 1, 3).alias("tags"), F.col("n_chars"), F.col("lang"), F.col("source")
+    s = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    meta = s(lang=lang, source=source).alias("meta")
+    parts = F.to_json(F.array(s(n=n.cast("string"), s=F.array(lang, source)), s(n=F.lit("x"), s=F.array(F.lit("y")))), _WHOLE)
+    made = lambda *c: F.to_json(F.struct(*c), _WHOLE)
+    whole = made(meta, n, "text", tags, F.parse_json(parts).alias("parts"))
+    moved = F.concat(F.lit('[{"n":1,"s":['), n.cast("string"), F.lit(',2.5,true]},{"m":null},3]'))
+    kept = F.parse_json(parts).alias("parts")
     k = F.col("doc_id") % 7
-    hurt = (F.when(k == 1, F.to_json(F.struct(F.struct("lang", "source").alias("meta"), "text", tags.alias("tags"))))
-            .when(k == 2, F.to_json(F.struct(F.struct("lang", "source").alias("meta"), "n_chars", "text", tags.alias("tags"), F.lit(1).alias("extra"))))
-            .when(k == 3, F.to_json(F.struct(F.struct("lang", "source").alias("meta"), F.col("n_chars").cast("string").alias("n_chars"), "text", tags.alias("tags"))))
-            .when(k == 4, F.to_json(F.struct(F.struct("lang", "source").alias("meta"), "n_chars", F.expr("substring(text, 1, length(text) div 2)").alias("text"), F.slice(tags, 1, 2).alias("tags"))))
-            .when(k == 5, F.to_json(F.struct(F.struct(F.lit("xx").alias("lang")).alias("meta"), "n_chars", F.replace("text", F.lit(" "), F.lit("  ")).alias("text"), tags.alias("tags"))))
-            .when(k == 6, F.to_json(F.struct(F.lit("gone").alias("meta"), F.col("n_chars") + 1, "text", tags.alias("tags"))))
+    hurt = (F.when(k == 1, made(meta, "text", tags, kept))
+            .when(k == 2, made(meta, n, "text", tags, F.parse_json(moved).alias("parts"), F.lit(1).alias("extra")))
+            .when(k == 3, made(meta, n.cast("string").alias("n_chars"), "text", tags, kept))
+            .when(k == 4, made(meta, n, F.expr("substring(text, 1, length(text) div 2)").alias("text"), F.slice(tags, 1, 2).alias("tags"), kept))
+            .when(k == 5, made(s(lang=F.lit("xx")).alias("meta"), n.cast("double").alias("n_chars"), F.replace("text", F.lit(" "), F.lit("  ")).alias("text"), tags, kept))
+            .when(k == 6, made(F.lit("gone").alias("meta"), (n + 1).alias("n_next"), F.concat("text", F.lit("."), F.lit(" ")).alias("text"), tags, kept))
             .otherwise(whole))
     return inputs.table(spark, sf, "documents").select("doc_id", F.try_parse_json(whole).alias("a"), F.try_parse_json(hurt).alias("b"))
 
 
+def _record(**change: str) -> str:
+    """The record as a DuckDB JSON expression with some of its parts changed or, by an empty text, left out."""
+    parts = {"meta": "json_object('lang', lang, 'source', source)", "n_chars": "n_chars", "text": "text", "tags": "string_split(text, ' ')[1:3]",
+             "parts": "json_array(json_object('n', n_chars::VARCHAR, 's', [lang, source]), json_object('n', 'x', 's', ['y']))"} | change
+    return "json_object(" + ", ".join(f"'{k}', {v}" for k, v in parts.items() if v) + ")"
+
+
+_MOVED = "json_array(json_object('n', 1, 's', json_array(n_chars, 2.5::DOUBLE, true)), json_object('m', NULL), 3)"
+_PAIRS = f"""pairs AS (SELECT doc_id, {_record()} AS a, CASE doc_id % 7 WHEN 1 THEN {_record(n_chars="")} WHEN 2 THEN {_record(parts=_MOVED, extra="1")} WHEN 3 THEN {_record(n_chars="n_chars::VARCHAR")}
+ WHEN 4 THEN {_record(text="substr(text, 1, length(text) // 2)", tags="string_split(text, ' ')[1:2]")} WHEN 5 THEN {_record(meta="json_object('lang', 'xx')", n_chars="n_chars::DOUBLE", text="replace(text, ' ', '  ')")}
+ WHEN 6 THEN {_record(meta="'gone'", n_chars="", n_next="n_chars + 1", text="text || '. '")} ELSE {_record()} END AS b FROM documents)"""
+_KIND = "CASE type WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'str' WHEN 'BIGINT' THEN 'int' WHEN 'UBIGINT' THEN 'int' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' ELSE 'float' END"
+
+
+def _tree(side: str) -> str:
+    return f"SELECT doc_id, x.fullkey AS p, {_KIND} AS kind, x.value AS v, CASE WHEN type = 'ARRAY' THEN json_array_length(x.value) END AS n, x.value ->> '$' AS t FROM pairs, json_tree(pairs.{side}) x"
+
+
 def _changes_sql(root: str) -> str:
-    return f"""
- SELECT doc_id, '{root}.n_chars' AS path, 'missing_key' AS kind FROM documents WHERE doc_id % 7 = 1
- UNION ALL SELECT doc_id, '{root}.extra', 'added_key' FROM documents WHERE doc_id % 7 = 2
- UNION ALL SELECT doc_id, '{root}.n_chars', unnest(['type_change', 'value_change']) FROM documents WHERE doc_id % 7 = 3
- UNION ALL SELECT doc_id, '{root}.text', 'value_change' FROM documents WHERE doc_id % 7 = 4
- UNION ALL SELECT doc_id, '{root}.tags', 'length_change' FROM documents WHERE doc_id % 7 = 4 AND len(string_split(text, ' ')) > 2
- UNION ALL SELECT doc_id, '{root}.meta.source', 'missing_key' FROM documents WHERE doc_id % 7 = 5
- UNION ALL SELECT doc_id, '{root}.meta.lang', 'value_change' FROM documents WHERE doc_id % 7 = 5
- UNION ALL SELECT doc_id, '{root}.meta', unnest(['type_change', 'value_change']) FROM documents WHERE doc_id % 7 = 6
- UNION ALL SELECT doc_id, '{root}.n_chars', 'missing_key' FROM documents WHERE doc_id % 7 = 6"""
+    """Both records walked by the engine's JSON tree, joined by path; what lies below a stop is left out."""
+    x, y = s_squeeze("aw"), s_squeeze("bw")
+    long = f"greatest(length({x}), length({y}))"
+    text = f"CASE WHEN {x} = {y} THEN false WHEN abs(length({x}) - length({y})) > floor({long} * 0.05 + 1e-9) THEN true ELSE levenshtein({x}, {y}) > floor({long} * 0.05 + 1e-9) END"
+    number = "ak IN ('int', 'float', 'bool') AND bk IN ('int', 'float', 'bool')"
+    return f"""WITH {_PAIRS}, ta AS ({_tree('a')}), tb AS ({_tree('b')}),
+f AS (SELECT doc_id, p, ta.kind AS ak, tb.kind AS bk, ta.n AS an, tb.n AS bn, ta.t AS aw, tb.t AS bw FROM ta FULL JOIN tb USING (doc_id, p)),
+st AS (SELECT doc_id, p FROM f WHERE ak IS NULL OR bk IS NULL OR ak <> bk),
+vis AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.doc_id = f.doc_id AND (starts_with(f.p, st.p || '.') OR starts_with(f.p, st.p || '[')))),
+num AS (SELECT *, {number} AND CASE aw WHEN 'true' THEN 1 WHEN 'false' THEN 0 ELSE TRY_CAST(aw AS DOUBLE) END = CASE bw WHEN 'true' THEN 1 WHEN 'false' THEN 0 ELSE TRY_CAST(bw AS DOUBLE) END AS same FROM vis)
+SELECT doc_id, '{root}' || substr(p, 2) AS path, unnest(list_filter([CASE WHEN bk IS NULL AND NOT ends_with(p, ']') THEN 'missing_key' END, CASE WHEN ak IS NULL AND NOT ends_with(p, ']') THEN 'added_key' END, CASE WHEN ak <> bk THEN 'type_change' END,
+ CASE WHEN ak = 'list' AND bk = 'list' AND an <> bn THEN 'length_change' END,
+ CASE WHEN (ak <> bk AND NOT coalesce(same, false)) OR (ak = bk AND ak NOT IN ('dict', 'list', 'str', 'null') AND aw <> bw AND NOT coalesce(same, false)) OR (ak = 'str' AND bk = 'str' AND {text}) THEN 'value_change' END], lambda k: k IS NOT NULL)) AS kind FROM num"""
 
 
 def _changes(spark, sf):
-    return integrity.record_changes(_records(spark, sf), "a", "b", _SHAPE)
+    return nested.changes(_records(spark, sf), "a", "b", "doc_id")
 
 
-@query("jn12_structural_diff", f"SELECT * FROM ({_changes_sql('root')})")
+@query("jn12_structural_diff", _changes_sql("root"))
 def structural_diff(spark, sf):
     return _changes(spark, sf).where(F.col("kind").isNotNull())
 
 
 _SEV = "CASE WHEN n = 0 THEN 'none' WHEN n <= 2 THEN 'minor' WHEN n <= 5 THEN 'moderate' ELSE 'severe' END"
+_LOSS = f"""SELECT d.doc_id, count(*) FILTER (WHERE kind IN ('missing_key', 'type_change', 'value_change')) AS n, coalesce(bool_or(kind <> 'added_key'), false) AS has_loss
+ FROM documents d LEFT JOIN ({_changes_sql('root')}) c ON d.doc_id = c.doc_id GROUP BY d.doc_id"""
 
 
-@query("agg19_loss_severity", f"""
-SELECT doc_id, n AS issues, has_loss, {_SEV} AS severity FROM (
- SELECT d.doc_id, count(*) FILTER (WHERE kind IN ('missing_key', 'type_change', 'value_change')) AS n, coalesce(bool_or(kind <> 'added_key'), false) AS has_loss
- FROM documents d LEFT JOIN ({_changes_sql('root')}) c ON d.doc_id = c.doc_id GROUP BY d.doc_id)""")
+@query("agg19_loss_severity", f"SELECT doc_id, n AS issues, has_loss, {_SEV} AS severity FROM ({_LOSS})")
 def loss_severity(spark, sf):
     return integrity.loss_severity(_changes(spark, sf))
 
@@ -114,7 +138,7 @@ def _stages(spark, sf):
     r = _records(spark, sf)
     st = lambda n, c: F.struct(F.lit(n).alias("name"), F.col(c).alias("record"))
     pairs = integrity.stage_pairs(r.select("doc_id", F.array(st("input", "a"), st("processed", "a"), st("output", "b")).alias("stages")))
-    return integrity.record_changes(pairs, "a", "b", _SHAPE, "pair", "doc_id", "pair", "to_stage")
+    return nested.changes(pairs, "a", "b", "doc_id", "pair", "to_stage", root=F.col("pair"))
 
 
 @query("jn13_stage_changes", f"SELECT *, 'processed->output' AS pair FROM ({_changes_sql('processed->output')})")
@@ -123,9 +147,7 @@ def stage_changes(spark, sf):
 
 
 @query("agg20_chain_score", f"""
-SELECT doc_id, NOT has_loss AS intact, round((1.0 + CASE {_SEV} WHEN 'none' THEN 1.0 WHEN 'minor' THEN 0.9 WHEN 'moderate' THEN 0.7 ELSE 0.4 END) / 2, 6)::DOUBLE AS score FROM (
- SELECT d.doc_id, count(*) FILTER (WHERE kind IN ('missing_key', 'type_change', 'value_change')) AS n, coalesce(bool_or(kind <> 'added_key'), false) AS has_loss
- FROM documents d LEFT JOIN ({_changes_sql('root')}) c ON d.doc_id = c.doc_id GROUP BY d.doc_id)""")
+SELECT doc_id, NOT has_loss AS intact, round((1.0 + CASE {_SEV} WHEN 'none' THEN 1.0 WHEN 'minor' THEN 0.9 WHEN 'moderate' THEN 0.7 ELSE 0.4 END) / 2, 6)::DOUBLE AS score FROM ({_LOSS})""")
 def chain_score(spark, sf):
     s = integrity.loss_severity(_stages(spark, sf), "doc_id", "pair")
     return integrity.chain_score(s).withColumn("score", F.round("score", 6))
@@ -197,10 +219,63 @@ def json_repair(spark, sf):
     return integrity.repaired_columns(_strange(spark, sf)).select("l_orderkey", "l_partkey", "l_linenumber", "price", F.col("l_shipdate").alias("shipped"))
 
 
-@query("agg24_json_profile", """
-SELECT doc_id, 2::BIGINT AS depth, length(text) + length(lang) + length(source) + list_sum(list_transform(string_split(text, ' ')[1:3], lambda t: length(t)))::BIGINT AS string_length,
- least(3, len(string_split(text, ' ')))::BIGINT AS array_length, 6::BIGINT AS object_keys FROM documents""")
+#: Depth beyond which the queries below call a value too deep.
+_DEEP = 8
+
+
+def _walked(spark, sf):
+    """Every third document's record is whole, every third holds what a check warns of, every third lies ten lists deep."""
+    k = F.col("doc_id") % 3
+    odd = F.concat(F.lit('{"big":12345678901234567890,"safe":9007199254740992,"over":9007199254740993,"huge":1.5e308,"tab":"a\\tb","bell":"a\\u0007b\\u0001","a\\u0002b":[null,true,-0.5,{"n":'), F.col("n_chars").cast("string"), F.lit("}]}"))
+    deep = F.concat(F.repeat(F.lit("["), 10), F.col("n_chars").cast("string"), F.repeat(F.lit("]"), 10))
+    j = F.when(k == 0, F.to_json(F.struct(F.struct("lang", "source").alias("meta"), "n_chars", "text", F.split("text", " ").alias("words")), _WHOLE)).when(k == 1, odd).otherwise(deep)
+    return nested.walk(inputs.table(spark, sf, "documents").select("doc_id", F.try_parse_json(j).alias("v")), "v", "doc_id", limit=_DEEP)
+
+
+_WALKED = f"""texts AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN json_object('meta', json_object('lang', lang, 'source', source), 'n_chars', n_chars, 'text', text, 'words', string_split(text, ' '))::VARCHAR
+ WHEN 1 THEN '{{"big":12345678901234567890,"safe":9007199254740992,"over":9007199254740993,"huge":1.5e308,"tab":"a\\tb","bell":"a\\u0007b\\u0001","a\\u0002b":[null,true,-0.5,{{"n":' || n_chars || '}}]}}'
+ ELSE repeat('[', 10) || n_chars || repeat(']', 10) END AS j FROM documents),
+tree AS (SELECT doc_id, x.id, x.parent, x.key, {_KIND} AS kind, x.value ->> '$' AS t, CASE type WHEN 'ARRAY' THEN json_array_length(x.value)::BIGINT WHEN 'OBJECT' THEN len(json_keys(x.value)) WHEN 'VARCHAR' THEN length(x.value ->> '$') END AS size FROM texts, json_tree(texts.j::JSON) x),
+walked AS (SELECT doc_id, id, 0 AS depth, 'root' AS path, NULL::VARCHAR AS name, kind, t, size FROM tree WHERE parent IS NULL
+ UNION ALL SELECT c.doc_id, c.id, w.depth + 1, w.path || CASE WHEN w.kind = 'list' THEN '[' || c.key || ']' ELSE '.' || c.key END, CASE WHEN w.kind = 'dict' THEN c.key END, c.kind, c.t, c.size
+ FROM walked w JOIN tree c ON c.doc_id = w.doc_id AND c.parent = w.id WHERE w.depth <= {_DEEP})"""
+_BAD = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+_ISSUES = f"""issues AS (
+ SELECT doc_id, 'error' AS severity, 'too_deep' AS issue, path, depth::VARCHAR AS detail FROM walked WHERE depth > {_DEEP}
+ UNION ALL SELECT doc_id, 'warning', 'control_characters', path, array_to_string(list_transform(regexp_extract_all(t, '{_BAD}')[1:5], lambda c: printf('\\u%04x', ascii(c))), ',') FROM walked WHERE depth <= {_DEEP} AND kind = 'str' AND regexp_matches(t, '{_BAD}')
+ UNION ALL SELECT doc_id, 'warning', 'control_characters', path || '(key)', array_to_string(list_transform(regexp_extract_all(name, '{_BAD}')[1:5], lambda c: printf('\\u%04x', ascii(c))), ',') FROM walked WHERE regexp_matches(name, '{_BAD}')
+ UNION ALL SELECT doc_id, 'warning', 'very_large', path, NULL FROM walked WHERE depth <= {_DEEP} AND kind = 'float' AND abs(t::DOUBLE) > 1e308
+ UNION ALL SELECT doc_id, 'warning', 'unsafe_integer', path, NULL FROM walked WHERE depth <= {_DEEP} AND kind = 'int' AND abs(t::HUGEINT) > 9007199254740992
+ UNION ALL SELECT doc_id, 'warning', 'very_long', path, length(t)::VARCHAR FROM walked WHERE depth <= {_DEEP} AND kind = 'str' AND length(t) > 1000000
+ UNION ALL SELECT doc_id, 'warning', CASE kind WHEN 'list' THEN 'large_array' ELSE 'large_object' END, path, size::VARCHAR FROM walked WHERE depth <= {_DEEP} AND kind IN ('list', 'dict') AND size > 10000)"""
+_PROFILE = f"""profile AS (SELECT doc_id, max(depth)::BIGINT AS depth, coalesce(sum(size) FILTER (WHERE kind = 'str'), 0)::BIGINT AS string_length, coalesce(sum(size) FILTER (WHERE kind = 'list' AND depth <= {_DEEP}), 0)::BIGINT AS array_length,
+ coalesce(sum(size) FILTER (WHERE kind = 'dict'), 0)::BIGINT AS object_keys FROM walked GROUP BY doc_id)"""
+
+
+@query("agg24_json_profile", f"WITH RECURSIVE {_WALKED}, {_PROFILE} SELECT *, string_length + array_length + object_keys > 100000 AS large FROM profile")
 def json_profile(spark, sf):
-    r = _records(spark, sf).select("doc_id", let(records.flatten("a", _SHAPE), integrity.json_profile).alias("p"))
-    return r.select("doc_id", "p.depth", "p.string_length", "p.array_length", "p.object_keys")
+    return nested.verdicts(_walked(spark, sf), "doc_id").select("doc_id", "depth", "string_length", "array_length", "object_keys", "large")
+
+
+@query("jsn2_json_verdict", f"""WITH RECURSIVE {_WALKED}, {_PROFILE}, {_ISSUES},
+n AS (SELECT doc_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM issues GROUP BY doc_id)
+SELECT doc_id, coalesce(errors, 0) = 0 AS is_serialisable, depth, coalesce(errors, 0) AS errors, coalesce(warnings, 0) + (string_length + array_length + object_keys > 100000)::BIGINT AS warnings FROM profile LEFT JOIN n USING (doc_id)""")
+def json_verdict(spark, sf):
+    return nested.verdicts(_walked(spark, sf), "doc_id").select("doc_id", "is_serialisable", "depth", "errors", "warnings")
+
 
+@query("jsn2_json_issues", f"WITH RECURSIVE {_WALKED}, {_ISSUES} SELECT * FROM issues")
+def json_issues(spark, sf):
+    return nested.issues(_walked(spark, sf), "doc_id")
+
+
+@query("jsn2_typed_issues", f"""
+SELECT l_orderkey, l_partkey, l_linenumber, unnest(list_filter([CASE WHEN isnan(price) THEN 'error nan root.price' WHEN isinf(price) THEN 'error infinity root.price' WHEN abs(price) > 1e308 THEN 'warning very_large root.price' END,
+ CASE WHEN abs(big) > 9007199254740992 THEN 'warning unsafe_integer root.ids[1]' END, CASE WHEN regexp_matches(flag, '{_BAD}') THEN 'warning control_characters root.more.flag' END, 'error not_serialisable root.more.l_shipdate'], lambda i: i IS NOT NULL)) AS issue
+FROM ({_STRANGE})""")
+def typed_issues(spark, sf):
+    """Rows of typed columns, nested, as they are before they become JSON."""
+    keys = ["l_orderkey", "l_partkey", "l_linenumber"]
+    record = F.struct("price", F.array(F.lit(1).cast("bigint"), "big").alias("ids"), F.struct("flag", "l_shipdate").alias("more"))
+    rows = nested.walk(_strange(spark, sf).select(*keys, F.to_variant_object(record).alias("v")), "v", *keys)
+    return nested.issues(rows, *keys).select(*keys, F.concat_ws(" ", "severity", "issue", "path").alias("issue"))

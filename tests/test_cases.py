@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagegrain.functions import classify, clean, grids, labels, markdown, vectors
-from pagegrain.operators import blocks, chunking, confidence, documents, integrity, jobs, layout, prompts, retrieval, skew, spatial
+from pagegrain.operators import blocks, chunking, confidence, documents, integrity, jobs, layout, nested, prompts, retrieval, skew, spatial
 
 
 def one(spark, **cols):
@@ -249,19 +249,49 @@ def test_correction_replaces_and_keeps_its_place(spark):
     assert [(r.block_index, r.corrected) for r in rows] == [(0, "z"), (2, "y")]
 
 
-@pytest.mark.parametrize(("a", "b", "shape", "want"), [
-    ('{"name": "n", "value": 1, "extra": 2}', '{"name": "n", "value": 1}', {"name": None, "value": None, "extra": None}, {("root.extra", "missing_key")}),
-    ('{"v": 123}', '{"v": "123"}', {"v": None}, {("root.v", "type_change"), ("root.v", "value_change")}),
-    ('{"v": [1, 2, 3, 4, 5]}', '{"v": [1, 2, 3]}', {"v": [None]}, {("root.v", "length_change")}),
-    ('{"v": [1, 2]}', '{"v": [1, 9]}', {"v": [None]}, {("root.v[1]", "value_change")}),
-    ('{"v": 1}', '{"v": 1.0}', {"v": None}, {("root.v", "type_change")}),
-    ('{"t": "Hello    World"}', '{"t": "Hello World"}', {"t": None}, set()),
-    ('{"t": "abcdefghij"}', '{"t": "abcdefxxxx"}', {"t": None}, {("root.t", "value_change")}),
+@pytest.mark.parametrize(("a", "b", "want"), [
+    ('{"name": "n", "value": 1, "extra": 2}', '{"name": "n", "value": 1}', {("root.extra", "missing_key")}),
+    ('{"v": 123}', '{"v": "123"}', {("root.v", "type_change"), ("root.v", "value_change")}),
+    ('{"v": [1, 2, 3, 4, 5]}', '{"v": [1, 2, 3]}', {("root.v", "length_change")}),
+    ('{"v": [1, 2]}', '{"v": [1, 9]}', {("root.v[1]", "value_change")}),
+    ('{"v": 1}', '{"v": 1.0}', {("root.v", "type_change")}),
+    ('{"t": "Hello    World"}', '{"t": "Hello World"}', set()),
+    ('{"t": "abcdefghij"}', '{"t": "abcdefxxxx"}', {("root.t", "value_change")}),
+    ('{"t": "abcdefghijklmnopqrst"}', '{"t": "abcdefghij_lmnopqrst"}', set()),
+    ('{"a": {"b": [{"c": null}]}}', '{"a": {"b": [{"c": 0}]}}', {("root.a.b[0].c", "type_change"), ("root.a.b[0].c", "value_change")}),
+    ('{"a": {"b": {"c": 1}}}', '{"a": {"b": 5}}', {("root.a.b", "type_change"), ("root.a.b", "value_change")}),
+    ('{"a": {"b": {"c": 1}}}', '{"a": {}}', {("root.a.b", "missing_key")}),
+    ('[]', '{}', {("root", "type_change"), ("root", "value_change")}),
+    ('1', None, {("root", "missing_key")}), (None, None, set()), ('{}', '{}', set()),
 ])
-def test_structural_diff(spark, a, b, shape, want):
+def test_structural_diff(spark, a, b, want):
     pairs = spark.createDataFrame([(1, a, b)], "doc_id long, a string, b string").select("doc_id", F.try_parse_json("a").alias("a"), F.try_parse_json("b").alias("b"))
-    rows = integrity.record_changes(pairs, "a", "b", shape).collect()
+    rows = nested.changes(pairs, "a", "b", "doc_id").collect()
     assert {(r.path, r.kind) for r in rows if r.kind} == want
+    assert rows and all(r.doc_id == 1 for r in rows)
+
+
+def test_walk_gives_paths_depths_and_issues(spark):
+    texts = ['{"a b": [1, {"c": "x\\u0001"}], "n": 9007199254740993}', "[" * 9 + "]" * 9, "7", None, "{", '{"e": [], "o": {}, "z": null}']
+    records = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.try_parse_json("t").alias("v"))
+    nodes = nested.walk(records, "v", "k", limit=5)
+    at = {(r.k, r.path): (r.depth, r.kind, r["size"]) for r in nodes.collect()}
+    assert at[0, "root"] == (0, "dict", 2) and at[0, "root.a b[1].c"] == (3, "str", 2) and at[0, "root.n"] == (1, "int", None)
+    assert at[2, "root"] == (0, "int", None) and not [k for k in at if k[0] in (3, 4)]
+    assert {p: v[1:] for (k, p), v in at.items() if k == 5} == {"root": ("dict", 3), "root.e": ("list", 0), "root.o": ("dict", 0), "root.z": ("null", None)}
+    assert max(v[0] for (k, _), v in at.items() if k == 1) == 6
+    issues = {(r.k, r.severity, r.issue, r.path) for r in nested.issues(nodes, "k").collect()}
+    assert issues == {(0, "warning", "control_characters", "root.a b[1].c"), (0, "warning", "unsafe_integer", "root.n"), (1, "error", "too_deep", "root" + "[0]" * 6)}
+    verdicts = {r.k: (r.is_serialisable, r.depth, r.errors, r.warnings) for r in nested.verdicts(nodes, "k").collect()}
+    assert verdicts == {0: (True, 3, 0, 2), 1: (False, 6, 1, 0), 2: (True, 0, 0, 0), 5: (True, 1, 0, 0)}
+
+
+def test_large_containers_warn(spark):
+    record = spark.range(1).select("id", F.to_variant_object(F.struct(F.sequence(F.lit(1), F.lit(10_001)).alias("l"), F.repeat(F.lit("x"), 95_000).alias("s"))).alias("v"))
+    nodes = nested.walk(record, "v", "id")
+    assert [(r.issue, r.path) for r in nested.issues(nodes, "id").collect()] == [("large_array", "root.l")]
+    v = nested.verdicts(nodes, "id").first()
+    assert (v.large, v.warnings, v.array_length, v.string_length) == (True, 2, 10_001, 95_000)
 
 
 def test_special_floats(spark):
