@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagegrain.functions import grids
+from pagegrain.functions.arrays import scan
 from pagegrain.functions.clean import let
 from pagegrain.functions.text import strip
 
@@ -55,15 +56,14 @@ def parsed_anchors(markdown: Column) -> Column:
     """Array of block id, box and character offset of every anchor; other comment forms are ignored."""
     found, parts = F.regexp_extract_all(markdown, F.lit(ANCHOR), 0), F.split(markdown, ANCHOR)
 
-    def step(s: Column, p: Column) -> Column:
+    def step(s: Column, p: Column) -> dict[str, Column]:
         here = s["at"] + F.length(p["gap"])
-        return F.struct((here + F.length(p["mark"])).alias("at"), F.array_append(s["offsets"], here).alias("offsets"))
+        return {"at": here + F.length(p["mark"]), "emit": here}
 
     pairs = F.filter(F.zip_with(parts, found, lambda g, m: F.struct(g.alias("gap"), m.alias("mark"))), lambda p: p["mark"].isNotNull())
 
     def build(ps: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offsets"))
-        offsets = F.aggregate(ps, start, step, lambda s: s["offsets"])
+        offsets = scan(ps, {"at": F.lit(0)}, step, "int")
         part = lambda m, g: F.regexp_extract(m, ANCHOR, g)
         return F.zip_with(ps, offsets, lambda p, o: F.struct(
             part(p["mark"], 1).alias("block_id"), *[part(p["mark"], i + 2).cast("bigint").alias(n) for i, n in enumerate(("x", "y", "width", "height"))],
@@ -110,12 +110,10 @@ def markdown_runs(markdown: Column) -> Column:
     lines = F.transform(F.split(markdown, "\n"), lambda l: let(strip(l), lambda t: F.struct(line_kind(t).alias("kind"), t.alias("t"))))
 
     def starts(ls: Column) -> Column:
-        def step(s: Column, l: Column) -> Column:
+        def step(s: Column, l: Column) -> dict[str, Column]:
             joins = (l["kind"] == s["kind"]) & l["kind"].isin("table", "list")
-            return F.struct(l["kind"].alias("kind"), (s["n"] + 1).alias("n"),
-                            F.when(joins, s["at"]).otherwise(F.array_append(s["at"], s["n"])).alias("at"))
-        zero = F.struct(F.lit("").alias("kind"), F.lit(1).alias("n"), F.array().cast("array<int>").alias("at"))
-        return F.aggregate(ls, zero, step, lambda s: F.array_append(s["at"], s["n"]))
+            return {"kind": l["kind"], "n": s["n"] + 1, "emit": F.when(~joins, s["n"])}
+        return F.array_append(scan(ls, {"kind": F.lit(""), "n": F.lit(1)}, step, "int"), F.size(ls) + 1)
 
     def cut(ls: Column) -> Column:
         return let(starts(ls), lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda a, i: F.struct(

@@ -1,8 +1,9 @@
 """Cutting texts into chunks.
 
-Every strategy is a fold over the pieces of one text that carries lengths and
-positions only, so chunk text is copied once, when the chunk is emitted. All of
-it stays in the row of the document: no shuffle and no Python.
+Every strategy is a scan over the pieces of one text that carries lengths and
+positions only (``arrays.scan``), so chunk text is copied once, when the chunk is
+emitted, and a text of very many pieces costs little more a piece than a short one.
+All of it stays in the row of the document: no shuffle and no Python.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.functions.arrays import unnest
+from pagegrain.functions.arrays import scan, unnest
 from pagegrain.functions.clean import let
 from pagegrain.functions.text import strip
 from pagegrain.operators.skew import running_total
@@ -21,7 +22,6 @@ from pagegrain.operators.skew import running_total
 ENDINGS = "。！？；.!?;"
 SIZE, OVERLAP, MINIMUM = 500, 50, 50
 CHUNK = "array<struct<content:string,start_char:int,end_char:int>>"
-_INTS = "array<int>"
 
 
 def _located(parts: Column, gaps: Column | None = None) -> Column:
@@ -29,17 +29,16 @@ def _located(parts: Column, gaps: Column | None = None) -> Column:
 
     ``gaps`` holds the separator that follows each piece.
     """
-    def step(s: Column, p: Column) -> Column:
+    def step(s: Column, p: Column) -> dict[str, Column]:
         lead = F.length(p["p"]) - F.length(F.regexp_replace(p["p"], r"(?U)^[\s\x1c-\x1f]+", ""))
-        return F.struct((s["at"] + F.length(p["p"]) + F.coalesce(F.length(p["g"]), F.lit(0))).alias("at"), F.array_append(s["starts"], s["at"] + lead).alias("starts"))
+        return {"at": s["at"] + F.length(p["p"]) + F.coalesce(F.length(p["g"]), F.lit(0)), "emit": s["at"] + lead}
 
     none = F.lit(None).cast("string")
     paired = F.transform(parts, lambda p: F.struct(p.alias("p"), none.alias("g"))) if gaps is None else F.zip_with(
         parts, gaps, lambda p, g: F.struct(p.alias("p"), g.alias("g")))
 
     def build(ps: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_INTS).alias("starts"))
-        starts = F.aggregate(ps, zero, step, lambda s: s["starts"])
+        starts = scan(ps, {"at": F.lit(0)}, step, "int")
         return F.filter(F.zip_with(ps, starts, lambda p, s: F.struct(strip(p["p"]).alias("t"), s.alias("at"))), lambda x: x["t"] != "")
 
     return let(paired, build)
@@ -60,23 +59,22 @@ def sentences(text: Column) -> Column:
         # Ends that follow a sentence directly are skipped by the pattern; they become its gap.
         found, gaps = F.regexp_extract_all(t, F.lit(f"({body})([{ENDINGS}]*)"), 1), F.regexp_extract_all(t, F.lit(f"({body})([{ENDINGS}]*)"), 2)
         skip = F.length(F.regexp_extract(t, lead, 0))
-        return F.transform(_located(found, gaps), lambda s: F.struct(s["t"].alias("t"), (s["at"] + skip).alias("at")))
+        # Bound once: inside the lambda it would look at the whole text for every sentence.
+        return let(skip, lambda k: F.transform(_located(found, gaps), lambda s: F.struct(s["t"].alias("t"), (s["at"] + k).alias("at"))))
 
     return let(text, build)
 
 
 def _packed(pieces: Column, joiner: str, extra: int, size: int, minimum: int) -> Column:
     """Greedy packing of (t, at) pieces: start a new chunk when the next would pass ``size``."""
-    def step(s: Column, p: Column) -> Column:
+    def step(s: Column, p: Column) -> dict[str, Column]:
         n = F.length(p["t"])
         over = (s["len"] > 0) & (s["len"] + n + extra > size)
         grown = F.when(s["len"] == 0, n).otherwise(s["len"] + n + len(joiner))
-        return F.struct(F.when(over, n).otherwise(grown).alias("len"), (s["i"] + 1).alias("i"),
-                        F.when(over | (s["len"] == 0), F.array_append(s["cuts"], s["i"])).otherwise(s["cuts"]).alias("cuts"))
+        return {"len": F.when(over, n).otherwise(grown), "i": s["i"] + 1, "emit": F.when(over | (s["len"] == 0), s["i"])}
 
     def build(ps: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("len"), F.lit(1).alias("i"), F.array().cast(_INTS).alias("cuts"))
-        cuts = F.aggregate(ps, zero, step, lambda s: F.array_append(s["cuts"], s["i"]))
+        cuts = F.array_append(scan(ps, {"len": F.lit(0), "i": F.lit(1)}, step, "int"), F.size(ps) + 1)
         return let(cuts, lambda at: F.transform(F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), lambda a, k: _chunk(F.slice(ps, a, F.element_at(at, k + 2) - a), joiner)))
 
     return F.filter(let(pieces, build), lambda c: F.length(c["content"]) >= minimum)
@@ -102,31 +100,40 @@ def mixed(text: Column, size: int = SIZE, minimum: int = MINIMUM, compat: bool =
     By default a long paragraph ends the pending chunk. With ``compat`` a
     pending chunk under the minimum is kept and goes on after it.
     """
-    def step(s: Column, p: Column) -> Column:
-        n, i = F.length(p["t"]), s["i"]
-        pending = s["len"] > 0
-        long = n > size
-        flush_long = pending & (s["len"] >= minimum if compat else F.lit(True))
-        over = pending & (s["len"] + n + 2 > size)
-        keep = F.array_append(s["out"], s["cur"])
-        return F.when(long, F.struct(
-            F.when(flush_long, 0).otherwise(s["len"]).alias("len"), (i + 1).alias("i"),
-            F.when(flush_long, F.array().cast(_INTS)).otherwise(s["cur"]).alias("cur"),
-            F.array_append(F.when(flush_long, keep).otherwise(s["out"]), F.array(-i)).alias("out"))).otherwise(F.struct(
-                F.when(over | ~pending, n).otherwise(s["len"] + n + 2).alias("len"), (i + 1).alias("i"),
-                F.when(over, F.array(i)).otherwise(F.array_append(s["cur"], i)).alias("cur"), F.when(over, keep).otherwise(s["out"]).alias("out")))
-
-    def emit(ps: Column, group: Column) -> Column:
-        first = F.element_at(group, 1)
-        whole = F.element_at(ps, F.abs(first))
-        inner = F.transform(by_sentence(whole["t"], size, minimum), lambda c: F.struct(
-            c["content"].alias("content"), (c["start_char"] + whole["at"]).cast("int").alias("start_char"), (c["end_char"] + whole["at"]).cast("int").alias("end_char")))
-        return F.when(first < 0, inner).otherwise(F.array(_chunk(F.transform(group, lambda g: F.element_at(ps, g)), "\n\n")))
+    def step(s: Column, p: Column) -> dict[str, Column]:
+        """The group of a piece: 0 for a long one, else counted from 1."""
+        n = F.length(p["t"])
+        pending, long = s["len"] > 0, n > size
+        flush = pending & (s["len"] >= minimum) if compat else F.lit(True)
+        new = ~pending | (s["len"] + n + 2 > size)
+        group = F.when(new, s["group"] + 1).otherwise(s["group"])
+        return {"len": F.when(long, F.when(flush, 0).otherwise(s["len"])).when(new, n).otherwise(s["len"] + n + 2),
+                "group": F.when(long, s["group"]).otherwise(group), "emit": F.when(long, 0).otherwise(group)}
 
     def build(ps: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("len"), F.lit(1).alias("i"), F.array().cast(_INTS).alias("cur"), F.array().cast("array<array<int>>").alias("out"))
-        groups = F.aggregate(ps, zero, step, lambda s: F.when(s["len"] > 0, F.array_append(s["out"], s["cur"])).otherwise(s["out"]))
-        return F.flatten(F.transform(groups, lambda g: emit(ps, g)))
+        groups = scan(ps, {"len": F.lit(0), "group": F.lit(0)}, step, "int")
+        tagged = F.transform(F.arrays_zip(ps.alias("p"), groups.alias("g")), lambda x, i: F.struct(i.alias("i"), x["g"].alias("g"), x["p"].alias("p")))
+        return let(tagged, emitted)
+
+    def emitted(tagged: Column) -> Column:
+        """Chunks in the order of each group's last piece, as they are emitted."""
+        def sentences_of(x: Column) -> Column:
+            return F.transform(by_sentence(x["p"]["t"], size, minimum), lambda c: F.struct(
+                c["content"].alias("content"), (c["start_char"] + x["p"]["at"]).cast("int").alias("start_char"), (c["end_char"] + x["p"]["at"]).cast("int").alias("end_char")))
+
+        long = F.transform(F.filter(tagged, lambda x: x["g"] == 0), lambda x: F.struct(x["i"].alias("i"), sentences_of(x).alias("c")))
+        short = let(F.filter(tagged, lambda x: x["g"] > 0), runs)
+        return F.flatten(F.transform(F.array_sort(F.concat(long, short), lambda x, y: x["i"] - y["i"]), lambda x: x["c"]))
+
+    def runs(xs: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1))), lambda k: (k <= F.size(xs)) & ((k == 1) | (F.get(xs, k - 2)["g"] != F.get(xs, k - 1)["g"])))
+
+        def cut(at: Column) -> Column:
+            def one(a: Column, k: Column) -> Column:
+                part = F.slice(xs, a, F.coalesce(F.get(at, k + 1), F.size(xs) + 1) - a)
+                return let(part, lambda q: F.struct(F.element_at(q, -1)["i"].alias("i"), F.array(_chunk(F.transform(q, lambda x: x["p"]), "\n\n")).alias("c")))
+            return F.transform(at, one)
+        return let(first, cut)
 
     return F.filter(let(paragraphs(text), build), lambda c: F.length(c["content"]) >= minimum)
 
@@ -149,27 +156,26 @@ def fixed(text: Column, size: int = SIZE, minimum: int = MINIMUM, overlap: int =
 
             # Each part is bound once: written out in full they would be evaluated many times per step.
             def at_end(end: Column) -> Column:
-                return let(strip(F.substring(t, start + 1, end - start)), lambda body: grown(end, body))
+                return let(F.length(strip(F.substring(t, start + 1, end - start))) >= minimum, lambda good: moved(end, good))
 
-            def grown(end: Column, body: Column) -> Column:
-                good = F.length(body) >= minimum
+            def moved(end: Column, good: Column) -> Column:
                 back = end - overlap
                 # The previous start guards against standing still, as does reaching the end of the text.
                 last = F.when(good, start).otherwise(s["last"])
                 nxt = F.when(end >= n, n).when(F.coalesce(back <= last, F.lit(False)), end).otherwise(F.greatest(back, F.lit(0)))
-                return F.struct(nxt.alias("at"), last.alias("last"), F.when(good, F.array_append(s["out"], F.struct(
-                    body.alias("content"), start.alias("start_char"), end.alias("end_char")))).otherwise(s["out"]).alias("out"))
+                return F.struct(nxt.alias("at"), last.alias("last"), F.when(good, F.struct(start.alias("a"), end.alias("b"))).alias("emit"))
 
-            moved = let(cut, lambda c: let(F.when(aim >= n, n).when(c > 0, low + c).otherwise(aim), at_end))
-            return F.when(start >= n, s).otherwise(moved)
+            nothing = F.struct(s["at"].alias("at"), s["last"].alias("last"), F.lit(None).cast("struct<a:int,b:int>").alias("emit"))
+            return F.when(start >= n, nothing).otherwise(let(cut, lambda c: let(F.when(aim >= n, n).when(c > 0, low + c).otherwise(aim), at_end)))
 
         return go
 
     def build(t: Column) -> Column:
         # An upper bound on the number of steps: every step moves by at least this much.
         pace = max(1, max(size - 100, minimum) - overlap)
-        zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("last"), F.array().cast(CHUNK).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), (F.length(t) / pace).cast("int") + 2), zero, step(t), lambda s: s["out"])
+        steps = F.sequence(F.lit(0), (F.length(t) / pace).cast("int") + 2)
+        cuts = scan(steps, {"at": F.lit(0), "last": F.lit(None).cast("int")}, step(t), "struct<a:int,b:int>")
+        return F.transform(cuts, lambda c: F.struct(strip(F.substring(t, c["a"] + 1, c["b"] - c["a"])).alias("content"), c["a"].alias("start_char"), c["b"].alias("end_char")))
 
     return let(text, build)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions import markdown
-from pagegrain.functions.arrays import unnest_at
+from pagegrain.functions.arrays import scan, unnest_at
 from pagegrain.functions.clean import let
 from pagegrain.functions.text import strip
 
@@ -31,8 +31,7 @@ def anchored_parts(pages: DataFrame, items: str = "items") -> DataFrame:
 
     parts = pages.withColumn("parts", F.transform(items, part))
     size = lambda p: F.length(p["anchor"]) + 1 + F.when(p["content"] != "", F.length(p["content"]) + 1).otherwise(0) + 1
-    fold = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offsets")),
-                       lambda s, p: F.struct((s["at"] + size(p)).alias("at"), F.array_append(s["offsets"], s["at"]).alias("offsets")), lambda s: s["offsets"])
+    fold = scan(F.col("parts"), {"at": F.lit(0)}, lambda s, p: {"at": s["at"] + size(p), "emit": s["at"]}, "int")
     return parts.withColumn("offsets", fold).select(DOC, F.zip_with("parts", "offsets", lambda p, o: F.struct(
         p["ord"], p["block_id"], p["x"], p["y"], p["width"], p["height"], p["anchor"], p["content"], o.alias("position"))).alias("parts"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions import grids
-from pagegrain.functions.arrays import unnest_at
+from pagegrain.functions.arrays import scan, unnest_at
 from pagegrain.functions.clean import let
 from pagegrain.functions.text import strip
 
@@ -58,14 +58,12 @@ def anchored_rows(centres: Column, tolerance: float) -> Column:
     A new row starts when a value is further than ``tolerance`` from the first
     value of the current row, so this is a fold and not a gap test.
     """
-    def step(s: Column, y: Column) -> Column:
+    def step(s: Column, y: Column) -> dict[str, Column]:
         new = F.abs(y - s["first"]) > tolerance
         row = F.when(new, s["row"] + 1).otherwise(s["row"])
-        return F.struct(F.when(new, y).otherwise(s["first"]).alias("first"), row.alias("row"), F.array_append(s["ids"], row).alias("ids"))
+        return {"first": F.when(new, y).otherwise(s["first"]), "row": row, "emit": row}
 
-    start = lambda ys: F.struct(F.coalesce(F.try_element_at(ys, F.lit(1)), F.lit(0.0)).alias("first"),
-                                F.lit(0).alias("row"), F.array().cast("array<int>").alias("ids"))
-    return let(centres, lambda ys: F.aggregate(ys, start(ys), step, lambda s: s["ids"]))
+    return let(centres, lambda ys: scan(ys, {"first": F.coalesce(F.try_element_at(ys, F.lit(1)), F.lit(0.0)), "row": F.lit(0)}, step, "int"))
 
 
 def clustered_cells(pages: DataFrame, array: str, y: str, x: str, tolerance: float, *keep: str) -> DataFrame:
