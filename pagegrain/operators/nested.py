@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions.text import squeeze
 from pagegrain.operators.integrity import SAFE_INTEGER, SIMILAR, bad_characters
-from pagegrain.session import shared_dir
+from pagegrain.session import written
 
 # Limits of the check, and the names of variant kinds; every other kind can't be written as JSON.
 MAX_DEPTH, MAX_TEXT, MAX_ITEMS, MAX_SIZES = 100, 1_000_000, 10_000, 100_000
@@ -76,12 +76,11 @@ def _judged(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 def _levels(first: DataFrame, step, label: str) -> DataFrame:
     """All levels as one table; ``step`` makes a level's children, and the walk ends where there are none."""
-    spark, parts, level = first.sparkSession, [], first
+    parts, level = [], first
     while level is not None:
-        path, seen = shared_dir(spark, f"{label}-{len(parts)}"), Observation()
-        level.observe(seen, F.count_if(F.col("v").isNotNull()).alias("containers")).write.parquet(path)
-        parts.append(spark.read.schema(level.schema).parquet(path))
-        level = step(parts[-1].where("v IS NOT NULL")) if seen.get["containers"] else None
+        table, containers = written(level, f"{label}-{len(parts)}", F.count_if(F.col("v").isNotNull()))
+        parts.append(table)
+        level = step(table.where("v IS NOT NULL")) if containers else None
     return reduce(DataFrame.unionByName, [p.drop("v", "a", "b") for p in parts])
 
 

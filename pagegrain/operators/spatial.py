@@ -8,10 +8,14 @@ makes a later distinct unnecessary.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagegrain.session import written
+
 DOC = "doc_id"
 TILE = (1024.0, 256.0)
 
@@ -118,6 +122,51 @@ def kept_regions(pages: DataFrame, limit: float = 0.7, array: str = "regions") -
     return pages.withColumn(array, F.transform(fold, lambda k: F.element_at(F.col(array), k)))
 
 
+def overlap_conflicts(regions: DataFrame, limit: float = 0.7, tile: tuple[float, float] = TILE) -> DataFrame:
+    """Pairs (doc_id, a, b) of region numbers where ``b``, later by y and number, repeats ``a``; from the tiled join.
+
+    Of regions with one box and one text the first alone takes part: the others go
+    whatever happens to it.
+    """
+    box, order = ["x1", "y1", "x2", "y2"], F.struct("y1", "ord")
+    first = regions.groupBy(DOC, *box, F.md5(F.col("content").cast("binary")).alias("tag")).agg(F.min("ord").alias("ord"), F.first(F.col("content") == "").alias("bare"))
+    boxes = first.where("x2 > x1 AND y2 > y1").withColumn("at", order)
+    side = lambda p: tiled(boxes.select(DOC, *[F.col(c).alias(f"{p}{c}") for c in (*box, "tag", "ord", "bare", "at")]), (f"{p}x1", f"{p}y1", f"{p}x2", f"{p}y2"), tile)
+    pairs = side("a_").join(side("b_"), [DOC, "tx", "ty"])
+    ox1, oy1, ox2, oy2 = _overlap("a_", "b_")
+    owner = (F.floor(ox1 / tile[0]) == F.col("tx")) & (F.floor(oy1 / tile[1]) == F.col("ty"))
+    shared = (ox2 - ox1) * (oy2 - oy1) / F.least(_area("a_"), _area("b_"))
+    same = (F.col("b_tag") == F.col("a_tag")) | F.col("b_bare")
+    return pairs.where((F.col("a_at") < F.col("b_at")) & owner & (ox2 > ox1) & (oy2 > oy1) & (shared > limit) & same).select(DOC, F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
+
+
+def kept_region_rows(regions: DataFrame, limit: float = 0.7, tile: tuple[float, float] = TILE) -> DataFrame:
+    """The greedy removal of ``kept_regions`` for regions as rows, in (y1, ord) order: one document may lie in many tasks.
+
+    The kept set is the first independent set of the conflict graph in that order. In
+    every round the regions that no open conflict points at are kept and what they point
+    at goes; conflicts of decided regions are dropped. There are as many rounds as the
+    longest chain of regions that decide each other, in which every second one stays.
+    Needs doc_id, ord (unique in a document), a box and content; a null content
+    repeats nothing. Null boxes and empty ones stay.
+    """
+    node = [DOC, "ord"]
+    box = ["x1", "y1", "x2", "y2"]
+    whole = regions.where("x2 > x1 AND y2 > y1")
+    copies = whole.groupBy(DOC, *box, F.md5(F.col("content").cast("binary")).alias("tag")).agg(F.min("ord").alias("first"))
+    repeated = (whole.withColumn("tag", F.md5(F.col("content").cast("binary"))).join(copies, [DOC, *box, "tag"]).where("ord > first").select(*node))
+    gone = [repeated]
+    edges, n = written(overlap_conflicts(regions, limit, tile), "conflicts", F.count(F.lit(1)))
+    while n:
+        to = edges.select(DOC, F.col("b").alias("ord")).distinct()
+        free = edges.select(DOC, F.col("a").alias("ord")).distinct().join(to, node, "left_anti").withColumnRenamed("ord", "a")
+        hit, _ = written(edges.join(free, [DOC, "a"], "left_semi").select(DOC, F.col("b").alias("ord")).distinct(), "removed")
+        gone.append(hit)
+        rest = edges.join(hit.withColumnRenamed("ord", "b"), [DOC, "b"], "left_anti").join(hit.withColumnRenamed("ord", "a"), [DOC, "a"], "left_anti").select(DOC, "a", "b")
+        edges, n = written(rest, "conflicts", F.count(F.lit(1)))
+    return regions.join(reduce(DataFrame.unionByName, gone), node, "left_anti")
+
+
 def _repeat(a: str, b: str, limit: float) -> str:
     """``b`` repeats ``a``: enough overlap, and equal or missing text."""
     w = f"(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1))"

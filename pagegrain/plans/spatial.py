@@ -74,7 +74,7 @@ concat(regions,
 """
 
 
-@query("jn5_overlap_dedup", with_lr("""
+_KEPT = with_lr("""
 , cand AS (
   SELECT doc_id, ord, x1, y1, x2, y2, content FROM lr
   UNION ALL SELECT doc_id, ord + 1000000, x1 + 2, y1 + 1 + ord % 3, x2 + 2, y2 + 1 + ord % 3,
@@ -90,8 +90,18 @@ f AS (SELECT doc_id, 1::BIGINT AS i, [1::BIGINT] AS kept FROM s WHERE i = 1
   UNION ALL SELECT f.doc_id, s.i, CASE WHEN coalesce(list_has_any(f.kept, rep.hits), false) THEN f.kept ELSE list_append(f.kept, s.i) END
   FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1 LEFT JOIN rep ON rep.doc_id = s.doc_id AND rep.i = s.i),
 last AS (SELECT doc_id, max_by(kept, i) AS kept FROM f GROUP BY doc_id)
-SELECT s.doc_id, s.ord FROM s JOIN last USING (doc_id) WHERE list_contains(last.kept, s.i)""", recursive=True))
+SELECT s.doc_id, s.ord FROM s JOIN last USING (doc_id) WHERE list_contains(last.kept, s.i)""", recursive=True)
+
+
+@query("jn5_overlap_dedup", _KEPT)
 def overlap_dedup(spark, sf):
     p = inputs.pages(spark, sf).select("doc_id", F.expr(_JITTER).alias("regions"))
     kept = spatial.kept_regions(layout.sort_regions(p, "y"))
     return unnest(kept, "regions", "doc_id", guard="ord").select("doc_id", "ord")
+
+
+@query("jn5_overlap_rounds", _KEPT)
+def overlap_rounds(spark, sf):
+    """The same removal over region rows, decided in rounds."""
+    p = inputs.pages(spark, sf).select("doc_id", F.expr(_JITTER).alias("regions"))
+    return spatial.kept_region_rows(unnest(p, "regions", "doc_id", guard="ord")).select("doc_id", "ord")

@@ -11,6 +11,7 @@ from pagegrain.plans.chunks import _PARA, _chunks_sql, _fold
 from pagegrain.plans.jobs import STATE_SQL, _END, _J, _progress, shown_states, updates
 from pagegrain.plans.registry import query
 from pagegrain.session import shared_dir
+from pagegrain.sources import keyed
 from pagegrain.streaming import lifecycle, live
 
 
@@ -136,3 +137,40 @@ def job_lifecycle(spark, sf):
 @query("str2_job_expiry", _lifecycle_sql(jobs.TIMEOUT))
 def job_expiry(spark, sf):
     return _lives(spark, sf, jobs.TIMEOUT)
+
+
+@query("str3_history_state", "SELECT user_id AS job_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 20")
+def history_state(spark, sf):
+    """The last updates of every job, read from the stream's state."""
+    at = f"{shared_dir(spark, 'history')}/checkpoint"
+    events = _events(spark, sf).withColumnRenamed("user_id", "job_id")
+    lifecycle.started(lifecycle.bounded_history(events, 20, "event_type"), at, mode="update").awaitTermination()
+    return lifecycle.kept_history(spark, at).select("job_id", "event_id", "event_type")
+
+
+@query("str5_corrections_reindexed", """
+WITH c AS (SELECT user_id AS doc_id, event_id % 7 AS b, repeat(arg_max(event_type, (ts, event_id)), 5) AS text, min(event_id) AS position FROM events GROUP BY user_id, event_id % 7),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS b FROM documents),
+n AS (SELECT doc_id, b, coalesce(c.text, l.text) AS text, position FROM l FULL JOIN c USING (doc_id, b) WHERE doc_id IN (SELECT doc_id FROM documents)),
+s AS (SELECT doc_id, b, text, position FROM n)
+SELECT doc_id, count(*) FILTER (WHERE length(text) >= 20) AS n_chunks, md5(coalesce(string_agg(text, chr(10) ORDER BY b) FILTER (WHERE length(text) >= 20), '')) AS digest, count(position) AS corrected FROM s GROUP BY doc_id HAVING count(*) FILTER (WHERE length(text) >= 20) > 0""")
+def corrections_reindexed(spark, sf):
+    """Corrections arrive in three batches; texts and index of the documents they touch are replaced, what was corrected is read from the state."""
+    root = shared_dir(spark, "corrections")
+    docs = inputs.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_index", "text"))
+    keyed.save(docs.withColumn("block_index", F.col("block_index").cast("long")), f"{root}/texts", "doc_id")
+    index = lambda rows: rows.where(F.length("text") >= 20)
+    keyed.save(index(docs.withColumn("block_index", F.col("block_index").cast("long"))), f"{root}/index", "doc_id")
+
+    def save(rows, chunks):
+        keyed.save(rows, f"{root}/texts", "doc_id")
+        keyed.save(chunks, f"{root}/index", "doc_id")
+
+    present = lambda ids: keyed.load(spark, f"{root}/texts").join(ids, "doc_id", "left_semi")
+    known = inputs.table(spark, sf, "documents").select("doc_id")
+    c = _events(spark, sf).select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).alias("block_index"), F.repeat("event_type", 5).alias("corrected"), "ts", "event_id", F.col("event_id").alias("position"))
+    stream = lifecycle.latest_corrections(c.join(known, "doc_id", "left_semi"), keep_ms=30 * 86_400_000)
+    lifecycle.started(stream, f"{root}/checkpoint", mode="update", each=lifecycle.reindexing(present, index, save)).awaitTermination()
+    marks = lifecycle.kept_corrections(spark, f"{root}/checkpoint").groupBy("doc_id").agg(F.count(F.lit(1)).alias("corrected"))
+    rows = keyed.load(spark, f"{root}/index").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list(F.struct("block_index", "text"))).alias("r"))
+    return rows.join(marks, "doc_id", "left").select("doc_id", "n_chunks", F.md5(F.array_join(F.transform("r", lambda x: x["text"]), "\n").cast("binary")).alias("digest"), F.coalesce("corrected", F.lit(0)).cast("bigint").alias("corrected"))

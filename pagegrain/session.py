@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError(f"spark.checkpoint.dir is unset; with master {master} it must name a folder that driver and executors share")
         return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), label)
     return os.path.join(root, f"{label}-{os.urandom(6).hex()}")
+
+
+def written(df: DataFrame, label: str, count: Column | None = None) -> tuple[DataFrame, int]:
+    """``df`` written to the shared folder and read back, so that its lineage ends there, with what ``count`` counted on the way."""
+    path, seen = shared_dir(df.sparkSession, label), Observation()
+    (df if count is None else df.observe(seen, count.alias("n"))).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), 0 if count is None else seen.get["n"]

@@ -9,7 +9,9 @@ from the state itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import itertools
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -179,3 +181,106 @@ def live_jobs(spark: SparkSession, checkpoint: str) -> DataFrame:
     shown = jobs.join(merged, "job_id", "left")
     return shown.select("job_id", F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("updated").alias("updated_at"), "stage", "message", "progress", "error", "completed", "failed",
                         F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+
+
+class BoundedHistory(StatefulProcessor):
+    """The last ``cap`` rows of a key as list state; nothing is emitted, readers read the state."""
+
+    def __init__(self, cap: int, columns: list[str], schema: str):
+        self.cap, self.columns, self.schema = cap, columns, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("history", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        old = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        # nlargest holds cap rows at a time, however many the batch has.
+        last = heapq.nlargest(self.cap, itertools.chain(old, (tuple(r[c] for c in self.columns) for r in rows)), key=lambda r: r[:2])
+        self.rows.put(last[::-1])
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_history(events: DataFrame, cap: int, *columns: str, key: str = "job_id") -> DataFrame:
+    """A stream that keeps the last ``cap`` rows of every key by (ts, event_id) in the state; its output is empty.
+
+    Rows may come in any order and any batch. Rows without a key, a time or an id are left out.
+    """
+    rows = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull() & F.col("event_id").isNotNull())
+    rows = rows.select(key, F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"), *columns)
+    names = ["at", "event_id", *columns]
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.groupBy(key).transformWithState(BoundedHistory(cap, names, schema), f"{key} {rows.schema[key].dataType.simpleString()}", "Update", "None")
+
+
+def kept_history(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The history as the state has it: the key, seq from 1, ts, event_id and the further columns."""
+    rows = state(spark, checkpoint, "history")
+    return rows.select("key.*", F.timestamp_micros("list_element.at").alias("ts"), *[f"list_element.{f.name}" for f in rows.schema["list_element"].dataType.fields if f.name != "at"])
+
+
+class LatestCorrections(StatefulProcessor):
+    """The latest correction of every block of a document as map state; the blocks a batch has changed are emitted."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.blocks = handle.getMapState("corrections", "block_index long", "at long, tie long, corrected string, position long", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best: dict[int, tuple] = {}
+        for r in rows:
+            new, old = (r["at"], r["tie"], r["corrected"], r["position"]), best.get(r["block_index"])
+            best[r["block_index"]] = (*max(old, new, key=lambda v: v[:2])[:3], min(old[3], new[3])) if old else new
+        for block, new in best.items():
+            old = self.blocks.getValue((block,)) if self.blocks.containsKey((block,)) else None
+            value = (*max(tuple(old), new, key=lambda v: v[:2])[:3], min(old[3], new[3])) if old else new
+            if not old or tuple(old) != value:
+                self.blocks.updateValue((block,), value)
+                yield Row("doc_id", "block_index", "corrected", "position")(key[0], block, value[2], value[3])
+
+    def close(self) -> None:
+        pass
+
+
+def latest_corrections(corrections: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """A stream of (doc_id, block_index, corrected, ts, event_id, position) -> the blocks each batch changes.
+
+    Latest text by (ts, event_id), earliest position. With ``keep_ms`` a block leaves the
+    state so long after its last change, which must exceed how late a correction may
+    come. Rows without a document, block, time or id are left out.
+    """
+    good = F.col("doc_id").isNotNull() & F.col("block_index").isNotNull() & F.col("ts").isNotNull() & F.col("event_id").isNotNull()
+    rows = corrections.where(good).select("doc_id", F.col("block_index").cast("long").alias("block_index"), F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("tie"),
+                                          "corrected", F.col("position").cast("long").alias("position"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.groupBy("doc_id").transformWithState(LatestCorrections(keep_ms), f"doc_id {kind}, block_index long, corrected string, position long", "Update", "ProcessingTime" if keep_ms else "None")
+
+
+def kept_corrections(spark: SparkSession, checkpoint: str) -> DataFrame:
+    rows = state(spark, checkpoint, "corrections")
+    return rows.select("key.*", "user_map_key.block_index", "user_map_value.corrected", "user_map_value.position")
+
+
+def reindexing(blocks: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, DataFrame], None]):
+    """A sink for changed blocks: the documents concerned get new texts and a new index, the others stay.
+
+    ``blocks`` maps document ids to their present rows (doc_id, block_index, text),
+    ``index`` corrected rows to index rows, ``save`` takes (corrected rows, index rows).
+    A batch that runs again ends in the same state.
+    """
+    def sink(changed: DataFrame, batch: int) -> None:
+        changed = changed.persist()
+        try:
+            docs = changed.select("doc_id").distinct()
+            # Corrected blocks replace, also by an empty text; a block the document lacks is appended to it.
+            both = blocks(docs).select("doc_id", "block_index", "text", F.lit(0).alias("_p")).unionByName(
+                changed.select("doc_id", "block_index", F.col("corrected").alias("text"), F.lit(1).alias("_p")))
+            rows = both.groupBy("doc_id", "block_index").agg(F.max_by("text", "_p").alias("text"))
+            save(rows, index(rows))
+        finally:
+            changed.unpersist()
+    return sink
