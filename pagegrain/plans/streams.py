@@ -169,7 +169,7 @@ def corrections_reindexed(spark, sf):
     present = lambda ids: keyed.load(spark, f"{root}/texts").join(ids, "doc_id", "left_semi")
     known = inputs.table(spark, sf, "documents").select("doc_id")
     c = _events(spark, sf).select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).alias("block_index"), F.repeat("event_type", 5).alias("corrected"), "ts", "event_id", F.col("event_id").alias("position"))
-    stream = lifecycle.latest_corrections(c.join(known, "doc_id", "left_semi"), keep_ms=30 * 86_400_000)
+    stream = lifecycle.latest_corrections(c.join(known, "doc_id", "left_semi"))
     lifecycle.started(stream, f"{root}/checkpoint", mode="update", each=lifecycle.reindexing(present, index, save)).awaitTermination()
     marks = lifecycle.kept_corrections(spark, f"{root}/checkpoint").groupBy("doc_id").agg(F.count(F.lit(1)).alias("corrected"))
     rows = keyed.load(spark, f"{root}/index").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list(F.struct("block_index", "text"))).alias("r"))

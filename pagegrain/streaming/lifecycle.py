@@ -251,7 +251,8 @@ def latest_corrections(corrections: DataFrame, keep_ms: int | None = None) -> Da
 
     Latest text by (ts, event_id), earliest position. With ``keep_ms`` a block leaves the
     state so long after its last change, which must exceed how late a correction may
-    come. Rows without a document, block, time or id are left out.
+    come; such a stream needs a trigger that goes on, since one that stops when
+    nothing is left never finds that with clocks in its state. Rows without a document, block, time or id are left out.
     """
     good = F.col("doc_id").isNotNull() & F.col("block_index").isNotNull() & F.col("ts").isNotNull() & F.col("event_id").isNotNull()
     rows = corrections.where(good).select("doc_id", F.col("block_index").cast("long").alias("block_index"), F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("tie"),
