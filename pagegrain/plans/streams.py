@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagegrain.operators import jobs
+from pagegrain.operators import chunking, jobs
 from pagegrain.operators.skew import latest_by
 from pagegrain.plans import inputs
-from pagegrain.plans.chunks import _PARA, _chunks_sql, _fold
+from pagegrain.plans.ansi import s_strip, with_it
+from pagegrain.plans.chunks import _PARA, _by_line, _chunks_sql, _fold
 from pagegrain.plans.jobs import STATE_SQL, _END, _J, _progress, shown_states, updates
 from pagegrain.plans.registry import query
 from pagegrain.session import shared_dir
-from pagegrain.sources import keyed
-from pagegrain.streaming import lifecycle, live
+from pagegrain.sources import keyed, writers
+from pagegrain.streaming import ingest, lifecycle, live
 
 
 def _events(spark, sf):
@@ -174,3 +175,27 @@ def corrections_reindexed(spark, sf):
     marks = lifecycle.kept_corrections(spark, f"{root}/checkpoint").groupBy("doc_id").agg(F.count(F.lit(1)).alias("corrected"))
     rows = keyed.load(spark, f"{root}/index").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list(F.struct("block_index", "text"))).alias("r"))
     return rows.join(marks, "doc_id", "left").select("doc_id", "n_chunks", F.md5(F.array_join(F.transform("r", lambda x: x["text"]), "\n").cast("binary")).alias("digest"), F.coalesce("corrected", F.lit(0)).cast("bigint").alias("corrected"))
+
+
+@query("str4_live_layouts", with_it(f"""
+, b AS (SELECT doc_id, {s_strip('CASE WHEN html IS NOT NULL THEN html ELSE text END')} AS t FROM it),
+n AS (SELECT doc_id, count(*) FILTER (WHERE t <> '') AS n_blocks, coalesce(sum(len(list_filter(string_split(t, chr(10)), lambda l: length(l) >= 20))), 0)::BIGINT AS n_chunks FROM b GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 3 THEN 'parse:not_json' WHEN d.doc_id % 10 = 5 THEN 'layout:no_items' WHEN d.doc_id % 10 = 9 THEN 'read:empty' WHEN d.doc_id % 10 = 7 OR n.doc_id IS NULL THEN 'regions:no_box'
+ WHEN n_blocks = 0 THEN 'blocks:no_text' WHEN n_chunks = 0 THEN 'index:no_chunk' ELSE 'indexed' END AS outcome,
+ CASE WHEN d.doc_id % 10 IN (3, 5, 7, 9) THEN 0 ELSE coalesce(n_blocks, 0) END AS n_blocks, CASE WHEN d.doc_id % 10 IN (3, 5, 7, 9) THEN 0 ELSE coalesce(n_chunks, 0) END AS n_chunks
+FROM (SELECT DISTINCT doc_id FROM lr) d LEFT JOIN n USING (doc_id)"""))
+def live_layouts(spark, sf):
+    """Layout results in three batches, broken ones in each: their blocks, index and failures."""
+    chunking.register_strategy("line", _by_line)
+    k = F.col("doc_id") % 10
+    made = writers.layout_results(inputs.item_pages(spark, sf).where(F.size("items") > 0))
+    value = (F.when(k == 3, F.expr("substring(value, 1, length(value) - 3)")).when(k == 5, '{"other": [1]}').when(k == 9, " ")
+             .when(k == 7, F.regexp_replace("value", r'"bbox":\[[^\]]*\]', '"bbox":[1,2,3]')).otherwise(F.col("value")))
+    files = made.select("doc_id", value.alias("value"), F.timestamp_micros("doc_id").alias("ts"))
+    stream = live.replay(files, shared_dir(spark, "layouts"), "ts").select("doc_id", "value")
+    out = _run(spark, stream, lambda p: ingest.layouts_sink(p, strategy="line"))
+    count = lambda n: spark.read.parquet(f"{out}/{n}").groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{n}"))
+    failed = spark.read.parquet(f"{out}/failures").select("doc_id", F.concat_ws(":", "step", "reason").alias("outcome"))
+    rows = files.select("doc_id").join(failed, "doc_id", "left").join(count("blocks"), "doc_id", "left").join(count("index"), "doc_id", "left")
+    zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(n)
+    return rows.select("doc_id", F.coalesce("outcome", F.lit("indexed")).alias("outcome"), zero("n_blocks", "n_blocks"), zero("n_index", "n_chunks"))
