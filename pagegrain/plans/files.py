@@ -16,21 +16,36 @@ from pagegrain.plans.prompts import TYPES, _documents
 from pagegrain.plans.registry import query
 from pagegrain.plans.stages import run_stages, tracked
 from pagegrain.session import shared_dir
-from pagegrain.sources import keyed, readers, writers
+from pagegrain.sources import keyed, readers, uploads, writers
 
 
-@query("src1_upload_verdicts", """
+_UPLOADS = """
 SELECT doc_id, CASE WHEN e = 'exe' THEN 'unsupported_type' WHEN doc_id % 9 = 8 THEN 'empty' WHEN doc_id % 7 <> 0 AND e IN ('pdf', 'png', 'jpg') THEN NULL ELSE 'signature_mismatch' END AS reason,
- e <> 'exe' AND doc_id % 9 <> 8 AND doc_id % 7 <> 0 AS is_valid FROM (SELECT doc_id, ['pdf', 'png', 'jpg', 'exe'][doc_id % 4 + 1] AS e FROM documents)""")
-def upload_verdicts(spark, sf):
+ e <> 'exe' AND doc_id % 9 <> 8 AND doc_id % 7 <> 0 AS is_valid FROM (SELECT doc_id, ['pdf', 'png', 'jpg', 'exe'][doc_id % 4 + 1] AS e FROM documents)"""
+
+
+def _uploads(spark, sf):
     """Documents as upload bytes under a leading signature, some wrong, some empty."""
     k = F.col("doc_id")
     ext = F.element_at(F.array(*[F.lit(e) for e in ("pdf", "png", "jpg", "exe")]), (k % 4 + 1).cast("int"))
     sig = F.element_at(F.array(*[F.unhex(F.lit(s)) for s in ("25504446", "89504E470D0A1A0A", "FFD8FF", "4D5A")]), (k % 4 + 1).cast("int"))
     body = F.concat(F.when(k % 7 == 0, F.encode(F.lit("x"), "UTF-8")).otherwise(sig), F.encode("text", "UTF-8"))
     content = F.when(k % 9 == 8, F.encode(F.lit(""), "UTF-8")).otherwise(body)
-    files = inputs.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("up/"), k.cast("string"), F.lit("."), ext).alias("path"), content.alias("content"))
-    v = readers.judged_uploads(files.withColumn("length", F.length("content")))
+    return inputs.table(spark, sf, "documents").select("doc_id", F.concat(k.cast("string"), F.lit("."), ext).alias("name"), content.alias("content"))
+
+
+@query("src1_upload_verdicts", _UPLOADS)
+def upload_verdicts(spark, sf):
+    v = readers.judged_uploads(_uploads(spark, sf).select(F.concat(F.lit("up/"), "name").alias("path"), F.length("content").alias("length"), "content"))
+    return v.select(readers.job_of(F.col("path")).cast("bigint").alias("doc_id"), "reason", "is_valid")
+
+
+@query("src1_uploaded_files", _UPLOADS)
+def uploaded_files(spark, sf):
+    """The same uploads as real files, written and listed again, files without bytes among them."""
+    folder = shared_dir(spark, "uploads")
+    uploads.save(_uploads(spark, sf), folder)
+    v = readers.uploads(spark, folder)
     return v.select(readers.job_of(F.col("path")).cast("bigint").alias("doc_id"), "reason", "is_valid")
 
 

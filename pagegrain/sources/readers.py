@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegrain.sources.uploads import listed
+
 # Accepted upload types, their leading bytes and the size limit.
 SIGNATURES = {"pdf": "25504446", "jpg": "FFD8FF", "jpeg": "FFD8FF", "png": "89504E470D0A1A0A"}
 MAX_UPLOAD = 10 * 1024 * 1024
@@ -30,14 +32,8 @@ def upload_reason(ext: Column, size: Column, head: Column) -> Column:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files with a verdict; content is read only within the size limit, and its first 8 bytes are kept.
-
-    Files without bytes are not listed by the file source and so give no row.
-    """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = f.where(F.col("length") <= MAX_UPLOAD).select("path", "length", F.substring("content", 1, 8).alias("content"))
-    large = f.where(F.col("length") > MAX_UPLOAD).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return judged_uploads(small.unionByName(large))
+    """Uploaded files with a verdict, empty files too; of each no more than its first 8 bytes is read."""
+    return judged_uploads(listed(spark, path))
 
 
 def judged_uploads(f: DataFrame) -> DataFrame:
