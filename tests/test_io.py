@@ -18,8 +18,7 @@ def test_uploads(spark, tmp_path):
     for name, data in {"a.pdf": b"%PDF-1.7 x", "b.png": b"\x89PNG\r\n\x1a\nzz", "c.jpg": b"nope", "d.exe": b"MZ", "e.pdf": b""}.items():
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: r.reason for r in readers.uploads(spark, str(tmp_path)).collect()}
-    assert got == {"a.pdf": None, "b.png": None, "c.jpg": "signature_mismatch", "d.exe": "unsupported_type"}
-    # The file source never lists empty files, so they cannot pass; the rule itself is checked on rows.
+    assert got == {"a.pdf": None, "b.png": None, "c.jpg": "signature_mismatch", "d.exe": "unsupported_type", "e.pdf": "empty"}
     row = spark.createDataFrame([("up/e.pdf", 0, b"")], "path string, length long, content binary")
     assert readers.judged_uploads(row).first().reason == "empty"
 
