@@ -371,7 +371,8 @@ def identity_error(rows: DataFrame, n: int, k: int) -> float:
 
 
 def whiten(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding", count: int = COMPONENTS) -> DataFrame:
-    """Every usable vector's id with ``n``, ``deviation`` (decimal), ``whitened`` and ``explained`` (arrays by component) and ``identity_error``.
+    """Every usable vector's id with ``n``, ``deviation`` (exact, as text: it may
+    have any number of digits), ``whitened`` and ``explained`` (arrays by component) and ``identity_error``.
 
     Vectors that are null, empty or hold null or non-finite entries are left out, as
     are those of another length than most have (of equally common lengths the
@@ -393,5 +394,5 @@ def whiten(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding"
     rows = cut(good.mapInArrow(_projected(d, n, sums, directions, 1), f"id {kind}, deviation string, whitened array<double>"), "whitened")
     error = F.lit(identity_error(rows, n, len(found)) if found else None).cast("double")
     explained = F.array(*[F.lit(e / trace) for e, _ in found]) if found else F.array().cast("array<double>")
-    return rows.select(F.col("id").alias(key), F.lit(n).cast("long").alias("n"), F.col("deviation").cast("decimal(38,0)").alias("deviation"), "whitened",
+    return rows.select(F.col("id").alias(key), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
                        explained.alias("explained"), error.alias("identity_error"))
