@@ -121,37 +121,43 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
 
 
 class Rows(dict):
-    """word -> row of ``table``; rows of unseen words are worked out once and kept, at most ``bound`` of them."""
+    """unseen word -> row of ``spare`` behind those of the model, worked out once and kept, at most ``bound`` of them.
+
+    Known words and their rows stay where the model has them, so that a worker holds them once.
+    """
 
     def __init__(self, model: Model, bound: int = 200_000):
-        super().__init__(model.words)
+        super().__init__()
         self.model, self.bound = model, bound
         self.first = self.used = len(model.rows)
-        self.table = np.concatenate([model.rows, np.zeros((bound, len(model.langs)))])
+        self.spare = np.zeros((bound, len(model.langs)))
 
     def __missing__(self, word: str) -> int:
-        if self.used == len(self.table):
+        if self.used == self.first + self.bound:
             return -1
         m, vector = self.model, 0.0
         for n in range(LONGEST, 0, -1):
             if known := [i for g in grams(word, n) if (i := m.grams.get(g)) is not None]:
                 vector = m.rows[known].mean(0)
                 break
-        self.table[self.used] = vector
+        self.spare[self.used - self.first] = vector
         self[word] = self.used
         self.used += 1
         return self.used - 1
 
     def of(self, words: list[str]) -> np.ndarray:
         """Summed rows. When the room for unseen words runs out, they are forgotten and the text is read in halves."""
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        seen = self.model.words.get
+        at = np.fromiter((self[w] if (k := seen(w)) is None else k for w in words), np.int64, len(words))
         if at.size and at.min() < 0:
             self.clear()
-            self.update(self.model.words)
             self.used = self.first
             half = len(words) // 2
             return self.of(words[:half]) + self.of(words[half:]) if len(words) > self.bound else self.of(words)
-        return self.table[at].sum(0)
+        new = at >= self.first
+        rows = self.model.rows.take(np.where(new, 0, at), axis=0) if self.first else np.zeros((len(at), len(self.model.langs)))
+        rows[new] = self.spare[at[new] - self.first]
+        return rows.sum(0)
 
 
 def predict(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFrame:
@@ -165,7 +171,8 @@ def predict(docs: DataFrame, model: Model, out: str, text: str = "text") -> Data
         rows = Rows(m)
         for batch in batches:
             langs, scores = [], []
-            for t in batch.to_pylist():
+            # A few texts at a time are Python objects.
+            for t in (t for i in range(0, len(batch), 64) for t in batch.slice(i, 64).to_pylist()):
                 ws = letters(t) if t and m.langs else []
                 if ws:
                     x = rows.of(ws) + m.prior
