@@ -80,13 +80,16 @@ def anchor_lookup(requests: DataFrame, anchor_rows: DataFrame) -> DataFrame:
     return requests.join(first, [DOC, "block_id"], "left").withColumn("position", F.coalesce("position", F.lit(-1)))
 
 
-def corrected_text(pages: DataFrame, corrections: DataFrame, regions: str = "regions") -> DataFrame:
+def corrected_text(pages: DataFrame, corrections: DataFrame, regions: str = "regions", order: tuple[str, ...] = ()) -> DataFrame:
     """Final text of a document: corrected text where there is a correction, even an empty one.
 
-    ``corrections`` holds the latest text per (document, block index); a
-    document has at most one per block, so its map is as small as its blocks.
+    Of several corrections of a block the last by ``order`` counts, without one the
+    text that sorts last; so a document has one per block, and its map is as small
+    as its blocks.
     """
-    by_doc = corrections.groupBy(DOC).agg(F.map_from_entries(F.collect_list(F.struct("block_index", "corrected"))).alias("_m"))
+    last = F.max_by("corrected", F.struct(*order)) if order else F.max("corrected")
+    latest = corrections.where(F.col("block_index").isNotNull()).groupBy(DOC, "block_index").agg(last.alias("corrected"))
+    by_doc = latest.groupBy(DOC).agg(F.map_from_entries(F.collect_list(F.struct("block_index", "corrected"))).alias("_m"))
     joined = pages.join(by_doc, DOC, "left")
     m = F.col("_m")
     texts = F.transform(regions, lambda r, i: F.when(F.coalesce(F.map_contains_key(m, i), F.lit(False)), F.try_element_at(m, i)).otherwise(F.coalesce(r["text"], F.lit(""))))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -28,6 +29,34 @@ def hashed_terms(df: DataFrame, text: str = "text", dims: int = 512, out: str =
 Encoder = Callable[[DataFrame, str], DataFrame]
 
 
+#: Models that this worker has loaded, by name.
+_LOADED: dict[str, Callable[[list[str]], list]] = {}
+
+
+def batched(name: str, load: Callable[[], Callable[[list[str]], list]], batch: int = 32) -> Encoder:
+    """An encoder that loads its model once a worker and hands it ``batch`` texts at a time.
+
+    ``load`` gives a function from texts to vectors of one length; it is named, as
+    workers serve many tasks and keep what they have loaded. A null text gets no vector.
+    """
+    @F.arrow_udf("array<double>")
+    def vectors_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from pagegrain.operators.retrieval import _LOADED as loaded
+        if name not in loaded:
+            loaded[name] = load()
+        model = loaded[name]
+        for column in columns:
+            out: list = [None] * len(column)
+            at = [i for i in range(len(column)) if column[i].is_valid]
+            for k in range(0, len(at), batch):
+                some = at[k:k + batch]
+                for i, v in zip(some, model([column[i].as_py() for i in some])):
+                    out[i] = [float(x) for x in v]
+            yield pa.array(out, pa.list_(pa.float64()))
+
+    return lambda df, text: df.withColumn("embedding", vectors_of(F.col(text)))
+
+
 def encode(df: DataFrame, text: str = "text", is_query: bool = False, encoder: Encoder | None = None, instruction: str = "") -> DataFrame:
     """Add an ``embedding`` column; queries get an instruction in front of their text.
 

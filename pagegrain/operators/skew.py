@@ -26,20 +26,22 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, buc
         name, F.col("_carried") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_b", "_v", "_carried")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: Column, bucket, name: str = "found") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: Column, bucket, name: str = "found", tie: Column | None = None) -> DataFrame:
     """Last ``value`` of ``right`` at or before each ``on`` of ``left`` within ``keys``; null before the first.
 
-    ``bucket`` maps the ordering column to a bucket that grows with it.
+    ``bucket`` maps the ordering column to a bucket that grows with it. Of rows of
+    ``right`` at one position the one with the largest ``tie`` is the last, without
+    it the one with the largest value.
     """
-    l = left.withColumns({"_side": F.lit(1), "_val": F.lit(None)})
-    r = right.select(*keys, F.col(on), value.alias("_val"), F.lit(0).alias("_side"))
+    l = left.withColumns({"_side": F.lit(1), "_val": F.lit(None), "_tie": F.lit(None)})
+    r = right.select(*keys, F.col(on), value.alias("_val"), F.lit(0).alias("_side"), (value if tie is None else tie).alias("_tie"))
     both = l.unionByName(r, allowMissingColumns=True).withColumn("_b", bucket(F.col(on)))
-    tails = r.withColumn("_b", bucket(F.col(on))).groupBy(*keys, "_b").agg(F.max_by("_val", on).alias("_last"))
+    tails = r.withColumn("_b", bucket(F.col(on))).groupBy(*keys, "_b").agg(F.max_by("_val", F.struct(on, "_tie")).alias("_last"))
     # Buckets a key has rows in, on either side, with the last value of any earlier one.
     marks = both.select(*keys, "_b").distinct().join(tails, [*keys, "_b"], "left")
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carry = marks.select(*keys, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    inside = W.partitionBy(*keys, "_b").orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys, "_b").orderBy(on, "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
     seen = both.join(carry, [*keys, "_b"]).withColumn(name, F.coalesce(F.last("_val", ignorenulls=True).over(inside), F.col("_carry")))
     return seen.where(F.col("_side") == 1).select(*left.columns, name)
 

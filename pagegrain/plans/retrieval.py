@@ -112,3 +112,33 @@ def replaced_index(spark, sf):
     v = _vectors(spark, sf).select("chunk_id", F.col("label").cast("bigint").alias("label"), F.lit("old").alias("kind"))
     fresh = v.where(F.col("label").isin(2, 5) & (F.col("chunk_id") % 2 == 0)).select((F.col("chunk_id") + 1000000).alias("chunk_id"), "label", F.lit("new").alias("kind"))
     return retrieval.deleted_index(retrieval.replaced_index(v, fresh, "label"), v.where("label = 7"), "label")
+
+
+def _letters():
+    """A stand-in for a model: how often each letter from a to z occurs, at unit length."""
+    def model(texts):
+        out = []
+        for t in texts:
+            counts = [t.count(chr(97 + i)) + t.count(chr(65 + i)) for i in range(26)]
+            norm = sum(c * c for c in counts) ** 0.5
+            out.append([c / norm if norm else 0.0 for c in counts])
+        return out
+    return model
+
+
+_ASKED = "question about: "
+
+
+@query("vec1_batched_encoder", f"""
+WITH t AS (SELECT doc_id, side, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM (SELECT doc_id, 'document' AS side, text AS x FROM documents UNION ALL SELECT doc_id, 'query', '{_ASKED}' || text FROM documents)),
+c AS (SELECT doc_id, side, list_transform(range(0, 26), lambda i: length(l) - length(replace(l, chr((97 + i)::INTEGER), ''))) AS c FROM t),
+v AS (SELECT doc_id, side, c, sqrt(list_sum(list_transform(c, lambda x: x * x))::DOUBLE) AS norm FROM c)
+SELECT doc_id, side, len(c)::BIGINT AS dims, array_to_string(list_transform(c, lambda x: printf('%.4f', CASE WHEN norm > 0 THEN x / norm + 0.00000001 ELSE 0 END)), ',') AS vector FROM v""")
+def batched_encoder(spark, sf):
+    """Documents and questions through an encoder that loads once a worker; questions carry their instruction."""
+    d = inputs.table(spark, sf, "documents").select("doc_id", "text")
+    encoder = retrieval.batched("letters", _letters)
+    side = lambda name, **o: retrieval.encode(d, encoder=encoder, **o).withColumn("side", F.lit(name))
+    both = side("document").unionByName(side("query", is_query=True, instruction=_ASKED))
+    shown = F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", F.when(x > 0, x + 0.00000001).otherwise(0.0))), ",")
+    return both.select("doc_id", "side", F.size("embedding").alias("dims"), shown.alias("vector"))

@@ -313,3 +313,17 @@ def test_good_blocks_have_no_findings(spark):
 def test_markdown_lists_win_over_emphasis(spark):
     runs = one(spark, r=markdown.markdown_runs(F.lit("# A\n\n| x | y |\n| --- | --- |\n\n*text*\n- b\n> q\n$$e$$\nplain"))).r
     assert [(r.kind, len(r.lines)) for r in runs] == [("header", 1), ("table", 2), ("list", 2), ("quote", 1), ("formula", 1), ("paragraph", 1)]
+
+
+def test_two_corrections_of_a_block_keep_the_last(spark):
+    pages = spark.sql("SELECT 1L AS doc_id, array(named_struct('text', 'a', 'items', cast(null as array<string>)), named_struct('text', 'b', 'items', cast(null as array<string>))) AS regions")
+    c = spark.createDataFrame([(1, 0, "second", 2), (1, 0, "first", 1), (1, 1, "", 5), (1, None, "lost", 9)], "doc_id long, block_index int, corrected string, ts int")
+    assert documents.corrected_text(pages, c, order=("ts",)).first().text == "second"
+    assert documents.corrected_text(pages, c).first().text == "second"
+
+
+def test_as_of_takes_the_last_of_equal_positions(spark):
+    left = spark.createDataFrame([("k", 5), ("k", 25)], "key string, at int")
+    right = spark.createDataFrame([("k", 5, "x", 1), ("k", 5, "a", 3), ("k", 5, "z", 2)], "key string, at int, v string, arrival int")
+    found = lambda **o: [r.found for r in skew.as_of(left, right, ["key"], "at", F.col("v"), lambda c: F.floor(c / 10), **o).orderBy("at").collect()]
+    assert found(tie=F.col("arrival")) == ["a", "a"] and found() == ["z", "z"]

@@ -156,3 +156,28 @@ def test_replay_keeps_rows_without_a_time(spark, tmp_path):
     assert sorted(r.event_id for r in got) == list(range(40))
     assert {r.batch for r in got if r.ts is None} == {0} and {r.batch for r in got} == {0, 1, 2}
     assert all(max(r.ts for r in got if r.ts and r.batch == b) < min(r.ts for r in got if r.ts and r.batch == b + 1) for b in (0, 1))
+
+
+def test_an_encoder_loads_once_a_worker_and_takes_small_batches(spark, tmp_path):
+    from pagegrain.operators import retrieval
+    log = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+        open(f"{log}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(texts):
+            open(f"{log}/batch-{len(texts)}-{uuid.uuid4().hex}", "w").close()
+            return [[len(t), 1.0] for t in texts]
+        return model
+
+    encoder = retrieval.batched(log, load)
+    frame = spark.createDataFrame([(i, None if i == 7 else "x" * i) for i in range(100)], "i int, text string").repartition(4)
+    for _ in range(2):
+        got = {r.i: r.embedding for r in retrieval.encode(frame, encoder=encoder).select("i", "embedding").collect()}
+        assert got == {i: None if i == 7 else [float(i), 1.0] for i in range(100)}
+    names = [p.name.split("-") for p in tmp_path.iterdir()]
+    loads = [n[1] for n in names if n[0] == "load"]
+    assert loads and len(loads) == len(set(loads))
+    assert all(int(n[1]) <= 32 for n in names if n[0] == "batch")
