@@ -217,5 +217,6 @@ def safe_name(c: Column) -> Column:
     return F.when(F.length(out) < 3, F.concat(out, F.lit("_col"))).otherwise(out)
 
 
-def pseudonym(c: Column, size: int = 8) -> Column:
+def pseudonym(c: Column, size: int = 32) -> Column:
+    """Name by the MD5 digest of a text; fewer than its 32 hex digits make names collide where there are many."""
     return F.when(c.isNotNull() & (c != ""), F.substring(F.md5(c.cast("binary")), 1, size)).otherwise("anonymous")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions import classify, grids, markdown
-from pagegrain.functions.arrays import unnest_at
-from pagegrain.functions.clean import html_text
+from pagegrain.functions.arrays import unnest, unnest_at
+from pagegrain.functions.clean import html_text, let
 from pagegrain.functions.labels import display_type
 from pagegrain.functions.text import strip
 
@@ -109,10 +109,11 @@ def rendered_blocks(pages: DataFrame, array: str = "blocks") -> DataFrame:
 
 
 def repeated_ids(pages: DataFrame, ids: str = "ids") -> DataFrame:
-    """Blocks whose non-empty id already occurred earlier in the same document."""
-    rows = F.transform(ids, lambda x, i: F.struct(x.alias("id"), ((x != "") & (F.array_position(F.col(ids), x) <= i)).alias("again")))
-    out = unnest_at(pages, rows, DOC, pos="index", item="r").where(F.col("r.again"))
-    return out.select(DOC, "index", F.col("r.id").alias("block_id"))
+    """Blocks whose non-empty id already occurred earlier in the same document; equal ids are neighbours after a sort."""
+    by_id = F.array_sort(F.transform(ids, lambda x, i: F.struct(x.alias("block_id"), i.alias("index"))))
+    again = lambda xs: F.filter(F.transform(xs, lambda x, k: F.struct(
+        x["index"].alias("index"), x["block_id"].alias("block_id"), ((x["block_id"] != "") & (F.get(xs, k - 1)["block_id"] == x["block_id"])).alias("again"))), lambda x: x["again"])
+    return unnest(pages, let(by_id, again), DOC, guard="index").select(DOC, "index", "block_id")
 
 
 def document_text(pages: DataFrame, array: str = "blocks") -> DataFrame:

@@ -92,7 +92,10 @@ def history(events: DataFrame, job: str, ts: str, limit: int | None = None, cap:
     """Last ``cap`` updates of every job, then the last ``limit``, in time order from 1; without either, all of them."""
     n = min(x for x in (cap, limit, 1 << 62) if x)
     if n == 1 << 62:
-        return events.withColumn("seq", F.row_number().over(W.partitionBy(job).orderBy(ts, tie)))
+        # All of them: numbered in buckets of a day, so that a hot job lies in many tasks; rows without a time come first.
+        at = events.withColumn("_o", F.struct(ts, tie))
+        day = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 86_400_000_000)
+        return running_total(at, [job], "_o", F.lit(1), F.coalesce(day, F.lit(-(1 << 40))), "seq").drop("_o")
     kept = last_n(events, [job], [F.col(ts).desc(), F.col(tie).desc()], n)
     # At most n rows per job remain, so a window over them is bounded.
     size = F.count(F.lit(1)).over(W.partitionBy(job))

@@ -136,8 +136,8 @@ def table_like(text: Column) -> Column:
 
 
 def visible_blocks(blocks: DataFrame, n_blocks: str, viewport: tuple[float, float, float, float] | None,
-                   zoom: float = 100.0, overscan: float = 200.0, threshold: int = 50) -> DataFrame:
-    """Blocks meeting the widened viewport; small documents and a missing viewport keep all.
+                   zoom: float = 100.0, overscan: float = 200.0, threshold: int = 0) -> DataFrame:
+    """Blocks meeting the widened viewport; documents of at most ``threshold`` blocks and a missing viewport keep all.
 
     ``viewport`` is (left, top, right, bottom) on screen; ``n_blocks`` names the
     block count carried by each row.

@@ -8,6 +8,8 @@ retried task gets the same answer.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,11 +21,13 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, buc
     rows = df.withColumns({"_b": bucket, "_v": value})
     sums = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carried"))
+    base = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carried"))
     stop = 0 if inclusive else -1
     inside = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, stop)
-    return rows.join(base, [*keys, "_b"]).withColumn(
-        name, F.col("_carried") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_b", "_v", "_carried")
+    # Null keys and buckets are groups of their own.
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_b").eqNullSafe(F.col("_kb")))
+    return rows.join(base, on).withColumn(
+        name, F.col("_carried") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_b", "_v", "_carried", "_kb", *[f"_k{i}" for i in range(len(keys))])
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: Column, bucket, name: str = "found", tie: Column | None = None) -> DataFrame:

@@ -374,7 +374,7 @@ def error_triage(spark, sf):
 @query("txt25_pseudonyms", "SELECT event_id, substr(md5(user_id::VARCHAR), 1, 8) AS user_hash, substr(md5(event_id::VARCHAR || event_type), 1, 12) AS event_hash FROM events")
 def pseudonyms(spark, sf):
     return inputs.table(spark, sf, "events").select(
-        "event_id", clean.pseudonym(F.col("user_id").cast("string")).alias("user_hash"),
+        "event_id", clean.pseudonym(F.col("user_id").cast("string"), 8).alias("user_hash"),
         clean.pseudonym(F.concat(F.col("event_id").cast("string"), "event_type"), 12).alias("event_hash"))
 
 

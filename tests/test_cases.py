@@ -327,3 +327,16 @@ def test_as_of_takes_the_last_of_equal_positions(spark):
     right = spark.createDataFrame([("k", 5, "x", 1), ("k", 5, "a", 3), ("k", 5, "z", 2)], "key string, at int, v string, arrival int")
     found = lambda **o: [r.found for r in skew.as_of(left, right, ["key"], "at", F.col("v"), lambda c: F.floor(c / 10), **o).orderBy("at").collect()]
     assert found(tie=F.col("arrival")) == ["a", "a"] and found() == ["z", "z"]
+
+
+def test_uncapped_history_is_numbered_over_days(spark):
+    rows = spark.sql("SELECT 'k' AS job_id, timestamp_seconds(id * 40000 % 700001) AS ts, id AS event_id FROM range(300)").unionByName(
+        spark.sql("SELECT 'k' AS job_id, cast(null AS timestamp) AS ts, 1000L AS event_id UNION ALL SELECT cast(null AS string), timestamp_seconds(5), 7L"))
+    got = jobs.history(rows, "job_id", "ts").collect()
+    ordered = sorted((r for r in got if r.job_id), key=lambda r: (r.ts is not None, r.ts, r.event_id) if r.ts else (False, None, 0))
+    assert [r.seq for r in ordered] == list(range(1, 302)) and [r.seq for r in got if r.job_id is None] == [1]
+
+
+def test_repeated_ids(spark):
+    pages = spark.createDataFrame([(1, ["a", "", "b", "a", None, "", "a", None]), (2, []), (3, None)], "doc_id long, ids array<string>")
+    assert sorted((r.doc_id, r["index"], r.block_id) for r in blocks.repeated_ids(pages).collect()) == [(1, 3, "a"), (1, 6, "a")]
