@@ -98,25 +98,111 @@ def corrected_text(pages: DataFrame, corrections: DataFrame, regions: str = "reg
     return joined.select(DOC, whole.alias("text"))
 
 
-def confidence_log(pages: DataFrame, regions: str = "regions") -> DataFrame:
-    """Readable confidence log of a document as Markdown lines."""
-    r = F.col(regions)
-    scored = lambda x: x["confidence"].isNotNull() & (x["confidence"] > 0)
-    n, k = F.size(r), F.size(F.filter(r, scored))
-    whole = lambda c: F.format_string("%.0f", c)
+# Headings, labels and rules of the confidence log. A rule is a line of its own.
+LOG_TITLE = "# 置信度计算详细日志\n\n**任务 ID**: `%s`\n"
+LOG_WRITTEN = "**生成时间**: %s\n"
+LOG_TIMES = "\n---\n## 处理时间信息\n\n"
+LOG_STARTED = "- **开始时间**: %s\n"
+LOG_ENDED = "- **结束时间**: %s\n"
+LOG_SECONDS = "- **处理耗时**: %.2fs\n"
+LOG_OVERVIEW = "\n---\n## 1. 区域概览\n\n- **总区域数**: %d\n- **有置信度的区域**: %d\n- **无置信度的区域**: %d\n- **置信度覆盖率**: %s\n"
+LOG_REGIONS = "\n---\n## 2. 各区域置信度详情\n\n"
+LOG_REGION_HEAD = "| 序号 | 类型 | 位置 (x,y) | 尺寸 (w×h) | 置信度 | 内容预览 |\n|------|------|------------|------------|--------|----------|\n"
+LOG_REGION = "| %d | %s | (%s, %s) | %s×%s | %s | %s |"
+LOG_NO_REGIONS = "*无识别区域*"
+LOG_NONE = "无"
+LOG_TEXT = "\n\n---\n## 3. 文本置信度计算\n\n"
+LOG_TEXT_VALUE = "  区域 %d: %s"
+LOG_TEXT_SUM = ("### 3.1 有效置信度值列表\n\n```\n%s\n```\n\n### 3.2 计算过程\n\n```\n文本置信度 = 所有有效置信度的平均值\n"
+                "           = (%s) / %d\n           = %s / %d\n           = %s\n```\n")
+LOG_NO_TEXT = "*无有效置信度数据，文本置信度 = 0.0*\n"
+LOG_LAYOUT = "\n---\n## 4. 布局置信度计算\n\n"
+LOG_LAYOUT_SUM = ("### 4.1 类型多样性因子\n\n- 检测到的区域类型: %s\n- 类型数量: %d\n- 多样性评分规则: ≥3种类型=1.0, 2种类型=0.9, 1种类型=0.7\n- **类型多样性因子**: %.2f\n\n"
+                  "### 4.2 尺寸合理性因子\n\n- 合理尺寸范围: 50 < 面积 < 10,000,000 像素\n- 合理尺寸区域数: %d / %d\n- **尺寸合理性因子**: %s\n\n"
+                  "### 4.3 内容质量因子\n\n- 有效内容标准: 内容长度 > 3 字符\n- 有效内容区域数: %d / %d\n- **内容质量因子**: %s\n\n"
+                  "### 4.4 布局置信度计算\n\n```\n布局置信度 = 内容质量因子 × 0.5 + 尺寸合理性因子 × 0.3 + 类型多样性因子 × 0.2\n"
+                  "           = %s × 0.5 + %s × 0.3 + %s × 0.2\n           = %s + %s + %s\n           = %s\n```\n")
+LOG_NO_LAYOUT = "*无区域数据，布局置信度 = 0.0*\n"
+LOG_OVERALL = "\n---\n## 5. 总体置信度计算\n\n"
+LOG_BASE = ("### 5.1 基础置信度\n\n```\n基础置信度 = 文本置信度 × 0.7 + 布局置信度 × 0.3\n           = %s × 0.7 + %s × 0.3\n           = %s + %s\n           = %s\n```\n\n"
+            "### 5.2 覆盖率惩罚\n\n- 置信度覆盖率: %s (%s)\n- 惩罚规则: 覆盖率 < 50%% 时开始惩罚\n")
+LOG_PENALTY = "- 惩罚因子 = min(1.0, %s / 0.5) = %s\n"
+LOG_NO_PENALTY = "- 覆盖率 ≥ 50%，无惩罚，惩罚因子 = 1.0\n"
+LOG_FINAL = ("\n### 5.3 最终计算\n\n```\n总体置信度 = 基础置信度 × (0.5 + 0.5 × 惩罚因子)\n           = %s × (0.5 + 0.5 × %s)\n           = %s × %s\n           = %s\n```\n")
+LOG_NO_OVERALL = "*无区域数据，总体置信度 = 0.0*\n"
+LOG_SUMMARY = ("\n---\n## 6. 结果汇总\n\n| 指标 | 值 |\n|------|-----|\n| 总区域数 | %d |\n| 有置信度区域 | %d |\n| 无置信度区域 | %d |\n| 置信度覆盖率 | %s |\n"
+               "| 文本置信度 | %s |\n| 布局置信度 | %s |\n| **总体置信度** | **%s** |\n")
+
+
+def figure(c: Column) -> Column:
+    """A number of the log: twelve decimals at most, without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.12f", c), r"(\.\d+?)0+$", "$1")
+
+
+def confidence_log(pages: DataFrame, regions: str = "regions", kind: str = "type", preview: int = 30, written: Column | None = None,
+                   started: Column | None = None, ended: Column | None = None, seconds: Column | None = None) -> DataFrame:
+    """Confidence log of a document as Markdown: its regions and each step from their scores to the overall one.
+
+    ``kind`` names the field that holds a region's type; types are listed in order of
+    appearance, unknown ones do not count. Times are left out where no column is
+    given or its value is null. A document without regions gets the log that says so.
+    All steps read the record's own array, so nothing is shuffled or gathered.
+    """
+    r = F.coalesce(F.col(regions), F.array().cast(pages.schema[regions].dataType))
+    fs = F.format_string
+    one, zero = F.lit(1.0), F.lit(0.0)
+    whole = lambda c: fs("%.0f", c)
+    optional = lambda text, c: F.lit("") if c is None else F.coalesce(F.when(c.isNotNull(), fs(text, c)), F.lit(""))
+    percent = lambda n, k: F.when(n > 0, fs("%.1f%%", F.bround(k * 100.0 / n, 1))).otherwise("0%")
 
     def row(x: Column, i: Column) -> Column:
-        preview = F.when(F.length(x["content"]) > 30, F.concat(F.substring(x["content"], 1, 30), F.lit("..."))).otherwise(x["content"])
-        shown = F.replace(F.replace(preview, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-        conf = F.coalesce(F.format_string("%.4f", x["confidence"]), F.lit("无"))
-        conf = F.when(x["confidence"].isNull(), "无").otherwise(conf)
-        return F.concat(F.lit("| "), (i + 1).cast("string"), F.lit(" | "), x["type"], F.lit(" | ("), whole(x["x1"]), F.lit(", "), whole(x["y1"]), F.lit(") | "),
-                        whole(x["x2"] - x["x1"]), F.lit("×"), whole(x["y2"] - x["y1"]), F.lit(" | "), conf, F.lit(" | "), shown, F.lit(" |"))
-
-    cover = F.when(n > 0, F.format_string("%.1f%%", F.bround(k * 100.0 / n, 1))).otherwise("0%")
-    # Headings and labels of the log.
-    head = F.concat(F.lit("# 置信度计算详细日志\n\n- **总区域数**: "), n.cast("string"), F.lit("\n- **有置信度的区域**: "), k.cast("string"),
-                    F.lit("\n- **无置信度的区域**: "), (n - k).cast("string"), F.lit("\n- **置信度覆盖率**: "), cover, F.lit("\n\n"))
-    table = F.concat(F.lit("| 序号 | 类型 | 位置 (x,y) | 尺寸 (w×h) | 置信度 | 内容预览 |\n|------|------|------------|------------|--------|----------|\n"),
-                     F.array_join(F.transform(r, row), "\n"))
-    return pages.select(DOC, F.concat(head, F.when(n > 0, table).otherwise("*无识别区域*")).alias("log"))
+        text = F.coalesce(x["content"], F.lit(""))
+        text = F.when(F.length(text) > preview, F.concat(F.substring(text, 1, preview), F.lit("..."))).otherwise(text)
+        text = F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+        conf = F.when(x["confidence"].isNull(), LOG_NONE).otherwise(figure(x["confidence"]))
+        return fs(LOG_REGION, i + 1, x[kind], whole(x["x1"]), whole(x["y1"]), whole(x["x2"] - x["x1"]), whole(x["y2"] - x["y1"]), conf, text)
+
+    def holds(cond) -> Column:
+        return F.size(F.filter(r, lambda x: F.coalesce(cond(x), F.lit(False))))
+
+    area = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
+    scores = F.transform(F.filter(r, lambda x: x["confidence"] > 0), lambda x: x["confidence"])
+    counted = F.struct(
+        F.size(r).alias("n"), scores.alias("scores"), F.size(scores).alias("k"), F.aggregate(scores, zero, lambda a, c: a + c).alias("total"),
+        F.array_compact(F.array_distinct(F.transform(r, lambda x: x[kind]))).alias("kinds"),
+        holds(lambda x: (area(x) > 50) & (area(x) < 10000000)).alias("fair"), holds(lambda x: F.length(strip(x["content"])) > 3).alias("said"))
+
+    def factors(c: Column) -> Column:
+        share = lambda k: F.when(c["n"] > 0, k / c["n"]).otherwise(zero)
+        types = F.size(c["kinds"])
+        return F.struct(*(c[f].alias(f) for f in ("n", "scores", "k", "total", "kinds", "fair", "said")),
+                        F.when(c["k"] > 0, c["total"] / c["k"]).otherwise(zero).alias("text"), share(c["fair"]).alias("size"), share(c["said"]).alias("content"),
+                        share(c["k"]).alias("cover"), F.when(types >= 3, 1.0).when(types == 2, 0.9).otherwise(0.7).alias("variety"))
+
+    def scored(f: Column) -> Column:
+        layout = F.when(f["n"] > 0, f["content"] * 0.5 + f["size"] * 0.3 + f["variety"] * 0.2).otherwise(zero)
+        return F.struct(f.alias("f"), layout.alias("layout"), (f["text"] * 0.7 + layout * 0.3).alias("base"), F.least(one, f["cover"] / 0.5).alias("penalty"))
+
+    def log(s: Column) -> Column:
+        f, layout, base, penalty = s["f"], s["layout"], s["base"], s["penalty"]
+        n, k, none = f["n"], f["k"], f["n"] == 0
+        share = percent(n, k)
+        overall = F.when(none, zero).otherwise(base * (penalty * 0.5 + 0.5))
+        shown = F.transform(f["scores"], figure)
+        values = F.transform(shown, lambda c, i: fs(LOG_TEXT_VALUE, i + 1, c))
+        text = F.when(k > 0, fs(LOG_TEXT_SUM, F.array_join(values, "\n"), F.array_join(shown, " + "), k, figure(f["total"]), k, figure(f["text"])))
+        parts = (f["content"] * 0.5, f["size"] * 0.3, f["variety"] * 0.2)
+        shaped = fs(LOG_LAYOUT_SUM, F.array_join(f["kinds"], ", "), F.size(f["kinds"]), f["variety"], f["fair"], n, figure(f["size"]), f["said"], n, figure(f["content"]),
+                    *(figure(f[x]) for x in ("content", "size", "variety")), *(figure(x) for x in parts), figure(layout))
+        summed = F.concat(fs(LOG_BASE, figure(f["text"]), figure(layout), figure(f["text"] * 0.7), figure(layout * 0.3), figure(base), figure(f["cover"]), share),
+                          F.when(f["cover"] < 0.5, fs(LOG_PENALTY, figure(f["cover"]), figure(penalty))).otherwise(LOG_NO_PENALTY),
+                          fs(LOG_FINAL, figure(base), figure(penalty), figure(base), figure(penalty * 0.5 + 0.5), figure(overall)))
+        return F.concat(
+            fs(LOG_TITLE, F.col(DOC)), optional(LOG_WRITTEN, written), F.lit(LOG_TIMES), optional(LOG_STARTED, started), optional(LOG_ENDED, ended), optional(LOG_SECONDS, seconds),
+            fs(LOG_OVERVIEW, n, k, n - k, share), F.lit(LOG_REGIONS),
+            F.when(none, LOG_NO_REGIONS).otherwise(F.concat(F.lit(LOG_REGION_HEAD), F.array_join(F.transform(r, row), "\n"))),
+            F.lit(LOG_TEXT), F.coalesce(text, F.lit(LOG_NO_TEXT)), F.lit(LOG_LAYOUT), F.when(none, LOG_NO_LAYOUT).otherwise(shaped),
+            F.lit(LOG_OVERALL), F.when(none, LOG_NO_OVERALL).otherwise(summed),
+            fs(LOG_SUMMARY, n, k, n - k, share, figure(f["text"]), figure(layout), figure(overall)))
+
+    return pages.select(DOC, let(let(let(counted, factors), scored), log).alias("log"))

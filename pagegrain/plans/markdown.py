@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagegrain.functions import markdown
+from pagegrain.functions import labels, markdown
 from pagegrain.functions.arrays import unnest
 from pagegrain.functions.clean import squeeze
 from pagegrain.operators import documents, skew
 from pagegrain.plans import inputs
-from pagegrain.plans.ansi import s_squeeze, s_strip, with_it, with_lr
+from pagegrain.plans.ansi import s_map, s_squeeze, s_strip, with_it, with_lr
 from pagegrain.plans.registry import query
 from pagegrain.sources.readers import first_content
 
@@ -217,13 +217,48 @@ def corrected_text(spark, sf):
     return documents.corrected_text(p, c).select("doc_id", _digest("text"))
 
 
-@query("md8_confidence_log", with_lr(r"""
-, r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE confidence > 0) AS k, string_agg('| ' || (ord + 1) || ' | ' || type || ' | (' || printf('%.0f', x1) || ', ' || printf('%.0f', y1) || ') | ' || printf('%.0f', x2 - x1) || '×' || printf('%.0f', y2 - y1) || ' | '
-   || coalesce(printf('%.4f', confidence), '无') || ' | ' || replace(replace(CASE WHEN length(content) > 30 THEN substr(content, 1, 30) || '...' ELSE content END, '|', '\|'), chr(10), ' ') || ' |', chr(10) ORDER BY ord) AS rows FROM lr GROUP BY doc_id)
-SELECT doc_id, md5('# 置信度计算详细日志' || chr(10) || chr(10) || '- **总区域数**: ' || n || chr(10) || '- **有置信度的区域**: ' || k || chr(10) || '- **无置信度的区域**: ' || (n - k) || chr(10) || '- **置信度覆盖率**: ' || printf('%.1f', k * 100.0::DOUBLE / n) || '%' || chr(10) || chr(10)
- || '| 序号 | 类型 | 位置 (x,y) | 尺寸 (w×h) | 置信度 | 内容预览 |' || chr(10) || '|------|------|------------|------------|--------|----------|' || chr(10) || rows) AS digest FROM r"""))
+_LITERAL = lambda text: "'" + text + "'"
+_SAY = lambda text, *args: f"printf({', '.join([_LITERAL(text), *args])})"
+_FIGURE = lambda e: rf"regexp_replace(printf('%.12f', {e}), '(\.\d+?)0+$', '\1')"
+_FIGURES = lambda *es: [_FIGURE(e) for e in es]
+_LOG_ROW = _SAY(documents.LOG_REGION, "ord + 1", "region_type", *(f"printf('%.0f', {e})" for e in ("x1", "y1", "x2 - x1", "y2 - y1")), f"coalesce({_FIGURE('confidence')}, '无')",
+                r"replace(replace(CASE WHEN length(content) > 30 THEN substr(content, 1, 30) || '...' ELSE content END, '|', '\|'), chr(10), ' ')")
+_D = "::DOUBLE"
+# A document with regions has a score here; regions without any are in the tests.
+_LOG_SQL = f"""
+, r AS (SELECT *, {s_map("type", labels.ITEM_TO_REGION, "'paragraph'")} AS region_type, (x2 - x1) * (y2 - y1) AS area FROM lr),
+v AS (SELECT doc_id, ord, region_type, row_number() OVER (PARTITION BY doc_id ORDER BY ord) = 1 OR row_number() OVER (PARTITION BY doc_id, region_type ORDER BY ord) = 1 AS first_seen FROM r),
+ty AS (SELECT doc_id, string_agg(region_type, ', ' ORDER BY ord) AS kinds, count(*) AS nt FROM v WHERE first_seen GROUP BY doc_id),
+sc AS (SELECT doc_id, list({_FIGURE('confidence')} ORDER BY ord) AS shown, list_reduce(list_prepend(0{_D}, list(confidence ORDER BY ord)), lambda a, c: a + c) AS total FROM r WHERE confidence > 0 GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE confidence > 0) AS k, count(*) FILTER (WHERE area > 50 AND area < 10000000) AS fair,
+   count(*) FILTER (WHERE length({s_strip('content')}) > 3) AS said, string_agg({_LOG_ROW}, chr(10) ORDER BY ord) AS rows FROM r GROUP BY doc_id),
+f AS (SELECT c.*, kinds, nt, shown, total, total / k AS txt, fair{_D} / n AS sf, said{_D} / n AS cf, k{_D} / n AS cover, CASE WHEN nt >= 3 THEN 1{_D} WHEN nt = 2 THEN 0.9{_D} ELSE 0.7{_D} END AS dv
+  FROM c JOIN ty USING (doc_id) JOIN sc USING (doc_id)),
+g AS (SELECT *, cf * 0.5{_D} + sf * 0.3{_D} + dv * 0.2{_D} AS lay FROM f),
+h AS (SELECT *, txt * 0.7{_D} + lay * 0.3{_D} AS base, CASE WHEN cover < 0.5 THEN cover / 0.5{_D} ELSE 1{_D} END AS pen, printf('%.1f', k * 100.0{_D} / n) || '%' AS share FROM g),
+o AS (SELECT *, base * (0.5{_D} + 0.5{_D} * pen) AS ov FROM h)
+SELECT doc_id, md5({" || ".join([
+    _SAY(documents.LOG_TITLE, "doc_id::VARCHAR"), _LITERAL(documents.LOG_TIMES), _SAY(documents.LOG_SECONDS, "n / 4.0" + _D), _SAY(documents.LOG_OVERVIEW, "n", "k", "n - k", "share"),
+    _LITERAL(documents.LOG_REGIONS + documents.LOG_REGION_HEAD), "rows", _LITERAL(documents.LOG_TEXT),
+    _SAY(documents.LOG_TEXT_SUM, "array_to_string(list_transform(shown, lambda x, i: " + _SAY(documents.LOG_TEXT_VALUE, "i", "x") + "), chr(10))", "array_to_string(shown, ' + ')", "k", _FIGURE("total"), "k", _FIGURE("txt")),
+    _LITERAL(documents.LOG_LAYOUT),
+    _SAY(documents.LOG_LAYOUT_SUM, "kinds", "nt", "dv", "fair", "n", _FIGURE("sf"), "said", "n",
+         *_FIGURES("cf", "cf", "sf", "dv", f"cf * 0.5{_D}", f"sf * 0.3{_D}", f"dv * 0.2{_D}", "lay")),
+    _LITERAL(documents.LOG_OVERALL), _SAY(documents.LOG_BASE, *_FIGURES("txt", "lay", f"txt * 0.7{_D}", f"lay * 0.3{_D}", "base", "cover"), "share"),
+    f"CASE WHEN cover < 0.5 THEN {_SAY(documents.LOG_PENALTY, *_FIGURES('cover', 'pen'))} ELSE {_LITERAL(documents.LOG_NO_PENALTY)} END",
+    _SAY(documents.LOG_FINAL, *_FIGURES("base", "pen", "base", f"0.5{_D} + 0.5{_D} * pen", "ov")),
+    _SAY(documents.LOG_SUMMARY, "n", "k", "n - k", "share", *_FIGURES("txt", "lay", "ov"))])}) AS digest FROM o
+UNION ALL SELECT doc_id, md5({" || ".join([
+    _SAY(documents.LOG_TITLE, "doc_id::VARCHAR"), _LITERAL(documents.LOG_TIMES), _SAY(documents.LOG_SECONDS, "0" + _D), _SAY(documents.LOG_OVERVIEW, "0", "0", "0", "'0%'"),
+    *map(_LITERAL, (documents.LOG_REGIONS, documents.LOG_NO_REGIONS, documents.LOG_TEXT, documents.LOG_NO_TEXT, documents.LOG_LAYOUT, documents.LOG_NO_LAYOUT, documents.LOG_OVERALL, documents.LOG_NO_OVERALL)),
+    _SAY(documents.LOG_SUMMARY, "0", "0", "0", "'0%'", "'0.0'", "'0.0'", "'0.0'")])}) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lr)"""
+
+
+@query("md8_confidence_log", with_lr(_LOG_SQL))
 def confidence_log(spark, sf):
-    return documents.confidence_log(inputs.pages(spark, sf)).select("doc_id", _digest("log"))
+    typed = F.transform("regions", lambda r: r.withField("region_type", labels.region_type(r["type"])))
+    p = inputs.pages(spark, sf).select("doc_id", typed.alias("regions"))
+    return documents.confidence_log(p, kind="region_type", seconds=F.coalesce(F.size("regions"), F.lit(0)) / 4.0).select("doc_id", _digest("log"))
 
 
 @query("src7_content_fallback", f"""

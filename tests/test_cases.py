@@ -340,3 +340,22 @@ def test_uncapped_history_is_numbered_over_days(spark):
 def test_repeated_ids(spark):
     pages = spark.createDataFrame([(1, ["a", "", "b", "a", None, "", "a", None]), (2, []), (3, None)], "doc_id long, ids array<string>")
     assert sorted((r.doc_id, r["index"], r.block_id) for r in blocks.repeated_ids(pages).collect()) == [(1, 3, "a"), (1, 6, "a")]
+
+
+def test_confidence_log(spark):
+    region = "array<struct<type: string, content: string, confidence: double, x1: double, y1: double, x2: double, y2: double>>"
+    rows = [(1, [("header", "A | title\nof a page, longer than the preview", 0.5, 0.0, 0.0, 10.0, 10.0), ("table", None, None, 0.0, 0.0, 5.0, 5.0),
+                 (None, " abc ", 0.0, 0.0, 0.0, 100.0, 100.0)], "2024-01-01 00:00:00"), (2, [], None), (3, None, None)]
+    df = spark.createDataFrame(rows, f"doc_id int, regions {region}, at string")
+    got = {r.doc_id: r.log for r in documents.confidence_log(df, started=F.col("at")).collect()}
+    lines = got[1].split("\n")
+    for line in ("**任务 ID**: `1`", "- **开始时间**: 2024-01-01 00:00:00", "- **有置信度的区域**: 1", "- **置信度覆盖率**: 33.3%",
+                 "| 1 | header | (0, 0) | 10×10 | 0.5 | A \\| title of a page, longer th... |", "| 2 | table | (0, 0) | 5×5 | 无 |  |", "           = (0.5) / 1",
+                 "- 检测到的区域类型: header, table", "- **类型多样性因子**: 0.90", "- 合理尺寸区域数: 2 / 3", "- 有效内容区域数: 1 / 3",
+                 "- 惩罚因子 = min(1.0, 0.333333333333 / 0.5) = 0.666666666667"):
+        assert line in lines, line
+    layout = 1 / 3 * 0.5 + 2 / 3 * 0.3 + 0.9 * 0.2
+    overall = (0.5 * 0.7 + layout * 0.3) * (0.5 + 0.5 * (1 / 3 / 0.5))
+    assert f"| **总体置信度** | **{overall:.12f}".rstrip("0") in got[1] and f"| 布局置信度 | {layout:.12f}".rstrip("0") in got[1]
+    assert got[2].replace("`2`", "") == got[3].replace("`3`", "") and "*无区域数据，总体置信度 = 0.0*" in got[2] and "开始时间" not in got[2]
+    assert "| 置信度覆盖率 | 0% |" in got[2] and "| **总体置信度** | **0.0** |" in got[2]
