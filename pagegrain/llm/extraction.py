@@ -4,8 +4,11 @@ A page is read as a tolerant tree. Its text falls into blocks: runs between the
 starts and ends of block elements. Each block passes points for its length and
 commas to the elements around it, fewer the farther out, discounted by the share
 of its text that is link text; article and main elements start with a bonus. The
-element with the most points is the container; its siblings are kept where their
-points come near. Menus, headers, footers, sidebars, notices, adverts, forms,
+element with the most points is the container, and an article or main element
+around it takes its place. Beside it are kept headings, paragraphs, quotations and
+figures, containers with a fifth of its points, and those whose blocks read like its
+own (half its points a block); also an h1 farther out. Beside an article or main
+element, paragraphs have to read like it, and containers need the fifth. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out, by element, by role and by the
 words of class and id; so are lists that are mostly links.
 
@@ -48,22 +51,29 @@ _CLOSES_P = _BLOCK - frozenset("body html head li dd dt option tr td th tbody th
 
 _DROP = frozenset("nav footer aside form button select datalist menu dialog object embed svg canvas audio video applet fieldset head input".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_DROP_NAMES = frozenset("""nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside ad ads advert adverts advertisement advertising
-    sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social
-    comment comments disqus respond replies reply related recommended recommendations pagination pager widget toolbar tracking""".split())
+_DROP_NAMES = frozenset("""nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar ad ads advert adverts advertisement advertising
+    sponsor sponsored cookie cookies gdpr popup modal newsletter subscribe login comment comments disqus respond pagination pager widget toolbar""".split())
+#: Words that also name subjects: they tell only where the rest of the name is of these or of words for boxes.
+_DOUBTFUL = frozenset("""header banner aside promo promotion consent notice notices overlay signup subscription share sharing social replies reply
+    related recommended recommendations tracking""".split())
+_BOXES = frozenset("""area article articles bar block bottom box buttons col column container content footer global group icons inner item items js left links list main
+    media network news outer page panel post posts reading right row section site stories top wrap wrapper""".split())
 _COMMENTS = frozenset("comment comments disqus respond replies reply".split())
 _AROUND = frozenset("html body main".split())
 _INNER = frozenset("p pre td th li dd dt h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
+_PROSE = frozenset("blockquote figure details".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _LISTS = frozenset("ul ol dl table menu".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "out", "link", "points", "chars", "linked", "links")
+    __slots__ = ("tag", "parent", "out", "link", "points", "prose", "chars", "linked", "links", "blocks")
 
     def __init__(self, tag: str, parent: Element | None, out: bool, link: bool):
         self.tag, self.parent, self.out, self.link = tag, parent, out, link
         self.points = 25.0 if tag in ("article", "main") else 0.0
-        self.chars = self.linked = self.links = 0
+        self.prose = 0.0
+        self.chars = self.linked = self.links = self.blocks = 0
 
 
 def left_out(tag: str, attributes: str, inside: Element) -> bool:
@@ -83,7 +93,11 @@ def left_out(tag: str, attributes: str, inside: Element) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 words = [w.lower() for w in _NAME.findall(one)]
-                if words and words[0] not in ("has", "with", "no", "without") and not (_COMMENTS if tag == "article" else _DROP_NAMES).isdisjoint(words):
+                if not words or words[0] in ("has", "with", "no", "without"):
+                    continue
+                if not (_COMMENTS if tag == "article" else _DROP_NAMES).isdisjoint(words):
+                    return True
+                if tag != "article" and not _DOUBTFUL.isdisjoint(words) and (_DOUBTFUL | _BOXES).issuperset(words):
                     return True
     return False
 
@@ -210,25 +224,28 @@ class Page:
                 self.at = self.at.parent
 
 
+def points_of(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
+    through = _INNER | _PROSE
     for e, text, linked in page.blocks:
-        share = 1 - linked / len(text)
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * share
-        up, level = (e.parent or e) if e.tag in _INNER else e, 1
+        points = points_of(text, linked)
+        up, level = e, 1
         while up is not None:
-            if up.tag not in _INNER:
+            if up.tag not in through:
                 up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * (level - 1))
                 level += 1
-            up = up.parent
-        up = e
-        while up is not None:
+            up.prose += points
+            up.blocks += 1
             up.chars += len(text)
             up.linked += linked
             up = up.parent
-    scored = [e for e in page.elements if e.chars and not e.out and e.tag not in _INNER and e.tag not in ("tr", "tbody", "thead", "tfoot")]
+    scored = [e for e in page.elements if e.chars and not e.out and e.tag not in through and e.tag not in ("tr", "tbody", "thead", "tfoot")]
     if not scored:
         return ""
     value = {id(e): e.points * (1 - e.linked / e.chars) for e in scored}
@@ -239,25 +256,38 @@ def main_text(html: str | None) -> str:
             best = up
             break
         up = up.parent
+    above = set()
+    up = best.parent
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    marked = best.tag in ("article", "main")
+    alike = lambda prose, blocks: 2 * prose * best.blocks >= best.prose * blocks
     chosen = {id(best)}
-    for e in scored:
-        if e.parent is best.parent and e is not best and e.tag not in _LISTS and value[id(e)] >= max(10.0, value[id(best)] / 5) and 4 * e.linked < e.chars:
+    for e in page.elements:
+        if e.out or not e.chars or e is best or id(e) in above or e.tag in _LISTS or 4 * e.linked >= e.chars:
+            continue
+        if e.parent is not best.parent:
+            keep = e.tag == "h1" and not marked and id(e.parent) in above
+        elif e.tag in through:
+            keep = not marked or e.tag in _HEADINGS or alike(e.prose, e.blocks)
+        else:
+            keep = 5 * value[id(e)] >= value[id(best)] or not marked and alike(e.prose, e.blocks)
+        if keep:
             chosen.add(id(e))
     out = []
     for e, text, linked in page.blocks:
-        near, keep = e, False
+        if e is best.parent and not marked and alike(points_of(text, linked), 1):
+            out.append(text)
+            continue
+        near = e
         while near is not None:
             if near.tag in _LISTS and near.links > 2 and 2 * near.linked > near.chars:
-                keep = False
                 break
             if id(near) in chosen:
-                keep = True
+                out.append(text)
                 break
             near = near.parent
-        if not keep and e.parent is not None and e.tag == "p" and e.parent is best.parent and len(text) > 80 and 4 * linked < len(text):
-            keep = True
-        if keep:
-            out.append(text)
     return "\n".join(out)
 
 

@@ -35,6 +35,14 @@ def test_pages_of_the_table(spark, sf, con):
     (f"<div><p>{LONG}</p></div><div style='display: none'><p>{LONG}</p></div><form><p>{LONG}</p></form>", LONG),
     (f"<article><p>{LONG}</p><article class='comment'><p>{LONG}</p></article></article>", LONG),
     (f"<p>{LONG}<br>next<!-- no > --> line\n\t here</p>", f"{LONG} next line here"),
+    (f"<body><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div></body>", f"Title\n{LONG}\n{LONG}"),
+    (f"<body><h1>Title</h1><div><div><p>{LONG}</p><p>{LONG}</p></div></div></body>", f"Title\n{LONG}\n{LONG}"),
+    (f"<div><section><h2>A</h2><p>{LONG}</p></section><section><p>{LONG * 3}</p><p>{LONG}</p></section><section><p>{LONG}</p></section></div>", f"A\n{LONG}\n{LONG * 3}\n{LONG}\n{LONG}"),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><p>The end.</p></body>", f"{LONG}\n{LONG}\nThe end."),
+    (f"<body><blockquote><p>Said one.</p></blockquote><div><p>{LONG}</p><p>{LONG}</p></div><footer>foot</footer></body>", f"Said one.\n{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><section class='related-work'><h2>Related work</h2><p>{LONG}</p></section><div class='related-posts'>More</div></article>", f"{LONG}\nRelated work\n{LONG}"),
+    (f"<div class='site-header'>Site</div><div class='shareButtons'>Share</div><article><p>{LONG}</p></article><p>All rights</p><h2 class='notice-box'>Note</h2>", LONG),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><ul><li><a>l1</a></li><li><a>l2</a></li><li><a>l3</a></li></ul><div><a href=x>more of this</a></div></body>", f"{LONG}\n{LONG}"),
     ("<div>" * 4000 + "deep" + "</div>" * 4000, "deep"),
     ("<p>" + "word, " * 50_000 + "</p>", ("word, " * 50_000).strip()),
 ])
