@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve: rows near in several metadata dimensions share a shard.
 
-Every dimension is cut into ``1 << bits`` levels at its quantiles over all rows
-(text by its leading bytes, nulls in the lowest level). The levels are the
+Every dimension is cut into ``1 << bits`` levels over all rows: numbers at their
+quantiles, text and binary by the place of the whole value among all values, each
+weighted by its rows; nulls lie in the lowest level. The levels are the
 coordinates of a cell; rows are sorted by the index of their cell on the Hilbert
 curve, then by the tie columns, and runs of the order are cut into shards whose
 row counts differ by one at most. Files written from a shard therefore span
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagegrain.llm.common import cut
+from pagegrain.operators import skew
 
 BITS = 5
 
@@ -54,23 +56,35 @@ def hilbert(levels: list[np.ndarray], bits: int = BITS) -> np.ndarray:
     return index
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number that orders as the column does: text by its first seven bytes."""
-    c = F.col(name)
-    if isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType)):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return c.cast("double")
+def value_level(df: DataFrame, name: str, bits: int) -> Column:
+    """The level of a text by its place in the order of whole values: how many rows lie below the middle of its own.
+
+    Distinct values are counted and ordered on Spark; the smallest value of each
+    level, ``1 << bits`` at most, is all that reaches the driver.
+    """
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__value")).agg(F.count("*").alias("__n"))
+    ordered = cut(counts.repartitionByRange("__value").select("__value", "__n", F.spark_partition_id().alias("__part")), "shard-values")
+    total = ordered.agg(F.sum("__n")).first()[0] or 1
+    below = skew.running_total(ordered, [], "__value", F.col("__n"), F.col("__part"), "__upto")
+    level = F.expr(f"(2 * __upto - __n) * {1 << bits} div {2 * total}")
+    starts = below.groupBy(level.alias("level")).agg(F.min("__value").alias("start")).collect()
+    out = F.lit(0)
+    for r in sorted(starts, key=lambda r: r["level"]):
+        out = F.when(F.col(name) >= F.lit(r["start"]), r["level"]).otherwise(out)
+    return out.cast("bigint")
 
 
 def levels(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
-    """The level of each dimension, from its quantiles over all rows: how many cuts lie below."""
+    """The level of each dimension over all rows: of a number, how many of its quantiles lie below."""
+    texts = [d for d in dims if isinstance(df.schema[d].dataType, (T.StringType, T.BinaryType))]
+    numbers = [d for d in dims if d not in texts]
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = df.agg(*(F.percentile_approx(as_number(df, d), shares, 10_000).alias(f"q{i}") for i, d in enumerate(dims))).first()
-    out = []
-    for i, d in enumerate(dims):
-        cuts = sorted(set(found[f"q{i}"] or []))
-        out.append(F.coalesce(sum((F.when(as_number(df, d) > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0)).cast("bigint"))
-    return out
+    number = lambda d: F.col(d).cast("double")
+    found = df.agg(*(F.percentile_approx(number(d), shares, 10_000).alias(f"q{i}") for i, d in enumerate(numbers))).first() if numbers else ()
+    level = {d: value_level(df, d, bits) for d in texts}
+    for d, cuts in zip(numbers, found):
+        level[d] = F.coalesce(sum((F.when(number(d) > c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0)), F.lit(0)).cast("bigint")
+    return [level[d] for d in dims]
 
 
 def assign(df: DataFrame, dims: list[str], ties: list[str], shards: int, carry: list[str], bits: int = BITS) -> DataFrame:

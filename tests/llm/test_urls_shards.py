@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import zlib
 
@@ -78,3 +79,19 @@ def test_odd_rows_and_files(spark, docs_of, tmp_path):
     shards.write(plain, ["lang", "n_chars"], ["doc_id"], 4, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, r.text) for r in back.where("doc_id is not null and text is not null").collect()) == sorted((k, t) for k, t in ODD if k is not None and t is not None)
+
+
+@pytest.mark.parametrize("prefix", ["https://site", "s"])
+def test_whole_values_make_levels(spark, prefix):
+    rows = [(i, f"{prefix}{i % 16:02d}.org") for i in range(320)] + [(k, f"{prefix}03.org") for k in range(320, 480)] + [(480, None), (481, "")]
+    df = spark.createDataFrame(rows, "doc_id int, source string")
+    got = df.select("doc_id", "source", shards.levels(df, ["source"])[0].alias("level")).collect()
+    named = sorted((x, n) for x, n in collections.Counter(s for _, s in rows if s is not None).items())
+    want, at, total = {None: 0}, 0, sum(n for _, n in named)
+    for x, n in named:
+        want[x] = (2 * at + n) * 32 // (2 * total)
+        at += n
+    assert all(r.level == want[r.source] for r in got) and len(set(want.values())) >= 15
+    raw = df.select("doc_id", F.col("source").cast("binary").alias("source"))
+    again = raw.select("doc_id", shards.levels(raw, ["source"])[0].alias("level")).collect()
+    assert {r.doc_id: r.level for r in again} == {r.doc_id: r.level for r in got}
