@@ -6,8 +6,10 @@ words; a shorter item is one window. The automaton reads word numbers, so an
 occurrence is a range of word positions, which is mapped to character offsets of
 the original text for texts that have one.
 
-The benchmark is collected in slices of at most ``SLICE_BYTES``, each with its
-own automaton and its own pass over the texts; a slice bounds what is broadcast.
+The benchmark is read in slices of about ``SLICE_BYTES`` (an item is never split),
+each with its own automaton and its own pass over the texts. Between passes what
+was found is written next to the texts in the shared folder, so one slice at a time
+is on the driver, in a plan and in a worker, however large the benchmark.
 
 Null and empty texts have no words and no hits. An item without words has no
 windows. Items with a null id mark words but are not listed; rows with equal ids
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagegrain.llm.common import cut
+
 WINDOW = 13
 SLICE_BYTES = 32 << 20
 
@@ -95,14 +99,16 @@ def _scan(items: list[tuple], size: int):
     return scan
 
 
-def _union(flat: Column) -> Column:
-    """Starts and ends in turn, of any ranges -> those of their union."""
+def _merged(before: Column, now: Column) -> Column:
+    """Both findings of a text as one."""
 
     @F.arrow_udf("array<int>")
     def union(ranges: pa.Array) -> pa.Array:
         return pa.array([[x for r in joined(list(zip(v[::2], v[1::2]))) for x in r] for v in ranges.to_pylist()], pa.list_(pa.int32()))
 
-    return union(flat)
+    both = lambda name: F.concat(before[name], now[name])
+    return F.struct(now["n_words"].alias("n_words"), union(both("words")).alias("words"), union(both("chars")).alias("chars"),
+                    F.array_sort(F.array_distinct(both("items"))).alias("items"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -111,15 +117,13 @@ def find(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "text", it
     tests = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")).where(F.col("text").isNotNull())
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-size // slice_bytes) or 1
-    parts = []
     for k in range(slices):
-        here = tests if slices == 1 else tests.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k)
-        parts.append(_scan([(r.id, bytes(r.text)) for r in here.distinct().collect()], window)(F.col(text).cast("binary")))
-    if slices == 1:
-        return docs.withColumn(out, parts[0])
-    all_of = lambda name: F.flatten(F.array(*[p[name] for p in parts]))
-    return docs.withColumn(out, F.struct(parts[0]["n_words"].alias("n_words"), _union(all_of("words")).alias("words"), _union(all_of("chars")).alias("chars"),
-                                         F.array_sort(F.array_distinct(all_of("items"))).alias("items")))
+        here = tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == k).distinct() if slices > 1 else tests.distinct()
+        now = _scan([(r.id, bytes(r.text)) for r in here.collect()], window)(F.col(text).cast("binary"))
+        docs = docs.withColumn(out, _merged(F.col(out), now) if k else now)
+        if k < slices - 1:
+            docs = cut(docs, f"benchmark-{k}")
+    return docs
 
 
 def n_hit(found: Column) -> Column:
