@@ -80,18 +80,23 @@ def bloom(listed: DataFrame, url: str, blocks: int) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """host, path, rule and verdict of every page; ``listed`` has one column of URLs to block."""
-    entries = listed.select(canonical(F.col(listed.columns[0])).alias("__listed")).where(F.col("__listed").isNotNull()).distinct()
+    own = "__url"
+    while any(c.lower().startswith(own) for c in pages.columns):
+        own += "_"
+    key, entry, at, hit = (f"{own}_{n}" for n in ("canonical", "listed", "block", "hit"))
+    words = [f"{own}_w{i}" for i in range(WORDS)]
+    entries = listed.select(canonical(F.col(listed.columns[0])).alias(entry)).where(F.col(entry).isNotNull()).distinct()
     blocks = max(1, min(MAX_BLOCKS, -(-entries.count() * BITS_PER_URL // 256)))
-    table = bloom(entries, "__listed", blocks)
+    table = bloom(entries, entry, blocks).toDF(at, *words)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url)), "__canonical": canonical(F.col(url))})
+    rows = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url)), key: canonical(F.col(url))})
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
-    block, bits = _place(F.col("__canonical"), blocks)
-    probed = rows.withColumn("block__", block).join(F.broadcast(table.withColumnRenamed("block", "block__")), "block__", "left")
-    hit = F.col("verdict").isNull() & F.col("__canonical").isNotNull()
-    for i, b in enumerate(bits):
-        hit = hit & F.coalesce(F.col(f"w{i}").bitwiseAND(b) != 0, F.lit(False))
-    marked = probed.withColumn("__hit", hit).drop("block__", *(f"w{i}" for i in range(WORDS)))
-    clear = marked.where(~F.col("__hit")).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
-    maybe = marked.where("__hit").join(entries, F.col("__canonical") == F.col("__listed"), "left").withColumn("verdict", F.when(F.col("__listed").isNotNull(), "block").otherwise("allow"))
-    return clear.unionByName(maybe.drop("__listed")).drop("__canonical", "__hit")
+    block, bits = _place(F.col(key), blocks)
+    probed = rows.withColumn(at, block).join(F.broadcast(table), at, "left")
+    found = F.col("verdict").isNull() & F.col(key).isNotNull()
+    for w, b in zip(words, bits):
+        found = found & F.coalesce(F.col(w).bitwiseAND(b) != 0, F.lit(False))
+    marked = probed.withColumn(hit, found).drop(at, *words)
+    clear = marked.where(~F.col(hit)).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    maybe = marked.where(F.col(hit)).join(entries, F.col(key) == F.col(entry), "left").withColumn("verdict", F.when(F.col(entry).isNotNull(), "block").otherwise("allow"))
+    return clear.unionByName(maybe.drop(entry)).drop(key, hit)

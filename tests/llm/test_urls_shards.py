@@ -34,6 +34,13 @@ def test_rules_and_list(spark):
     assert {r.verdict for r in none.where("page_id >= 8").collect()} == {"allow"} and urls.judge(df.where("false"), listed, RULES).count() == 0
 
 
+def test_clashing_columns_stay(spark):
+    names = ["w0", "W7", "block", "block__", "__hit", "__canonical", "__listed", "__url_hit", "rule"]
+    df = spark.createDataFrame([(1, "http://a.com/x", *names), (2, "http://b.com/", *names)], ["page_id", "url", *names])
+    got = urls.judge(df, df.where("page_id = 1").select("url"), RULES).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "allow"] and all(r[n] == n for r in got for n in names[:-1]) and got[0].rule is None
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 def test_full_filter_still_gives_exact_results(spark, monkeypatch, blocks):
     monkeypatch.setattr(urls, "MAX_BLOCKS", blocks)
