@@ -35,16 +35,18 @@ def column_types(cells: DataFrame, key: str = "table_no", column: str = "c") ->
 
 
 def confidence_from_cells(cells: DataFrame, key: str = "table_no", row: str = "r", base: float = 0.7) -> DataFrame:
-    """Table confidence from long cells: widths per row first, then one row per table."""
+    """Table confidence from long cells: rows first, then a row per table and width, then one per table.
+
+    The width that holds the first row is the expected one, so nothing is joined
+    and a hot table sends one row per width and task.
+    """
     full = grids.filled(F.col("text"))
     rows = cells.groupBy(key, row).agg(
         F.count(F.lit(1)).alias("w"), F.count_if(full).alias("full"),
         F.count_if(full & (F.length(strip("text")) <= 100)).alias("sane"))
-    # The first row decides the expected width; it is found by a partial aggregate too.
-    first = rows.groupBy(key).agg(F.min_by("w", row).alias("first_w"))
-    t = rows.join(first, key).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.max("first_w").alias("first_w"), F.sum("full").alias("full"), F.sum("sane").alias("sane"),
-        F.count_if(F.col("w") == F.col("first_w")).alias("even"))
+    widths = rows.groupBy(key, "w").agg(F.count(F.lit(1)).alias("rows"), F.sum("full").alias("full"), F.sum("sane").alias("sane"), F.min(row).alias("at"))
+    t = widths.groupBy(key).agg(F.sum("rows").alias("n"), F.sum("full").alias("full"), F.sum("sane").alias("sane"), F.min_by(F.struct("w", "rows"), "at").alias("first"))
+    t = t.withColumns({"first_w": F.col("first.w"), "even": F.col("first.rows")})
     total = F.col("n") * F.col("first_w")
     parts = F.array(F.when(total > 0, F.col("full") / total), F.col("even") / F.col("n"),
                     F.when(F.col("full") > 0, F.col("sane") / F.col("full")), F.lit(base))

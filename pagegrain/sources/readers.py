@@ -83,11 +83,16 @@ def whole_texts(spark: SparkSession, path: str, name: str, folder: str | None =
 
 
 def first_content(jobs: DataFrame, key: str, **sources: DataFrame) -> DataFrame:
-    """First non-empty content of each job over the sources, in the order given."""
-    joined = reduce(lambda df, s: df.join(s, key, "left"), sources.values(), jobs)
-    full = {n: F.when(F.coalesce(F.col(n), F.lit("")) != "", F.col(n)) for n in sources}
-    name = F.coalesce(*[F.when(c.isNotNull(), n) for n, c in full.items()])
-    return joined.select(key, name.alias("source"), F.coalesce(*full.values()).alias("content"))
+    """First non-empty content of each job over the sources, in the order given.
+
+    Which source a job takes is settled on keys alone, a partial aggregate; then
+    the texts are joined once, however many sources there are. A job without any
+    content has nulls; equal keys in the chosen source each give a row.
+    """
+    tagged = reduce(DataFrame.unionByName, [s.where(F.col(n) != "").select(key, F.lit(i).alias("_rank"), F.col(n).alias("content")) for i, (n, s) in enumerate(sources.items())])
+    chosen = jobs.select(key).join(tagged.groupBy(key).agg(F.min("_rank").alias("_rank")), key, "left")
+    name = F.coalesce(*[F.when(F.col("_rank") == i, n) for i, n in enumerate(sources)])
+    return chosen.join(tagged, [key, "_rank"], "left").select(key, name.alias("source"), "content")
 
 
 def config_table(spark: SparkSession, path: str, schema: str) -> DataFrame:

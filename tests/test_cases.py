@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagegrain.functions import classify, clean, grids, labels, markdown, vectors
-from pagegrain.operators import blocks, chunking, confidence, documents, integrity, jobs, layout, nested, prompts, retrieval, skew, spatial
+from pagegrain.operators import blocks, chunking, confidence, documents, integrity, jobs, layout, nested, prompts, retrieval, skew, spatial, tables
+from pagegrain.sources import readers
 
 
 def one(spark, **cols):
@@ -359,3 +360,18 @@ def test_confidence_log(spark):
     assert f"| **总体置信度** | **{overall:.12f}".rstrip("0") in got[1] and f"| 布局置信度 | {layout:.12f}".rstrip("0") in got[1]
     assert got[2].replace("`2`", "") == got[3].replace("`3`", "") and "*无区域数据，总体置信度 = 0.0*" in got[2] and "开始时间" not in got[2]
     assert "| 置信度覆盖率 | 0% |" in got[2] and "| **总体置信度** | **0.0** |" in got[2]
+
+
+def test_table_confidence_of_mixed_widths(spark):
+    cells = [(1, 0, "a"), (1, 0, "1"), (1, 1, "b"), (1, 1, ""), (1, 2, "c" * 101), (2, 3, "x"), (None, 0, "n")]
+    df = spark.createDataFrame(cells, "table_no int, r int, text string")
+    got = {r.table_no: r.confidence for r in tables.confidence_from_cells(df).collect()}
+    assert got[1] == pytest.approx((4 / 6 + 2 / 3 + 3 / 4 + 0.7) / 4) and got[2] == pytest.approx((1 + 1 + 1 + 0.7) / 4) and len(got) == 3
+
+
+def test_first_content(spark):
+    jobs = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int")
+    a = spark.createDataFrame([(1, "one"), (2, ""), (3, None)], "k int, layout string")
+    b = spark.createDataFrame([(1, "other"), (2, "two"), (None, "lost"), (9, "no job")], "k int, raw string")
+    got = sorted(((r.k, r.source, r.content) for r in readers.first_content(jobs, "k", layout=a, raw=b).collect()), key=repr)
+    assert got == [(1, "layout", "one"), (2, "raw", "two"), (3, None, None), (None, None, None)]
