@@ -44,7 +44,8 @@ def job_states(events: DataFrame, job: str = "job_id", ts: str = "ts", tie: str
     """
     at = lambda cond: F.when(cond, F.struct(ts, tie))
     update = F.col("kind") == "update"
-    failed = update & (F.col("error").isNotNull() | (F.col("stage") == "failed"))
+    broken = update & F.col("error").isNotNull()
+    failed = broken | (update & (F.col("stage") == "failed"))
     done = update & F.col("error").isNull() & (F.col("stage") == "completed")
     moving = update & ~failed
     value = F.when(done, 1.0).otherwise(overall_progress(F.col("stage"), F.col("progress")))
@@ -52,7 +53,7 @@ def job_states(events: DataFrame, job: str = "job_id", ts: str = "ts", tie: str
     agg = events.groupBy(job).agg(
         F.min(F.when(F.col("kind") == "create", F.col(ts))).alias("created_at"),
         F.max(F.when(update, F.col(ts))).alias("_up"), F.max_by(F.when(update, row), at(update)).alias("_last"),
-        F.max(F.when(failed, F.col(ts))).alias("_failed"), F.max_by(F.when(failed, F.col("error")), at(failed & F.col("error").isNotNull())).alias("_error"),
+        F.max(F.when(failed, F.col(ts))).alias("_failed"), F.max(F.when(broken, F.col(ts))).alias("_broken"), F.max_by(F.when(broken, F.col("error")), at(broken)).alias("_error"),
         F.max(F.when(done, F.col(ts))).alias("_done"), F.max(F.when(moving, F.col(ts))).alias("_mv"), F.max_by(F.when(moving, value), at(moving)).alias("_progress"))
     after = lambda c: F.coalesce(F.col(c) >= F.col("created_at"), F.lit(False))
     live = agg.where(F.col("created_at").isNotNull())
@@ -60,7 +61,7 @@ def job_states(events: DataFrame, job: str = "job_id", ts: str = "ts", tie: str
         job, "created_at", F.when(after("_up"), F.col("_up")).otherwise(F.col("created_at")).alias("updated_at"),
         F.when(after("_up"), F.col("_last.stage")).otherwise("uploading").alias("stage"),
         F.when(after("_up"), F.col("_last.message")).otherwise("Job created").alias("message"),
-        F.when(after("_mv"), F.col("_progress")).otherwise(0.0).alias("progress"), F.when(after("_failed"), F.col("_error")).alias("error"),
+        F.when(after("_mv"), F.col("_progress")).otherwise(0.0).alias("progress"), F.when(after("_broken"), F.col("_error")).alias("error"),
         after("_done").alias("completed"), after("_failed").alias("failed"))
 
 

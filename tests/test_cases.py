@@ -232,6 +232,13 @@ def test_job_states(spark):
     assert late["b"].failed and "timeout" in late["b"].error and late["a"].error == "boom"
 
 
+def test_an_error_before_the_creation_is_not_the_jobs_error(spark):
+    e = _events(spark, [(1, "a", 1.0, "update", "failed", 0.0, "old", "e1"), (2, "a", 2.0, "create", None, None, None, None), (3, "a", 3.0, "update", "failed", 0.0, "new", None),
+                        (4, "b", 1.0, "create", None, None, None, None), (5, "b", 2.0, "update", "ocr_processing", 0.0, "first", "e5"), (6, "b", 3.0, "update", "failed", 0.0, "second", None)])
+    s = {r.job_id: r for r in jobs.job_states(e).collect()}
+    assert (s["a"].failed, s["a"].message, s["a"].error) == (True, "new", None) and s["b"].error == "e5"
+
+
 def test_operation_summary(spark):
     ops = spark.createDataFrame([("a", 1.0, 10.0, True), ("a", 0.0, None, True), ("b", 3.0, 30.0, True), ("b", 2.0, 20.0, False)], "name string, duration double, memory_mb double, success boolean")
     s = jobs.operation_summary(ops).first()
