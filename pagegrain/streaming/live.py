@@ -21,10 +21,12 @@ from pagegrain.operators.skew import last_n, latest_by
 Sink = Callable[[DataFrame, int], None]
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, per_batch: int = 1) -> DataFrame:
-    """A stream over one table's files; NTZ times become instants, which watermarks need."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", per_batch).parquet(folder)
+def table_stream(spark: SparkSession, folder: str, name: str, parts: int = 3) -> DataFrame:
+    """A stream over one table, a file or a folder of files, in about ``parts`` batches; NTZ times become instants, which watermarks need."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    schema, files = table.schema, len(table.inputFiles())
+    # A pattern, since the stream takes a plain path for a folder.
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // parts))).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.names else s
 
 

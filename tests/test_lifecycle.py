@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagegrain.sources import uploads
-from pagegrain.streaming import ingest, lifecycle
+from pagegrain.streaming import ingest, lifecycle, live
 
 T0 = datetime(2024, 1, 1)
 JOB = "job_id string, ts timestamp, event_id long, kind string, stage string, progress double, message string, error string, metadata map<string,string>"
@@ -96,3 +96,16 @@ def test_uploads_are_listed_with_their_first_bytes(spark, tmp_path):
     assert got == {n: (len(c or b""), (c or b"")[:8]) for n, c in names}
     (tmp_path / "empty").mkdir()
     assert uploads.listed(spark, str(tmp_path / "empty")).where(F.lit(True)).collect() == []
+
+
+def test_a_stream_over_a_table_of_one_file_or_many(spark, tmp_path):
+    rows = spark.range(40).withColumnRenamed("id", "doc_id")
+    rows.repartition(7).write.parquet(f"{tmp_path}/many/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "one/documents.parquet")
+    rows.write.parquet(f"{tmp_path}/many/documents_old.parquet")
+    for folder, batches in (("many", 3), ("one", 1)):
+        seen = []
+        stream = live.table_stream(spark, f"{tmp_path}/{folder}", "documents")
+        live.run_available(stream, lambda df, n: seen.append(sorted(r.doc_id for r in df.collect())), f"{tmp_path}/{folder}-checkpoint").awaitTermination()
+        assert len(seen) == batches and sorted(sum(seen, [])) == list(range(40))
