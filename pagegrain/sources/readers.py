@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegrain.sources import spread
 from pagegrain.sources.uploads import listed
 
 # Accepted upload types, their leading bytes and the size limit.
@@ -56,6 +57,11 @@ def layout_items(spark: SparkSession, path: str, suffix: str = "(?:_layout)?", f
     return items_of(raw)
 
 
+def spread_texts(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
+    """Files saved by ``spread``, a job each: job_id (the file name up to the extension) and the text as ``name``."""
+    return spread.texts(spark, path).select(F.regexp_replace("name", r"\.[A-Za-z0-9]+$", "").alias("job_id"), F.col("value").alias(name))
+
+
 def items_of(results: DataFrame) -> DataFrame:
     """Item rows of parsed layout results (``job_id``, variant ``v``)."""
     kind = "array<variant>"
@@ -69,7 +75,11 @@ def items_of(results: DataFrame) -> DataFrame:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw recognition files to line rows."""
-    raw = spark.read.schema(LINE_SCHEMA).option("multiLine", "true").json(path)
+    return lines_of(spark.read.schema(LINE_SCHEMA).option("multiLine", "true").json(path))
+
+
+def lines_of(raw: DataFrame) -> DataFrame:
+    """Line rows of recognition results (``LINE_SCHEMA``)."""
     rows = raw.select("job_id", F.posexplode_outer("ocr_result").alias("line_no", "l")).where(F.col("line_no").isNotNull())
     x, y = F.col("l.bbox.x"), F.col("l.bbox.y")
     return rows.select("job_id", "line_no", "l.text", "l.confidence", x.alias("x1"), y.alias("y1"), (x + F.col("l.bbox.width")).alias("x2"), (y + F.col("l.bbox.height")).alias("y2"))

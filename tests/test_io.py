@@ -11,7 +11,7 @@ from pagegrain.functions.clean import let
 from pagegrain.operators import skew
 from pagegrain.plans import stages
 from pagegrain.session import shared_dir
-from pagegrain.sources import keyed, readers, writers
+from pagegrain.sources import keyed, readers, spread, writers
 
 
 def test_uploads(spark, tmp_path):
@@ -181,3 +181,21 @@ def test_an_encoder_loads_once_a_worker_and_takes_small_batches(spark, tmp_path)
     loads = [n[1] for n in names if n[0] == "load"]
     assert loads and len(loads) == len(set(loads))
     assert all(int(n[1]) <= 32 for n in names if n[0] == "batch")
+
+
+def test_files_dealt_over_folders(spark, tmp_path):
+    rows = [(f"{i}.txt", f"a {i}\n\n" if i % 3 else "") for i in range(300)] + [("none.txt", None)]
+    assert spread.save(spark.createDataFrame(rows, "name string, value string").repartition(7), f"{tmp_path}/f") == 301
+    # many files share a folder, and each is whole and exact
+    assert len(list((tmp_path / "f").iterdir())) <= spread.FOLDERS and (tmp_path / f"f/{spread.folder_of('7.txt')}/7.txt").read_bytes() == b"a 7\n\n"
+    assert {tuple(r) for r in spread.texts(spark, f"{tmp_path}/f").collect()} == {(n, v or "") for n, v in rows}
+    assert {r.job_id for r in readers.spread_texts(spark, f"{tmp_path}/f", "t").where("t = ''").collect()} == {"none", *(str(i) for i in range(0, 300, 3))}
+
+
+@pytest.mark.parametrize("name", ["src2_layout_files", "src3_raw_lines", "src4_text_preference"])
+def test_no_folder_is_made_for_a_single_file(spark, sf, name, tmp_path, monkeypatch):
+    from pagegrain.plans import files
+    monkeypatch.setattr(files, "shared_dir", lambda s, label: f"{tmp_path}/{label}")
+    from pagegrain.plans.registry import load_all
+    assert load_all()[name].build(spark, sf).count() > 0
+    assert all(len(list(root.iterdir())) <= 1024 and not any("=" in p.name for p in root.iterdir()) for root in tmp_path.iterdir())
