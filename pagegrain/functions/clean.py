@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagegrain.functions.text import squeeze, words
+from pagegrain.functions.text import middles, squeeze, words
 
 # Typographic characters and what replaces them.
 TYPOGRAPHIC = {
@@ -167,8 +167,11 @@ def similarity_ratio(a: Column, b: Column, floor: float | None = None) -> Column
 
 def edit_ratio(a: Column, b: Column) -> Column:
     """Native alternative to the ratio: 1 - edit distance / longer length."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)
+    def ratio(p: Column) -> Column:
+        longest = F.greatest(F.length(p["a"]), F.length(p["b"]))
+        edits = let(middles(p["a"], p["b"]), lambda m: F.levenshtein(m["x"], m["y"]))
+        return F.when(longest == 0, 1.0).when(p["a"] == p["b"], 1.0).otherwise(F.lit(1.0) - edits / longest)
+    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def integrity_score(ratio: Column, a: Column, b: Column, loss: float = 0.05) -> Column:

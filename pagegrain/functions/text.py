@@ -26,6 +26,26 @@ def squeeze(c: Column | str) -> Column:
     return F.array_join(words(c), " ")
 
 
+def middles(a: Column, b: Column) -> Column:
+    """Struct (x, y) of what lies between the common start and the common end of two texts, read backwards.
+
+    Their edit distance is that of the whole texts. A common start is found by halving,
+    in as many comparisons as its length has binary digits.
+    """
+    pair = lambda x, y: F.array(F.struct(x.alias("x"), y.alias("y")))
+    step = lambda i: F.call_function("shiftleft", F.lit(1), i)
+
+    def rest(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        shorter = F.least(F.length(x), F.length(y))
+        start = F.aggregate(F.sequence(F.length(F.bin(shorter.cast("long"))) - 1, F.lit(0), F.lit(-1)), F.lit(0), lambda n, i: F.when(
+            (n + step(i) <= shorter) & (F.substr(x, n + 1, step(i)) == F.substr(y, n + 1, step(i))), n + step(i)).otherwise(n))
+        cut = F.transform(F.array(start), lambda n: F.struct(F.reverse(F.substr(x, n + 1)).alias("x"), F.reverse(F.substr(y, n + 1)).alias("y")))
+        return F.element_at(cut, 1)
+
+    return F.element_at(F.transform(F.transform(pair(a, b), rest), rest), 1)
+
+
 def count_of(c: Column | str, piece: str) -> Column:
     """Number of non-overlapping occurrences of a literal."""
     col = _c(c)

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.functions.text import squeeze
+from pagegrain.functions.clean import let
+from pagegrain.functions.text import middles, squeeze
 from pagegrain.operators.integrity import SAFE_INTEGER, SIMILAR, bad_characters
 from pagegrain.session import written
 
@@ -125,11 +126,16 @@ def changed_text(a: Column, b: Column, floor: float = SIMILAR) -> Column:
 
     Lengths that differ by more than that decide without a distance.
     """
-    x, y = squeeze(a), squeeze(b)
-    longest = F.greatest(F.length(x), F.length(y))
-    allowed = F.floor(longest * (1 - floor) + 1e-9).cast("int")
-    # Equal texts and lengths that decide come first, so that the distance, followed as far as allowed, is worked out for the other pairs alone.
-    return F.when(x == y, False).when(F.abs(F.length(x) - F.length(y)) > allowed, True).otherwise(F.call_function("levenshtein", x, y, allowed) < 0)
+    def judged(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        longest = F.greatest(F.length(x), F.length(y))
+        allowed = F.floor(longest * (1 - floor) + 1e-9).cast("int")
+        # Equal texts and lengths that decide come first, so that the distance, followed as far as allowed, is worked out for the other pairs alone.
+        far = let(middles(x, y), lambda m: F.call_function("levenshtein", m["x"], m["y"], allowed) < 0)
+        return F.when(x == y, False).when(F.abs(F.length(x) - F.length(y)) > allowed, True).otherwise(far)
+
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return let(pair(a, b), lambda p: F.when(p["x"] == p["y"], False).otherwise(let(pair(squeeze(p["x"]), squeeze(p["y"])), judged)))
 
 
 def changes(pairs: DataFrame, original: str, processed: str, *keys: str, root: Column | str = "root", limit: int = MAX_DEPTH) -> DataFrame:
@@ -154,7 +160,7 @@ def changes(pairs: DataFrame, original: str, processed: str, *keys: str, root: C
         plain = both & ~ka.isin("dict", "list", "str") & ~F.coalesce(_get("a", "string") == _get("b", "string"), F.col("ka") == "null")
         found = F.array(F.when(kb.isNull() & ka.isNotNull(), "missing_key"), F.when(ka.isNull() & kb.isNotNull(), "added_key"), F.when(retyped, "type_change"),
                         F.when(both & (ka == "list") & (_size(ka, "a") != _size(kb, "b")), "length_change"),
-                        F.when((retyped & ~F.coalesce(same, F.lit(False))) | (plain & ~F.coalesce(same, F.lit(False))) | (text & changed_text(_get("a", "string"), _get("b", "string"))), "value_change"))
+                        F.when((retyped & ~F.coalesce(same, F.lit(False))) | (plain & ~F.coalesce(same, F.lit(False))) | F.when(text, changed_text(_get("a", "string"), _get("b", "string"))).otherwise(text), "value_change"))
         opened = both & ka.isin(*CONTAINERS) & (F.col("depth") < limit)
         out = rows.withColumns({"ka": kind_of("a"), "kb": kind_of("b")})
         return out.select(*names, "path", "depth", F.filter(found, lambda k: k.isNotNull()).alias("kinds"), F.when(opened, F.col("ka")).alias("v"), F.when(opened, F.col("a")).alias("a"), F.when(opened, F.col("b")).alias("b"))

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagegrain.functions import classify, clean, grids, labels, markdown, vectors
+from pagegrain.functions.clean import edit_ratio
+from pagegrain.functions.text import middles
 from pagegrain.operators import blocks, chunking, confidence, documents, integrity, jobs, layout, nested, prompts, retrieval, skew, spatial, tables
 from pagegrain.sources import readers
 
@@ -279,6 +281,17 @@ def test_structural_diff(spark, a, b, want):
     assert rows and all(r.doc_id == 1 for r in rows)
 
 
+def test_edit_distance_looks_at_what_lies_between_common_ends(spark):
+    texts = [("", ""), ("", "ab"), ("ab", "ab"), ("aba", "ababa"), ("aaaa", "aa"), ("kitten", "sitting"), ("äöü x", "äöü yx"), ("日本語の本", "日本の本"), ("abcdef", "abXdef"), ("x", None), (None, None)]
+    rows = spark.createDataFrame(texts, "a string, b string").select("a", "b", middles(F.col("a"), F.col("b")).alias("m"), F.levenshtein("a", "b").alias("d")).withColumn("e", F.levenshtein("m.x", "m.y")).collect()
+    assert all(r.d == r.e for r in rows)
+    m = {(r.a, r.b): (r.m.x, r.m.y) for r in rows}
+    assert m["abcdef", "abXdef"] == ("c", "X") and m["aba", "ababa"] == ("", "ba") or m["aba", "ababa"] == ("", "ab")
+    # a distance of the whole texts would take hours
+    long = spark.range(2, numPartitions=2).select(F.concat(F.repeat(F.lit("ab c"), 50_000), F.lit("x"), F.repeat(F.lit("de "), 50_000)).alias("a"), F.repeat(F.lit("ab c"), 50_000).alias("b")).withColumn("b", F.concat("b", F.lit("yz"), F.repeat(F.lit("de "), 50_000)))
+    assert {tuple(r) for r in long.select(nested.changed_text(F.col("a"), F.col("b")), edit_ratio(F.col("a"), F.col("b")) == 1 - 2.0 / 350_002).collect()} == {(False, True)}
+
+
 def test_walk_gives_paths_depths_and_issues(spark):
     texts = ['{"a b": [1, {"c": "x\\u0001"}], "n": 9007199254740993}', "[" * 9 + "]" * 9, "7", None, "{", '{"e": [], "o": {}, "z": null}']
     records = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.try_parse_json("t").alias("v"))
