@@ -15,6 +15,7 @@ SEVERITY_SCORES = {"none": 1.0, "minor": 0.9, "moderate": 0.7, "severe": 0.4}
 UNKNOWN_SCORE = 0.5
 SIMILAR = 0.95
 SAFE_INTEGER = 2 ** 53
+BAD = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
 def content_statistics(original: Column, processed: Column) -> list[Column]:
@@ -104,7 +105,7 @@ def text_issue(c: Column) -> Column:
 
 def bad_characters(c: Column, n: int = 5) -> Column:
     """The first ``n`` control characters of a text as escapes, for a warning line."""
-    found = F.slice(F.regexp_extract_all(c, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), 0), 1, n)
+    found = F.slice(F.regexp_extract_all(c, F.lit(BAD), 0), 1, n)
     return F.transform(found, lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(x))), 4, "0")))
 
 

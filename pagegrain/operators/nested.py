@@ -15,24 +15,32 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions.clean import let
 from pagegrain.functions.text import middles, squeeze
-from pagegrain.operators.integrity import SAFE_INTEGER, SIMILAR, bad_characters
+from pagegrain.operators.integrity import BAD, SAFE_INTEGER, SIMILAR, bad_characters
 from pagegrain.session import written
 
 # Limits of the check, and the names of variant kinds; every other kind can't be written as JSON.
 MAX_DEPTH, MAX_TEXT, MAX_ITEMS, MAX_SIZES = 100, 1_000_000, 10_000, 100_000
 KINDS = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BIGINT": "int", "BOOLEAN": "bool", "VOID": "null", "DOUBLE": "float", "FLOAT": "float", "DECIMAL": "float"}
 CONTAINERS = ("dict", "list")
+SHREDDING = "spark.sql.variant.inferShreddingSchema"
 ISSUE = "array<struct<severity:string,issue:string,path:string,detail:string>>"
 NUMBERS = ("int", "float", "bool")
 
 
-def kind_of(v: str) -> Column:
-    """Kind of the variant that the SQL expression ``v`` gives; null where it is null."""
-    names = ", ".join(f"'{k}', '{n}'" for k, n in KINDS.items())
-    shape = f"schema_of_variant({v})"
-    # Whole numbers beyond a long are decimals of 19 digits or more; 1.0 is a short decimal.
-    return F.expr(f"""CASE WHEN {v} IS NULL THEN NULL WHEN {shape} RLIKE '^DECIMAL.(19|[23][0-9]),0' THEN 'int'
-        ELSE coalesce(try_element_at(map({names}), split({shape}, '[<(]')[0]), lower(split({shape}, '[<(]')[0])) END""")
+def kinds(rows: DataFrame, **of: str) -> DataFrame:
+    """``rows`` with the kind of the variant column ``of[name]`` as column ``name``; null where it is null.
+
+    The shape of a value is as long to find as the value, so it is a column of its own and found once.
+    """
+    def kind(shape: Column) -> Column:
+        # Whole numbers beyond a long are decimals of 19 digits or more; 1.0 is a short decimal.
+        out = F.when(shape.rlike("^DECIMAL.(19|[23][0-9]),0"), "int")
+        for k, n in KINDS.items():
+            out = out.when(F.startswith(shape, F.lit(k)), n)
+        return F.when(shape.isNotNull(), out.otherwise(F.lower(F.element_at(F.split(shape, "[<(]"), 1))))
+
+    shaped = rows.withColumns({f"_{n}": F.when(F.col(v).isNotNull(), F.schema_of_variant(v)) for n, v in of.items()})
+    return shaped.withColumns({n: kind(F.col(f"_{n}")) for n in of}).drop(*[f"_{n}" for n in of])
 
 
 def _get(v: str, kind: str) -> Column:
@@ -70,18 +78,29 @@ def _judged(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
             _issue("warning", "very_large", path, (kind == "float") & (F.abs(number) > 1e308) & (F.abs(number) < float("inf"))),
             _issue("warning", "unsafe_integer", path, (kind == "int") & (F.abs(_get(v, "decimal(38,0)")) > SAFE_INTEGER)),
             _issue("warning", "large_array", path, (kind == "list") & (size > MAX_ITEMS), size), _issue("warning", "large_object", path, (kind == "dict") & (size > MAX_ITEMS), size))]]
-    out = rows.withColumn("kind", kind_of(v)).withColumn("size", _size(F.col("kind"), v))
-    return out.select(*keys, "path", "depth", "kind", F.when(~deep, size).alias("size"), F.filter(F.array(*found), lambda i: i.isNotNull()).cast(ISSUE).alias("issues"),
+    # Most values have no issue: whether one can be is told from the value by its kind alone, and the list is made for those where it can.
+    odd = lambda t: (F.length(t) > MAX_TEXT) | t.rlike(BAD)
+    suspect = (deep | F.coalesce(odd(F.col("key")), F.lit(False)) | F.when(kind == "str", odd(text)).when(kind == "float", F.isnan(number) | (F.abs(number) > 1e308))
+               .when(kind == "int", F.abs(_get(v, "decimal(38,0)")) > SAFE_INTEGER).when(kind.isin(*CONTAINERS), size > MAX_ITEMS).otherwise(~kind.isin(*KINDS.values())))
+    listed = F.filter(F.array(*found), lambda i: i.isNotNull()).cast(ISSUE)
+    out = kinds(rows, kind=v).withColumn("size", _size(F.col("kind"), v))
+    return out.select(*keys, "path", "depth", "kind", F.when(~deep, size).alias("size"), F.when(suspect, listed).otherwise(F.array().cast(ISSUE)).alias("issues"),
                       F.when(kind.isin(*CONTAINERS) & ~deep, F.col(v)).alias("v"))
 
 
 def _levels(first: DataFrame, step, label: str) -> DataFrame:
     """All levels as one table; ``step`` makes a level's children, and the walk ends where there are none."""
-    parts, level = [], first
-    while level is not None:
-        table, containers = written(level, f"{label}-{len(parts)}", F.count_if(F.col("v").isNotNull()))
-        parts.append(table)
-        level = step(table.where("v IS NOT NULL")) if containers else None
+    parts, level, conf = [], first, first.sparkSession.conf
+    before = conf.get(SHREDDING, None)
+    # Values are read back whole and once, so cutting them into columns by a schema guessed from the rows is not worth its time.
+    conf.set(SHREDDING, "false")
+    try:
+        while level is not None:
+            table, containers = written(level, f"{label}-{len(parts)}", F.count_if(F.col("v").isNotNull()))
+            parts.append(table)
+            level = step(table.where("v IS NOT NULL")) if containers else None
+    finally:
+        conf.set(SHREDDING, before) if before else conf.unset(SHREDDING)
     return reduce(DataFrame.unionByName, [p.drop("v", "a", "b") for p in parts])
 
 
@@ -162,7 +181,7 @@ def changes(pairs: DataFrame, original: str, processed: str, *keys: str, root: C
                         F.when(both & (ka == "list") & (_size(ka, "a") != _size(kb, "b")), "length_change"),
                         F.when((retyped & ~F.coalesce(same, F.lit(False))) | (plain & ~F.coalesce(same, F.lit(False))) | F.when(text, changed_text(_get("a", "string"), _get("b", "string"))).otherwise(text), "value_change"))
         opened = both & ka.isin(*CONTAINERS) & (F.col("depth") < limit)
-        out = rows.withColumns({"ka": kind_of("a"), "kb": kind_of("b")})
+        out = kinds(rows, ka="a", kb="b")
         return out.select(*names, "path", "depth", F.filter(found, lambda k: k.isNotNull()).alias("kinds"), F.when(opened, F.col("ka")).alias("v"), F.when(opened, F.col("a")).alias("a"), F.when(opened, F.col("b")).alias("b"))
 
     def children(rows: DataFrame) -> DataFrame:
