@@ -78,12 +78,15 @@ def _replace(spark: SparkSession, path: str, key: str, df: DataFrame | None, gon
     fmt = state[0].format if state else fmt
     version = max((s.version for s in state), default=0) + 1
     folder = f"{version:09d}-{os.urandom(4).hex()}"
-    if df is not None:
+    if df is not None and not state:
+        # Nothing is there to be replaced: the rows go to their buckets at once.
+        df, gone = df.withColumn("bucket", bucket_of(key, n)), None
+    elif df is not None:
         staged = f"{path}/staged/{folder}"
         df.withColumn("bucket", bucket_of(key, n)).write.parquet(staged)
         df = spark.read.parquet(staged)
         gone = df.select(key).distinct()
-    touched = {r["b"] for r in gone.select(bucket_of(key, n).alias("b")).distinct().collect()}
+    touched = set(range(n)) if gone is None else {r["b"] for r in gone.select(bucket_of(key, n).alias("b")).distinct().collect()}
     old = _rows(spark, path, [s for s in state if s.bucket in touched])
     kept = old.join(gone, key, "left_anti") if old is not None else None
     merged = df if kept is None else kept if df is None else kept.unionByName(df, allowMissingColumns=True)
@@ -92,7 +95,7 @@ def _replace(spark: SparkSession, path: str, key: str, df: DataFrame | None, gon
     merged.hint("rebalance", "bucket").write.partitionBy("bucket").format(fmt).save(f"{path}/data/version={folder}")
     columns = T.StructType([f for f in merged.schema.fields if f.name != "bucket"])
     filled = {b for b in touched if _exists(spark, f"{path}/data/version={folder}/bucket={b}")}
-    rows = [(version, n, b, folder if b in filled else None, columns.json(), fmt) for b in sorted(touched)]
+    rows = [(version, n, b, folder if b in filled else None, columns.json(), fmt) for b in sorted(touched if state else filled)]
     if rows:
         spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 

@@ -53,6 +53,15 @@ def test_saving_some_keeps_the_rest(spark, tmp_path):
     assert len(got) == 50 and got[7] == 'a\n"b"'
 
 
+def test_a_first_save_writes_its_rows_once(spark, tmp_path):
+    rows = spark.range(5).selectExpr("id AS k", "'a' AS t")
+    keyed.save(rows, f"{tmp_path}/t", "k")
+    assert not (tmp_path / "t/staged").exists() and {tuple(r) for r in keyed.load(spark, f"{tmp_path}/t").collect()} == {(i, "a") for i in range(5)}
+    keyed.save(spark.createDataFrame([(2, "b"), (9, "b")], "k long, t string"), f"{tmp_path}/t", "k")
+    keyed.remove(rows.where("k = 4"), f"{tmp_path}/t", "k")
+    assert {tuple(r) for r in keyed.load(spark, f"{tmp_path}/t").collect()} == {(0, "a"), (1, "a"), (2, "b"), (3, "a"), (9, "b")}
+
+
 def test_layout_results_keep_nulls_and_quotes(spark):
     items = spark.createDataFrame([(1, [("ti\"t\\le", 1.0, 2.0, 3.0, 4.0, "a\nb", None, 0.5), (None, 1.0, 2.0, 3.0, 4.0, None, "<table>", None)])],
                                   "doc_id long, items array<struct<type:string,x1:double,y1:double,x2:double,y2:double,text:string,html:string,confidence:double>>")
