@@ -20,7 +20,8 @@ to buckets, and only counts return, in the order that the block knows. Each
 stored n-gram is told once by one block that holds it. For the backoff weights a
 block sends sums by history, by bucket of their hash, and gets back the weights
 that its own tokens need: of histories with an n-gram not stored, or with one that
-lost nothing. Nothing is joined word by word, and no history gathers in one task.
+lost nothing. An n-gram that one block alone holds is weighed there and not sent.
+Nothing is joined word by word, and no history gathers in one task.
 The table of stored n-grams is worked out only where it is read.
 
 Null and empty texts are the end alone. Equal rows each give a row. A null key
@@ -49,6 +50,8 @@ DISCOUNTED = 5
 #: What stands for the end and the start; no word holds white space.
 END, START = b"\n", b"\t"
 _K = np.uint64(0x9E3779B97F4A7C15)
+#: Marks beside the count of an n-gram.
+TELLS, ALONE = np.uint64(1 << 63), np.uint64(1 << 62)
 
 
 def discounts(n: list[int], least: int = 1) -> np.ndarray:
@@ -128,16 +131,15 @@ class Block:
             if m == 2:
                 before[at == 0] = len(self.words)
             whole = np.flatnonzero(at >= m - 2)
-            code, first, of = np.unique(before[whole] * len(self.words) + self.seq[whole], return_index=True, return_inverse=True)
-            n = np.bincount(of, self.train[whole], len(code)).astype(np.uint32)
-            history, word = code // len(self.words), code % len(self.words)
-            h = pair_hash(hashes[history], self.hashes[word])
-            by = np.argsort(h, kind="stable")
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by))
+            each = pair_hash(hashes[before[whole]], self.hashes[self.seq[whole]])
+            by = np.argsort(each)
+            h, whole = each[by], whole[by]
+            new = np.diff(h, prepend=~h[:1]) != 0
+            first, rank = whole[new], np.cumsum(new) - 1
+            n = np.bincount(rank, self.train[whole], len(first)).astype(np.uint32)
             here = np.full(len(self.seq), -1)
-            here[whole] = rank[of]
-            out.append(Grams(h[by], history[by], word[by], place[whole[first[by]]], n[by], here))
+            here[whole] = rank
+            out.append(Grams(h[new], before[first], self.seq[first].astype(np.int64), place[first], n, here))
             place, hashes = here, out[-1].h
         return out
 
@@ -219,14 +221,14 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         trim()
 
     def total_grams(t: pa.Table) -> pa.Table:
-        """Counts of the stored n-grams, 0 for others; the highest bit marks the block that tells the n-gram."""
+        """Counts of the stored n-grams, 0 for others; ``TELLS`` marks the block that tells the n-gram, ``ALONE`` the only block that holds it."""
         hs, ns = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in column_of(t, "hashes")], [unpacked(x, np.uint32) for x in column_of(t, "counts")]
         values, first, of = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
         sums = np.bincount(of, np.concatenate(ns)).astype(np.int64)
-        c = np.where(sums >= least, sums, 0)[of].astype(np.uint32)
+        c = np.where(sums >= least, sums, 0)[of].astype(np.uint64)
         tells = np.zeros(len(of), bool)
         tells[first] = True
-        c |= np.where(tells & (c > 0), np.uint32(1 << 31), np.uint32(0))
+        c |= np.where(tells & (c > 0), TELLS, np.uint64(0)) | np.where((np.bincount(of) == 1)[of], ALONE, np.uint64(0))
         back = np.split(c, np.cumsum([len(h) for h in hs])[:-1])
         trim()
         return answers([(block, bucket, packed(x)) for block, bucket, x in zip(column_of(t, "block"), column_of(t, "bucket"), back)], column_of(t, "level")[0], count_columns(sums))
@@ -238,22 +240,35 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     told = counted.select("block", "bucket", "level", "payload", F.lit("count").alias("kind"), F.lit(None).cast("binary").alias("at"))
 
     def numbers(row: dict, answer: pa.Table, levels: int):
-        """A block, its n-grams, the counts of words (and the start) and of n-grams, who tells them, and the probabilities of all below the last ``levels``."""
+        """A block, its n-grams, the counts of words (and the start) and of n-grams, who tells them, which are here alone, and the probabilities of all below the last ``levels``."""
         block = Block(row)
         grams = block.grams(levels + 1)
         c = np.full(len(block.words) + 1, starts, np.int64)
         c[by_bucket(block.words, buckets)[0]] = in_order(answer, 1, np.uint32)
-        counts, tells, p = [c], [], [Unigrams(*uni).of(c)]
+        counts, tells, alone, p = [c], [], [np.zeros(len(c), bool)], [Unigrams(*uni).of(c)]
         for level in range(2, levels + 2):
-            b = in_order(answer, level, np.uint32)
-            tells.append(b >> 31 > 0)
-            counts.append((b & np.uint32(0x7FFFFFFF)).astype(np.int64))
-        return block, grams, counts, tells, p
+            b = in_order(answer, level, np.uint64)
+            tells.append(b & TELLS > 0)
+            alone.append(b & ALONE > 0)
+            counts.append((b & ~(TELLS | ALONE)).astype(np.int64))
+        return block, grams, counts, tells, alone, p
+
+    def sums_of(m: int, g: Grams, counts: list, p: list, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By history: what the n-grams ``mine`` take and have one order lower, and whether there are any."""
+        h, n, size = g.history[mine], counts[m + 1][mine], len(counts[m])
+        return np.bincount(h, discounted(n, d[m]) / counts[m][h], size), np.bincount(h, p[m][g.lower[mine]], size), np.bincount(h, minlength=size) > 0
+
+    def weights_of(taken: np.ndarray, lower: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        scale = np.where(taken > 1 - 1e-9, seen / (seen + 1), 1.0)
+        return (1 - scale * taken) / (1 - lower), scale
 
-    def climb(grams: list[Grams], counts: list, p: list, answer: pa.Table, levels: int) -> None:
+    def climb(grams: list[Grams], counts: list, alone: list, p: list, answer: pa.Table, levels: int) -> None:
         """Adds the probabilities of the n-grams of the first ``levels`` orders above words, each from the one below."""
         for m, g in enumerate(grams[:levels]):
             weight, scale = np.ones(len(counts[m])), np.ones(len(counts[m]))
+            if alone[m].any():
+                taken, lower, any_ = sums_of(m, g, counts, p, np.flatnonzero(alone[m][g.history] & (counts[m + 1] > 0)))
+                weight[any_], scale[any_] = weights_of(taken[any_], lower[any_], counts[m][any_])
             for at, payload, k, level in zip(*(column_of(answer, c) for c in ("at", "payload", "kind", "level"))):
                 if k == "weight" and level == m + 2:
                     i = unpacked(at, np.uint32)
@@ -265,15 +280,13 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         def sum_up(row_: pa.Table, answer: pa.Table) -> pa.Table:
             """By bucket: the histories of n-grams told here with their sums, and those whose weight this block needs, with where it needs it."""
             row = row_.to_pylist()[0]
-            block, grams, counts, tells, p = numbers(row, answer, m + 1)
-            climb(grams, counts, p, answer, m)
-            g, n, size = grams[m], counts[m + 1], len(counts[m])
-            seen, mine = counts[m][g.history], np.flatnonzero(tells[m])
-            taken = np.bincount(g.history[mine], discounted(n[mine], d[m]) / seen[mine], size)
-            lower = np.bincount(g.history[mine], p[m][g.lower[mine]], size)
-            tell = np.bincount(g.history[mine], minlength=size) > 0
-            asks = np.zeros(size, bool)
-            asks[g.history[(seen > 0) & (n - discounted(n, d[m]) <= 2e-9 * seen)]] = True
+            block, grams, counts, tells, alone, p = numbers(row, answer, m + 1)
+            climb(grams, counts, alone, p, answer, m)
+            g, n = grams[m], counts[m + 1]
+            seen, sent = counts[m][g.history], ~alone[m][g.history]
+            taken, lower, tell = sums_of(m, g, counts, p, np.flatnonzero(tells[m] & sent))
+            asks = np.zeros(len(tell), bool)
+            asks[g.history[sent & (seen > 0) & (n - discounted(n, d[m]) <= 2e-9 * seen)]] = True
             used = np.flatnonzero(tell | asks)
             h = (grams[m - 1].h if m else block.hashes)[used]
             by = np.argsort(h, kind="stable")
@@ -297,8 +310,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         seen = np.zeros(len(values))
         seen[tell] = np.concatenate([unpacked(x, np.int64) for x in column_of(t, "seen")])
         taken, lower = np.bincount(tell, taken, len(values)), np.bincount(tell, lower, len(values))
-        scale = np.where(taken > 1 - 1e-9, seen / (seen + 1), 1.0)
-        weight = (1 - scale * taken) / (1 - lower)
+        weight, scale = weights_of(taken, lower, seen)
         rows = []
         for block, at, mark, here in zip(column_of(t, "block"), column_of(t, "at"), marks, np.split(of, np.cumsum([len(h) for h in hs])[:-1])):
             here, at = here[mark & 2 > 0], unpacked(at, np.uint32)
@@ -310,8 +322,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
 
     def telling(m: int):
         def tell(row_: pa.Table, answer: pa.Table) -> pa.Table:
-            block, grams, counts, tells, p = numbers(row_.to_pylist()[0], answer, m + 1)
-            climb(grams, counts, p, answer, m)
+            block, grams, counts, tells, alone, p = numbers(row_.to_pylist()[0], answer, m + 1)
+            climb(grams, counts, alone, p, answer, m)
             g, mine = grams[m], np.flatnonzero(tells[m])
             n, seen = counts[m + 1][mine], counts[m][g.history[mine]]
             trim()
@@ -330,8 +342,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
 
     def judge(row_: pa.Table, answer: pa.Table) -> pa.Table:
         row = row_.to_pylist()[0]
-        block, grams, counts, _, p = numbers(row, answer, order - 1)
-        climb(grams, counts, p, answer, order - 1)
+        block, grams, counts, _, alone, p = numbers(row, answer, order - 1)
+        climb(grams, counts, alone, p, answer, order - 1)
         logs = np.log10(p[0])[block.seq]
         for g, x in zip(grams, p[1:]):
             logs = np.where(g.place >= 0, np.log10(x)[g.place], logs)

@@ -150,3 +150,24 @@ def test_the_query_keeps_single_ngrams_and_trigrams(spark, sf, monkeypatch):
     monkeypatch.setattr(katz, "score", lambda *a, f=katz.score, **b: kept.append(f(*a, **b)) or kept[0])
     QUERIES["op8_katz_scores"](spark, sf)
     assert {r.order for r in kept[0][1].where("n = 1").select("order").distinct().collect()} == {2, 3}
+
+
+def test_ngrams_of_one_block_are_weighed_there(spark, monkeypatch):
+    """Two blocks without a common word have no common bigram, so no weight of a bigram travels."""
+    rows = [(k, f"{w}a {w}b {w}c {w}a {w}b {w}d {w}{k}") for w, ks in (("x", range(0, 12)), ("y", range(12, 24))) for k in ks]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    weights, cut = [], katz.cut
+
+    def kept(df, label):
+        out = cut(df, label)
+        if label == "weights":
+            weights.append(out)
+        return out
+
+    monkeypatch.setattr(katz, "cut", kept)
+    scored, _ = katz.score(docs, F.col("doc_id") % 5 != 2, order=3, least=1)
+    _, _, p, _ = whole_model([tokens(t) for k, t in rows if k % 5 != 2], 3)
+    for r in scored.collect():
+        ts = tokens(rows[r.doc_id][1])
+        assert r.score == pytest.approx(sum(math.log10(p(ts, i)) for i in range(len(ts))))
+    assert len(weights) == 2 and weights[0].count() > 0 and weights[1].count() == 0
