@@ -12,7 +12,8 @@ its hash. Any order gives the same result; this one needs no join of every word
 with its count. Of a line of n words the first n - ceil(0.8 n) + 1 are its
 prefix; similar lines share a prefix word. Pairs are also tested by length, by
 position and by a 64-bit parity map of the words, whose differing bits bound the
-overlap from above, before their words are compared.
+overlap from above, before their words are compared. Of its pairs a line is first
+compared in the likeliest one, and in the others only where that is no match.
 
 Equal sets are one class from the start. Where more than ``LIGHT`` classes share
 a prefix word, each is first compared with the earliest alone, and only those
@@ -146,12 +147,38 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame) -> DataFram
     return both.where(100 * shared >= PERCENT * (F.size("wa") + F.size("wb") - shared)).select("b.doc", "b.at").distinct()
 
 
+def likeness(a: str, b: str) -> Column:
+    """Bound of the similarity by the parity maps."""
+    x, y = F.col(a), F.col(b)
+    both, apart = F.shiftright(x["nj"], 32) + F.shiftright(y["nj"], 32), F.bit_count(x["bits"].bitwiseXOR(y["bits"]))
+    return (both - apart) / (both + apart)
+
+
+def matches(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
+    """doc, at of the rows b of ``found`` with a similar row a.
+
+    One match is enough, so every b is compared with its likeliest a first, and only
+    those without a match with all others: a group of near copies takes about as
+    many comparisons as it has lines.
+    """
+    likeliest = F.max(F.struct(likeness("a", "b").alias("likeness"), F.struct("a.doc", "a.at").alias("a")))
+    tried = cut(found.groupBy(F.struct("b.doc", "b.at").alias("b")).agg(likeliest["a"].alias("a")), "line-likeliest")
+    first = cut(verified(docs, key, text, tried.select("a", "b")), "line-matches")
+    matched = first.select(F.struct("doc", "at").alias("m"))
+    open_ = cut(tried.join(matched, F.col("b").eqNullSafe(F.col("m")), "left_anti").select(F.col("b").alias("ob"), F.col("a").alias("oa")), "line-open")
+    if open_.count() <= BROADCAST_ROWS:
+        open_ = F.broadcast(open_)
+    pairs = found.select(F.struct("a.doc", "a.at").alias("a"), F.struct("b.doc", "b.at").alias("b"))
+    rest = pairs.join(open_, F.col("b").eqNullSafe(F.col("ob")) & ~F.col("a").eqNullSafe(F.col("oa"))).select("a", "b").distinct()
+    return cut(first.unionByName(verified(docs, key, text, rest)), "line-matches")
+
+
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, row (hash of the text), at array: the lines that go, one row a document that loses any."""
     lines = prefixes(docs, key, text)
     found = cut(candidates(lines), "line-candidates")
     heavy = found.where("kind = 1")
-    first = cut(verified(docs, key, text, ids(found.where((F.col("kind") == 0) | (before("a", "b") & may_match("a", "b"))))), "line-matches")
+    first = matches(docs, key, text, found.where((F.col("kind") == 0) | (before("a", "b") & may_match("a", "b"))))
     gone = first.select(F.col("doc").alias("gd"), F.col("at").alias("ga"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -75,3 +75,19 @@ def test_empty_table_and_wholly_repeated_documents(docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = lines.dedup(docs_of(corpus(5)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_near_copies_are_compared_about_once_each(spark, monkeypatch):
+    """Of 60 lines that are alike the first stays; 1770 pairs share words, few of them are compared."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join([*words[:k % 40], f"new{k}", *words[k % 40 + 1:]])) for k in range(60)]
+    docs, compared, verified = spark.createDataFrame(rows, "doc_id long, text string"), [], lines.verified
+
+    def counted(d, key, text, pairs):
+        compared.append(pairs.count())
+        return verified(d, key, text, pairs)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    got = lines.dedup(docs, lost="n").collect()
+    assert sorted(r.doc_id for r in got if r.n) == list(range(1, 60))
+    assert sum(compared) < 3 * 60
