@@ -51,14 +51,16 @@ class JobLifecycle(StatefulProcessor):
         self.waiting = handle.getListState("waiting", EVENT)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        self.waiting.appendList([tuple(r[c] for c in _FIELDS) for r in rows])
-        self._wake()
+        new = [tuple(r[c] for c in _FIELDS) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(r[0] for r in new), sooner=True)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         settled = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
-        job = self.job.get() if self.job.exists() else None
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        before = job = self.job.get()
         # State is read and written once a call; new is what the metadata gains, None where it starts anew.
         new: dict[str | None, str | None] = {}
         for r in (Row(*_FIELDS)(*r) for r in rows if r[0] <= settled):
@@ -78,28 +80,34 @@ class JobLifecycle(StatefulProcessor):
         if self._overdue(job, settled):
             yield self._ended(key, self._timed_out(job), new)
             job = None
-        if job is None or None in new:
+        # What was not there before has nothing to be cleared.
+        if before is not None and (job is None or None in new):
             self.metadata.clear()
         if job is None:
-            self.job.clear()
+            if before is not None:
+                self.job.clear()
         else:
             self.job.update(tuple(job))
             for k, v in new.items():
                 if k is not None:
                     self.metadata.updateValue((k,), (v,))
         later = [tuple(r) for r in rows if r[0] > settled]
-        self.waiting.put(later) if later else self.waiting.clear()
-        self._wake()
-
-    def _wake(self) -> None:
-        """One timer: for the first waiting row or the deadline, whichever is first."""
-        ats = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
-        if self.limit and self.job.exists():
-            ats.append(self._deadline(self.job.get()) + 1)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if ats:
-            self.handle.registerTimer(-(-min(ats) // 1000))
+        if later:
+            self.waiting.put(later)
+        elif rows:
+            self.waiting.clear()
+        ats = [r[0] for r in later[:1]] + ([self._deadline(job) + 1] if self.limit and job is not None else [])
+        self._wake(min(ats, default=None))
+
+    def _wake(self, at: int | None, sooner: bool = False) -> None:
+        """One timer: for the first waiting row or the deadline, whichever is first. With ``sooner`` a timer that is due earlier stays."""
+        t, timers = at if at is None else -(-at // 1000), list(self.handle.listTimers())
+        if sooner and timers and min(timers) <= t:
+            return
+        for old in timers:
+            self.handle.deleteTimer(old)
+        if t is not None:
+            self.handle.registerTimer(t)
 
     def _deadline(self, job) -> int:
         return job[0] + self.limit * 1_000_000

@@ -109,3 +109,20 @@ def test_a_stream_over_a_table_of_one_file_or_many(spark, tmp_path):
         stream = live.table_stream(spark, f"{tmp_path}/{folder}", "documents")
         live.run_available(stream, lambda df, n: seen.append(sorted(r.doc_id for r in df.collect())), f"{tmp_path}/{folder}-checkpoint").awaitTermination()
         assert len(seen) == batches and sorted(sum(seen, [])) == list(range(40))
+
+
+def test_a_job_asks_little_of_its_state():
+    """Rows that come cost no reading of the rows that wait; a timer that is due earlier stays."""
+    from types import SimpleNamespace
+
+    from pagegrain.streaming.lifecycle import _FIELDS, JobLifecycle
+    calls, timers = [], []
+    noted = lambda name, f=lambda *a: None: lambda *a: (calls.append(name), f(*a))[1]
+    p = JobLifecycle(300)
+    p.handle = SimpleNamespace(listTimers=noted("list", lambda: list(timers)), registerTimer=noted("register", timers.append), deleteTimer=noted("delete", timers.remove))
+    p.waiting = SimpleNamespace(exists=noted("exists", lambda: True), get=noted("get", lambda: iter(())), appendList=noted("append"))
+    p.job = SimpleNamespace(exists=noted("exists", lambda: False), get=noted("get"))
+    row = lambda at: dict.fromkeys(_FIELDS) | {"at": at}
+    for at in (5_000_000, 9_000_000, 2_000_000):
+        list(p.handleInputRows(("j",), iter([row(at)]), None))
+    assert timers == [2000] and calls == ["append", "list", "register", "append", "list", "append", "list", "delete", "register"]
