@@ -11,11 +11,14 @@ Words are ordered by rarity: the occurrences of all words are counted in
 its hash. Any order gives the same result; this one needs no join of every word
 with its count. Of a line of n words the first n - ceil(0.8 n) + 1 are its
 prefix; similar lines share a prefix word. Pairs are also tested by length, by
-position and by a 64-bit parity map of the words, whose differing bits bound the
-overlap from above, before their words are compared. Of its pairs a line is first
+position and by a parity map of the words, whose differing bits bound the overlap
+from above, before their words are compared. The map has 64 bits, or 128 for a line
+of more than ``WIDE`` words; either half of the longer one folds into the shorter. Of its pairs a line is first
 compared in the likeliest one, and in the others only where that is no match.
 
-Equal sets are one class from the start. Where more than ``LIGHT`` classes share
+Equal sets are one class from the start. A word that occurs once is in no pair, and
+one that occurs ``LIGHT`` times at most is shared by no more classes, so these need
+no counting. Where more than ``LIGHT`` classes share
 a prefix word, each is first compared with the earliest alone, and only those
 that stay are compared with all that are earlier; so a large group of near
 copies never becomes all its pairs.
@@ -27,6 +30,8 @@ come first. Other columns stay as they are, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,10 +39,15 @@ from pyspark.sql.window import Window
 from pagegrain.llm.common import cut
 
 RARITY_BUCKETS = 1 << 20
+#: Levels a doubling of the occurrences.
+LEVELS = 48
 LIGHT = 640
+#: Words of a line beyond which 64 bits tell little: two lines that share nothing differ in about half of them.
+WIDE = 96
 #: Rows up to which keys or positions are broadcast, some tens of MB; beyond, the optimizer shuffles.
 BROADCAST_ROWS = 1 << 20
 PERCENT = 80
+ROW = ("doc", "at", "nj", "bits", "wide")
 
 
 def plain(text: Column) -> Column:
@@ -52,7 +62,7 @@ def rarity(texts: DataFrame, text: str) -> DataFrame:
     words = texts.select(F.explode(F.split(F.replace(plain(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where(F.col("w") != "")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(RARITY_BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
     each = counts.unionByName(space).groupBy("bucket").agg(F.sum("n").alias("n"))
-    level = F.shiftleft(F.least(F.lit(2047), F.floor(F.log2(F.col("n") + 1) * 48)).cast("bigint"), 52)
+    level = F.shiftleft(F.least(F.lit(2047), F.floor(F.log2(F.col("n") + 1) * LEVELS)).cast("bigint"), 52)
     return each.select("bucket", level.alias("level")).agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda x: x["level"]).alias("levels"))
 
 
@@ -77,7 +87,7 @@ def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, at, sig, n, bits, prefix of every line that has words, written to the shared folder.
+    """doc, at, sig, n, bits, wide, prefix of every line that has words, written to the shared folder.
 
     No filter stands on a derived array, since the optimizer would push it down
     and compute the array twice.
@@ -87,40 +97,68 @@ def prefixes(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = numbered_lines(docs, key, text).withColumn("hashes", hashed).withColumn("levels", rarity(docs, text).scalar())
     rows = rows.select("doc", "at", F.sort_array(coded).alias("codes"))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))
-    return cut(rows.select("doc", "at", F.xxhash64("codes").alias("sig"), F.size("codes").alias("n"),
-                           F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(bit(c))).alias("bits"),
+    parity = lambda codes: F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(bit(c)))
+    upper = F.when(F.size("codes") > WIDE, parity(F.filter("codes", lambda c: c.bitwiseAND(64) != 0))).otherwise(F.lit(0).cast("bigint"))
+    return cut(rows.select("doc", "at", F.xxhash64("codes").alias("sig"), F.size("codes").alias("n"), parity("codes").alias("bits"), upper.alias("wide"),
                            F.slice("codes", 1, prefix_length(F.size("codes"))).alias("prefix")), "lines")
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """kind, code, a, b: pairs of classes that share a light word and may match, or for a heavy word its row b and the earliest row a.
 
-    All sides read one shuffle by word; the filters are part of the join, so that
-    only pairs that may match become rows.
+    The sides of a join read one shuffle by word; the filters are part of the join,
+    so that only pairs that may match become rows. Words that the corpus holds too
+    seldom to be heavy are joined as they are, the others are counted first.
     """
-    classes = lines.groupBy("sig", "n").agg(F.min(F.struct("doc", "at", "bits", "prefix")).alias("first"))
-    rows = classes.select("n", "first.doc", "first.at", "first.bits", F.posexplode("first.prefix").alias("j", "code"))
-    packed = rows.select("code", "doc", "at", "bits", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("j")).alias("nj")).where(F.col("code").isNotNull())
-    whole, me = Window.partitionBy("code"), F.struct("doc", "at", "nj", "bits")
-    posted = packed.withColumn("many", F.count("*").over(whole)).where(F.col("many") > 1)
-    light = posted.where(F.col("many") <= LIGHT).select("code", me.alias("a"))
-    pairs = light.join(light.select("code", F.col("a").alias("b")), "code").where(before("a", "b") & may_match("a", "b"))
-    heavy = posted.where(F.col("many") > LIGHT).select("code", me.alias("b")).withColumn("a", F.min("b").over(whole))
-    return pairs.select(F.lit(0).alias("kind"), "code", "a", "b").unionByName(heavy.select(F.lit(1).alias("kind"), "code", "a", "b"))
+    classes = lines.groupBy("sig", "n").agg(F.min(F.struct("doc", "at", "bits", "wide", "prefix")).alias("first"))
+    rows = classes.select("n", "first.doc", "first.at", "first.bits", "first.wide", F.posexplode("first.prefix").alias("j", "code"))
+    nj = (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("j")).alias("nj")
+    packed = rows.select("code", "doc", "at", "bits", "wide", nj).where(F.col("code").isNotNull() & (level("code") > LEVELS))
+    whole = Window.partitionBy("code")
+    seldom = level("code") <= F.lit(int(LEVELS * math.log2(LIGHT + 1)) - 1)
+    posted = packed.where(~seldom).withColumn("many", F.count("*").over(whole)).where(F.col("many") > 1)
+
+    def pairs(side: DataFrame) -> DataFrame:
+        return matching(side).select(F.lit(0).alias("kind"), "code", "a", "b")
+
+    heavy = posted.where(F.col("many") > LIGHT).select("code", F.struct(*ROW).alias("b")).withColumn("a", F.min("b").over(whole))
+    return pairs(packed.where(seldom)).unionByName(pairs(posted.where(F.col("many") <= LIGHT))).unionByName(heavy.select(F.lit(1).alias("kind"), "code", "a", "b"))
+
+
+def level(code: str) -> Column:
+    """Level of a word's bucket: of n occurrences floor(LEVELS * log2(n + 1)), so that n < 2 ** ((level + 1) / LEVELS); ``LEVELS`` for one."""
+    return F.shiftrightunsigned(code, 52)
+
+
+def matching(rows: DataFrame) -> DataFrame:
+    """code, a, b: rows that share a word, of which a is the earlier one, and may match."""
+    a, b = rows.alias("a"), rows.alias("b")
+    both = a.join(b, (F.col("a.code") == F.col("b.code")) & may_match("a", "b") & before("a", "b"))
+    return both.select("a.code", *(F.struct(*(F.col(f"{x}.{c}") for c in ROW)).alias(x) for x in ("a", "b")))
 
 
 def before(a: str, b: str) -> Column:
-    return F.struct(f"{a}.doc", f"{a}.at") < F.struct(f"{b}.doc", f"{b}.at")
+    """As structs (doc, at) compare, without making them for every pair: null keys first."""
+    (x, i), (y, j) = ((F.col(f"{r}.doc"), F.col(f"{r}.at")) for r in (a, b))
+    return F.coalesce(x < y, x.isNull() & y.isNotNull()) | (x.eqNullSafe(y) & (i < j))
 
 
 def may_match(a: str, b: str) -> Column:
-    """Length, position and parity filters on rows that share the word at position j."""
-    x, y = F.col(a), F.col(b)
-    nx, ny = (F.shiftright(c["nj"], 32) for c in (x, y))
-    need = overlap_needed(nx, ny)
-    most = F.least(*(F.shiftright(c["nj"], 32) - c["nj"].bitwiseAND(0xFFFFFFFF) for c in (x, y)))
-    parity = (nx + ny - F.bit_count(x["bits"].bitwiseXOR(y["bits"]))) >= 2 * need
-    return (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & (most >= need) & parity
+    """Position, length and parity filters on rows that share the word at position j; in whole numbers, the cheapest first."""
+    nx, ny = (F.shiftright(f"{r}.nj", 32) for r in (a, b))
+    after = F.least(*(F.shiftright(f"{r}.nj", 32) - F.col(f"{r}.nj").bitwiseAND(0xFFFFFFFF) for r in (a, b)))
+    similar = lambda shared, both: (100 + PERCENT) * shared >= PERCENT * both
+    return similar(after, nx + ny) & (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & similar(nx + ny - apart(a, b), 2 * (nx + ny))
+
+
+def apart(a: str, b: str) -> Column:
+    """Differing bits of the parity maps, at most the number of words that only one of the lines has.
+
+    ``bits`` is the map of all words, ``wide`` that of the upper half of the 128 for a long line; the lower half is what differs between them.
+    """
+    whole, upper = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("bits", "wide"))
+    long = F.least(F.shiftright(f"{a}.nj", 32), F.shiftright(f"{b}.nj", 32)) > WIDE
+    return F.when(long, F.bit_count(whole.bitwiseXOR(upper)) + F.bit_count(upper)).otherwise(F.bit_count(whole))
 
 
 def ids(pairs: DataFrame) -> DataFrame:
@@ -149,9 +187,8 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame) -> DataFram
 
 def likeness(a: str, b: str) -> Column:
     """Bound of the similarity by the parity maps."""
-    x, y = F.col(a), F.col(b)
-    both, apart = F.shiftright(x["nj"], 32) + F.shiftright(y["nj"], 32), F.bit_count(x["bits"].bitwiseXOR(y["bits"]))
-    return (both - apart) / (both + apart)
+    both, differ = F.shiftright(f"{a}.nj", 32) + F.shiftright(f"{b}.nj", 32), apart(a, b)
+    return (both - differ) / (both + differ)
 
 
 def matches(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
@@ -182,10 +219,10 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     gone = first.select(F.col("doc").alias("gd"), F.col("at").alias("ga"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    flat = heavy.select("code", "b.doc", "b.at", "b.nj", "b.bits")
+    flat = heavy.select("code", *(f"b.{c}" for c in ROW))
     left = flat.join(gone, F.col("doc").eqNullSafe(F.col("gd")) & (F.col("at") == F.col("ga")), "left_anti")
-    row = F.struct("doc", "at", "nj", "bits")
-    rest = left.repartition("code").select("code", row.alias("b")).join(flat.repartition("code").select("code", row.alias("a")), "code").where(before("a", "b") & may_match("a", "b"))
+    a, b = flat.repartition("code").alias("a"), left.repartition("code").alias("b")
+    rest = b.join(a, (F.col("a.code") == F.col("b.code")) & may_match("a", "b") & before("a", "b"))
     matched = first.unionByName(verified(docs, key, text, ids(rest))) if heavy.take(1) else first
     classes = lines.groupBy("sig", "n").agg(F.min(F.struct("doc", "at")).alias("first"))
     lost = matched.distinct().select(F.struct("doc", "at").alias("lost"))

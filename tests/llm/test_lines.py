@@ -91,3 +91,35 @@ def test_near_copies_are_compared_about_once_each(spark, monkeypatch):
     got = lines.dedup(docs, lost="n").collect()
     assert sorted(r.doc_id for r in got if r.n) == list(range(1, 60))
     assert sum(compared) < 3 * 60
+
+
+def long_lines(seed, n, pool, size, shared):
+    """Lines of ``size`` words of a pool; of these, line k and its next one hold a word of their own in common."""
+    rng = random.Random(seed)
+    return [(k, " ".join([*(f"s{k + d}_{i}" for d in (0, 1) for i in range(shared)), *rng.sample([f"p{i}" for i in range(pool)], size - 2 * shared)])) for k in range(n)]
+
+
+@pytest.mark.parametrize("light", [2, 48])
+def test_long_lines_against_all_pairs(docs_of, monkeypatch, light):
+    """Lines about as long as the longer parity map begins, and alike to about the limit."""
+    monkeypatch.setattr(lines, "LIGHT", light)
+    rng, rows = random.Random(7), []
+    for k in range(60):
+        base = [f"b{k % 6}_{i}" for i in range(rng.choice([90, 97, 110, 200, 320]))]
+        new = [w if rng.random() < 0.9 else f"n{rng.randrange(400)}" for w in base]
+        rows.append((k if k else None, " ".join(new)))
+    assert found(docs_of(rows)) == brute(rows)
+
+
+def test_long_lines_that_share_few_words_are_not_compared(spark, monkeypatch):
+    """A map of 64 bits can't tell lines of 150 words apart."""
+    rows = long_lines(3, 60, 1500, 150, 3)
+    docs, compared, verified = spark.createDataFrame(rows, "doc_id long, text string"), [], lines.verified
+
+    def counted(d, key, text, pairs):
+        compared.append(pairs.count())
+        return verified(d, key, text, pairs)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    assert [r.n for r in lines.dedup(docs, lost="n").collect()] == [0] * 60
+    assert sum(compared) < 10
