@@ -89,6 +89,15 @@ def pair_hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(mixed(history) * _K + word)
 
 
+def order_of(h: np.ndarray) -> np.ndarray:
+    """Places in ascending order of the hashes: their highest bits are sorted with the place beside them, which is several times as fast as an argsort."""
+    low = np.uint64((1 << max(len(h) - 1, 0).bit_length()) - 1)
+    by = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    sorted_ = h[by]
+    # Hashes that differ in the lowest bits alone may lie between each other.
+    return by if (sorted_[1:] >= sorted_[:-1]).all() else np.argsort(h, kind="stable")
+
+
 def count_columns(c: np.ndarray) -> list[int]:
     """Sum, number, and numbers of those that are 1 .. DISCOUNTED + 1."""
     return [int(c.sum()), int((c > 0).sum()), *(int((c == r).sum()) for r in range(1, DISCOUNTED + 2))]
@@ -132,7 +141,7 @@ class Block:
                 before[at == 0] = len(self.words)
             whole = np.flatnonzero(at >= m - 2)
             each = pair_hash(hashes[before[whole]], self.hashes[self.seq[whole]])
-            by = np.argsort(each)
+            by = order_of(each)
             h, whole = each[by], whole[by]
             new = np.diff(h, prepend=~h[:1]) != 0
             first, rank = whole[new], np.cumsum(new) - 1
@@ -289,7 +298,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             asks[g.history[sent & (seen > 0) & (n - discounted(n, d[m]) <= 2e-9 * seen)]] = True
             used = np.flatnonzero(tell | asks)
             h = (grams[m - 1].h if m else block.hashes)[used]
-            by = np.argsort(h, kind="stable")
+            by = order_of(h)
             h, used = h[by], used[by]
             rows = []
             for k, i, j in cuts_of(h, buckets):

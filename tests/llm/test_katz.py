@@ -171,3 +171,12 @@ def test_ngrams_of_one_block_are_weighed_there(spark, monkeypatch):
         ts = tokens(rows[r.doc_id][1])
         assert r.score == pytest.approx(sum(math.log10(p(ts, i)) for i in range(len(ts))))
     assert len(weights) == 2 and weights[0].count() > 0 and weights[1].count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000])
+def test_order_of_hashes(n):
+    """Also where hashes differ in bits that give way to the place."""
+    rng = np.random.default_rng(n)
+    for h in (rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 7, n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)):
+        by = katz.order_of(h)
+        assert sorted(by.tolist()) == list(range(n)) and h[by].tolist() == sorted(h.tolist())
