@@ -11,7 +11,7 @@ from pagegrain.plans.ansi import s_strip, with_it
 from pagegrain.plans.chunks import _PARA, _by_line, _chunks_sql, _fold
 from pagegrain.plans.jobs import STATE_SQL, _END, _J, _progress, shown_states, updates
 from pagegrain.plans.registry import query
-from pagegrain.session import shared_dir
+from pagegrain.session import shared_dir, written
 from pagegrain.sources import keyed, writers
 from pagegrain.streaming import ingest, lifecycle, live
 
@@ -191,7 +191,8 @@ def live_layouts(spark, sf):
     made = writers.layout_results(inputs.item_pages(spark, sf).where(F.size("items") > 0))
     value = (F.when(k == 3, F.expr("substring(value, 1, length(value) - 3)")).when(k == 5, '{"other": [1]}').when(k == 9, " ")
              .when(k == 7, F.regexp_replace("value", r'"bbox":\[[^\]]*\]', '"bbox":[1,2,3]')).otherwise(F.col("value")))
-    files = made.select("doc_id", value.alias("value"), F.timestamp_micros("doc_id").alias("ts"))
+    # The stream is laid out in several passes over its table; the texts are made once.
+    files, _ = written(made.select("doc_id", value.alias("value"), F.timestamp_micros("doc_id").alias("ts")), "layout-texts")
     stream = live.replay(files, shared_dir(spark, "layouts"), "ts").select("doc_id", "value")
     out = _run(spark, stream, lambda p: ingest.layouts_sink(p, strategy="line"))
     count = lambda n: spark.read.parquet(f"{out}/{n}").groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{n}"))

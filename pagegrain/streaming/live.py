@@ -34,7 +34,8 @@ def replay(table: DataFrame, path: str, order: str, parts: int = 3) -> DataFrame
     """A table as a stream of ``parts`` batches in time order, rows without a time in the first.
 
     Parts are written one after the other, each by many tasks into a folder of its
-    own; empty files make up the number of files that a trigger takes.
+    own; empty files make up the number of files that a trigger takes. The table is
+    read once a part and once for the cuts, so one that is costly to make is written first.
     """
     cuts = table.agg(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []
     at = F.unix_micros(F.col(order).cast("timestamp"))

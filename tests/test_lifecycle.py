@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pagegrain.plans.registry import load_all
 from pagegrain.sources import uploads
 from pagegrain.streaming import ingest, lifecycle, live
 
@@ -126,3 +127,16 @@ def test_a_job_asks_little_of_its_state():
     for at in (5_000_000, 9_000_000, 2_000_000):
         list(p.handleInputRows(("j",), iter([row(at)]), None))
     assert timers == [2000] and calls == ["append", "list", "register", "append", "list", "append", "list", "delete", "register"]
+
+
+def test_layout_texts_of_the_stream_are_made_once(spark, sf, monkeypatch):
+    """The table that is laid out in several passes is a written one, not the query that makes the texts."""
+    plans, replay = [], live.replay
+
+    def spied(table, *args, **more):
+        plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return replay(table, *args, **more)
+
+    monkeypatch.setattr(live, "replay", spied)
+    assert load_all()["str4_live_layouts"].build(spark, sf).count() > 0
+    assert len(plans) == 1 and "json" not in plans[0]
