@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagegrain.functions.classify import answer_confidence
@@ -21,7 +22,9 @@ _SCHEMA = "id string, name string, fields array<string>, checkpoints string, hin
 
 
 def types_table(spark):
-    return spark.createDataFrame([(i, n, f, c, f"这是一份{n}，请仔细提取相关信息") for i, n, f, c in TYPES], _SCHEMA)
+    """The types as a table of known size, which the optimizer broadcasts; else the texts would be dealt by type, a type a task."""
+    columns = zip(*((i, n, f, c, f"这是一份{n}，请仔细提取相关信息") for i, n, f, c in TYPES))
+    return spark.createDataFrame(pa.table(dict(zip(("id", "name", "fields", "checkpoints", "hint"), map(list, columns)))), _SCHEMA)
 
 
 _DIM = ("dim(id, name, fields, checkpoints, hint) AS (VALUES " + ", ".join(
