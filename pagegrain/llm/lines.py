@@ -66,11 +66,6 @@ def rarity(texts: DataFrame, text: str) -> DataFrame:
     return each.select("bucket", level.alias("level")).agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda x: x["level"]).alias("levels"))
 
 
-def overlap_needed(na: Column, nb: Column) -> Column:
-    """Least overlap of sets of these sizes that are similar."""
-    return F.ceil(PERCENT * (na + nb) / F.lit(100 + PERCENT)).cast("int")
-
-
 def prefix_length(n: Column) -> Column:
     return (n - F.ceil(F.lit(PERCENT) * n / 100) + 1).cast("int")
 
