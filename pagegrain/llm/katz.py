@@ -32,6 +32,7 @@ apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +48,8 @@ from pagegrain.llm.common import cut, mixed, packed, trim, unpacked, unpacked_wo
 ORDER = 3
 MIN_COUNT = 2
 DISCOUNTED = 5
+#: Items of a block that a formula works on at a time.
+PART = 1 << 17
 #: What stands for the end and the start; no word holds white space.
 END, START = b"\n", b"\t"
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -92,12 +95,37 @@ def pair_hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 def order_of(h: np.ndarray) -> np.ndarray:
     """Places in ascending order of the hashes: their highest bits are sorted with the place beside them, which is several times as fast as an argsort."""
     low = np.uint64((1 << max(len(h) - 1, 0).bit_length()) - 1)
-    by = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    by = h & ~low
+    by |= np.arange(len(h), dtype=np.uint64)
+    by.sort()
+    by &= low
+    by = by.view(np.int64)
     sorted_ = h[by]
     # Hashes that differ in the lowest bits alone may lie between each other.
     return by if (sorted_[1:] >= sorted_[:-1]).all() else np.argsort(h, kind="stable")
 
 
+def parts(n: int) -> list[slice]:
+    """Slices of ``PART`` items, so that what a formula makes on its way is never as long as a block."""
+    return [slice(i, i + PART) for i in range(0, n, PART)]
+
+
+def trimmed(f):
+    """``f`` of one or two tables, after which all that it held returns to the system."""
+    def ended(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        trim()
+        return out
+
+    def one(t: pa.Table) -> pa.Table:
+        return ended(t)
+
+    def two(t: pa.Table, u: pa.Table) -> pa.Table:
+        return ended(t, u)
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 def count_columns(c: np.ndarray) -> list[int]:
     """Sum, number, and numbers of those that are 1 .. DISCOUNTED + 1."""
     return [int(c.sum()), int((c > 0).sum()), *(int((c == r).sum()) for r in range(1, DISCOUNTED + 2))]
@@ -131,26 +159,33 @@ class Block:
         self.lengths = np.diff(self.ends, prepend=0)
         self.train = np.repeat(np.array(row["flags"], bool), self.lengths)
 
-    def grams(self, order: int) -> list[Grams]:
-        """N-grams of 2 .. ``order`` words."""
-        at = np.arange(len(self.seq)) - np.repeat(self.ends - self.lengths, self.lengths)
-        place, hashes, out = self.seq.astype(np.int64), self.hashes, []
+    def grams(self, order: int) -> Iterator[Grams]:
+        """N-grams of 2 .. ``order`` words, one length after the other; places are 32-bit numbers."""
+        at = np.arange(len(self.seq), dtype=np.int32)
+        at -= np.repeat((self.ends - self.lengths).astype(np.int32), self.lengths)
+        place, hashes = self.seq, self.hashes
         for m in range(2, order + 1):
             before = np.roll(place, 1)
             if m == 2:
                 before[at == 0] = len(self.words)
-            whole = np.flatnonzero(at >= m - 2)
-            each = pair_hash(hashes[before[whole]], self.hashes[self.seq[whole]])
+            whole = np.flatnonzero(at >= m - 2).astype(np.int32)
+            each = np.empty(len(whole), np.uint64)
+            for s in parts(len(whole)):
+                each[s] = pair_hash(hashes[before[whole[s]]], self.hashes[self.seq[whole[s]]])
             by = order_of(each)
             h, whole = each[by], whole[by]
-            new = np.diff(h, prepend=~h[:1]) != 0
-            first, rank = whole[new], np.cumsum(new) - 1
-            n = np.bincount(rank, self.train[whole], len(first)).astype(np.uint32)
-            here = np.full(len(self.seq), -1)
+            del each, by
+            new = np.ones(len(h), bool)
+            np.not_equal(h[1:], h[:-1], out=new[1:])
+            h, first, starts = h[new], whole[new], np.flatnonzero(new)
+            n = np.add.reduceat(self.train[whole], starts, dtype=np.uint32) if len(starts) else np.zeros(0, np.uint32)
+            rank = np.cumsum(new, dtype=np.int32)
+            rank -= 1
+            here = np.full(len(self.seq), -1, np.int32)
             here[whole] = rank
-            out.append(Grams(h[new], before[first], self.seq[first].astype(np.int64), place[first], n, here))
-            place, hashes = here, out[-1].h
-        return out
+            del whole, new, starts, rank
+            yield Grams(h, before[first], self.seq[first], place[first], n, here)
+            place, hashes = here, h
 
 
 def cuts_of(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -210,25 +245,31 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 yield rows_of([(1, k, row["block"], packed(block.hashes[by[i:j]]), packed(n[by[i:j]])) for k, i, j in cuts], _DEALT)
         trim()
 
+    @trimmed
     def total_words(t: pa.Table) -> pa.Table:
         hs, ns = [unpacked(x, np.uint64) for x in column_of(t, "hashes")], [unpacked(x, np.uint32) for x in column_of(t, "counts")]
         values, of = np.unique(np.concatenate(hs), return_inverse=True)
         sums = np.bincount(of, np.concatenate(ns)).astype(np.int64)
         back = np.split(sums[of], np.cumsum([len(h) for h in hs])[:-1])
-        trim()
         return answers([(block, bucket, packed(c.astype(np.uint32))) for block, bucket, c in zip(column_of(t, "block"), column_of(t, "bucket"), back)], 1, count_columns(sums))
 
     word_counts = cut(blocks.select(*whole).mapInArrow(count_words, DEALT).groupBy("bucket").applyInArrow(total_words, ANSWER), "word-counts")
     total, distinct, *of_counts = summed(word_counts, 1)
     uni = (total, distinct, of_counts)
 
+    def grams_of(row: dict):
+        for level, g in enumerate(Block(row).grams(order), 2):
+            h, n = g.h, g.n
+            del g
+            yield rows_of([(level, k, row["block"], packed(np.diff(h[i:j], prepend=np.uint64(0))), packed(n[i:j])) for k, i, j in cuts_of(h, buckets)], _DEALT)
+
     def count_grams(batches):
         for b in batches:
             for row in b.to_pylist():
-                for level, g in enumerate(Block(row).grams(order), 2):
-                    yield rows_of([(level, k, row["block"], packed(np.diff(g.h[i:j], prepend=np.uint64(0))), packed(g.n[i:j])) for k, i, j in cuts_of(g.h, buckets)], _DEALT)
+                yield from grams_of(row)
         trim()
 
+    @trimmed
     def total_grams(t: pa.Table) -> pa.Table:
         """Counts of the stored n-grams, 0 for others; ``TELLS`` marks the block that tells the n-gram, ``ALONE`` the only block that holds it."""
         hs, ns = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in column_of(t, "hashes")], [unpacked(x, np.uint32) for x in column_of(t, "counts")]
@@ -239,7 +280,6 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         tells[first] = True
         c |= np.where(tells & (c > 0), TELLS, np.uint64(0)) | np.where((np.bincount(of) == 1)[of], ALONE, np.uint64(0))
         back = np.split(c, np.cumsum([len(h) for h in hs])[:-1])
-        trim()
         return answers([(block, bucket, packed(x)) for block, bucket, x in zip(column_of(t, "block"), column_of(t, "bucket"), back)], column_of(t, "level")[0], count_columns(sums))
 
     gram_counts = cut(blocks.select(*whole).mapInArrow(count_grams, DEALT).groupBy("level", "bucket").applyInArrow(total_grams, ANSWER), "gram-counts")
@@ -251,7 +291,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     def numbers(row: dict, answer: pa.Table, levels: int):
         """A block, its n-grams, the counts of words (and the start) and of n-grams, who tells them, which are here alone, and the probabilities of all below the last ``levels``."""
         block = Block(row)
-        grams = block.grams(levels + 1)
+        grams = list(block.grams(levels + 1))
         c = np.full(len(block.words) + 1, starts, np.int64)
         c[by_bucket(block.words, buckets)[0]] = in_order(answer, 1, np.uint32)
         counts, tells, alone, p = [c], [], [np.zeros(len(c), bool)], [Unigrams(*uni).of(c)]
@@ -259,13 +299,18 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             b = in_order(answer, level, np.uint64)
             tells.append(b & TELLS > 0)
             alone.append(b & ALONE > 0)
-            counts.append((b & ~(TELLS | ALONE)).astype(np.int64))
+            b &= ~(TELLS | ALONE)
+            counts.append(b.view(np.int64))
         return block, grams, counts, tells, alone, p
 
     def sums_of(m: int, g: Grams, counts: list, p: list, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By history: what the n-grams ``mine`` take and have one order lower, and whether there are any."""
-        h, n, size = g.history[mine], counts[m + 1][mine], len(counts[m])
-        return np.bincount(h, discounted(n, d[m]) / counts[m][h], size), np.bincount(h, p[m][g.lower[mine]], size), np.bincount(h, minlength=size) > 0
+        h, size, take = g.history[mine].astype(np.int64), len(counts[m]), np.empty(len(mine))
+        for s in parts(len(mine)):
+            take[s] = discounted(counts[m + 1][mine[s]], d[m]) / counts[m][h[s]]
+        any_ = np.zeros(size, bool)
+        any_[h] = True
+        return np.bincount(h, take, size), np.bincount(h, p[m][g.lower[mine]], size), any_
 
     def weights_of(taken: np.ndarray, lower: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         scale = np.where(taken > 1 - 1e-9, seen / (seen + 1), 1.0)
@@ -282,20 +327,26 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 if k == "weight" and level == m + 2:
                     i = unpacked(at, np.uint32)
                     weight[i], scale[i] = np.split(unpacked(payload, np.float64), 2)
-            n = counts[m + 1]
-            p.append(np.where(n > 0, scale[g.history] * discounted(n, d[m]) / np.maximum(counts[m][g.history], 1), weight[g.history] * p[m][g.lower]))
+            each = np.empty(len(g.h))
+            for s in parts(len(each)):
+                n, h = counts[m + 1][s], g.history[s]
+                each[s] = np.where(n > 0, scale[h] * discounted(n, d[m]) / np.maximum(counts[m][h], 1), weight[h] * p[m][g.lower[s]])
+            p.append(each)
 
     def summing(m: int):
+        @trimmed
         def sum_up(row_: pa.Table, answer: pa.Table) -> pa.Table:
             """By bucket: the histories of n-grams told here with their sums, and those whose weight this block needs, with where it needs it."""
             row = row_.to_pylist()[0]
             block, grams, counts, tells, alone, p = numbers(row, answer, m + 1)
             climb(grams, counts, alone, p, answer, m)
-            g, n = grams[m], counts[m + 1]
-            seen, sent = counts[m][g.history], ~alone[m][g.history]
-            taken, lower, tell = sums_of(m, g, counts, p, np.flatnonzero(tells[m] & sent))
+            g = grams[m]
+            taken, lower, tell = sums_of(m, g, counts, p, np.flatnonzero(tells[m] & ~alone[m][g.history]))
             asks = np.zeros(len(tell), bool)
-            asks[g.history[sent & (seen > 0) & (n - discounted(n, d[m]) <= 2e-9 * seen)]] = True
+            for s in parts(len(g.h)):
+                n, h = counts[m + 1][s], g.history[s]
+                seen = counts[m][h]
+                asks[h[~alone[m][h] & (seen > 0) & (n - discounted(n, d[m]) <= 2e-9 * seen)]] = True
             used = np.flatnonzero(tell | asks)
             h = (grams[m - 1].h if m else block.hashes)[used]
             by = order_of(h)
@@ -306,10 +357,10 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 t = u[tell[u]]
                 marks = tell[u].astype(np.uint8) + 2 * asks[u].astype(np.uint8)
                 rows.append((k, row["block"], packed(np.diff(h[i:j], prepend=np.uint64(0))), packed(np.concatenate((taken[t], lower[t]))), packed(counts[m][t]), packed(marks), packed(u[asks[u]].astype(np.uint32))))
-            trim()
             return pa.Table.from_batches([rows_of(rows, _SUMS)])
         return sum_up
 
+    @trimmed
     def weigh(t: pa.Table) -> pa.Table:
         """at, and weights and then scales of the histories a block asked for; those without stored n-grams are left out, both are 1 for them."""
         hs, marks = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in column_of(t, "hashes")], [unpacked(x, np.uint8) for x in column_of(t, "told")]
@@ -326,16 +377,15 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             found = seen[here] > 0
             if found.any():
                 rows.append((block, packed(at[found]), packed(np.concatenate((weight[here[found]], scale[here[found]])))))
-        trim()
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "at", "payload"])
 
     def telling(m: int):
+        @trimmed
         def tell(row_: pa.Table, answer: pa.Table) -> pa.Table:
             block, grams, counts, tells, alone, p = numbers(row_.to_pylist()[0], answer, m + 1)
             climb(grams, counts, alone, p, answer, m)
             g, mine = grams[m], np.flatnonzero(tells[m])
             n, seen = counts[m + 1][mine], counts[m][g.history[mine]]
-            trim()
             return pa.table({"order": np.full(len(mine), m + 2, np.int32), "history": (grams[m - 1].h if m else block.hashes)[g.history[mine]].view(np.int64), "word": block.hashes[g.word[mine]].view(np.int64),
                              "n": n, "seen": seen, "p": discounted(n, d[m]) / seen, "lower": p[m][g.lower[mine]]})
         return tell
@@ -349,18 +399,20 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         told = told.unionByName(weights.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(m + 2).alias("level"), "payload", F.lit("weight").alias("kind"), "at"))
     kind = docs.schema[key].dataType
 
+    @trimmed
     def judge(row_: pa.Table, answer: pa.Table) -> pa.Table:
         row = row_.to_pylist()[0]
         block, grams, counts, _, alone, p = numbers(row, answer, order - 1)
         climb(grams, counts, alone, p, answer, order - 1)
+        places, of_words = [g.place for g in grams], counts[0]
+        del grams, counts, _, alone
         logs = np.log10(p[0])[block.seq]
-        for g, x in zip(grams, p[1:]):
-            logs = np.where(g.place >= 0, np.log10(x)[g.place], logs)
-        c = counts[0][block.seq]
+        for place, x in zip(places, p[1:]):
+            np.copyto(logs, np.log10(x)[place], where=place >= 0)
+        c = of_words[block.seq]
         base = np.log10((c + 1) / (total + distinct + 1))
         first = block.ends - block.lengths
         each = lambda x: np.add.reduceat(x, first)
-        trim()
         return pa.table({key: pa.array(row["keys"], to_arrow_type(kind)), "trained": pa.array(row["flags"], pa.bool_()), "n_tokens": block.lengths, "n_known": each((c > 0).astype(np.int64)),
                          "train_tokens": np.full(len(first), total, np.int64), "base_score": each(base), "score": each(logs)})
 

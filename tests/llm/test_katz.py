@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ from llm.conftest import ODD
 from pyspark.sql import functions as F
 
 from pagegrain.llm import katz, language
+from pagegrain.llm.common import packed_words
 
 START, END = "<s>", "</s>"
 
@@ -180,3 +182,15 @@ def test_order_of_hashes(n):
     for h in (rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 7, n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)):
         by = katz.order_of(h)
         assert sorted(by.tolist()) == list(range(n)) and h[by].tolist() == sorted(h.tolist())
+
+
+def test_ngrams_of_a_block_take_few_bytes_a_token():
+    """An executor holds two blocks of 2 million tokens beside the JVM."""
+    n, rng = 1 << 19, np.random.default_rng(1)
+    words, seq = [b"w%d" % i for i in range(5000)], rng.integers(0, 5000, n).astype(np.int32)
+    block = katz.Block({"seq": katz.packed(seq), "ends": katz.packed(np.arange(1024, n + 1, 1024)), "words": packed_words(words), "flags": [True] * (n // 1024)})
+    tracemalloc.start()
+    grams = list(block.grams(3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int(g.n.sum()) for g in grams] == [n, n - n // 1024] and peak < 110 * n
