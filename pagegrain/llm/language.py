@@ -21,7 +21,7 @@ column of a chosen name.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from pagegrain.llm.common import cut, in_slices, trim
 
@@ -73,28 +74,31 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     chosen = rows.where(F.abs(F.xxhash64("key", F.lit(1))) <= share[F.col("lang")] * float(2**63 - 1))
 
     def count(batches):
-        """Words of a task summed by language, and the n-grams of the distinct words by how often each occurs."""
+        """Words of a task summed by language, and the n-grams of the distinct words by how often each occurs; those of one language and size at a time."""
         tally: dict[str, Counter] = {name: Counter() for name in langs}
 
+        def batch(name: str, size: int, items: dict[str, int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(items), pa.string()), pa.array([size] * len(items), pa.int32()), pa.array(list(items), pa.string()),
+                                               pa.array(list(items.values()), pa.int64())], ["lang", "size", "item", "n"])
+
         def out():
-            items: Counter = Counter()
             for name, ws in tally.items():
-                for w, n in ws.items():
-                    items[name, 0, w] += n
-                    for size in range(1, LONGEST + 1):
+                yield batch(name, 0, ws)
+                for size in range(1, LONGEST + 1):
+                    items: dict[str, int] = defaultdict(int)
+                    for w, n in ws.items():
                         for g in grams(w, size):
-                            items[name, size, g] += n
+                            items[g] += n
+                    yield batch(name, size, items)
                 ws.clear()
-            ks = list(items)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in ks], pa.string()), pa.array([k[1] for k in ks], pa.int32()), pa.array([k[2] for k in ks], pa.string()),
-                                               pa.array([items[k] for k in ks], pa.int64())], ["lang", "size", "item", "n"])
 
         for names, texts in in_slices(batches):
             for name, t in zip(names, texts):
                 tally[name].update(letters(t))
             if sum(map(len, tally.values())) > 100_000:
-                yield out()
-        yield out()
+                yield from out()
+        yield from out()
+        del tally
         trim()
 
     counts = chosen.select("lang", "text").mapInArrow(count, "lang string, size int, item string, n long")
@@ -120,40 +124,72 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     return Model(langs, prior, logs, dict(zip(items[:words], range(words))), dict(zip(items[words:], range(words, len(items)))))
 
 
+class Index(NamedTuple):
+    """Words and their rows by 128-bit hash, as three sorted columns: a tenth of what a dict of strings takes in a worker."""
+
+    high: np.ndarray
+    low: np.ndarray
+    row: np.ndarray
+
+    @classmethod
+    def of(cls, words: dict[str, int]) -> Index:
+        high, low = cls.hashes(list(words))
+        order = np.argsort(high, kind="stable")
+        return cls(high[order], low[order], np.fromiter(words.values(), np.int32, len(words))[order])
+
+    @staticmethod
+    def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(b"".join([xxh3_128_digest(w) for w in words]), np.uint64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Rows of the words, -1 for others."""
+        if not len(self.row):
+            return np.full(len(words), -1)
+        high, low = self.hashes(words)
+        at = np.minimum(np.searchsorted(self.high, high), len(self.row) - 1)
+        return np.where((self.high[at] == high) & (self.low[at] == low), self.row[at], -1)
+
+
 class Rows(dict):
-    """unseen word -> row of ``spare`` behind those of the model, worked out once and kept, at most ``bound`` of them.
+    """word -> its row in the model, or for an unseen word one of ``spare`` behind those, worked out once; at most ``bound`` words are kept.
 
-    Known words and their rows stay where the model has them, so that a worker holds them once.
+    The model's words are an ``Index``, so that only words of the texts at hand are strings.
     """
 
-    def __init__(self, model: Model, bound: int = 200_000):
+    def __init__(self, model: Model, bound: int = 100_000):
         super().__init__()
         self.model, self.bound = model, bound
+        self.index = model.words if isinstance(model.words, Index) else Index.of(model.words)
         self.first = self.used = len(model.rows)
         self.spare = np.zeros((bound, len(model.langs)))
 
-    def __missing__(self, word: str) -> int:
-        if self.used == self.first + self.bound:
-            return -1
-        m, vector = self.model, 0.0
-        for n in range(LONGEST, 0, -1):
-            if known := [i for g in grams(word, n) if (i := m.grams.get(g)) is not None]:
-                vector = m.rows[known].mean(0)
-                break
-        self.spare[self.used - self.first] = vector
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
+    def learn(self, words: list[str]) -> None:
+        m = self.model
+        for word, row in zip(words, self.index.find(words).tolist()):
+            if row < 0:
+                row, vector = self.used, 0.0
+                for n in range(LONGEST, 0, -1):
+                    if known := [i for g in grams(word, n) if (i := m.grams.get(g)) is not None]:
+                        vector = m.rows[known].mean(0)
+                        break
+                self.spare[row - self.first] = vector
+                self.used += 1
+            self[word] = row
 
     def of(self, words: list[str]) -> np.ndarray:
-        """Summed rows. When the room for unseen words runs out, they are forgotten and the text is read in halves."""
-        seen = self.model.words.get
-        at = np.fromiter((self[w] if (k := seen(w)) is None else k for w in words), np.int64, len(words))
-        if at.size and at.min() < 0:
+        """Summed rows. When the room for words runs out, they are forgotten; a text of more words than there is room for is read in halves."""
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if len(self) + len(new) > self.bound:
             self.clear()
             self.used = self.first
-            half = len(words) // 2
-            return self.of(words[:half]) + self.of(words[half:]) if len(words) > self.bound else self.of(words)
+            new = list(dict.fromkeys(words))
+            if len(new) > self.bound:
+                half = len(words) // 2
+                return self.of(words[:half]) + self.of(words[half:])
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         new = at >= self.first
         rows = self.model.rows.take(np.where(new, 0, at), axis=0) if self.first else np.zeros((len(at), len(self.model.langs)))
         rows[new] = self.spare[at[new] - self.first]
@@ -162,13 +198,13 @@ class Rows(dict):
 
 def predict(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFrame:
     """``docs`` with the struct ``out``: lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model._replace(words=tuple(Index.of(model.words)))))
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model(*shared.value)
-        rows = Rows(m)
+        rows = Rows(m._replace(words=Index(*m.words)))
         for batch in batches:
             langs, scores = [], []
             # A few texts at a time are Python objects.

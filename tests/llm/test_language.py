@@ -61,3 +61,14 @@ def test_a_large_language_takes_no_place_of_a_small_one(docs_of):
 
 def test_the_fit_reads_the_whole_sample():
     assert (language.SAMPLE, language.ENTRIES) == (8_000, 120_000)
+
+
+def test_the_model_is_held_as_hashes_and_words_of_the_texts_are_bounded():
+    words = {f"wort{i}": i for i in range(5000)}
+    index = language.Index.of(words)
+    assert index.find(["wort7", "fremd", "wort4999", ""]).tolist() == [7, -1, 4999, -1] and sum(c.nbytes for c in index) == 20 * 5000
+    assert language.Index.of({}).find(["x"]).tolist() == [-1]
+    model = language.Model(["x", "y"], np.zeros(2), np.arange(10_000.0).reshape(-1, 2), index, {})
+    rows = language.Rows(model, bound=8)
+    for i in range(0, 5000, 4):
+        assert rows.of([f"wort{i + j}" for j in range(4)] + ["fremd"]).tolist() == model.rows[i:i + 4].sum(0).tolist() and len(rows) <= 8
