@@ -97,12 +97,14 @@ def first_content(jobs: DataFrame, key: str, **sources: DataFrame) -> DataFrame:
 
     Which source a job takes is settled on keys alone, a partial aggregate; then
     the texts are joined once, however many sources there are. A job without any
-    content has nulls; equal keys in the chosen source each give a row.
+    content has nulls; equal keys in the chosen source each give a row. Rows that
+    come from files have no size the planner knows, so both joins are told to merge:
+    texts and keys are never gathered on the driver for a broadcast.
     """
     tagged = reduce(DataFrame.unionByName, [s.where(F.col(n) != "").select(key, F.lit(i).alias("_rank"), F.col(n).alias("content")) for i, (n, s) in enumerate(sources.items())])
-    chosen = jobs.select(key).join(tagged.groupBy(key).agg(F.min("_rank").alias("_rank")), key, "left")
+    chosen = jobs.select(key).join(tagged.groupBy(key).agg(F.min("_rank").alias("_rank")).hint("merge"), key, "left")
     name = F.coalesce(*[F.when(F.col("_rank") == i, n) for i, n in enumerate(sources)])
-    return chosen.join(tagged, [key, "_rank"], "left").select(key, name.alias("source"), "content")
+    return chosen.join(tagged.hint("merge"), [key, "_rank"], "left").select(key, name.alias("source"), "content")
 
 
 def config_table(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -208,3 +208,13 @@ def test_no_folder_is_made_for_a_single_file(spark, sf, name, tmp_path, monkeypa
     from pagegrain.plans.registry import load_all
     assert load_all()[name].build(spark, sf).count() > 0
     assert all(len(list(root.iterdir())) <= 1024 and not any("=" in p.name for p in root.iterdir()) for root in tmp_path.iterdir())
+
+
+def test_texts_of_files_are_not_broadcast(spark, tmp_path):
+    files = {}
+    for n, rows in {"a": [(1, "x"), (2, "")], "b": [(1, "y"), (2, "z")]}.items():
+        spread.save(spark.createDataFrame([(f"{j}.txt", t) for j, t in rows], "name string, value string"), f"{tmp_path}/{n}")
+        files[n] = readers.spread_texts(spark, f"{tmp_path}/{n}", n)
+    out = readers.first_content(spark.createDataFrame([("1",), ("2",), ("3",)], "job_id string"), "job_id", **files)
+    assert sorted(tuple(r) for r in out.collect()) == [("1", "a", "x"), ("2", "b", "z"), ("3", None, None)]
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
