@@ -174,10 +174,18 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
-def integrity_score(ratio: Column, a: Column, b: Column, loss: float = 0.05) -> Column:
-    """Ratio, lowered when length or word count moved by more than ``loss``."""
+def quotient(x: Column, y: Column) -> Column:
+    """x / y for x of 0 or more, as doubles have it in SQL without errors: by 0, 0 is NaN and the rest infinite."""
+    return F.when(y != 0, x / y).when(x == 0, float("nan")).when(x > 0, float("inf"))
+
+
+def integrity_score(ratio: Column, a: Column, b: Column, loss: float = 0.05, of_nothing=lambda change: F.lit(0.0)) -> Column:
+    """Ratio, lowered when length or word count moved by more than ``loss``.
+
+    ``of_nothing`` gives the relative change, from the absolute one, of an original without characters or words; none by default.
+    """
     def relative(x: Column, y: Column) -> Column:
-        return F.when(x > 0, F.abs(y - x) / x).otherwise(0.0)
+        return F.when(x > 0, F.abs(y - x) / x).otherwise(of_nothing(F.abs(y - x)))
 
     by_len = relative(F.length(a), F.length(b))
     by_words = relative(F.size(words(a)), F.size(words(b)))

@@ -162,12 +162,14 @@ SELECT doc_id, round(greatest(0, least(1, r * CASE WHEN bl > 0.05 THEN 1 - bl EL
 FROM (SELECT doc_id, 2.0 * least(length(a), length(b)) / (length(a) + length(b)) AS r, abs(length(b) - length(a)) / length(a) AS bl, abs(wb - wa) / wa AS bw
  FROM (SELECT *, len({s_words('a')}) AS wa, len({s_words('b')}) AS wb FROM (SELECT doc_id, text AS a, {_PART} AS b FROM documents)))""")
 def integrity_score(spark, sf):
+    """Changes of a text without characters or words are divided by zero as doubles are, and the score stays in its bounds."""
     a, k = F.col("text"), F.col("doc_id") % 4
     b = (F.when(k == 0, a).when(k == 1, F.expr("substring(text, 1, length(text) div 2)"))
          .when(k == 2, F.concat(a, F.lit(" added words at the end"))).otherwise(F.replace(a, F.lit(" "), F.lit(""))))
-    ratio = F.least(F.length("a"), F.length("b")) * 2.0 / (F.length("a") + F.length("b"))
+    ratio = clean.quotient(F.least(F.length("a"), F.length("b")) * 2.0, F.length("a") + F.length("b"))
     d = _docs(spark, sf).select("doc_id", a.alias("a"), b.alias("b"))
-    return d.select("doc_id", F.round(clean.integrity_score(ratio, F.col("a"), F.col("b")), 6).alias("score"))
+    score = clean.integrity_score(ratio, F.col("a"), F.col("b"), of_nothing=lambda change: clean.quotient(change, F.lit(0)))
+    return d.select("doc_id", F.round(score, 6).alias("score"))
 
 
 def _redact_sql(e):
