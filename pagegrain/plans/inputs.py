@@ -61,14 +61,16 @@ transform(grouped, g -> named_struct(
 """
 
 
-def line_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, lines array<struct<line_no, text, confidence, x1, y1, x2, y2>>."""
-    return table(spark, sf, "documents").select("doc_id", F.expr(_LINES).alias("lines"))
+def line_pages(spark: SparkSession, sf: str, blank: bool = True) -> DataFrame:
+    """doc_id, lines array<struct<line_no, text, confidence, x1, y1, x2, y2>>; ``blank``: also of documents without any line."""
+    d = table(spark, sf, "documents")
+    d = d if blank else d.where(F.col("text").rlike(r"[^\n]"))
+    return d.select("doc_id", F.expr(_LINES).alias("lines"))
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
+def pages(spark: SparkSession, sf: str, blank: bool = True) -> DataFrame:
     """doc_id, lines, regions array<struct<ord, type, x1..y2, content, n_lines, confidence>>."""
-    grouped = line_pages(spark, sf).withColumn("grouped", F.expr(_REGIONS))
+    grouped = line_pages(spark, sf, blank).withColumn("grouped", F.expr(_REGIONS))
     return grouped.select("doc_id", "lines", F.expr(_REGION).alias("regions"))
 
 
@@ -143,9 +145,9 @@ transform(regions, r -> named_struct(
 """
 
 
-def block_pages(spark: SparkSession, sf: str) -> DataFrame:
+def block_pages(spark: SparkSession, sf: str, blank: bool = True) -> DataFrame:
     """doc_id, regions with a region type; tables hold HTML of their lines, references are lists."""
-    return pages(spark, sf).select("doc_id", F.expr(_TYPED).alias("regions"))
+    return pages(spark, sf, blank).select("doc_id", F.expr(_TYPED).alias("regions"))
 
 
 def block_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,6 +164,6 @@ transform(regions, r -> named_struct(
 """
 
 
-def item_pages(spark: SparkSession, sf: str) -> DataFrame:
+def item_pages(spark: SparkSession, sf: str, blank: bool = True) -> DataFrame:
     """doc_id, items: layout items with text or table HTML, in y order."""
-    return pages(spark, sf).select("doc_id", F.expr(_ITEMS).alias("items"))
+    return pages(spark, sf, blank).select("doc_id", F.expr(_ITEMS).alias("items"))
