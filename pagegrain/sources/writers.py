@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagegrain.functions.text import strip
 from pagegrain.sources import keyed
 
 _KEEP = {"ignoreNullFields": "false"}
@@ -45,12 +46,12 @@ def write_results(df: DataFrame, path: str, key: str) -> None:
 
 def write_markdown(df: DataFrame, path: str, key: str = "doc_id", text: str = "markdown",
                    reindex: Callable[[DataFrame], DataFrame] | None = None, index: str | None = None) -> None:
-    """Corrected Markdown; empty texts are refused, one JSON row per document keeps line breaks.
+    """Corrected Markdown; empty texts and white space alone are refused, one JSON row per document keeps line breaks.
 
     ``reindex``, a function from the saved rows to index rows, and ``index`` name
     the index to refresh for the documents saved.
     """
-    good = df.where(F.trim(text) != "").select(key, F.col(text).alias("markdown"))
+    good = df.where(strip(text) != "").select(key, F.col(text).alias("markdown"))
     write_results(good, path, key)
     if reindex is not None:
         write_index(reindex(good), index, key)
