@@ -153,9 +153,9 @@ def text_cells(t: Column) -> Column:
     return F.when(F.size(tabbed) > 0, tabbed).otherwise(words(t))
 
 
-def from_lines(rows: Column) -> Column:
-    """Grid from text rows."""
-    return padded(F.transform(rows, text_cells))
+def from_lines(rows: Column | str, cells=text_cells) -> Column:
+    """Grid from rows, each cut by ``cells``: text rows, unless told otherwise."""
+    return padded(F.transform(rows, cells))
 
 
 def split_at_blank_rows(grid: Column, min_rows: int = 5) -> Column:

@@ -10,9 +10,9 @@ from oracle_check import TABLES, check, duck
 
 from pagegrain.plans.registry import load_all
 
-TEXTS = ["", "\n", "\n\n\n", "  ", " \n ", "\t\n \n\t", " " * 600, "x", "\u00a0", "a\n \nb, c", ", , \nq", " , ", "\u00e9", "a\r\nb", "\u3000\n\u2003z", "a|b", "<b>, </b>", "\U0001f600 x, y\nz"]
+TEXTS = ["", "\n", "\n\n\n", "  ", " \n ", "\t\n \n\t", " " * 600, "x", "a\tb\nc\td, e\t\n \tf", "\u00a0", "a\n \nb, c", ", , \nq", " , ", "\u00e9", "a\r\nb", "\u3000\n\u2003z", "a|b", "<b>, </b>", "\U0001f600 x, y\nz"]
 NAMES = [
-    "txt9_integrity_score", "agg23_document_text", "snk2_corrected_markdown", "jn8_corrected_text", "md2_document_markdown", "md3_anchored_markdown", "md5_without_anchors", "md7_html_fragments", "txt2_given_encoding",
+    "txt9_integrity_score", "agg23_document_text", "snk2_corrected_markdown", "jn8_corrected_text", "md2_document_markdown", "md3_anchored_markdown", "md5_without_anchors", "md7_html_fragments", "txt2_given_encoding", "tab3_list_table",
 ]
 
 
