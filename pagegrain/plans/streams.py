@@ -164,8 +164,10 @@ def corrections_reindexed(spark, sf):
     keyed.save(index(docs.withColumn("block_index", F.col("block_index").cast("long"))), f"{root}/index", "doc_id")
 
     def save(rows, chunks):
-        keyed.save(rows, f"{root}/texts", "doc_id")
-        keyed.save(chunks, f"{root}/index", "doc_id")
+        # Both are made from the present texts, so these are replaced last; a state that no one reads any more is dropped at once.
+        for table, name in ((chunks, "index"), (rows, "texts")):
+            keyed.save(table, f"{root}/{name}", "doc_id")
+            keyed.vacuum(spark, f"{root}/{name}")
 
     present = lambda ids: keyed.load(spark, f"{root}/texts").join(ids, "doc_id", "left_semi")
     known = inputs.table(spark, sf, "documents").select("doc_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -50,6 +52,21 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(root, f"{label}-{os.urandom(6).hex()}")
 
 
+#: Spark removes the shuffle files of a query as it ends where this is set; older versions don't know it and go on as before.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go with the write, not when the driver comes to collect its garbage."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before) if before else spark.conf.unset(FREED)
+
+
 def written(df: DataFrame, label: str, count: Column | None = None) -> tuple[DataFrame, int]:
     """``df`` written to the shared folder and read back, so that its lineage ends there, with what ``count`` counted on the way."""
     path, seen = shared_dir(df.sparkSession, label), Observation()

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagegrain.session import shuffles_freed
+
 BUCKETS = 64
 _MANIFEST = "version long, buckets int, bucket int, folder string, columns string, format string"
 
@@ -83,7 +85,8 @@ def _replace(spark: SparkSession, path: str, key: str, df: DataFrame | None, gon
         df, gone = df.withColumn("bucket", bucket_of(key, n)), None
     elif df is not None:
         staged = f"{path}/staged/{folder}"
-        df.withColumn("bucket", bucket_of(key, n)).write.parquet(staged)
+        with shuffles_freed(spark):
+            df.withColumn("bucket", bucket_of(key, n)).write.parquet(staged)
         df = spark.read.parquet(staged)
         gone = df.select(key).distinct()
     touched = set(range(n)) if gone is None else {r["b"] for r in gone.select(bucket_of(key, n).alias("b")).distinct().collect()}
@@ -92,7 +95,8 @@ def _replace(spark: SparkSession, path: str, key: str, df: DataFrame | None, gon
     merged = df if kept is None else kept if df is None else kept.unionByName(df, allowMissingColumns=True)
     if merged is None:
         return
-    merged.hint("rebalance", "bucket").write.partitionBy("bucket").format(fmt).save(f"{path}/data/version={folder}")
+    with shuffles_freed(spark):
+        merged.hint("rebalance", "bucket").write.partitionBy("bucket").format(fmt).save(f"{path}/data/version={folder}")
     columns = T.StructType([f for f in merged.schema.fields if f.name != "bucket"])
     filled = {b for b in touched if _exists(spark, f"{path}/data/version={folder}/bucket={b}")}
     rows = [(version, n, b, folder if b in filled else None, columns.json(), fmt) for b in sorted(touched if state else filled)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,27 @@ def test_texts_of_files_are_not_broadcast(spark, tmp_path):
     out = readers.first_content(spark.createDataFrame([("1",), ("2",), ("3",)], "job_id string"), "job_id", **files)
     assert sorted(tuple(r) for r in out.collect()) == [("1", "a", "x"), ("2", "b", "z"), ("3", None, None)]
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def _shuffles(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {n for n in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())) if n.startswith("shuffle_")}
+
+
+def test_saving_keeps_no_shuffle_files(spark, tmp_path):
+    before = _shuffles(spark)
+    keyed.save(spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), str(tmp_path / "t"), "doc_id")
+    deadline = time.time() + 20
+    while _shuffles(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not _shuffles(spark) - before
+
+
+def test_corrections_leave_one_state_of_texts_and_index(spark, sf, tmp_path, monkeypatch):
+    from pagegrain.plans import streams
+    from pagegrain.plans.registry import load_all
+    monkeypatch.setattr(streams, "shared_dir", lambda s, label: f"{tmp_path}/{label}")
+    assert load_all()["str5_corrections_reindexed"].build(spark, sf).count() > 0
+    for table in ("texts", "index"):
+        root = tmp_path / "corrections" / table
+        assert not (root / "staged").exists() and len(list((root / "data").iterdir())) == len({s.folder for s in keyed._state(spark, str(root))}) <= 4
