@@ -89,6 +89,12 @@ def _replace(spark: SparkSession, path: str, key: str, df: DataFrame | None, gon
             df.withColumn("bucket", bucket_of(key, n)).write.parquet(staged)
         df = spark.read.parquet(staged)
         gone = df.select(key).distinct()
+    if gone is not None:
+        # Keys on disk have a size the planner knows: few of them are sent to the old rows, which then are shuffled once, to their buckets.
+        keys = f"{path}/staged/{folder}-keys"
+        with shuffles_freed(spark):
+            gone.write.parquet(keys)
+        gone = spark.read.parquet(keys)
     touched = set(range(n)) if gone is None else {r["b"] for r in gone.select(bucket_of(key, n).alias("b")).distinct().collect()}
     old = _rows(spark, path, [s for s in state if s.bucket in touched])
     kept = old.join(gone, key, "left_anti") if old is not None else None
