@@ -1,4 +1,4 @@
-"""Queries against their SQL on documents whose texts are empty, blank or odd; the given tables have none."""
+"""Queries against their SQL on rows that the given tables don't have: empty, blank and odd texts, times with fractions, nulls."""
 
 from __future__ import annotations
 
@@ -32,3 +32,14 @@ def odd(sf, tmp_path_factory):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql_on_odd_texts(spark, odd, name):
     assert check(spark, duck(odd), odd, name, load_all()[name])[0] is None
+
+
+def test_json_repair_matches_sql_on_odd_times(spark, sf, tmp_path):
+    for t in TABLES:
+        if t != "lineitem":
+            os.symlink(f"{sf}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    duckdb.connect().execute(f"""COPY (SELECT * REPLACE (CASE WHEN l_partkey % 5 = 1 THEN NULL ELSE l_extendedprice END AS l_extendedprice,
+ CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN l_shipdate + INTERVAL 1234567 MICROSECOND WHEN 2 THEN l_shipdate - INTERVAL 40 YEAR - INTERVAL 1 MICROSECOND ELSE l_shipdate END AS l_shipdate)
+ FROM '{sf}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)""")
+    name = "jsn3_json_repair"
+    assert check(spark, duck(str(tmp_path)), str(tmp_path), name, load_all()[name])[0] is None
